@@ -60,3 +60,13 @@ def any_of(conds: list[Column]) -> Column:
 def is_private(symbol: Column, visibility: Column) -> Column:
     """Q21: private visibility, or a name starting with '_' or '#'."""
     return (F.coalesce(visibility, F.lit("")) == "private") | symbol.startswith("_") | symbol.startswith("#")
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Catalyst may inline a projection into every place that references it;
+    a lambda variable is evaluated once per row, so large shared
+    intermediates (folded text, chunk records) are bound with this.
+    """
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))

@@ -121,7 +121,7 @@ def locate_definition(def_files: DataFrame, name: str) -> DataFrame:
     hits = matching_lines(def_files, any_pat, name)
     col = None
     for p in pats:
-        pos = F.length(F.element_at(F.split(F.col("text"), p, 2), 1)) + 1
+        pos = F.length(F.try_element_at(F.split(F.col("text"), p, 2), F.lit(1))) + 1
         col = F.when(F.col("text").rlike(p), pos) if col is None else col.when(F.col("text").rlike(p), pos)
     hits = hits.withColumn("column", col.cast("int"))
     first_after = hits.where(F.col("line") > 1).groupBy("path").agg(F.min("line").alias("_first"))

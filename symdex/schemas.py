@@ -77,3 +77,15 @@ LISTING = T.StructType(
 )
 
 SYMBOL_KEY = ("symbol", "type", "file", "parent_symbol")
+
+# Nested file documentation (one struct per file) and its parts.
+FUNC_T = "struct<name:string,params:array<string>,return_type:string,description:string,exported:boolean>"
+METHOD_T = "struct<name:string,params:array<string>,return_type:string,description:string,visibility:string>"
+PROP_T = "struct<name:string,type:string,description:string,visibility:string>"
+CLASS_T = (f"struct<name:string,description:string,exported:boolean,is_component:boolean,"
+           f"methods:array<{METHOD_T}>,properties:array<{PROP_T}>>")
+IFACE_T = f"struct<name:string,description:string,exported:boolean,properties:array<{PROP_T}>,methods:array<{METHOD_T}>>"
+ALIAS_T = "struct<name:string,type:string,description:string,exported:boolean>"
+ROUTE_T = "struct<method:string,path:string,handler:string,description:string>"
+DOC_T = (f"struct<functions:array<{FUNC_T}>,classes:array<{CLASS_T}>,interfaces:array<{IFACE_T}>,"
+         f"type_aliases:array<{ALIAS_T}>,routes:array<{ROUTE_T}>>")

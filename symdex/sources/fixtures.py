@@ -117,6 +117,8 @@ def view_sql(name: str, dialect: str = "spark") -> str:
 
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with DuckDB CTEs for the named check views."""
+    if not names:
+        return sql
     ctes = ",\n".join(f"{n} AS ({view_sql(n, 'duckdb')})" for n in names)
     body = sql.lstrip()
     if body[:5].lower() == "with ":
