@@ -48,9 +48,14 @@ def classify_language(path: Column) -> Column:
     return chain
 
 
+# Characters ECMAScript's String.prototype.trim removes (whitespace and line terminators).
+JS_WHITESPACE = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + \
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def js_trim(s: Column) -> Column:
     """Trim all leading/trailing whitespace (not only spaces) (H3)."""
-    return F.regexp_replace(s, r"^[\s\u00A0\uFEFF\u2028\u2029]+|[\s\u00A0\uFEFF\u2028\u2029]+$", "")
+    return F.btrim(s, F.lit(JS_WHITESPACE))
 
 
 def any_of(conds: list[Column]) -> Column:

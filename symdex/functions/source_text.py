@@ -77,29 +77,28 @@ def unfold(text: Column) -> Column:
 
 def clean_docstring(text: Column) -> Column:
     """Strip the quote run, dedent lines 2.. by their minimum indent, trim."""
-    s1 = F.regexp_replace(text, r"^['\"]['\"]['\"]|['\"]['\"]['\"]$", "")
-    s2 = F.regexp_replace(s1, r"^['\"]|['\"]$", "")
-    lines = F.split(s2, "\n", -1)
-    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    indents = F.transform(
-        F.filter(rest, lambda l: js_trim(l) != ""),
-        lambda l: F.length(F.regexp_extract(l, r"^[\s\u00A0\uFEFF]*", 0)),
-    )
-    m = F.array_min(indents)
-    ded = F.transform(
-        lines,
-        lambda l, i: F.when((i > 0) & m.isNotNull() & (F.length(l) >= m), F.substring(l, m + 1, 1 << 30)).otherwise(l),
-    )
-    return F.when(text.isNull(), None).when(F.size(lines) <= 1, js_trim(s2)).otherwise(js_trim(F.array_join(ded, "\n")))
+    def with_text(s2):
+        def with_lines(lines):
+            rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
+            indents = F.transform(F.filter(rest, lambda l: js_trim(l) != ""),
+                                  lambda l: F.length(F.regexp_extract(l, r"^[\s\u00A0\uFEFF]*", 0)))
+            return let(F.array_min(indents), lambda m: F.when(F.size(lines) <= 1, js_trim(s2)).otherwise(js_trim(
+                F.array_join(F.transform(lines, lambda l, i: F.when(
+                    (i > 0) & m.isNotNull() & (F.length(l) >= m), F.substring(l, m + 1, 1 << 30)).otherwise(l)), "\n"))))
+        return let(F.split(s2, "\n", -1), with_lines)
+    stripped = F.regexp_replace(F.regexp_replace(text, r"^['\"]['\"]['\"]|['\"]['\"]['\"]$", ""), r"^['\"]|['\"]$", "")
+    return F.when(text.isNotNull(), let(stripped, with_text))
 
 
 def jsdoc_description(block: Column) -> Column:
     """Text of a ``/** ... */`` block before its first tag, margin stripped, trimmed."""
     body = F.regexp_replace(F.regexp_replace(block, r"^/\*\*", ""), r"\*/[\s]*$", "")
-    lines = F.transform(F.split(body, "\n", -1), lambda l: F.regexp_replace(l, r"^[ \t]*\*? ?", ""))
-    first_tag = F.array_position(F.transform(lines, lambda l: l.rlike(r"^\s*@")), True)
-    kept = F.when(first_tag > 0, F.slice(lines, 1, first_tag - 1)).otherwise(lines)
-    return js_trim(F.array_join(kept, "\n"))
+
+    def with_lines(lines):
+        first_tag = F.array_position(F.transform(lines, lambda l: l.rlike(r"^\s*@")), True)
+        kept = F.when(first_tag > 0, F.slice(lines, 1, first_tag - 1)).otherwise(lines)
+        return js_trim(F.array_join(kept, "\n"))
+    return let(F.transform(F.split(body, "\n", -1), lambda l: F.regexp_replace(l, r"^[ \t]*\*? ?", "")), with_lines)
 
 
 def jsdoc_return_type(block: Column) -> Column:

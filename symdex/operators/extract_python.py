@@ -47,7 +47,7 @@ ROUTE_SUFFIXES = ("get", "post", "put", "delete", "patch")
 
 def _doc_text(folded_literal: Column) -> Column:
     """Cleaned docstring of a folded literal; null when there is none."""
-    return F.when(folded_literal != "", clean_docstring(unfold(folded_literal)))
+    return let(folded_literal, lambda lit: F.when(lit != "", clean_docstring(unfold(lit))))
 
 
 def param_names(params: Column, is_method: bool) -> Column:
@@ -61,10 +61,10 @@ def param_names(params: Column, is_method: bool) -> Column:
         .otherwise(F.regexp_extract(p, "^(" + PY_NAME + ")", 1)),
     )
     names = F.filter(names, lambda n: n != "")
-    if is_method:
-        names = F.when(F.try_element_at(names, F.lit(1)).isin("self", "cls"), F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0)))) \
-            .otherwise(names)
-    return names
+    if not is_method:
+        return names
+    return let(names, lambda ns: F.when(F.try_element_at(ns, F.lit(1)).isin("self", "cls"),
+                                        F.slice(ns, 2, F.greatest(F.size(ns) - 1, F.lit(0)))).otherwise(ns))
 
 
 def _return_type(ret: Column) -> Column:
@@ -85,9 +85,12 @@ def _routes_of(decorators: Column, fn_name: Column, fn_desc: Column) -> Column:
     args = F.regexp_extract_all(decorators, F.lit(DECORATOR_RE), 2)
 
     def one(d):
-        name = F.regexp_replace(d["n"], r"[ \t]", "")
         arg_list = F.transform(split_top_level(d["a"]), lambda a: js_trim(a))
-        path_lit = F.try_element_at(F.filter(arg_list, lambda a: a.rlike("^" + STR_F + "$")), F.lit(1))
+        return let(F.struct(F.regexp_replace(d["n"], r"[ \t]", "").alias("name"),
+                            F.try_element_at(F.filter(arg_list, lambda a: a.rlike("^" + STR_F + "$")), F.lit(1))
+                            .alias("path")), lambda v: route_of(v["name"], v["path"], d))
+
+    def route_of(name, path_lit, d):
         listed = F.regexp_extract(d["a"], r"methods[ \t]*=[ \t]*\[[ \t\n]*(" + STR_F + ")", 1)
         is_route = name.endswith(".route")
         suffix = F.regexp_extract(name, r"\.([^.]+)$", 1)
@@ -134,15 +137,14 @@ def _doc_from_items(s1: Column) -> Column:
     def function_doc(x):
         c = x["c"]
         name = F.regexp_extract(c, FUNC_RE, 1)
-        own = _doc_text(F.regexp_extract(c, FUNC_RE, 4))
-        return F.struct(
+        return let(_doc_text(F.regexp_extract(c, FUNC_RE, 4)), lambda own: F.struct(
             name.alias("name"),
             param_names(F.regexp_extract(c, FUNC_RE, 2), False).alias("params"),
             _return_type(F.regexp_extract(c, FUNC_RE, 3)).alias("return_type"),
             F.coalesce(F.when(own != "", own), mdoc).alias("description"),
             (~name.startswith("_")).alias("exported"),
             x["decorators"].alias("decorators"),
-        )
+        ))
 
     def class_raw(x):
         c = x["c"]

@@ -67,14 +67,13 @@ def _collapse(text: Column) -> Column:
 
 
 def _describe(lead: Column) -> Column:
-    block = F.regexp_extract(lead, JSDOC_IN, 1)
-    return F.when(block != "", jsdoc_description(unfold(block)))
+    return let(F.regexp_extract(lead, JSDOC_IN, 1), lambda block: F.when(block != "", jsdoc_description(unfold(block))))
 
 
 def _lead_jsdoc(lead: Column) -> Column:
     """The doc block closest to the declaration (the last one of the run)."""
-    block = F.try_element_at(F.regexp_extract_all(lead, F.lit(JSDOC_IN), 1), F.lit(-1))
-    return F.when(block.isNotNull(), unfold(block))
+    return let(F.try_element_at(F.regexp_extract_all(lead, F.lit(JSDOC_IN), 1), F.lit(-1)),
+               lambda block: F.when(block.isNotNull(), unfold(block)))
 
 
 def _strip_lead(text: Column) -> Column:
@@ -99,14 +98,15 @@ def _visibility(mods: Column) -> Column:
 
 def _members(body: Column) -> Column:
     """Member texts of a class / interface body (lines at the body's smallest indentation)."""
-    lines = F.split(body, "\n", -1)
-    code = F.filter(lines, lambda l: (js_trim(unfold(l)) != "") & ~l.rlike(r"^\}"))
-    indent = F.array_min(F.transform(code, lambda l: F.length(F.regexp_extract(l, r"^([ \t]*)", 1))))
-    ind = F.substring(F.try_element_at(
-        F.filter(code, lambda l: F.length(F.regexp_extract(l, r"^([ \t]*)", 1)) == indent), F.lit(1)), 1, indent)
-    pattern = F.concat(F.lit("\n(?="), F.coalesce(ind, F.lit("")), F.lit(r"[^\s}])"))
-    parts = F.split(F.concat(F.lit("\n"), body), pattern, -1)
-    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^[ \t\n]+", "")), lambda p: p != "")
+    def with_code(code):
+        widths = F.transform(code, lambda l: F.length(F.regexp_extract(l, r"^([ \t]*)", 1)))
+        return let(F.array_min(widths), lambda indent: let(
+            F.substring(F.try_element_at(F.filter(code, lambda l: F.length(F.regexp_extract(l, r"^([ \t]*)", 1)) == indent),
+                                         F.lit(1)), 1, indent),
+            lambda ind: F.filter(F.transform(
+                F.split(F.concat(F.lit("\n"), body), F.concat(F.lit("\n(?="), F.coalesce(ind, F.lit("")), F.lit(r"[^\s}])")), -1),
+                lambda p: F.regexp_replace(p, r"^[ \t\n]+", "")), lambda p: p != "")))
+    return let(F.filter(F.split(body, "\n", -1), lambda l: (js_trim(unfold(l)) != "") & ~l.rlike(r"^\}")), with_code)
 
 
 def _body(chunk: Column, header_re: str) -> Column:

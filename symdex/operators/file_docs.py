@@ -64,28 +64,53 @@ def read_source_text(files: DataFrame) -> DataFrame:
     return files
 
 
-def file_docs(files: DataFrame) -> DataFrame:
-    """X21 + B2: (path, language, doc, error, details) per file row.
+_DOC_EXPR: dict[tuple, Column] = {}
 
-    ``files``: (path, content).  One projection over the rows, no shuffle;
-    unsupported extensions give an error row and no document (nothing is
-    thrown).
-    """
+
+def _doc_expression(spark) -> Column:
+    """The per-file document expression, built once per session (it is large)."""
     from symdex.operators.extract_python import python_file_doc
     from symdex.operators.extract_ts import script_file_doc
 
+    key = (spark.sparkContext.applicationId, tuple(_EXTENSIONS))
+    if key not in _DOC_EXPR:
+        lang = F.col("language")
+        doc = (F.when(lang == "py", conform_doc(python_file_doc(F.col("content")), keep_empty=True))
+               .when(lang.isin("ts", "js"), conform_doc(script_file_doc(F.col("content"), lang, F.col("path")),
+                                                        keep_empty=False)))
+        for _exts, name in _EXTENSIONS:
+            if _EXTRACTORS.get(name) is not None:
+                doc = doc.when(lang == name, conform_doc(_EXTRACTORS[name](F.col("content")), keep_empty=True))
+        _DOC_EXPR[key] = doc
+    return _DOC_EXPR[key]
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-file work at least ``defaultParallelism`` input partitions.
+
+    A corpus read with ``binaryFile`` is already split into many partitions and
+    is returned unchanged; a small table of large work items (a few parquet
+    row groups) is spread round-robin so that every core gets files.
+    """
+    want = files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() < want:
+        return files.repartition(want)
+    return files
+
+
+def file_docs(files: DataFrame) -> DataFrame:
+    """X21 + B2: (path, language, doc, error, details) per file row.
+
+    ``files``: (path, content).  One projection over the rows, no shuffle
+    (beyond :func:`spread` for under-partitioned input); unsupported
+    extensions give an error row and no document (nothing is thrown).
+    """
     _builtins()
     lang = F.col("language")
-    df = files.withColumn("language", language_of(F.col("path")))
-    doc = (F.when(lang == "py", conform_doc(python_file_doc(F.col("content")), keep_empty=True))
-           .when(lang.isin("ts", "js"), conform_doc(script_file_doc(F.col("content"), lang, F.col("path")),
-                                                    keep_empty=False)))
-    for _exts, name in _EXTENSIONS:
-        if _EXTRACTORS.get(name) is not None:
-            doc = doc.when(lang == name, conform_doc(_EXTRACTORS[name](F.col("content")), keep_empty=True))
+    df = spread(files.select("path", "content")).withColumn("language", language_of(F.col("path")))
     ext = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1))
     return df.select(
-        "path", "language", doc.alias("doc"),
+        "path", "language", _doc_expression(files.sparkSession).alias("doc"),
         F.when(lang.isNull(), F.lit("Unsupported file type")).alias("error"),
         F.when(lang.isNull(), F.concat(F.lit("No parser available for file type: "), ext)).alias("details"),
     )
@@ -160,9 +185,11 @@ SYMBOL_FIELDS = ["symbol", "type", "description", "signature", "exported", "pare
 
 def flatten_file_docs(docs: DataFrame) -> DataFrame:
     """(path, doc) -> (file, seq, symbol fields...), seq = registration position in the file."""
-    # posexplode of a null array yields no row, so files without a document drop out
+    # The outer generator plus an explicit null test keeps Catalyst from inferring a
+    # ``size(array) > 0`` filter that it would push below the projection and so
+    # evaluate the whole extraction twice.
     syms = docs.select(F.col("path").alias("file"), let(F.col("doc"), doc_symbols).alias("_syms"))
-    return syms.select("file", F.posexplode("_syms").alias("seq", "s")).select(
+    return syms.select("file", F.posexplode_outer("_syms").alias("seq", "s")).where(F.col("seq").isNotNull()).select(
         "file", "seq", *[F.col(f"s.{f}").alias(f) for f in SYMBOL_FIELDS])
 
 

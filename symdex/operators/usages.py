@@ -65,8 +65,11 @@ def matching_lines(files: DataFrame, pattern: str, literal: str | None = None) -
         lambda x: x["text"].rlike(pattern),
     )
     keep = [c for c in df.columns if c != "content"]
+    # explode_outer + a null test: a plain explode makes Catalyst infer (and push
+    # down) a ``size(hits) > 0`` filter, running the line regex twice
     return (
-        df.select(*keep, lines.alias("_lines"), F.explode(hits).alias("_h"))
+        df.select(*keep, lines.alias("_lines"), F.explode_outer(hits).alias("_h"))
+        .where(F.col("_h").isNotNull())
         .select(*keep, F.col("_h.line").alias("line"), F.col("_h.text").alias("text"),
                 snippet(F.col("_lines"), F.col("_h.line")).alias("snippet"))
     )
