@@ -216,3 +216,61 @@ def find_usages(
     both = answer.withColumn("_hit", F.lit(1)).unionByName(missing.withColumn("_hit", F.lit(0)))
     totals = both.agg(F.max_by(F.struct(*answer.columns), F.col("_hit")).alias("r")).select("r.*")
     return rows, totals
+
+
+WORD_TOKEN = r"[A-Za-z0-9_]+"
+
+
+def usage_scan_batch(files: DataFrame, names: DataFrame, broadcast_rows: int = 200_000,
+                     nested_loop_rows: int = 1_000) -> DataFrame:
+    """Every whole-word occurrence of every name in ``names(name)``.
+
+    An ASCII-word-bounded occurrence of a name made of word characters is a
+    maximal ``[A-Za-z0-9_]+`` token equal to it, so lines are matched by an
+    equi-join of their distinct tokens with the names (exact).  A name with
+    other characters joins on its first word token and is then verified with
+    its own boundary regex; a name without any word character (none come out
+    of extraction) goes through a nested-loop join whose name side is
+    count-checked.  The name side is broadcast only when its counted size is
+    under ``broadcast_rows``; otherwise the join shuffles on the token (AQE
+    splits a hot token).  Columns are then computed for matching lines only.
+
+    Output: name, path, pattern_idx (if present), line, column, snippet.
+    """
+    keep = [c for c in files.columns if c != "content"]
+    lines = F.split(F.col("content"), "\n", -1)
+    per_line = files.select(
+        *keep, lines.alias("_lines"),
+        F.posexplode(lines).alias("_i", "text"),
+    ).select(*keep, (F.col("_i") + 1).alias("line"), "text",
+             snippet(F.col("_lines"), F.col("_i") + 1).alias("snippet"))
+    tokens = per_line.select("*", F.explode_outer(F.array_distinct(
+        F.regexp_extract_all(F.col("text"), F.lit(WORD_TOKEN), 0))).alias("token")).where(F.col("token").isNotNull())
+
+    nm = names.select("name").where(F.col("name").isNotNull() & (F.col("name") != "")).distinct()
+    nm = nm.withColumn("join_token", F.regexp_extract(F.col("name"), WORD_TOKEN, 0)) \
+           .withColumn("is_word", F.col("name").rlike("^" + WORD_TOKEN + "$"))
+    keyed = nm.where(F.col("join_token") != "")
+    side = F.broadcast(keyed) if keyed.count() <= broadcast_rows else keyed
+    hits = tokens.join(side, tokens.token == side.join_token, "inner")
+    boundary = F.concat(
+        F.when(F.col("name").rlike(r"^[A-Za-z0-9_]"), F.lit(r"(?<![A-Za-z0-9_])")).otherwise(F.lit(r"(?<=[A-Za-z0-9_])")),
+        F.lit(r"\Q"), F.col("name"), F.lit(r"\E"),
+        F.when(F.col("name").rlike(r"[A-Za-z0-9_]$"), F.lit(r"(?![A-Za-z0-9_])")).otherwise(F.lit(r"(?=[A-Za-z0-9_])")),
+    )
+    hits = hits.withColumn("_pat", boundary).where(F.col("is_word") | F.regexp_like(F.col("text"), F.col("_pat")))
+
+    symbolic = nm.where(F.col("join_token") == "")
+    if symbolic.limit(nested_loop_rows + 1).count() > 0:
+        if symbolic.count() > nested_loop_rows:
+            raise ValueError("too many names without a word character for a nested-loop join")
+        loop = per_line.join(F.broadcast(symbolic.withColumn("_pat", boundary)), F.col("text").contains(F.col("name")))
+        hits = hits.select(*loop.columns).unionByName(loop.where(F.regexp_like(F.col("text"), F.col("_pat"))))
+
+    gaps = F.split(F.col("text"), F.col("_pat"), -1)
+    occ = hits.select(*keep, "name", "line", "snippet", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"))
+    w = Window.partitionBy(*[c for c in ("path",) if c in keep], "line", "name").orderBy("k") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return occ.withColumn(
+        "column", (F.sum(F.length("gap")).over(w) + F.col("k") * F.length("name") + 1).cast("int")
+    ).drop("gap", "k")
