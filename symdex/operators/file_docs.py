@@ -193,25 +193,32 @@ def flatten_file_docs(docs: DataFrame) -> DataFrame:
         "file", "seq", *[F.col(f"s.{f}").alias(f) for f in SYMBOL_FIELDS])
 
 
-def insertion_order(rows: DataFrame, batch: int = 0) -> DataFrame:
-    """Unique, increasing ``ord`` following (batch, partition, row) order.
+def next_ord(symbols: DataFrame) -> int:
+    """First free insertion number of a symbol table (one scalar aggregate)."""
+    top = symbols.agg(F.max("ord").alias("m")).first()["m"]
+    return 0 if top is None else int(top) + 1
 
-    Within a file the rows come out of one ``posexplode`` in registration order,
-    so ``ord`` keeps that order; re-registered files get a later batch and move
-    to the end (Q1).  ``batch`` must stay below 1024.
+
+def insertion_order(rows: DataFrame, offset: int = 0) -> DataFrame:
+    """Unique, increasing ``ord`` = ``offset`` + ``monotonically_increasing_id``.
+
+    Within a file the rows come out of one ``posexplode`` in registration order
+    and stay in one partition, so ``ord`` keeps that order; files of a later
+    batch start above every existing ``ord`` (``offset`` = :func:`next_ord`)
+    and so move to the end (Q1).  Gaps between partitions are harmless.
     """
-    return rows.withColumn("ord", F.lit(batch).cast("long") * F.lit(1 << 53) + F.monotonically_increasing_id())
+    return rows.withColumn("ord", F.lit(offset).cast("long") + F.monotonically_increasing_id())
 
 
-def to_symbol_table(rows: DataFrame, batch: int = 0) -> DataFrame:
+def to_symbol_table(rows: DataFrame, offset: int = 0) -> DataFrame:
     """Flattened rows -> the symbol-table schema."""
-    ordered = insertion_order(rows, batch)
+    ordered = insertion_order(rows, offset)
     return ordered.select(
         "ord", "symbol", "type", "file", "description", "signature", "exported", "parent_symbol",
         F.struct("is_component", "visibility", "route_method", "route_path", "handler").alias("metadata"),
     )
 
 
-def extract_symbols(files: DataFrame, batch: int = 0) -> DataFrame:
+def extract_symbols(files: DataFrame, offset: int = 0) -> DataFrame:
     """Files -> symbol table rows (the ``extract`` step of a refresh)."""
-    return to_symbol_table(flatten_file_docs(file_docs(files)), batch)
+    return to_symbol_table(flatten_file_docs(file_docs(files)), offset)

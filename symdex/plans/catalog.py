@@ -61,5 +61,5 @@ def load_all() -> None:
     """Import every check module so that its keys are registered."""
     import importlib
 
-    for mod in ("checks_search", "checks_related", "checks_usages", "checks_registry", "checks_extract", "checks_requests"):
+    for mod in ("checks_search", "checks_related", "checks_usages", "checks_registry", "checks_extract", "checks_requests", "checks_stream"):
         importlib.import_module(f"symdex.plans.{mod}")
