@@ -46,12 +46,12 @@ def _builtins() -> None:
     _EXTRACTORS.update({"ts": None, "js": None, "py": None})
 
 
-def language_of(path: Column) -> Column:
+def language_of(path: Column, extensions=None) -> Column:
     """B1 over the registered extensions (first registered wins)."""
     _builtins()
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     chain = None
-    for exts, lang in _EXTENSIONS:
+    for exts, lang in (extensions if extensions is not None else _EXTENSIONS):
         cond = ext.isin(*exts)
         chain = F.when(cond, F.lit(lang)) if chain is None else chain.when(cond, F.lit(lang))
     return chain
@@ -67,20 +67,20 @@ def read_source_text(files: DataFrame) -> DataFrame:
 _DOC_EXPR: dict[tuple, Column] = {}
 
 
-def _doc_expression(spark) -> Column:
+def _doc_expression(spark, extensions, extractors) -> Column:
     """The per-file document expression, built once per session (it is large)."""
     from symdex.operators.extract_python import python_file_doc
     from symdex.operators.extract_ts import script_file_doc
 
-    key = (spark.sparkContext.applicationId, tuple(_EXTENSIONS))
+    key = (spark.sparkContext.applicationId, tuple(extensions), tuple(sorted(map(str, extractors.items()))))
     if key not in _DOC_EXPR:
         lang = F.col("language")
         doc = (F.when(lang == "py", conform_doc(python_file_doc(F.col("content")), keep_empty=True))
                .when(lang.isin("ts", "js"), conform_doc(script_file_doc(F.col("content"), lang, F.col("path")),
                                                         keep_empty=False)))
-        for _exts, name in _EXTENSIONS:
-            if _EXTRACTORS.get(name) is not None:
-                doc = doc.when(lang == name, conform_doc(_EXTRACTORS[name](F.col("content")), keep_empty=True))
+        for _exts, name in extensions:
+            if extractors.get(name) is not None:
+                doc = doc.when(lang == name, conform_doc(extractors[name](F.col("content")), keep_empty=True))
         _DOC_EXPR[key] = doc
     return _DOC_EXPR[key]
 
@@ -98,19 +98,24 @@ def spread(files: DataFrame) -> DataFrame:
     return files
 
 
-def file_docs(files: DataFrame) -> DataFrame:
+def file_docs(files: DataFrame, plugins=()) -> DataFrame:
     """X21 + B2: (path, language, doc, error, details) per file row.
 
     ``files``: (path, content).  One projection over the rows, no shuffle
     (beyond :func:`spread` for under-partitioned input); unsupported
     extensions give an error row and no document (nothing is thrown).
+    ``plugins``: extra ``(extensions, language, fn)`` extractors for this call
+    only (U1), tried after the registered ones.
     """
     _builtins()
+    extensions = list(_EXTENSIONS) + [(tuple(e.lower().lstrip(".") for e in exts), name) for exts, name, _ in plugins]
+    extractors = dict(_EXTRACTORS)
+    extractors.update({name: fn for _, name, fn in plugins})
     lang = F.col("language")
-    df = spread(files.select("path", "content")).withColumn("language", language_of(F.col("path")))
+    df = spread(files.select("path", "content")).withColumn("language", language_of(F.col("path"), extensions))
     ext = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1))
     return df.select(
-        "path", "language", _doc_expression(files.sparkSession).alias("doc"),
+        "path", "language", _doc_expression(files.sparkSession, extensions, extractors).alias("doc"),
         F.when(lang.isNull(), F.lit("Unsupported file type")).alias("error"),
         F.when(lang.isNull(), F.concat(F.lit("No parser available for file type: "), ext)).alias("details"),
     )
