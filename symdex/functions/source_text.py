@@ -110,3 +110,23 @@ def jsdoc_return_type(block: Column) -> Column:
 def split_top_level(text: Column) -> Column:
     """Split at commas that are not inside one level of brackets."""
     return F.split(text, r",(?![^\[\](){}<>]*[\])}>])", -1)
+
+
+BLANK = ""
+
+
+def mask(content: Column, token_re: str) -> Column:
+    """Content with the inside of every literal / comment blanked (whitespace kept).
+
+    Same length and same line breaks as the input, so line and column
+    positions carry over; no identifier can be found inside a string or a
+    comment of the masked text.
+    """
+    def body(c):
+        gaps = F.split(c, token_re, -1)
+        blank = lambda t: F.regexp_replace(t, r"\S", BLANK)
+        return let(F.regexp_extract_all(c, F.lit(token_re), 0), lambda toks: F.concat(
+            F.array_join(F.zip_with(F.slice(gaps, 1, F.size(toks)), F.transform(toks, blank),
+                                    lambda g, t: F.concat(g, t)), ""),
+            F.try_element_at(gaps, F.lit(-1))))
+    return let(content, body)

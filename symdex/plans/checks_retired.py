@@ -92,3 +92,37 @@ def extract_prop_types(spark, sf):
     f"description from {_JS} where false"))
 def extract_default_handler_routes(spark, sf):
     return Y.default_handler_routes(_js(spark, sf))
+
+
+# --- Y1-Y3 on code_ts ---------------------------------------------------------------
+
+from symdex.operators import declarations as DCL  # noqa: E402
+
+_TS_LINES = ("(select path, unnest(generate_series(1, len(arr))) as line, unnest(arr) as text, arr from "
+             "(select path, string_split(content, chr(10)) as arr from code_ts) f) l")
+_RUN_DECL = ("select path as file, line, 3 as \"column\", 'method' as kind, "
+             "substring(text, 3) || chr(10) || arr[line + 1] || chr(10) || arr[line + 2] as snippet "
+             f"from {_TS_LINES} where regexp_matches(text, '^  (private|protected|public) run\\(')")
+_RUN_REFS = ("select path as file, line, cast(strpos(text, ' run(') + 1 as integer) as \"column\", 'reference' as kind, "
+             f"trim(text) as snippet from {_TS_LINES} where regexp_matches(text, '\\brun\\b')")
+
+
+@register("find_declarations", with_views(
+    "select path as file, line, 3 as \"column\", 'property' as kind, 'private count: number;' as snippet "
+    f"from {_TS_LINES} where text = '  private count: number;'", "code_ts"))
+def find_declarations(spark, sf):
+    return DCL.find_declarations(_ts(spark, sf), "count")
+
+
+@register("find_references", with_views(
+    "select path as file, line, cast(strpos(text, 'count') as integer) as \"column\", 'reference' as kind, "
+    f"trim(text) as snippet from {_TS_LINES} where regexp_matches(text, '\\bcount\\b')", "code_ts"))
+def find_references(spark, sf):
+    files = _ts(spark, sf)
+    return DCL.find_references(files, "count", DCL.find_declarations(files, "count"))
+
+
+@register("search_for_symbol", with_views(f"{_RUN_DECL} union all {_RUN_REFS}", "code_ts"))
+def search_for_symbol(spark, sf):
+    decls, refs = DCL.search_for_symbol(_ts(spark, sf), "run")
+    return decls.unionByName(refs)
