@@ -73,31 +73,48 @@ def request_fields(parsed: DataFrame) -> DataFrame:
 
 
 def _answers(df: DataFrame, error=None, details=None, count=None, first=None) -> DataFrame:
-    lit = lambda v, t: v if isinstance(v, F.Column) else F.lit(v).cast(t)
+    def lit(v, t):
+        return v.cast(t) if isinstance(v, F.Column) else F.lit(v).cast(t)
     return df.select(
         "request_id", "tool", lit(error, "string").alias("error"), lit(details, "string").alias("details"),
         lit(count, "int").alias("result_count"), lit(first, "string").alias("first_symbol"))
 
 
-def _ranked_answers(reqs: DataFrame, symbols: DataFrame, term: str, default_limit: int, exact: bool) -> DataFrame:
-    """Search-like tools: top-k per request (E4), answered as (count, first symbol)."""
-    r = reqs.where(F.col(term).isNotNull() & (F.col(term) != ""))
-    limit = F.col("limit") if not exact else F.lit(1)
-    if term == "prefix":  # autocomplete: 0 / missing -> 10
-        limit = F.when(F.coalesce(F.col("limit"), F.lit(0)) == 0, F.lit(default_limit)).otherwise(F.col("limit"))
-    req = r.select(
-        "request_id", F.col(term).alias("term"), F.col("type").alias("type"),
-        (F.col("file") if term == "query" else F.lit(None).cast("string")).alias("file"),
-        (F.lit(True) if exact else F.coalesce(F.col("exact_match"), F.lit(False))).alias("exact_match"),
-        (F.lit(True) if exact else F.coalesce(F.col("include_private"), F.lit(False))).alias("include_private"),
+_SEARCH_LIKE = {
+    # tool: (term field, default limit, exact lookup)
+    "search_project_symbols": ("query", SEARCH_LIMIT, False),
+    "autocomplete_symbol": ("prefix", AUTOCOMPLETE_LIMIT, False),
+    "get_doc_for_symbol": ("symbol", 1, True),
+    "find_usages": ("symbol", 1, True),
+}
+
+
+def _ranked_answers(ok: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Every search-like request in one top-k plan (E4): (request_id, tool, result_count, first_symbol)."""
+    tool = F.col("tool")
+    term = exact = limit = None
+    for name, (field, default, is_exact) in _SEARCH_LIKE.items():
+        t = F.col(field)
+        lim = F.lit(1) if is_exact else (
+            F.when(F.coalesce(F.col("limit"), F.lit(0)) == 0, F.lit(default)).otherwise(F.col("limit"))
+            if name == "autocomplete_symbol" else F.coalesce(F.col("limit"), F.lit(default)))
+        term = F.when(tool == name, t) if term is None else term.when(tool == name, t)
+        exact = F.when(tool == name, F.lit(is_exact)) if exact is None else exact.when(tool == name, F.lit(is_exact))
+        limit = F.when(tool == name, lim) if limit is None else limit.when(tool == name, lim)
+    reqs = ok.where(tool.isin(*_SEARCH_LIKE))
+    req = reqs.select(
+        "request_id", term.alias("term"), F.col("type").alias("type"),
+        F.when(tool == "search_project_symbols", F.col("file")).alias("file"),
+        F.when(exact, F.lit(True)).otherwise(F.coalesce(F.col("exact_match"), F.lit(False))).alias("exact_match"),
+        F.when(exact, F.lit(True)).otherwise(F.coalesce(F.col("include_private"), F.lit(False))).alias("include_private"),
         limit.alias("limit"))
-    ranked = rank_within_request(req, symbols, default_limit=default_limit)
+    ranked = rank_within_request(req, symbols)
     agg = ranked.groupBy("request_id").agg(
         F.count(F.lit(1)).cast("int").alias("result_count"),
         F.min_by("symbol", F.coalesce(F.col("rank"), F.lit(0))).alias("first_symbol"))
     return reqs.join(agg, "request_id", "left").select(
-        "request_id", "tool", "error", "details",
-        F.coalesce(F.col("result_count"), F.lit(0)).alias("result_count"), "first_symbol")
+        "request_id", "tool", "symbol", F.coalesce(F.col("result_count"), F.lit(0)).alias("result_count"),
+        "first_symbol")
 
 
 def dispatch_requests(requests: DataFrame, symbols: DataFrame, files: DataFrame | None = None,
@@ -106,26 +123,18 @@ def dispatch_requests(requests: DataFrame, symbols: DataFrame, files: DataFrame
 
     Output: request_id, tool, error, details, result_count, first_symbol.
     """
-    spark = requests.sparkSession
     fields = request_fields(parse_requests(requests)).cache()
     bad = _answers(fields.where(F.col("error").isNotNull()), F.col("error"), F.col("details"), 0, None)
     ok = fields.where(F.col("error").isNull())
     unknown = ok.where(~F.col("tool").isin(*TOOLS))
     out = [bad, _answers(unknown, "Unknown tool", F.concat(F.lit('Tool "'), F.col("tool"), F.lit('" not supported')), 0, None)]
 
-    # search_project_symbols / autocomplete_symbol: empty term -> empty result
-    search = ok.where(F.col("tool") == "search_project_symbols")
-    out.append(_ranked_answers(search, symbols, "query", SEARCH_LIMIT, exact=False))
-    auto = ok.where(F.col("tool") == "autocomplete_symbol")
-    out.append(_ranked_answers(auto, symbols, "prefix", AUTOCOMPLETE_LIMIT, exact=False))
-
-    # get_doc_for_symbol: exact top-1; empty -> error, miss -> not-found error
-    doc = ok.where(F.col("tool") == "get_doc_for_symbol")
-    out.append(_doc_answers(doc, _ranked_answers(doc, symbols, "symbol", 1, exact=True)))
-
-    # find_usages: exact top-1 lookup, then the total number of occurrences (batched C10)
-    usages = ok.where(F.col("tool") == "find_usages")
-    out.append(_usage_answers(usages, symbols, files))
+    # search-like tools share one ranked plan; empty terms give no rows
+    ranked = _ranked_answers(ok, symbols).cache()
+    for name in ("search_project_symbols", "autocomplete_symbol"):
+        out.append(_answers(ranked.where(F.col("tool") == name), None, None, F.col("result_count"), F.col("first_symbol")))
+    out.append(_doc_answers(ranked.where(F.col("tool") == "get_doc_for_symbol")))
+    out.append(_usage_answers(ranked.where(F.col("tool") == "find_usages"), files))
 
     # refresh_registry: one summary for the batch
     refresh = ok.where(F.col("tool") == "refresh_registry")
@@ -148,19 +157,18 @@ def dispatch_requests(requests: DataFrame, symbols: DataFrame, files: DataFrame
     return result
 
 
-def _doc_answers(doc: DataFrame, found: DataFrame) -> DataFrame:
-    j = found.join(doc.select("request_id", "symbol"), "request_id")
-    return j.select(
+def _doc_answers(found: DataFrame) -> DataFrame:
+    return found.select(
         "request_id", "tool",
         F.when(F.coalesce(F.col("symbol"), F.lit("")) == "", F.lit("Missing or invalid symbol name"))
         .when(F.col("result_count") == 0, F.concat(F.lit("Symbol '"), F.col("symbol"), F.lit("' not found"))).alias("error"),
         F.lit(None).cast("string").alias("details"), "result_count", "first_symbol")
 
 
-def _usage_answers(usages: DataFrame, symbols: DataFrame, files: DataFrame | None) -> DataFrame:
-    found = _ranked_answers(usages, symbols, "symbol", 1, exact=True)
+def _usage_answers(found: DataFrame, files: DataFrame | None) -> DataFrame:
+    none = F.lit(None).cast("string")
     if files is None:
-        return found.select("request_id", "tool", "error", "details",
+        return found.select("request_id", "tool", none.alias("error"), none.alias("details"),
                             F.lit(0).alias("result_count"), "first_symbol")
     from symdex.operators.usages import usage_scan_batch, with_listing_order
 
@@ -168,7 +176,7 @@ def _usage_answers(usages: DataFrame, symbols: DataFrame, files: DataFrame | Non
     counts = usage_scan_batch(with_listing_order(files), names).groupBy("name").agg(
         F.count(F.lit(1)).cast("int").alias("n"))
     j = found.join(counts, found.first_symbol == counts.name, "left")
-    return j.select("request_id", "tool", "error", "details",
+    return j.select("request_id", "tool", none.alias("error"), none.alias("details"),
                     F.when(F.col("result_count") > 0, F.coalesce(F.col("n"), F.lit(0))).otherwise(F.lit(0))
                     .alias("result_count"), "first_symbol")
 

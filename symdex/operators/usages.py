@@ -221,56 +221,96 @@ def find_usages(
 WORD_TOKEN = r"[A-Za-z0-9_]+"
 
 
-def usage_scan_batch(files: DataFrame, names: DataFrame, broadcast_rows: int = 200_000,
-                     nested_loop_rows: int = 1_000) -> DataFrame:
+def _boundary(name: Column) -> Column:
+    """Per-row ASCII word-boundary pattern of a name column (Q23, Q24)."""
+    return F.concat(
+        F.when(name.rlike(r"^[A-Za-z0-9_]"), F.lit(r"(?<![A-Za-z0-9_])")).otherwise(F.lit(r"(?<=[A-Za-z0-9_])")),
+        F.lit(r"\Q"), name, F.lit(r"\E"),
+        F.when(name.rlike(r"[A-Za-z0-9_]$"), F.lit(r"(?![A-Za-z0-9_])")).otherwise(F.lit(r"(?=[A-Za-z0-9_])")),
+    )
+
+
+def _positions(hits: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., name, line, text, snippet) -> one row per occurrence with its column."""
+    pat = _boundary(F.col("name"))
+    gaps = F.split(F.col("text"), pat, -1)
+    occ = hits.select(*keep, "name", "line", "snippet", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"))
+    w = Window.partitionBy(*[c for c in ("path",) if c in keep], "line", "name").orderBy("k") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return occ.withColumn(
+        "column", (F.sum(F.length("gap")).over(w) + F.col("k") * F.length("name") + 1).cast("int")
+    ).drop("gap", "k")
+
+
+def usage_scan_batch(files: DataFrame, names: DataFrame, inline_names: int = 2_000) -> DataFrame:
     """Every whole-word occurrence of every name in ``names(name)``.
 
     An ASCII-word-bounded occurrence of a name made of word characters is a
-    maximal ``[A-Za-z0-9_]+`` token equal to it, so lines are matched by an
-    equi-join of their distinct tokens with the names (exact).  A name with
-    other characters joins on its first word token and is then verified with
-    its own boundary regex; a name without any word character (none come out
-    of extraction) goes through a nested-loop join whose name side is
-    count-checked.  The name side is broadcast only when its counted size is
-    under ``broadcast_rows``; otherwise the join shuffles on the token (AQE
-    splits a hot token).  Columns are then computed for matching lines only.
+    maximal ``[A-Za-z0-9_]+`` token equal to it, so lines are matched on
+    their distinct tokens (exact); other names are verified with their own
+    boundary regex.
+
+    * Up to ``inline_names`` names (counted first): the names travel inside
+      the plan and every line intersects its tokens with them in place — one
+      scan, no per-token rows, no shuffle before the occurrence window.
+    * More names: a narrow (path, line, token) explode is equi-joined with the
+      names (Spark/AQE choose broadcast or shuffle from the sizes), and only
+      the files with a match are read again for text and snippets.
 
     Output: name, path, pattern_idx (if present), line, column, snippet.
     """
     keep = [c for c in files.columns if c != "content"]
+    nm = names.select("name").where(F.col("name").isNotNull() & (F.col("name") != "")).distinct()
+    if nm.count() <= inline_names:
+        found = [r["name"] for r in nm.collect()]  # bounded by the count above
+        return _positions(_inline_hits(files, keep, found), keep)
+    return _positions(_joined_hits(files, keep, nm), keep)
+
+
+def _inline_hits(files: DataFrame, keep: list[str], found: list[str]) -> DataFrame:
+    word = [n for n in found if RX.is_word_name(n)]
+    other = [n for n in found if not RX.is_word_name(n)]
+    word_arr = F.array(*[F.lit(n) for n in word]) if word else F.array().cast("array<string>")
     lines = F.split(F.col("content"), "\n", -1)
-    per_line = files.select(
-        *keep, lines.alias("_lines"),
-        F.posexplode(lines).alias("_i", "text"),
-    ).select(*keep, (F.col("_i") + 1).alias("line"), "text",
-             snippet(F.col("_lines"), F.col("_i") + 1).alias("snippet"))
-    tokens = per_line.select("*", F.explode_outer(F.array_distinct(
-        F.regexp_extract_all(F.col("text"), F.lit(WORD_TOKEN), 0))).alias("token")).where(F.col("token").isNotNull())
 
-    nm = names.select("name").where(F.col("name").isNotNull() & (F.col("name") != "")).distinct()
-    nm = nm.withColumn("join_token", F.regexp_extract(F.col("name"), WORD_TOKEN, 0)) \
-           .withColumn("is_word", F.col("name").rlike("^" + WORD_TOKEN + "$"))
-    keyed = nm.where(F.col("join_token") != "")
-    side = F.broadcast(keyed) if keyed.count() <= broadcast_rows else keyed
-    hits = tokens.join(side, tokens.token == side.join_token, "inner")
-    boundary = F.concat(
-        F.when(F.col("name").rlike(r"^[A-Za-z0-9_]"), F.lit(r"(?<![A-Za-z0-9_])")).otherwise(F.lit(r"(?<=[A-Za-z0-9_])")),
-        F.lit(r"\Q"), F.col("name"), F.lit(r"\E"),
-        F.when(F.col("name").rlike(r"[A-Za-z0-9_]$"), F.lit(r"(?![A-Za-z0-9_])")).otherwise(F.lit(r"(?=[A-Za-z0-9_])")),
-    )
-    hits = hits.withColumn("_pat", boundary).where(F.col("is_word") | F.regexp_like(F.col("text"), F.col("_pat")))
+    def hits_of(text):
+        by_token = F.array_intersect(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD_TOKEN), 0)), word_arr)
+        if not other:
+            return by_token
+        by_regex = F.filter(F.array(*[F.lit(n) for n in other]), lambda n: F.regexp_like(text, _boundary(n)))
+        return F.concat(by_token, by_regex)
 
-    symbolic = nm.where(F.col("join_token") == "")
-    if symbolic.limit(nested_loop_rows + 1).count() > 0:
-        if symbolic.count() > nested_loop_rows:
-            raise ValueError("too many names without a word character for a nested-loop join")
-        loop = per_line.join(F.broadcast(symbolic.withColumn("_pat", boundary)), F.col("text").contains(F.col("name")))
-        hits = hits.select(*loop.columns).unionByName(loop.where(F.regexp_like(F.col("text"), F.col("_pat"))))
+    matched = F.filter(F.transform(lines, lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"),
+                                                                hits_of(t).alias("names"))),
+                       lambda x: F.size(x["names"]) > 0)
+    per_line = files.select(*keep, lines.alias("_lines"), F.explode_outer(matched).alias("h")).where(F.col("h").isNotNull())
+    per_line = per_line.select(*keep, F.col("h.line").alias("line"), F.col("h.text").alias("text"),
+                               snippet(F.col("_lines"), F.col("h.line")).alias("snippet"), F.col("h.names").alias("names"))
+    return per_line.select(*keep, "line", "text", "snippet", F.explode_outer("names").alias("name")).where(
+        F.col("name").isNotNull())
 
-    gaps = F.split(F.col("text"), F.col("_pat"), -1)
-    occ = hits.select(*keep, "name", "line", "snippet", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"))
-    w = Window.partitionBy(*[c for c in ("path",) if c in keep], "line", "name").orderBy("k") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return occ.withColumn(
-        "column", (F.sum(F.length("gap")).over(w) + F.col("k") * F.length("name") + 1).cast("int")
-    ).drop("gap", "k")
+
+def _joined_hits(files: DataFrame, keep: list[str], nm: DataFrame) -> DataFrame:
+    lines = F.split(F.col("content"), "\n", -1)
+    tokens = files.select("path", F.posexplode(lines).alias("_i", "text")).select(
+        "path", (F.col("_i") + 1).alias("line"),
+        F.explode_outer(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(WORD_TOKEN), 0))).alias("token"),
+    ).where(F.col("token").isNotNull())
+    keyed = nm.withColumn("token", F.regexp_extract(F.col("name"), WORD_TOKEN, 0)).where(F.col("token") != "")
+    matched = tokens.join(keyed, "token").select("path", "line", "name").distinct()
+    per_file = matched.groupBy("path").agg(F.collect_list(F.struct("line", "name")).alias("m"))
+    j = files.join(per_file, "path")
+    rows = j.select(*keep, lines.alias("_lines"), F.explode("m").alias("h")).select(
+        *keep, F.col("h.line").alias("line"), F.col("h.name").alias("name"),
+        F.try_element_at(F.col("_lines"), F.col("h.line")).alias("text"),
+        snippet(F.col("_lines"), F.col("h.line")).alias("snippet"))
+    # Names without any word character (extraction never yields one) cannot be keyed
+    # by a token; the few there are (counted) are tested against every line.
+    symbolic = nm.where(F.regexp_extract(F.col("name"), WORD_TOKEN, 0) == "")
+    if symbolic.count() > 0:
+        loop = files.select(*keep, lines.alias("_lines"), F.posexplode(lines).alias("_i", "text")).join(
+            F.broadcast(symbolic), F.col("text").contains(F.col("name"))).select(
+            *keep, (F.col("_i") + 1).alias("line"), "name", "text",
+            snippet(F.col("_lines"), F.col("_i") + 1).alias("snippet"))
+        rows = rows.unionByName(loop)
+    return rows.where(F.regexp_like(F.col("text"), _boundary(F.col("name"))))
