@@ -20,6 +20,7 @@ tokens per line and an equi-join on the token.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,7 +165,7 @@ def find_usages(
     M = max_results or USAGE_LIMIT
     # limit 1: a proven one-row side, safe to broadcast
     found = lookup_symbol(symbols, symbol, type, file).select(
-        F.col("file").alias("def_file"), F.col("type").alias("def_type"))
+        F.col("file").alias("def_file"), F.col("type").alias("def_type")).persist(StorageLevel.MEMORY_AND_DISK)
 
     content = files.select("path", "content")
     pattern = RX.whole_word(symbol)
@@ -179,7 +180,10 @@ def find_usages(
     listed = with_listing_order(content, extensions)
     if include_definition:  # C11: the whole definition file is skipped (Q7)
         listed = listed.join(F.broadcast(found), listed.path == found.def_file, "left_anti")
-    lines = matching_lines(listed, pattern, symbol).withColumn("n_occ", _occurrence_count(F.col("text"), pattern))
+    # matching lines are read by the exact count and by the top-k: computed once, kept
+    # (memory and disk; recomputed from the source if an executor is lost)
+    lines = matching_lines(listed, pattern, symbol).withColumn(
+        "n_occ", _occurrence_count(F.col("text"), pattern)).persist(StorageLevel.MEMORY_AND_DISK)
 
     # Exact counts, combined map-side
     n_other = lines.agg(F.coalesce(F.sum("n_occ"), F.lit(0)).cast("long").alias("n_other"))
