@@ -192,3 +192,14 @@ def _assemble(funcs: Column, classes: Column, mdoc: Column) -> Column:
                               lambda f: _routes_of(f["decorators"], f["name"], f["description"]))).alias("routes"),
     )
     return doc
+
+
+def module_docstring(content: Column) -> Column:
+    """The cleaned module docstring ('' when the first statement is not a string)."""
+    chunks = F.split(F.concat(F.lit("\n"), fold(content, PY_TOKEN)), TOP_LEVEL_SPLIT, -1)
+
+    def from_chunks(ch):
+        first = F.try_element_at(ch, F.lit(1))
+        lit = F.when(js_trim(first) == "", F.regexp_extract(F.try_element_at(ch, F.lit(2)), MODULE_DOC_RE, 1))
+        return F.coalesce(_doc_text(F.coalesce(lit, F.lit(""))), F.lit(""))
+    return let(chunks, from_chunks)

@@ -181,3 +181,72 @@ def insertion_order(spark, sf):
     w = Window.partitionBy("file").orderBy("ord")
     ranked = rows.withColumn("rn", F.row_number().over(w) - 1)
     return ranked.where(F.col("rn") == F.col("seq")).select("file", "seq", "symbol", "type")
+
+
+# --- the same extraction, one key per SURVEY operator ----------------------------------
+
+from symdex.operators.extract_python import module_docstring  # noqa: E402
+from symdex.plans.checks_registry import upsert_symbols as _upsert  # noqa: E402
+from symdex.plans.catalog import ORACLES as _ORACLES  # noqa: E402
+
+
+@register("flatten_file_docs", with_views(f"select {SYM_COLS} from ({TS_EXPECTED}) t"))
+def flatten_file_docs(spark, sf):
+    return _symbols(spark, sf, "code_ts")
+
+
+register("upsert_symbol", _ORACLES["upsert_symbols"])(_upsert)
+
+
+@register("attach_jsdoc", with_views(
+    f"select file, seq, symbol, description from ({TS_EXPECTED}) t where description is not null "
+    f"union all select file, seq, symbol, description from ({JS_EXPECTED}) j where description is not null"))
+def attach_jsdoc(spark, sf):
+    ts = _symbols(spark, sf, "code_ts")
+    js = _symbols(spark, sf, "code_js")
+    return ts.unionByName(js).where(F.col("description").isNotNull()).select("file", "seq", "symbol", "description")
+
+
+@register("clean_docstring", with_views(
+    f"select file, symbol, description from ({PY_EXPECTED}) t where type = 'function'"))
+def clean_docstring(spark, sf):
+    return _symbols(spark, sf, "code_py").where(F.col("type") == "function").select("file", "symbol", "description")
+
+
+@register("extract_py_params", with_views(
+    f"select file, symbol, type, signature from ({PY_EXPECTED}) t where type in ('function', 'method')"))
+def extract_py_params(spark, sf):
+    return _symbols(spark, sf, "code_py").where(F.col("type").isin("function", "method")).select(
+        "file", "symbol", "type", "signature")
+
+
+@register("extract_py_return_type", with_views(
+    "select '/py/' || replace(p_brand, '#', '') || '/m' || cast(p_partkey as varchar) || '.py' as path, "
+    "case when p_size % 5 = 0 then '_' else '' end || replace(p_name, ' ', '_') as name, "
+    "case when p_size % 2 = 0 then 'str' else 'any' end as return_type from part union all "
+    "select '/py/' || replace(p_brand, '#', '') || '/m' || cast(p_partkey as varchar) || '.py', "
+    "'get_' || cast(p_partkey as varchar), 'any' from part"))
+def extract_py_return_type(spark, sf):
+    docs = FD.file_docs(load_view(spark, sf, "code_py").select("path", "content"))
+    return docs.select("path", F.posexplode_outer("doc.functions").alias("i", "f")).where(F.col("f").isNotNull()).select(
+        "path", F.col("f.name").alias("name"), F.col("f.return_type").alias("return_type"))
+
+
+@register("py_module_docstring", with_views(
+    "select '/py/' || replace(p_brand, '#', '') || '/m' || cast(p_partkey as varchar) || '.py' as path, "
+    "p_name || ' module.' as module_doc from part"))
+def py_module_docstring(spark, sf):
+    return load_view(spark, sf, "code_py").select("path", module_docstring(F.col("content")).alias("module_doc"))
+
+
+@register("py_description_fallback", with_views(
+    f"select file, symbol, type, description from ({PY_EXPECTED}) t where type in ('function', 'class', 'method')"))
+def py_description_fallback(spark, sf):
+    return _symbols(spark, sf, "code_py").where(F.col("type").isin("function", "class", "method")).select(
+        "file", "symbol", "type", "description")
+
+
+@register("py_visibility", with_views(
+    f"select file, symbol, visibility from ({PY_EXPECTED}) t where type = 'method'"))
+def py_visibility(spark, sf):
+    return _symbols(spark, sf, "code_py").where(F.col("type") == "method").select("file", "symbol", "visibility")
