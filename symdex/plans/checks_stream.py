@@ -37,7 +37,7 @@ def stream_file_changes(spark, sf):
     )
     # files arrive out of time order, so later batches carry older versions (late data)
     changes.repartition(SOURCE_FILES, F.pmod(F.col("seq"), F.lit(SOURCE_FILES))).write.parquet(f"{root}/in")
-    S.stream_file_changes(spark, f"{root}/in", f"{root}/state", f"{root}/ckpt")
+    S.stream_file_changes(spark, f"{root}/in", f"{root}/state", f"{root}/ckpt", buckets=8)
     syms, _ = S.read_state(spark, f"{root}/state")
     return syms.select("file", "symbol", "type", "exported")
 

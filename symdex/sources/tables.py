@@ -34,8 +34,8 @@ def tracking_from_view(view: DataFrame) -> DataFrame:
     return view.select("path", "last_parsed", "last_modified", F.col("exists").alias("exists"))
 
 
-def file_bucket(file_col) -> F.Column:
-    return F.pmod(F.xxhash64(file_col), F.lit(FILE_BUCKETS)).cast("int")
+def file_bucket(file_col, buckets: int = FILE_BUCKETS) -> F.Column:
+    return F.pmod(F.xxhash64(file_col), F.lit(buckets)).cast("int")
 
 
 def empty_symbols(spark: SparkSession) -> DataFrame:

@@ -4,10 +4,10 @@ S1 ``stream_file_changes``: file versions arrive as rows (path, mtime,
 content, deleted).  Each micro-batch keeps the newest version per path
 (``max_by``), drops versions not newer than the tracked one (the late-data
 rule), removes the symbols of deleted files and replaces the symbols of
-changed files.  State lives in two Parquet tables written once per batch
-under ``<state>/v=<batch_id>``; a batch reads the newest version below its
-own id, so a re-run batch (after a failure) rewrites the same answer and
-never resurrects older versions.
+changed files.  State lives in two Parquet tables partitioned by a hash
+bucket of the path; a batch reads and rewrites only the buckets its files
+fall into (staged, then swapped in by dynamic partition overwrite), and the
+late-data rule makes a re-run batch a no-op for versions already applied.
 
 S2 ``stream_requests``: request rows (request_id, line) arrive as JSON
 files; every micro-batch is answered by the batch dispatcher against the
@@ -18,50 +18,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symdex.operators import registry as G
-from symdex.operators.file_docs import extract_symbols, next_ord
+from symdex.operators.file_docs import extract_symbols
 from symdex.operators.requests import dispatch_requests, emit_responses
 from symdex.schemas import FILE_TRACKING, SYMBOLS
+from symdex.sources.tables import FILE_BUCKETS, file_bucket
+
+# Streamed symbols take ord = (batch_id + 1) << 40 + row id: later batches sort after earlier ones.
+ORD_BATCH_SHIFT = 40
 
 CHANGE_SCHEMA = "path string, mtime timestamp, seq long, content string, deleted boolean"
 
 
-def _versions(spark: SparkSession, state: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{state}/symbols")
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(f"{state}/tracking/{name}/_SUCCESS")
-        # a version counts once both tables are committed (tracking is written last)
-        if name.startswith("v=") and fs.exists(done):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def read_state(spark: SparkSession, state: str, before: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Newest committed (symbols, tracking) version below ``before`` (all when None)."""
-    vs = [v for v in _versions(spark, state) if before is None or v < before]
-    if not vs:
-        return spark.createDataFrame([], SYMBOLS), spark.createDataFrame([], FILE_TRACKING)
-    v = vs[-1]
-    trk = spark.read.schema(FILE_TRACKING).parquet(f"{state}/tracking/v={v}")
-    return spark.read.schema(SYMBOLS).parquet(f"{state}/symbols/v={v}"), trk
-
-
-def apply_changes(batch: DataFrame, batch_id: int, state: str) -> None:
-    """One S1 micro-batch: newest version per path, late versions dropped, symbols replaced."""
+def _with_bucket(schema: T.StructType) -> T.StructType:
+    return T.StructType(list(schema.fields) + [T.StructField("bucket", T.IntegerType())])
+
+
+def read_state(spark: SparkSession, state: str) -> tuple[DataFrame, DataFrame]:
+    """The committed (symbols, tracking) tables; empty before the first batch."""
+    def load(name, schema):
+        try:
+            return spark.read.schema(_with_bucket(schema)).parquet(f"{state}/{name}").drop("bucket")
+        except Exception:  # no batch committed yet
+            return spark.createDataFrame([], schema)
+    return load("symbols", SYMBOLS), load("tracking", FILE_TRACKING)
+
+
+def _touched(spark: SparkSession, state: str, name: str, schema, buckets: list[int]) -> DataFrame:
+    try:
+        df = spark.read.schema(_with_bucket(schema)).parquet(f"{state}/{name}")
+        return df.where(F.col("bucket").isin(*buckets)).drop("bucket")
+    except Exception:
+        return spark.createDataFrame([], schema)
+
+
+def apply_changes(batch: DataFrame, batch_id: int, state: str, buckets: int = FILE_BUCKETS) -> None:
+    """One S1 micro-batch: newest version per path, late versions dropped, symbols replaced.
+
+    Only the file-hash buckets touched by the batch are read and rewritten
+    (staged under ``<state>/staging/v=<batch_id>``, then swapped in with a
+    dynamic partition overwrite), so the cost of a batch follows the batch,
+    not the size of the table.  A re-run batch recomputes the same buckets.
+    """
     spark = batch.sparkSession
-    symbols, tracking = read_state(spark, state, before=batch_id)
     newest = batch.groupBy("path").agg(
         F.max_by(F.struct("mtime", "seq", "content", "deleted"), F.struct("mtime", "seq")).alias("v")
     ).select("path", F.col("v.mtime").alias("mtime"), F.col("v.content").alias("content"),
-             F.col("v.deleted").alias("deleted"))
+             F.col("v.deleted").alias("deleted"), file_bucket(F.col("path"), buckets).alias("bucket")).persist()
+    touched = [r["bucket"] for r in newest.select("bucket").distinct().collect()]  # at most ``buckets`` values
+    if not touched:
+        newest.unpersist()
+        return
+    symbols = _touched(spark, state, "symbols", SYMBOLS, touched)
+    tracking = _touched(spark, state, "tracking", FILE_TRACKING, touched)
     # late data: keep a version only when it is newer than the tracked one
     fresh = newest.join(tracking.select("path", "last_modified"), "path", "left").where(
         F.col("last_modified").isNull() | (F.col("mtime") > F.col("last_modified"))).drop("last_modified")
@@ -69,9 +80,9 @@ def apply_changes(batch: DataFrame, batch_id: int, state: str) -> None:
     changed = fresh.where(~F.col("deleted"))
 
     symbols = G.drop_deleted_symbols(symbols, gone.select("path"))
-    # every changed file loses its old rows, then gets its new ones (ord grows with the batch)
+    # every changed file loses its old rows, then gets its new ones; ord grows with the batch id
     symbols = G.drop_deleted_symbols(symbols, changed.select("path"))
-    new_rows = extract_symbols(changed.select("path", "content"), offset=next_ord(symbols))
+    new_rows = extract_symbols(changed.select("path", "content"), offset=(batch_id + 1) << ORD_BATCH_SHIFT)
     symbols = symbols.unionByName(new_rows)
 
     upd = fresh.select("path", F.col("mtime").alias("_m"), F.col("deleted").alias("_d"))
@@ -82,16 +93,49 @@ def apply_changes(batch: DataFrame, batch_id: int, state: str) -> None:
         F.when(F.col("_m").isNotNull(), F.col("_m")).otherwise(F.col("last_modified")).alias("last_modified"),
         F.when(F.col("_m").isNotNull(), ~F.col("_d")).otherwise(F.col("exists")).alias("exists"),
     )
-    symbols.write.mode("overwrite").parquet(f"{state}/symbols/v={batch_id}")
-    tracking.write.mode("overwrite").parquet(f"{state}/tracking/v={batch_id}")
+    stage = f"{state}/staging/v={batch_id}"
+    for name, df, key in (("symbols", symbols, "file"), ("tracking", tracking, "path")):
+        df.withColumn("bucket", file_bucket(F.col(key), buckets)).write.mode("overwrite") \
+            .partitionBy("bucket").parquet(f"{stage}/{name}")
+    with _dynamic_overwrite(spark):
+        for name, schema in (("symbols", SYMBOLS), ("tracking", FILE_TRACKING)):
+            staged = spark.read.schema(_with_bucket(schema)).parquet(f"{stage}/{name}")
+            # a touched bucket that became empty still has to be cleared
+            staged.write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/{name}")
+            _clear_empty(spark, f"{state}/{name}", f"{stage}/{name}", touched)
+    newest.unpersist()
+
+
+class _dynamic_overwrite:
+    def __init__(self, spark):
+        self.spark, self.old = spark, None
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", self.old)
+
+
+def _clear_empty(spark: SparkSession, table: str, staged: str, touched: list[int]) -> None:
+    """Delete table buckets that were touched but have no staged rows (all their files went away)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for b in touched:
+        src = jvm.org.apache.hadoop.fs.Path(f"{staged}/bucket={b}")
+        dst = jvm.org.apache.hadoop.fs.Path(f"{table}/bucket={b}")
+        fs = dst.getFileSystem(conf)
+        if not fs.exists(src) and fs.exists(dst):
+            fs.delete(dst, True)
 
 
 def stream_file_changes(spark: SparkSession, source_dir: str, state: str, checkpoint: str,
-                        files_per_batch: int = 1):
+                        files_per_batch: int = 1, buckets: int = FILE_BUCKETS):
     """Run the change stream over ``source_dir`` (parquet rows of CHANGE_SCHEMA) until drained."""
     stream = (spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
               .parquet(source_dir))
-    q = (stream.writeStream.foreachBatch(lambda df, bid: apply_changes(df, bid, state))
+    q = (stream.writeStream.foreachBatch(lambda df, bid: apply_changes(df, bid, state, buckets))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
