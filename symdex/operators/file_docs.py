@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from symdex.functions.columns import let
 
 
-from symdex.schemas import ALIAS_T, CLASS_T, DOC_T, FUNC_T, IFACE_T, METHOD_T, PROP_T, ROUTE_T  # noqa: E402,F401
+from symdex.schemas import ALIAS_T, CLASS_T, FUNC_T, IFACE_T, ROUTE_T
+
+# One symbol row as produced by ``doc_symbols``.
 SYM_T = ("struct<symbol:string,type:string,description:string,signature:string,exported:boolean,"
          "parent_symbol:string,is_component:boolean,visibility:string,route_method:string,"
          "route_path:string,handler:string>")
