@@ -75,3 +75,18 @@ def let(value: Column, body) -> Column:
     intermediates (folded text, chunk records) are bound with this.
     """
     return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
+def kept(result, *cached):
+    """Attach persisted intermediates to ``result`` so :func:`release` can drop them."""
+    result._symdex_cached = list(getattr(result, "_symdex_cached", [])) + list(cached)
+    return result
+
+
+def release(*results) -> None:
+    """Unpersist the intermediates an operator kept for its result(s)."""
+    for r in results:
+        for d in getattr(r, "_symdex_cached", []):
+            d.unpersist()
+        if hasattr(r, "_symdex_cached"):
+            r._symdex_cached = []

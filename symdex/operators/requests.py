@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdex.functions.columns import js_trim, parse_symbol_type_col
+from symdex.functions.columns import js_trim, kept, parse_symbol_type_col
 from symdex.operators import registry as G
 from symdex.operators.search import rank_within_request
 from symdex.schemas import AUTOCOMPLETE_LIMIT, SEARCH_LIMIT
@@ -154,7 +154,9 @@ def dispatch_requests(requests: DataFrame, symbols: DataFrame, files: DataFrame
     result = out[0]
     for o in out[1:]:
         result = result.unionByName(o)
-    return result
+    # the parsed requests and the shared ranking are read by several branches;
+    # ``release(result)`` drops them once the answers are written
+    return kept(result, fields, ranked)
 
 
 def _doc_answers(found: DataFrame) -> DataFrame:

@@ -193,17 +193,21 @@ def rank_within_request(
         .withColumn("gram_len", F.least(F.length("term"), F.lit(3)))
         .withColumn("gram", F.substring(F.lower("term"), 1, 3))
     )
-    small = req.count() <= broadcast_rows
-    side = F.broadcast(req) if small else req
-    req_cols = [c for c in req.columns if c not in ("gram_len", "gram")]
+    # Many requests repeat the same search: rank each distinct specification once,
+    # then hand the ranked rows back to every request that asked for it.
+    spec_cols = ["term", "type_filter", "file_filter", "exact_match", "include_private", "k"]
+    specs = req.select(*spec_cols, "kind", "gram_len", "gram").distinct()
+    small = specs.count() <= broadcast_rows
+    side = F.broadcast(specs) if small else specs
+    spec_all = spec_cols + ["kind"]
 
     flat = flatten(symbols)
     exact = flat.join(side.where("exact_match"), flat.symbol == side.term, "inner")
     if grams is None:
         grams = gram_index(symbols)
-    cand = grams.join(side.where(~F.col("exact_match")), ["gram_len", "gram"], "inner").select("ord", *req_cols)
+    cand = grams.join(side.where(~F.col("exact_match")), ["gram_len", "gram"], "inner").select("ord", *spec_all)
     sub = cand.join(flat, "ord", "inner").where(F.lower(F.col("symbol")).contains(F.lower(F.col("term"))))
-    cols = flat.columns + req_cols
+    cols = flat.columns + spec_all
     both = exact.select(*cols).unionByName(sub.select(*cols))
 
     both = both.where(
@@ -213,10 +217,13 @@ def rank_within_request(
     )
     keys = rank_keys(F.col("term"))
     salt = F.pmod(F.xxhash64("ord"), F.lit(salt_buckets))
-    w1 = Window.partitionBy("request_id", salt).orderBy(*keys)
-    w2 = Window.partitionBy("request_id").orderBy(*keys)
+    w1 = Window.partitionBy(*spec_cols, salt).orderBy(*keys)
+    w2 = Window.partitionBy(*spec_cols).orderBy(*keys)
     limited = both.where(F.col("k") > 0)
     stage1 = limited.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= F.col("k")).drop("_r1")
     ranked = stage1.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= F.col("k"))
     unlimited = both.where(F.col("k") <= 0).withColumn("rank", F.lit(None).cast("int"))
-    return ranked.unionByName(unlimited)
+    per_spec = ranked.unionByName(unlimited)
+    asked = req.select("request_id", "limit", *[F.col(c).alias(f"_q_{c}") for c in spec_cols])
+    back = asked.join(per_spec, [asked[f"_q_{c}"].eqNullSafe(per_spec[c]) for c in spec_cols], "inner")
+    return back.drop(*[f"_q_{c}" for c in spec_cols])

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symdex.functions import regex as RX
+from symdex.functions.columns import kept
 from symdex.operators.search import lookup_symbol
 from symdex.schemas import SNIPPET_SEPARATOR, USAGE_LIMIT
 
@@ -219,7 +220,7 @@ def find_usages(
                                     "symbol string, type string, total_found int, limit_reached boolean, true_total long")
     both = answer.withColumn("_hit", F.lit(1)).unionByName(missing.withColumn("_hit", F.lit(0)))
     totals = both.agg(F.max_by(F.struct(*answer.columns), F.col("_hit")).alias("r")).select("r.*")
-    return rows, totals
+    return kept(rows, found, lines), kept(totals, found, lines)
 
 
 WORD_TOKEN = r"[A-Za-z0-9_]+"

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from symdex.functions.columns import release
 from symdex.operators import registry as G
 from symdex.operators.file_docs import extract_symbols
 from symdex.operators.requests import dispatch_requests, emit_responses
@@ -146,6 +147,7 @@ def answer_batch(batch: DataFrame, batch_id: int, out_dir: str, symbols: DataFra
     """One S2 micro-batch: answer the requests and write their responses under the batch id."""
     answers = dispatch_requests(batch, symbols, files=files, tracking=tracking, listing=listing)
     answers.join(emit_responses(answers), "request_id").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+    release(answers)
 
 
 def stream_requests(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, symbols: DataFrame,
