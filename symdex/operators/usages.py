@@ -275,11 +275,12 @@ def usage_scan_batch(files: DataFrame, names: DataFrame, inline_names: int = 2_0
 def _inline_hits(files: DataFrame, keep: list[str], found: list[str]) -> DataFrame:
     word = [n for n in found if RX.is_word_name(n)]
     other = [n for n in found if not RX.is_word_name(n)]
-    word_arr = F.array(*[F.lit(n) for n in word]) if word else F.array().cast("array<string>")
     lines = F.split(F.col("content"), "\n", -1)
 
     def hits_of(text):
-        by_token = F.array_intersect(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD_TOKEN), 0)), word_arr)
+        # ``isin`` over a literal list becomes a hash set built once per task (InSet)
+        tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD_TOKEN), 0))
+        by_token = F.filter(tokens, lambda t: t.isin(*word)) if word else F.array().cast("array<string>")
         if not other:
             return by_token
         by_regex = F.filter(F.array(*[F.lit(n) for n in other]), lambda n: F.regexp_like(text, _boundary(n)))
