@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from symdex.schemas import LANGUAGE_BY_EXTENSION, OTHER_TYPE_PRIORITY, SYMBOL_TYPES, TYPE_PRIORITY
+from symdex.schemas import OTHER_TYPE_PRIORITY, SYMBOL_TYPES, TYPE_PRIORITY
 
 
 def type_priority(type_col: Column) -> Column:
     """Ranking priority of a symbol kind (F1)."""
-    expr = F
     chain = None
     for kind, prio in TYPE_PRIORITY.items():
-        chain = (expr if chain is None else chain).when(type_col == kind, F.lit(prio))
+        cond = type_col == kind
+        chain = F.when(cond, F.lit(prio)) if chain is None else chain.when(cond, F.lit(prio))
     return chain.otherwise(F.lit(OTHER_TYPE_PRIORITY))
 
 
@@ -38,16 +36,6 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def classify_language(path: Column) -> Column:
-    """Extractor language for a path, null when unsupported (B1)."""
-    ext = extension(path)
-    chain = None
-    for exts, lang in LANGUAGE_BY_EXTENSION:
-        cond = ext.isin(*exts)
-        chain = F.when(cond, F.lit(lang)) if chain is None else chain.when(cond, F.lit(lang))
-    return chain
-
-
 # Characters ECMAScript's String.prototype.trim removes (whitespace and line terminators).
 JS_WHITESPACE = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + \
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -58,10 +46,6 @@ def js_trim(s: Column) -> Column:
     return F.btrim(s, F.lit(JS_WHITESPACE))
 
 
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)
-
-
 def is_private(symbol: Column, visibility: Column) -> Column:
     """Q21: private visibility, or a name starting with '_' or '#'."""
     return (F.coalesce(visibility, F.lit("")) == "private") | symbol.startswith("_") | symbol.startswith("#")
