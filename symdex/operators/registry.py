@@ -7,8 +7,6 @@ deterministic and can be re-run after a failure with the same answer.
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +16,8 @@ PAYLOAD = ("description", "signature", "exported", "metadata")
 
 
 def _ts(now) -> F.Column:
-    if isinstance(now, F.Column):
-        return now
-    if isinstance(now, _dt.datetime):
-        return F.lit(now).cast("timestamp")
-    return F.lit(now).cast("timestamp")
+    """``now`` as a timestamp column (a datetime, a timestamp string or a column)."""
+    return now if isinstance(now, F.Column) else F.lit(now).cast("timestamp")
 
 
 # --- change detection ----------------------------------------------------------
@@ -176,13 +171,10 @@ def union_listings(files: DataFrame, patterns, base_dir: str = "/") -> DataFrame
     """
     base = base_dir.rstrip("/") + "/"
     rel = F.when(F.col("path").startswith(base), F.expr(f"substring(path, {len(base) + 1})"))
-    parts = []
-    for i, p in enumerate(patterns, start=1):
-        parts.append(files.where(rel.rlike(glob_to_regex(p))).withColumn("pattern_idx", F.lit(i)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one pass over the files: every pattern a path matches yields one row
+    hits = F.filter(F.array(*[F.when(rel.rlike(glob_to_regex(p)), F.lit(i)) for i, p in enumerate(patterns, start=1)]),
+                    lambda x: x.isNotNull())
+    return files.select("*", F.explode_outer(hits).alias("pattern_idx")).where(F.col("pattern_idx").isNotNull())
 
 
 # --- refresh composition -------------------------------------------------------------
