@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symdex.functions import regex as RX
-from symdex.functions.columns import kept
+from symdex.functions.columns import kept, let
 from symdex.operators.search import lookup_symbol
 from symdex.schemas import SNIPPET_SEPARATOR, USAGE_LIMIT
 
@@ -115,23 +115,37 @@ def usage_scan(files: DataFrame, name: str) -> DataFrame:
 
 
 def locate_definition(def_files: DataFrame, name: str) -> DataFrame:
-    """Definition rows of ``name`` in the given file(s) (Q5).
+    """Definition rows of ``name`` in the given file(s) (Q5), computed inside each file row.
 
     A line matches when any of the four patterns does; the column is the start
     of the first pattern (in priority order) that matches.  Rows are the match
-    on line 1 (if any) plus the first match after line 1.
+    on line 1 (if any) plus the first match after line 1.  No shuffle.
     """
     pats = RX.definition_patterns(name)
     any_pat = "|".join(f"(?:{p})" for p in pats)
-    hits = matching_lines(def_files, any_pat, name)
-    col = None
-    for p in pats:
-        pos = F.length(F.try_element_at(F.split(F.col("text"), p, 2), F.lit(1))) + 1
-        col = F.when(F.col("text").rlike(p), pos) if col is None else col.when(F.col("text").rlike(p), pos)
-    hits = hits.withColumn("column", col.cast("int"))
-    first_after = hits.where(F.col("line") > 1).groupBy("path").agg(F.min("line").alias("_first"))
-    hits = hits.join(first_after, "path", "left")
-    return hits.where((F.col("line") == 1) | (F.col("line") == F.col("_first"))).drop("_first")
+    df = def_files.where(F.col("content").contains(name))
+    keep = [c for c in df.columns if c != "content"]
+    lines = F.split(F.col("content"), "\n", -1)
+
+    def column_of(text):
+        col = None
+        for p in pats:
+            pos = F.length(F.try_element_at(F.split(text, p, 2), F.lit(1))) + 1
+            col = F.when(text.rlike(p), pos) if col is None else col.when(text.rlike(p), pos)
+        return col.cast("int")
+
+    def pick(all_lines):
+        hits = F.filter(F.transform(all_lines, lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"))),
+                        lambda x: x["text"].rlike(any_pat))
+        first_after = F.array_min(F.transform(F.filter(hits, lambda x: x["line"] > 1), lambda x: x["line"]))
+        chosen = F.filter(hits, lambda x: (x["line"] == 1) | (x["line"] == first_after))
+        return F.transform(chosen, lambda x: F.struct(
+            x["line"].alias("line"), column_of(x["text"]).alias("column"),
+            snippet(all_lines, x["line"]).alias("snippet")))
+
+    rows = df.select(*keep, F.explode_outer(let(lines, pick)).alias("d")).where(F.col("d").isNotNull())
+    return rows.select(*keep, F.col("d.line").alias("line"), F.col("d.column").alias("column"),
+                       F.col("d.snippet").alias("snippet"))
 
 
 def _one_row(df: DataFrame) -> DataFrame:
