@@ -21,7 +21,6 @@ from symdex.functions.columns import js_trim, let
 # (private-use code points U+E000..).  Both strings have the same length.
 FOLD_FROM = "\n\r()[]{}#:@,;='\"`/*\\<>"
 FOLD_TO = "".join(chr(0xE000 + i) for i in range(len(FOLD_FROM)))
-FOLDED_NL = FOLD_TO[0]
 
 NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
 PY_NAME = r"[\p{L}_][\p{L}\p{N}_]*"

@@ -16,12 +16,7 @@ from pyspark.sql import functions as F
 from symdex.functions.columns import let
 
 
-from symdex.schemas import ALIAS_T, CLASS_T, FUNC_T, IFACE_T, ROUTE_T
-
-# One symbol row as produced by ``doc_symbols``.
-SYM_T = ("struct<symbol:string,type:string,description:string,signature:string,exported:boolean,"
-         "parent_symbol:string,is_component:boolean,visibility:string,route_method:string,"
-         "route_path:string,handler:string>")
+from symdex.schemas import ALIAS_T, CLASS_T, FUNC_T, IFACE_T, LANGUAGE_BY_EXTENSION, ROUTE_T
 
 # Extractors by language; ``register_extractor`` adds to it (U1).  Built-in
 # languages are staged (see ``_builtin_stages``) and map to None here.
@@ -44,8 +39,8 @@ def register_extractor(extensions, language: str, fn) -> None:
 def _builtins() -> None:
     if _EXTENSIONS:
         return
-    _EXTENSIONS.extend([(("ts", "tsx"), "ts"), (("js", "jsx"), "js"), (("py",), "py")])
-    _EXTRACTORS.update({"ts": None, "js": None, "py": None})
+    _EXTENSIONS.extend(LANGUAGE_BY_EXTENSION)
+    _EXTRACTORS.update({lang: None for _exts, lang in LANGUAGE_BY_EXTENSION})
 
 
 def language_of(path: Column, extensions=None) -> Column:

@@ -18,7 +18,6 @@ from symdex.schemas import AUTOCOMPLETE_LIMIT, SEARCH_LIMIT
 
 TOOLS = ("get_doc_for_file", "search_project_symbols", "autocomplete_symbol", "get_doc_for_symbol",
          "find_usages", "refresh_registry")
-RESULT_COLS = ["request_id", "tool", "error", "details", "result_count", "first_symbol"]
 
 
 def _json_type(v, path: str):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from symdex.operators import related as R
 from symdex.plans.catalog import PRIORITY_SQL, private_sql, rank_order_sql, register, symbols
+from symdex.schemas import CHILD_SCAN_LIMIT
 from symdex.sources.fixtures import with_views
 
 _BEST_PARENT = (
@@ -62,10 +63,11 @@ def related_symbols_parent(spark, sf):
     return R.get_doc_for_symbol(syms, "blue_bolt", "method")[1]
 
 
-@register("related_symbols_scan50", with_views(_related_sql("red_widget", "class", 50), "symbols_v"))
+@register("related_symbols_scan50", with_views(_related_sql("red_widget", "class", CHILD_SCAN_LIMIT), "symbols_v"))
 def related_symbols_scan50(spark, sf):
+    # parity mode (Q3): members are looked for among the 50 best symbols of the project only
     syms = symbols(spark, sf)
-    return R.get_doc_for_symbol(syms, "red_widget", "class", child_scan_limit=50)[1]
+    return R.get_doc_for_symbol(syms, "red_widget", "class", child_scan_limit=CHILD_SCAN_LIMIT)[1]
 
 
 def _doc_sql(name: str, kind: str) -> str:
