@@ -79,7 +79,9 @@ def related_symbols(symbols: DataFrame, found: DataFrame, child_scan_limit: int
     """
     f = found.select(F.col("ord").alias("of_ord"), F.col("symbol").alias("of_symbol"),
                      F.col("type").alias("of_type"), F.col("parent_symbol").alias("of_parent"))
-    parents = best_symbol_per_name(symbols)
+    # only the namesakes of the wanted parent names are ranked, not the whole table
+    wanted = f.select(F.col("of_parent").alias("symbol")).where(F.col("symbol").isNotNull()).distinct()
+    parents = best_symbol_per_name(symbols.join(wanted, "symbol", "left_semi"))
     parent_rows = f.join(parents, f.of_parent == parents.parent_name, "inner").select(
         "of_ord", F.lit(0).alias("rel_group"), F.lit(False).alias("rel_not_exported"),
         F.lit(0).alias("rel_priority"), F.col("parent_ord").alias("rel_ord"),
