@@ -135,9 +135,9 @@ def dispatch_requests(requests: DataFrame, symbols: DataFrame, files: DataFrame
     out.append(_doc_answers(ranked.where(F.col("tool") == "get_doc_for_symbol")))
     out.append(_usage_answers(ranked.where(F.col("tool") == "find_usages"), files))
 
-    # refresh_registry: one summary for the batch
+    # refresh_registry: one summary for the batch (built only when the batch asks for it)
     refresh = ok.where(F.col("tool") == "refresh_registry")
-    if tracking is not None and listing is not None:
+    if tracking is not None and listing is not None and _has(refresh):
         summary = G.refresh_registry(symbols, tracking, listing, None, F.current_timestamp())[2]
         out.append(refresh.withColumn("_one", F.lit(1)).join(
             F.broadcast(summary.withColumn("_one", F.lit(1))), "_one").select(
@@ -148,7 +148,7 @@ def dispatch_requests(requests: DataFrame, symbols: DataFrame, files: DataFrame
 
     # get_doc_for_file: invalid input / not found / unsupported / parsed
     gdf = ok.where(F.col("tool") == "get_doc_for_file")
-    out.append(_file_answers(gdf, files))
+    out.append(_file_answers(gdf, files if _has(gdf) else None))
 
     result = out[0]
     for o in out[1:]:
@@ -166,9 +166,14 @@ def _doc_answers(found: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("details"), "result_count", "first_symbol")
 
 
+def _has(df: DataFrame) -> bool:
+    """Whether a (cached, small) request subset has any row: one tiny job instead of a whole plan."""
+    return df.limit(1).count() > 0
+
+
 def _usage_answers(found: DataFrame, files: DataFrame | None) -> DataFrame:
     none = F.lit(None).cast("string")
-    if files is None:
+    if files is None or not _has(found.where(F.col("result_count") > 0)):
         return found.select("request_id", "tool", none.alias("error"), none.alias("details"),
                             F.lit(0).alias("result_count"), "first_symbol")
     from symdex.operators.usages import usage_scan_batch, with_listing_order
