@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm import fingerprints, quality_rules, source_mix
+from symdex.llm import byte_pairs, fingerprints, quality_rules, source_mix
 from symdex.llm.common import documents, table
 
 
@@ -16,6 +16,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.round_trip(documents(spark, sf_dir), "byte_bpe_50k.json")
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
@@ -26,6 +30,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
+    "op6_byte_pairs": op6_byte_pairs,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality_rules": op8_quality_rules,
 }
