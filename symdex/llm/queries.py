@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm import byte_pairs, fingerprints, quality_rules, source_mix
+from symdex.llm import byte_pairs, fingerprints, quality_rules, source_mix, token_files
 from symdex.llm.common import documents, table
 
 
@@ -28,11 +28,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(documents(spark, sf_dir), "byte_bpe_50k.json", end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_byte_pairs": op6_byte_pairs,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality_rules": op8_quality_rules,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {
