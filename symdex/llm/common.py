@@ -4,10 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package's sources to the Python workers, once an application; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
 #: ASCII white space that separates words, as a regex class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -54,4 +72,5 @@ def words_of(text: Column) -> Column:
 
 def text_or_empty(df: DataFrame) -> DataFrame:
     """The integer id and the whole text (null: empty), whatever other columns there are."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    ship_package(df.sparkSession)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm import byte_pairs, fingerprints, quality_rules, source_mix, token_files
+from symdex.llm import byte_pairs, fingerprints, jaccard_join, quality_rules, source_mix, token_files
 from symdex.llm.common import documents, table
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source_mix.mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, cap=2)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -33,6 +37,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_source_mix": op5_source_mix,
     "op6_byte_pairs": op6_byte_pairs,
     "op7_fingerprints": op7_fingerprints,

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symdex.llm import byte_pairs
-from symdex.llm.common import shared_folder, text_or_empty
+from symdex.llm.common import shared_folder, ship_package, text_or_empty
 
 BLOCK, EPOCH, MOST_LANES = 4096, 64, 2048
 SYMBOLS, STATES = 16, 4
@@ -374,6 +374,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a], pa.int32()), pa.array(ids[ends[a] : ends[b]].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64(), mask=doc_ids[a:b] == NULL_ID), pa.array(np.full(b - a, file)), pa.array(np.full(b - a, segment)), pa.array(np.arange(a, b)), lists], ["doc_id", "file", "segment", "place", "ids"])
 
+    ship_package(spark)
     return spark.read.parquet(path).select("file", "segment", "data").mapInArrow(run, "doc_id long, file long, segment long, place long, ids array<int>")
 
 
@@ -388,6 +389,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             n = len(doc_ids)
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID), pa.array(np.full(n, file)), pa.array(np.full(n, segment)), pa.array(ends[:-1]), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "file", "segment", "offset", "n_tokens", "ids_crc32"])
 
+    ship_package(spark)
     files = spark.read.parquet(path)
     rows = files.select("file", "segment", "data").mapInArrow(run, "doc_id long, file long, segment long, offset long, n_tokens long, ids_crc32 long")
     rows = rows.join(_starts(files.select("file", "segment", "n_ids")), ["file", "segment"])
