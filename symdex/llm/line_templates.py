@@ -31,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symdex.llm.bits import bit_table
 from symdex.llm.common import shared_folder, ship_package, written
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SHARE = 4, 4, 10, 80
-BITS, CHUNK = 23, 1 << 16
+BITS = 23
 ANY = "<*>"
 _DIGIT = re.compile(r"\d")
 
@@ -81,24 +82,6 @@ def _doc_lines(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Ite
     yield docs, leaves, lines, texts
 
 
-def _bits(leaves: DataFrame) -> np.ndarray:
-    """A table of ``2**BITS`` bits in which every leaf sets one."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.zeros(CHUNK, bool)
-                own[places] = True
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
-
-    bit = leaves.select(F.pmod("leaf", F.lit(1 << BITS)).cast("int").alias("bit")).distinct()
-    chunks = bit.groupBy((F.col("bit") / CHUNK).cast("int").alias("chunk")).agg(F.collect_list(F.pmod("bit", F.lit(CHUNK))).alias("places"))
-    table = np.zeros(1 << BITS, bool)
-    for chunk, bits in chunks.mapInArrow(pack, "chunk int, bits binary").collect():  # one bit each, whatever the input
-        table[chunk * CHUNK : (chunk + 1) * CHUNK] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-    return table
-
-
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, least: int = MIN_TOKENS, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc, leaf, line) of the lines to drop, and their templates with document counts.
 
@@ -113,7 +96,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     seen = written(docs.mapInArrow(names, "doc long, leaf long, line long"), "line-names")
     leaves = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_docs).select("leaf")
     leaves = written(leaves, "line-leaves")
-    wanted = docs.sparkSession.sparkContext.broadcast(_bits(leaves))
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(leaves, "leaf", BITS))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value

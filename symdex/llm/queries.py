@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm import byte_pairs, fingerprints, jaccard_join, line_templates, quality_rules, source_mix, token_files
+from symdex.llm import byte_pairs, fingerprints, jaccard_join, line_templates, quality_rules, repeats, source_mix, token_files
 from symdex.llm.common import documents, table
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(documents(spark, sf_dir), length=200)
+
+
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.line_report(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repeats": op2_repeats,
     "op3_line_templates": op3_line_templates,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_source_mix": op5_source_mix,
