@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm import byte_pairs, fingerprints, jaccard_join, line_templates, quality_rules, repeats, source_mix, token_files
+from symdex.llm import byte_pairs, fingerprints, jaccard_join, license_scan, line_templates, quality_rules, repeats, source_mix, token_files
 from symdex.llm.common import documents, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_findings(documents(spark, sf_dir), license_scan.TEMPLATES)
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(documents(spark, sf_dir), length=200)
 
@@ -45,6 +49,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_repeats": op2_repeats,
     "op3_line_templates": op3_line_templates,
     "op4_jaccard_join": op4_jaccard_join,
