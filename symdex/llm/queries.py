@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm import byte_pairs, fingerprints, jaccard_join, license_scan, line_templates, quality_rules, repeats, source_mix, token_files
+from symdex.llm import byte_pairs, fingerprints, jaccard_join, katz_lm, license_scan, line_templates, quality_rules, repeats, source_mix, token_files
 from symdex.llm.common import documents, table
 
 
@@ -44,6 +44,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.scores(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(documents(spark, sf_dir), "byte_bpe_50k.json", end_id=2)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_pairs": op6_byte_pairs,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality_rules": op8_quality_rules,
+    "op9_katz_lm": op9_katz_lm,
     "op10_token_files": op10_token_files,
 }
 
