@@ -144,7 +144,9 @@ def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float
     narrow = featured if featured is not None else with_features(docs.select("doc_id", "lang", "text")).drop("text").checkpoint()
     limits = cutoffs(narrow, labels, limit, error).groupBy(F.col("stratum").alias("_q_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_q_cutoffs"))
     limits = limits.checkpoint()
-    rows = narrow if featured is not None else with_features(docs)
+    # a condition on the counts must not be pushed below them, where their expressions would be written out for
+    # every mention; it stays above a column that is not deterministic, as long as it uses it
+    rows = (narrow if featured is not None else with_features(docs)).withColumn("_q_row", F.monotonically_increasing_id())
     rows = rows.withColumn("_q_stratum", _stratum()).join(limits, "_q_stratum", "left")
     broken = F.filter(F.array(*[F.when(_share(r) >= F.col("_q_cutoffs")[r], F.lit(r)) for r in RULES]), lambda r: r.isNotNull())
     rows = rows.withColumns({"_q_base_failed": _base_failed(), "_q_rejected_by": broken})
@@ -165,4 +167,4 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
-    return judge(docs, labels).where("_q_kept").select(*docs.columns)
+    return judge(docs, labels).where(F.col("_q_kept") & (F.col("_q_row") >= 0)).select(*docs.columns)
