@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symdex.llm.common import text_or_empty
+from symdex.llm.words import sliced
 
 #: Fixed value: how the tokenizer splits text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space before this is no boundary of its own.
 LOOSE_SPACE = r" (?:\s|\Z)"
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 12 << 20
 #: Rows go back to Spark in batches of about so many bytes.
 OUT_BYTES = 4 << 20
 NO_RANK = np.int32(2**31 - 1)
@@ -234,7 +235,7 @@ def encoded(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 def grouped(batches: Iterator[pa.RecordBatch], most: int = GROUP_BYTES) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of a partition's rows, in groups of about ``most`` bytes."""
     ids, texts, size = [], [], 0
-    for batch in batches:
+    for batch in sliced(batches):
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids.append(i)
             texts.append(t)

@@ -33,9 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symdex.llm.bits import bit_table
 from symdex.llm.common import shared_folder, text_or_empty, written
 from symdex.llm.components import components
 from symdex.llm.words import mixed, rows_of, shingle_hashes, word_hashes
@@ -44,6 +46,8 @@ WORDS, PERCENT = 4, 85
 #: Counters of the order table: a power of two near 4 a document, within these bounds.
 LEAST_BITS, MOST_BITS = 16, 22
 PART = 1 << 14
+#: Texts are taken in groups of this many bytes.
+GROUP_BYTES = 2 << 20
 #: From this level on (2**level times the mean count) a list is dealt to blocks.
 HOT_LEVEL, BLOCKS = 5, 8
 NULL_ID = -(2**63)
@@ -71,7 +75,7 @@ def shingle_levels(texts: DataFrame, words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.int64)
-        for _, group in rows_of(batches):
+        for _, group in rows_of(batches, GROUP_BYTES):
             for s in _sets(group, words):
                 np.add.at(table, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
         for part in range(0, 1 << bits, PART):
@@ -104,7 +108,7 @@ def document_sets(texts: DataFrame, words: int, percent: int, levels: np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for doc_ids, group in rows_of(batches):
+        for doc_ids, group in rows_of(batches, GROUP_BYTES):
             n, nodes, firsts = [], [], []
             for s in _sets(group, words):
                 n.append(len(s))
@@ -160,21 +164,30 @@ def _pairs_batch(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -
 PAIRS = "a long, b long, na long, nb long, overlap long"
 
 
+LISTS = "pair boolean, x long, y long, n long"
+
+
 def stars(postings: DataFrame, percent: int) -> DataFrame:
-    """Every row of a list with the first of the list, sizes allowing."""
+    """Lists with more than one row, as (token, node, n), and the stars in them: pairs of a row with the first of its list, as (first, row, overlap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, salt, n, node in _lists(batches, 2):
             head = _heads([token, salt])
+            # a crowded list may have its other rows in other blocks
+            several = np.zeros(len(token), bool)
+            several[head[np.flatnonzero(head != np.arange(len(token)))]] = True
+            keep = several[head] | (token >> 56 >= HOT_LEVEL)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(keep.sum()), bool)), *[pa.array(c[keep]) for c in (token, node, n)]], ["pair", "x", "y", "n"])
             keep = (node != node[head]) & (100 * n[head] >= percent * n)
             if keep.any():
                 h = head[keep]
-                yield _pairs_batch(node[h], node[keep], n[h], n[keep])
+                found = _pairs_batch(node[h], node[keep], n[h], n[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(found.num_rows, bool)), found.column("a"), found.column("b"), found.column("overlap")], ["pair", "x", "y", "n"])
 
     hot = F.shiftright("token", 56) >= HOT_LEVEL
     dealt = postings.select("token", F.when(hot, F.pmod("node", F.lit(BLOCKS))).otherwise(0).cast("long").alias("salt"), "n", "node")
     dealt = dealt.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
-    return dealt.mapInArrow(run, PAIRS)
+    return dealt.mapInArrow(run, LISTS)
 
 
 def crossings(postings: DataFrame, percent: int) -> DataFrame:
@@ -221,30 +234,37 @@ def crossings(postings: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep"), "node"), "jaccard-wanted")
+    table = texts.sparkSession.sparkContext.broadcast(bit_table(wanted, "rep"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, group in rows_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([zlib.compress(t, 1) for t in group], pa.binary())], ["doc_id", "packed"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in rows_of(batches):
-            found = list(_sets([zlib.decompress(t) for t in group], words))
-            for a in range(0, len(found), 1000):
-                some = found[a : a + 1000]
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in some]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(some).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in some], pa.int64()), lists], ["node", "shingles"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep"), "node")
-    wanted = written(wanted, "jaccard-wanted")
-    packed = texts.mapInArrow(pack, "doc_id long, packed binary")
-    chosen = packed.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(sets, "node long, shingles array<long>")
-    chosen = written(chosen.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets", "none")
-    first = chosen.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    second = chosen.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(first, "a").join(second, "b")
-    inside = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * inside >= percent * (F.size("sa") + F.size("sb") - inside)).select("a", "b")
+        bits, packer = table.value, zstandard.ZstdCompressor(level=1)
+        for doc_ids, group in rows_of(batches, GROUP_BYTES):
+            some = np.flatnonzero(bits[np.array(doc_ids, np.int64) & (len(bits) - 1)]).tolist()
+            own = [group[i] for i in some]
+            nodes = [_node(s) for s in _sets(own, words)]
+            yield pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i in some], pa.int64()), pa.array(nodes, pa.int64()), pa.array([packer.compress(t) for t in own], pa.binary())], ["rep", "node", "packed"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                a, b = part.column("a").to_numpy(), part.column("b").to_numpy()
+                distinct = dict(zip([*a.tolist(), *b.tolist()], [*part.column("pa").to_pylist(), *part.column("pb").to_pylist()], strict=True))
+                sets = dict(zip(distinct, _sets([unpack(t) for t in distinct.values()], words), strict=True))
+                # overlaps of the block: shingles that both rows of a pair have
+                both = [np.intersect1d(sets[x], sets[y], assume_unique=True).size for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                overlap = np.array(both)
+                union = np.array([len(sets[x]) + len(sets[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]) - overlap
+                keep = 100 * overlap >= percent * union
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    chosen = texts.mapInArrow(pack, "rep long, node long, packed binary").join(wanted, ["rep", "node"], "left_semi")
+    chosen = written(chosen.groupBy("node").agg(F.first("packed").alias("packed")), "jaccard-texts", "none")
+    first = chosen.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
+    second = chosen.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
+    return pairs.select("a", "b").join(first, "a").join(second, "b").mapInArrow(check, "a long, b long")
 
 
 def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -257,8 +277,8 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     classes = sets.where("n > 0").groupBy("node").agg(F.coalesce(F.min(named), F.lit(NULL_ID)).alias("rep"))
     rows = sets.where("n > 0").join(classes, "node").where("doc_id = rep").dropDuplicates(["node"])
     rows = written(rows.select("node", "rep", "n", "first"), "jaccard-rows", "none")
-    star = stars(rows.select("node", "n", F.explode("first").alias("token")), percent)
-    star = star.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+    lists = written(stars(rows.select("node", "n", F.explode("first").alias("token")), percent), "jaccard-lists")
+    star = lists.where("pair").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("overlap"))
     best = written(star.groupBy("b").agg(F.max_by("a", F.struct("overlap", "a")).alias("a")), "jaccard-star")
     links = verified(best, rows, texts, words, percent)
     # rows of one doc_id are one document
@@ -266,7 +286,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     twins = sets.where("n > 0").join(twins, "doc_id").select(F.col("node").alias("a"), "b").distinct()
     links = written(links.unionByName(twins), "jaccard-links")
     labels = components(links)
-    known = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "n", "root", F.explode("first").alias("token"))
+    known = lists.where("not pair").select(F.col("x").alias("token"), F.col("y").alias("node"), "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     pairs = crossings(known, percent).groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-6)
     behind = F.greatest(*[F.ceil(F.col(c) * percent / 100.0 - 1e-6) - 1 for c in ("na", "nb")])

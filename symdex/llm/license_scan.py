@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symdex.llm.common import text_or_empty
+from symdex.llm.words import sliced
 
 #: Wordings of public licenses and notices.
 TEMPLATES = [
@@ -178,7 +179,7 @@ def license_findings(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(given)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for block, (first, last, i, alone, saved, share, missing, added) in enumerate(scan.findings(text)):

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from symdex.llm.bits import bit_table
 from symdex.llm.common import shared_folder, ship_package, written
+from symdex.llm.words import sliced
 
 DEPTH, MIN_TOKENS, MIN_DOCS, SHARE, MOST_LOST = 4, 4, 10, 80, 50
 BITS = 23
@@ -66,7 +67,7 @@ def line_keys(line: str, depth: int, least: int) -> tuple[int, int, str] | None:
 def _doc_lines(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[tuple[list, list, list, list]]:
     """Document, leaf, line and tokens of the lines of each document, equal ones once."""
     docs, leaves, lines, texts = [], [], [], []
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = {}
             for line in (text or "").split("\n"):

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from symdex.llm.anchors import anchors, regions
 from symdex.llm.bits import bit_table
 from symdex.llm.common import shared_folder, text_or_empty, written
-from symdex.llm.words import prefix_sums, rows_of, stretch_hashes
+from symdex.llm.words import prefix_sums, rows_of, sliced, stretch_hashes
 
 LENGTH, GRAM = 200, 64
 MOST_ROWS = 50_000
@@ -264,7 +264,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for data, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 text = unpack(data)
@@ -322,7 +322,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in sliced(batches):
             n, gone, kept = [], [], []
             for data, found in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 text = unpack(data)

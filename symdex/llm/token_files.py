@@ -54,6 +54,8 @@ SYMBOLS, STATES = 16, 4
 SLOTS = 4096
 WEIGHTS = (1, 4, 9)
 HALVE_AT = 512
+#: A segment holds the ids of about so many bytes of text.
+SEGMENT_BYTES = 8 << 20
 NULL_ID = -(2**63)
 MAGIC = b"TKS1"
 FULL = np.uint64(0xFFFFFFFF)
@@ -339,7 +341,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_name: str = "byte_bpe_50k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = TaskContext.get().partitionId()
-        for segment, (doc_ids, texts) in enumerate(byte_pairs.grouped(batches)):
+        for segment, (doc_ids, texts) in enumerate(byte_pairs.grouped(batches, SEGMENT_BYTES)):
             ids, lengths = tokenized(texts, tokenizer_name, end_id)
             data = pack_segment(np.array([NULL_ID if d is None else d for d in doc_ids], np.int64), lengths, ids)
             yield pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int64()), "segment": pa.array([segment], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
+#: Rows of a batch that are looked at at once.
+ROWS = 256
 #: An odd base and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -27,15 +28,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(maxsize=6)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+_known_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(12, (n - 1).bit_length()))[:n]
+    """The first ``n`` powers; the longest row asked for so far is kept."""
+    known = _known_powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
+        known[0] = 1
+        _known_powers[base] = known = np.cumprod(known)
+    return known[:n]
 
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
@@ -105,13 +108,18 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nd
     return mixed(h), n
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """doc ids and UTF-8 texts of a partition, in groups of about ``most`` bytes."""
     ids, texts, size = [], [], 0
-    for batch in batches:
-        column = batch.column(1)
-        column = column.cast(pa.binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary())
-        for i, t in zip(batch.column(0).to_pylist(), column.to_pylist(), strict=True):
+    for part in sliced(batches):
+        for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
             ids.append(i)
             texts.append(t)
             size += len(t)
