@@ -9,11 +9,14 @@ matrix, and the product runs over its columns, the posting lists:
 
 1. a star in each list: every row with the first of its size range, overlaps
    accumulated per pair; the best partner of each row is verified;
-2. the components so far label the rows, and each list now gives the pairs of
-   rows in different components whose sizes fit.  Their overlaps are summed over
-   all lists and a pair below the bound that its sizes set is discarded:
-   the least overlap that reaches the similarity, less what can lie behind the
-   shorter first parts.  What remains is verified by its full sets.
+2. the components so far label the rows; ``ROUNDS`` times one row of each component in
+   a list is paired with those of the next ``PARTNERS`` components there, rows and order by
+   hashes that change, and the components grow by the links that full sets
+   confirm: a group of near copies soon is one;
+3. each list then gives all pairs of rows in different components whose sizes fit.
+   Their overlaps are summed over all lists and a pair below the bound that its
+   sizes set is discarded: the least overlap that reaches the similarity, less
+   what can lie behind the shorter first parts.  What remains is verified by its full sets.
 
 So no link between different components is lost, and copies within a component are
 never expanded to pairs.  Lists of crowded shingles are dealt to ``BLOCKS`` salted
@@ -50,6 +53,7 @@ PART = 1 << 14
 GROUP_BYTES = 2 << 20
 #: From this level on (2**level times the mean count) a list is dealt to blocks.
 HOT_LEVEL, BLOCKS = 5, 8
+ROUNDS, PARTNERS = 3, 6
 NULL_ID = -(2**63)
 
 
@@ -164,11 +168,11 @@ def _pairs_batch(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -
 PAIRS = "a long, b long, na long, nb long, overlap long"
 
 
-LISTS = "pair boolean, x long, y long, n long"
+LISTS = "pair boolean, x long, y long, n long, overlap long"
 
 
 def stars(postings: DataFrame, percent: int) -> DataFrame:
-    """Lists with more than one row, as (token, node, n), and the stars in them: pairs of a row with the first of its list, as (first, row, overlap)."""
+    """Lists with more than one row, as (token, node, n), and the stars in them: pairs of a row with the first of its list, as (first, row, size of the row, overlap)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, salt, n, node in _lists(batches, 2):
@@ -177,12 +181,12 @@ def stars(postings: DataFrame, percent: int) -> DataFrame:
             several = np.zeros(len(token), bool)
             several[head[np.flatnonzero(head != np.arange(len(token)))]] = True
             keep = several[head] | (token >> 56 >= HOT_LEVEL)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(keep.sum()), bool)), *[pa.array(c[keep]) for c in (token, node, n)]], ["pair", "x", "y", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(keep.sum()), bool)), *[pa.array(c[keep]) for c in (token, node, n)], pa.nulls(int(keep.sum()), pa.int64())], ["pair", "x", "y", "n", "overlap"])
             keep = (node != node[head]) & (100 * n[head] >= percent * n)
             if keep.any():
                 h = head[keep]
                 found = _pairs_batch(node[h], node[keep], n[h], n[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(found.num_rows, bool)), found.column("a"), found.column("b"), found.column("overlap")], ["pair", "x", "y", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(found.num_rows, bool)), *(found.column(c) for c in ("a", "b", "nb", "overlap"))], ["pair", "x", "y", "n", "overlap"])
 
     hot = F.shiftright("token", 56) >= HOT_LEVEL
     dealt = postings.select("token", F.when(hot, F.pmod("node", F.lit(BLOCKS))).otherwise(0).cast("long").alias("salt"), "n", "node")
@@ -190,16 +194,18 @@ def stars(postings: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, LISTS)
 
 
-def crossings(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows of a list that stand in different components, sizes allowing."""
+def crossings(postings: DataFrame, percent: int, partners: int | None = None, seed: int = 0) -> DataFrame:
+    """Pairs of rows of a list that stand in different components, sizes allowing; with ``partners`` only one row of each component with those of so many next ones, in an order by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, block, n, node, root, side in _lists(batches, 2):
+        for token, block, _, n, node, root, side in _lists(batches, 2):
             head = _heads([token, block])
             # lists within one component have nothing to give
             mixed_list = np.zeros(len(token), bool)
             np.logical_or.at(mixed_list, head, root != root[head])
             keep = mixed_list[head]
+            if partners is not None:
+                keep &= _heads([token, block, root]) == np.arange(len(token))
             token, block, n, node, root, side = (x[keep] for x in (token, block, n, node, root, side))
             if not len(token):
                 continue
@@ -212,29 +218,36 @@ def crossings(postings: DataFrame, percent: int) -> DataFrame:
             step = 1
             while True:  # each row with the one `step` further on in its list
                 at = at[at + step <= last[at]]
-                at = at[100 * n[at] >= percent * n[at + step]]  # sizes ascend: none further on can fit
-                if not len(at):
+                if partners is None:
+                    at = at[100 * n[at] >= percent * n[at + step]]  # sizes ascend: none further on can fit
+                if not len(at) or step > (partners or step):
                     break
                 other = at + step
                 some = (root[at] != root[other]) & (node[at] != node[other]) & (same_side[at] | (side[at] != side[other]))
+                some &= 100 * np.minimum(n[at], n[other]) >= percent * np.maximum(n[at], n[other])
                 if some.any():
                     yield _pairs_batch(node[at[some]], node[other[some]], n[at[some]], n[other[some]])
                 step += 1
 
     hot = F.shiftright("token", 56) >= HOT_LEVEL
-    side = F.when(hot, F.pmod("node", F.lit(BLOCKS))).otherwise(0)
-    others = F.when(hot, F.sequence(F.lit(0), F.lit(BLOCKS - 1))).otherwise(F.array(F.lit(0)))
+    # another deal each time, or components would stay within their blocks
+    side = F.when(hot, F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(BLOCKS))).otherwise(0)
+    if partners is None:
+        others, rank = F.when(hot, F.sequence(F.lit(0), F.lit(BLOCKS - 1))).otherwise(F.array(F.lit(0))), F.col("n")
+    else:
+        others, rank = F.array(side), F.xxhash64("root", F.lit(seed))
     dealt = postings.select("token", "n", "node", "root", side.cast("long").alias("side"), F.explode(others).alias("other"))
-    dealt = dealt.select("token", (F.least("side", "other") * BLOCKS + F.greatest("side", "other")).cast("long").alias("block"), "n", "node", "root", "side")
-    dealt = dealt.repartition("token", "block").sortWithinPartitions("token", "block", "n", "node")
+    dealt = dealt.select("token", (F.least("side", "other") * BLOCKS + F.greatest("side", "other")).cast("long").alias("block"), rank.alias("rank"), "n", "node", "root", "side")
+    by_row = ["rank", "node"] if partners is None else ["rank", "root", F.xxhash64("node", F.lit(seed)), "node"]
+    dealt = dealt.repartition("token", "block").sortWithinPartitions("token", "block", *by_row)
     found = dealt.mapInArrow(run, PAIRS)
     least, most = F.least("a", "b"), F.greatest("a", "b")
     return found.select(least.alias("a"), most.alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "overlap")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "rep"), "node"), "jaccard-wanted")
+def texts_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """node and the compressed text of one of its rows, for every node."""
+    wanted = written(nodes.distinct().join(classes.select("node", "rep"), "node"), "jaccard-wanted")
     table = texts.sparkSession.sparkContext.broadcast(bit_table(wanted, "rep"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +258,13 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
             nodes = [_node(s) for s in _sets(own, words)]
             yield pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i in some], pa.int64()), pa.array(nodes, pa.int64()), pa.array([packer.compress(t) for t in own], pa.binary())], ["rep", "node", "packed"])
 
+    chosen = texts.mapInArrow(pack, "rep long, node long, packed binary").join(wanted, ["rep", "node"], "left_semi")
+    return written(chosen.groupBy("node").agg(F.first("packed").alias("packed")), "jaccard-texts", "none")
+
+
+def verified(pairs: DataFrame, chosen: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -260,8 +280,6 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int,
                 keep = 100 * overlap >= percent * union
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
-    chosen = texts.mapInArrow(pack, "rep long, node long, packed binary").join(wanted, ["rep", "node"], "left_semi")
-    chosen = written(chosen.groupBy("node").agg(F.first("packed").alias("packed")), "jaccard-texts", "none")
     first = chosen.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
     second = chosen.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
     return pairs.select("a", "b").join(first, "a").join(second, "b").mapInArrow(check, "a long, b long")
@@ -278,20 +296,30 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rows = sets.where("n > 0").join(classes, "node").where("doc_id = rep").dropDuplicates(["node"])
     rows = written(rows.select("node", "rep", "n", "first"), "jaccard-rows", "none")
     lists = written(stars(rows.select("node", "n", F.explode("first").alias("token")), percent), "jaccard-lists")
-    star = lists.where("pair").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("n").alias("overlap"))
+    star = lists.where("pair").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("overlap").alias("overlap"), F.max("n").alias("n"))
+    # similar rows share about 7 % of their size at least in these lists; a pair that is passed over here comes up again below
+    star = star.where("100 * overlap >= 2 * n")
     best = written(star.groupBy("b").agg(F.max_by("a", F.struct("overlap", "a")).alias("a")), "jaccard-star")
-    links = verified(best, rows, texts, words, percent)
+    postings = lists.where("not pair").select(F.col("x").alias("token"), F.col("y").alias("node"), "n")
+    chosen = texts_of(postings.select("node"), rows, texts, words)
+    links = verified(best, chosen, words, percent)
     # rows of one doc_id are one document
     twins = sets.where(f"n > 0 and doc_id <> {NULL_ID}").groupBy("doc_id").agg(F.min("node").alias("b"), F.count_distinct("node").alias("c")).where("c > 1")
     twins = sets.where("n > 0").join(twins, "doc_id").select(F.col("node").alias("a"), "b").distinct()
     links = written(links.unionByName(twins), "jaccard-links")
-    labels = components(links)
-    known = lists.where("not pair").select(F.col("x").alias("token"), F.col("y").alias("node"), "n").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = crossings(known, percent).groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+
+    def known() -> DataFrame:
+        return postings.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    for seed in range(ROUNDS):
+        tried = crossings(known(), percent, PARTNERS, seed).groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+        tried = written(tried.where("100 * overlap >= 2 * greatest(na, nb)").select("a", "b"), "jaccard-tried")
+        links = written(links.unionByName(verified(tried, chosen, words, percent)), "jaccard-links")
+    pairs = crossings(known(), percent).groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     need = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-6)
     behind = F.greatest(*[F.ceil(F.col(c) * percent / 100.0 - 1e-6) - 1 for c in ("na", "nb")])
     pairs = written(pairs.where(F.col("overlap") + behind >= need).select("a", "b"), "jaccard-crossing")
-    more = written(verified(pairs, rows, texts, words, percent), "jaccard-more")
+    more = written(verified(pairs, chosen, words, percent), "jaccard-more")
     labels = components(links.unionByName(more))
     named_rows = rows.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = named_rows.groupBy("root").agg(F.min(F.when(F.col("rep") != NULL_ID, F.col("rep"))).alias("component_id"))
