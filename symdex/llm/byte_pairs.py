@@ -153,12 +153,18 @@ class _Codes(dict):
         return code
 
 
-def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The stretches ``rows`` of ``flat``, one after another."""
-    n = lengths[rows]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts[rows] - (ends - n), n) + np.arange(total)]
+def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """The stretches ``rows`` of ``flat``, one after another; places are worked out for ``step`` rows at a time."""
+    out = np.empty(int(lengths[rows].sum()), flat.dtype)
+    at = 0
+    for a in range(0, len(rows), step):
+        own = rows[a : a + step]
+        n = lengths[own]
+        ends = np.cumsum(n)
+        total = int(ends[-1])
+        out[at : at + total] = flat[np.repeat(starts[own] - (ends - n), n) + np.arange(total)]
+        at += total
+    return out
 
 
 def _pieces(text: str, v: Vocabulary, codes: _Codes) -> list[int]:
@@ -254,6 +260,16 @@ def cuts(lengths: np.ndarray, unit: int, most: int = OUT_BYTES) -> Iterator[tupl
     yield from zip(edges, edges[1:])
 
 
+def _lists(flat: np.ndarray, ends: np.ndarray, a: int, b: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a], pa.int32()), pa.array(flat[ends[a] : ends[b]]))
+
+
+def _texts(flat: np.ndarray, ends: np.ndarray, a: int, b: int, words: np.ndarray) -> pa.Array:
+    """What the ids of rows ``a`` to ``b`` stand for; bytes that are not UTF-8 become replacement characters."""
+    texts = [b"".join(words[flat[s:e]].tolist()).decode("utf-8", "replace") for s, e in zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist(), strict=True)]
+    return pa.array(texts, pa.string())
+
+
 def encode(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id and its ids, for every whole text."""
 
@@ -263,33 +279,43 @@ def encode(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json") -> DataF
             flat, lengths = encoded(texts, v)
             ends = np.concatenate(([0], np.cumsum(lengths)))
             for a, b in cuts(lengths, 4):
-                lists = pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a], pa.int32()), pa.array(flat[ends[a] : ends[b]]))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), _lists(flat, ends, a, b)], ["doc_id", "ids"])
 
     return text_or_empty(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded_docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id, ids and the text that the ids stand for; bytes that are not UTF-8 become replacement characters."""
+    """doc_id, ids and the text that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(vocabulary_name)
-        words = np.array(v.words, dtype=object)
-        for batch in batches:
+        words = np.array(vocabulary(vocabulary_name).words, dtype=object)
+        for batch in sliced(batches):
             lists = batch.column(1)
-            ids, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            ends = ends - ends[0]
-            for a, b in cuts(np.diff(ends), 4):
-                texts = [b"".join(words[ids[s:e]].tolist()).decode("utf-8", "replace") for s, e in zip(ends[a:b].tolist(), ends[a + 1 : b + 1].tolist(), strict=True)]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            decoded = _texts(flat, ends - ends[0], 0, batch.num_rows, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], ["doc_id", "ids", "decoded"])
 
     return encoded_docs.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def encode_and_decode(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json") -> DataFrame:
+    """doc_id, ids and the text that they stand for, in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(vocabulary_name)
+        words = np.array(v.words, dtype=object)
+        for doc_ids, texts in grouped(batches):
+            flat, lengths = encoded(texts, v)
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            for a, b in cuts(lengths, 8):
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), _lists(flat, ends, a, b), _texts(flat, ends, a, b, words)], ["doc_id", "ids", "decoded"])
+
+    return text_or_empty(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
 def round_trip(docs: DataFrame, vocabulary_name: str = "byte_bpe_50k.json") -> DataFrame:
     """Counts and digests of every text's ids and of what they decode to."""
-    rows = decode(encode(docs, vocabulary_name), vocabulary_name)
+    rows = encode_and_decode(docs, vocabulary_name)
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256).alias("ids_sha256"),
