@@ -252,10 +252,11 @@ def _decode_lanes(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
         code[:n] -= width[:n] * value.astype(np.uint64)
         fill(n)
         lane = rows[:n]
-        known = seen[lane, np.where(symbols > 2, (1 << bits) + value - 1, 0)]
+        # past the end only in a damaged block, which its checksum tells
+        known = seen[lane, np.where(symbols > 2, np.minimum((1 << bits) + value - 1, steps), 0)]
         x = np.where(symbols == 0, model.id2, np.where(symbols == 1, model.id1, np.where(symbols == 2, value, known)))
         fresh = np.flatnonzero(symbols == 2)
-        seen[fresh, n_seen[fresh]] = value[fresh]
+        seen[fresh, np.minimum(n_seen[fresh], steps)] = value[fresh]
         n_seen[fresh] += 1
         out[t, :n] = x
         model.update(n, x, symbols)
