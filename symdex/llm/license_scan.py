@@ -6,9 +6,9 @@ templates that stand close together form candidate blocks; a block of more than
 into one.  A block is compressed once alone and once with each template as zstandard
 raw dictionary; templates are ranked by the bytes saved, as a share of what the
 template itself saves.  The ``BEST`` first are compared word by word with the block
-(lower case, without punctuation), and the one with the fewest differences is
-confirmed if these are at most ``DIFFERENCES`` percent of its words; the words that are
-missing and added are part of the result.
+(lower case, without punctuation).  A wording is confirmed if its differences are at
+most ``DIFFERENCES`` percent of its words; of several the one with the most words in common,
+less those missing and added, wins.  The missing and added words are part of the result.
 
 One row a confirmed finding; a text without one has no row.  Null and empty texts
 have none; repeated rows give their findings again; ids may be null; other
@@ -55,7 +55,7 @@ TEMPLATES = [
 #: One of these stands in every template.
 CUES = ["licens", "licenc", "copyright", "warrant", "redistribut", "permission", "public domain"]
 
-WINDOW, NEAR, EDGE, BEST, DIFFERENCES, LEAST_SHARE = 400, 8, 4, 4, 10, 0.1
+WINDOW, NEAR, EDGE, BEST, DIFFERENCES, LEAST_SHARE = 400, 12, 4, 4, 10, 0.1
 LEVEL = 9
 _WORD = re.compile(r"\S+")
 _BARE = re.compile(r"[^\w]+")
@@ -117,7 +117,8 @@ class Scanner:
                 continue
             missing, added, first, last = self.differences(words, i)
             if 100 * (len(missing) + len(added)) <= DIFFERENCES * len(self.words[i]):
-                row = (len(missing) + len(added), -len(self.words[i]), -share, i, first, last, alone, saved, share, missing, added)
+                # of confirmed wordings the one that explains the most words
+                row = (2 * len(missing) + len(added) - len(self.words[i]), len(missing) + len(added), -share, i, first, last, alone, saved, share, missing, added)
                 best = row if best is None or row[:4] < best[:4] else best
         if len(self.known) > 20_000:
             self.known.clear()

@@ -126,9 +126,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, least: int = MIN_TOKENS, share: int = SHARE, most_lost: int = MOST_LOST, counts: bool = False) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from text; with ``counts`` also ``_n_lines`` and ``_n_dropped``."""
     shared_folder(docs.sparkSession)
+    own = _free("_doc", docs.columns), _free("_drops", docs.columns), _free("_new", docs.columns)
     name = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     found, _ = recurring_lines(docs.select(name.alias("doc"), F.col("text").cast("string").alias("text")), min_docs, depth, least, share)
-    drops = found.groupBy("doc").agg(F.collect_set("line").alias("_drops")).withColumnRenamed("doc", "_doc")
+    drops = found.groupBy(F.col("doc").alias(own[0])).agg(F.collect_set("line").alias(own[1]))
 
     @F.pandas_udf("struct<text string, dropped long>")
     def rewrite(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
@@ -147,17 +148,25 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: in
             n.append(len(lines) - len(kept))
         return pd.DataFrame({"text": out, "dropped": n})
 
-    rows = docs.withColumn("_doc", name).join(drops, "_doc", "left")
+    rows = docs.withColumn(own[0], name).join(drops, own[0], "left")
+    some = F.col(own[1]).isNotNull()
     # texts without such a line do not go to Python
-    rows = rows.withColumn("_new", rewrite(F.when(F.col("_drops").isNotNull(), F.col("text")), "_drops"))
-    text = F.when(F.col("_drops").isNotNull(), F.col("_new.text")).otherwise(F.col("text"))
+    rows = rows.withColumn(own[2], rewrite(F.when(some, F.col("text")), own[1]))
+    text = F.when(some, F.col(f"{own[2]}.text")).otherwise(F.col("text"))
     extra = []
     if counts:
         n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-        extra = [n_lines.alias("_n_lines"), F.coalesce("_new.dropped", F.lit(0)).cast("long").alias("_n_dropped")]
+        extra = [n_lines.alias("_n_lines"), F.coalesce(f"{own[2]}.dropped", F.lit(0)).cast("long").alias("_n_dropped")]
     return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *extra)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, longer where a column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and the digest of the text that is left."""
     rows = without_recurring_lines(docs.select("doc_id", "text"), counts=True)

@@ -63,7 +63,7 @@ def text_anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.nd
         buf = np.frombuffer(text, np.uint8, high - low, low)
         sums = prefix_sums(buf)
         inner = slice(s - low, min(n, s + SLICE + length - 1) - low)
-        at, h = anchors(buf[inner], sums[inner.start : inner.stop + 1], gram, length)
+        at, h = anchors(buf[inner], prefix_sums(buf[inner]), gram, length)
         at = at + inner.start
         # ends are those of the text: the slice reaches past every stretch, or to the text's end
         _, _, r = regions(sums, len(buf), at, gram, length)
