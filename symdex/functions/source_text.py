@@ -106,9 +106,34 @@ def jsdoc_return_type(block: Column) -> Column:
     return F.when(t != "", t)
 
 
+#: Arrows are no brackets; every other token is a bracket, a comma or a run of anything else.
+_LIST_TOKEN = r"=>|->|[\[\](){}<>,]|[^\[\](){}<>,=\-]+|[=\-]"
+
+
 def split_top_level(text: Column) -> Column:
-    """Split at commas that are not inside one level of brackets."""
-    return F.split(text, r",(?![^\[\](){}<>]*[\])}>])", -1)
+    """Split at the commas outside all brackets: the depth is counted over the tokens, however deep they nest."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array().cast("array<string>").alias("parts"))
+
+    def step(s, t):
+        cut = (t == ",") & (s["depth"] == 0)
+        opens, closes = t.isin("(", "[", "{", "<"), t.isin(")", "]", "}", ">")
+        depth = F.when(opens, s["depth"] + 1).when(closes, F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        return F.struct(
+            depth.alias("depth"),
+            F.when(cut, F.lit("")).otherwise(F.concat(s["part"], t)).alias("part"),
+            F.when(cut, F.concat(s["parts"], F.array(s["part"]))).otherwise(s["parts"]).alias("parts"),
+        )
+
+    tokens = F.regexp_extract_all(text, F.lit(_LIST_TOKEN), 0)
+    return F.aggregate(tokens, state, step, lambda s: F.concat(s["parts"], F.array(s["part"])))
+
+
+def nested(opening: str, closing: str, atom: str, depth: int = 16) -> str:
+    """Regex of text whose brackets balance, down to ``depth`` levels (a regex cannot count further)."""
+    inner = f"(?:{atom})*+"
+    for _ in range(depth):
+        inner = f"(?:(?:{atom})++|{opening}{inner}{closing})*+"
+    return inner
 
 
 BLANK = ""

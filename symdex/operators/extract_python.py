@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from symdex.functions.columns import js_trim, let
 from symdex.schemas import ALIAS_T, IFACE_T, PROP_T
 from symdex.functions.source_text import (
-    PY_NAME, PY_TOKEN, clean_docstring, fold, split_top_level, unfold,
+    PY_NAME, PY_TOKEN, clean_docstring, fold, nested, split_top_level, unfold,
 )
 
 STR_F = r"""[rRbBuUfF]{0,2}(?:\"\"\"[^\"]*\"\"\"|'''[^']*'''|\"[^\"\n]*\"|'[^'\n]*')"""
-_END_STMT = r"(?=[ \t]*(?:;|#[^\n]*)?(?:\n|$))"
-_DOC = r"(?:[ \t]*(?:#[^\n]*)?(?:\n[ \t]*(?:#[^\n]*)?)*?[ \t]*(" + STR_F + ")" + _END_STMT + ")?"
-PARAMS = r"((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)"
+_END_STMT = r"(?=[ \t]*(?:;|#[^\n]*)?\r?(?:\n|$))"
+_DOC = r"(?:[ \t]*(?:#[^\n]*)?(?:\r?\n[ \t]*(?:#[^\n]*)?)*?[ \t]*(" + STR_F + ")" + _END_STMT + ")?"
+PARAMS = "(" + nested(r"\(", r"\)", "[^()]") + ")"
 _HEAD = (r"(?:async[ \t]+)?def[ \t]+(" + PY_NAME + r")[ \t]*\(" + PARAMS +
          r"\)[ \t]*(?:->[ \t]*([^:\n]+?)[ \t]*)?:")
 FUNC_RE = "^" + _HEAD + _DOC                       # groups: name, params, return, doc

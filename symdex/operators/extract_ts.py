@@ -26,16 +26,16 @@ from pyspark.sql import functions as F
 
 from symdex.functions.columns import js_trim, let
 from symdex.functions.source_text import (
-    FOLD_TO, NAME, TS_TOKEN, fold, jsdoc_description, jsdoc_return_type, split_top_level, unfold,
+    FOLD_TO, NAME, TS_TOKEN, fold, jsdoc_description, jsdoc_return_type, nested, split_top_level, unfold,
 )
 from symdex.schemas import ALIAS_T, IFACE_T
 
 _WS_F = "[ \\t" + FOLD_TO[0] + FOLD_TO[1] + "]"  # whitespace, including folded newlines
 # Leading run of folded comments (each possibly followed by folded whitespace).
 LEAD = (r"^[ \t]*((?:/\*[^\n]*?\*/" + _WS_F + r"*+|//[^" + FOLD_TO[0] + r"\n]*+" + _WS_F + r"*+)*+)")
-TP = r"(?:<[^<>]*+(?:<[^<>]*+>[^<>]*+)*+>)"
-PARAMS = r"((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+)"
-RET = r"((?:[^{};=]|\{[^{}]*\})+?)"
+TP = "(?:<" + nested("<", ">", "=>|[^<>]") + ">)"
+PARAMS = "(" + nested(r"\(", r"\)", "[^()]") + ")"
+RET = r"((?:=>|[^{};=]|\{" + nested(r"\{", r"\}", "[^{}]") + r"\})+?)"
 FUNC_DECL = (r"^(export[ \t]+(?:default[ \t]+)?)?(?:declare[ \t]+)?(?:async[ \t]+)?function(?![\p{L}\p{N}_$])[ \t]*\*?[ \t]*("
              + NAME + r")?[ \t]*" + TP + r"?[ \t]*\(" + PARAMS + r"\)[ \t]*(?::[ \t]*" + RET + r")?[ \t]*([{;])")
 CLASS_DECL = (r"^(export[ \t]+(?:default[ \t]+)?)?(?:declare[ \t]+)?(?:abstract[ \t]+)?class(?![\p{L}\p{N}_$])[ \t]*("
@@ -54,7 +54,7 @@ SIG_METHOD = (r"^(?:readonly[ \t]+)?(" + NAME + r")[ \t]*\??[ \t]*" + TP + r"?[
               + r"\)[ \t]*(?::[ \t]*([\s\S]+?))?[ \t]*[;,]?[ \t]*$")
 SIG_PROP = r"^(?:readonly[ \t]+)?(" + NAME + r")[ \t]*\??[ \t]*:[ \t]*([\s\S]+?)[ \t]*[;,]?[ \t]*$"
 STR_LIT = r"""(?:'[^'\n]*'|"[^"\n]*")"""
-ROUTE_RE = (r"(?m)(?:\.[ \t\n]*(get|post|put|delete|patch)[ \t\n]*\([ \t\n]*(" + STR_LIT + r")[ \t\n]*,[ \t\n]*([^\n]*)"
+ROUTE_RE = (r"(?m)(?:\.[ \t\n]*(get|post|put|delete|patch)[ \t\n]*\([ \t\n]*(" + STR_LIT + r")[ \t\n]*,[ \t\n]*(?=([^\n]*))"
             r"|(?:^|(?<=" + FOLD_TO[0] + r"))export[ \t]+(?:default[ \t]+)?(?:async[ \t]+)?function[ \t]+(handler)[ \t]*\()")
 TOP_LEVEL_SPLIT = r"\n(?=[^\s)\]}@])"
 JSDOC_IN = r"(/\*\*(?!/)[^\n]*?\*/)"

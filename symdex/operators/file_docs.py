@@ -202,13 +202,14 @@ def next_ord(symbols: DataFrame) -> int:
 
 
 def insertion_order(rows: DataFrame, offset: int = 0) -> DataFrame:
-    """Unique, increasing ``ord`` = ``offset`` + ``monotonically_increasing_id``.
+    """Unique ``ord``, increasing by path and place in the file: ``offset`` + ``monotonically_increasing_id``.
 
-    Within a file the rows come out of one ``posexplode`` in registration order
-    and stay in one partition, so ``ord`` keeps that order; files of a later
-    batch start above every existing ``ord`` (``offset`` = :func:`next_ord`)
-    and so move to the end (Q1).  Gaps between partitions are harmless.
+    Rows are put in order by ranges of paths, so the order does not depend on how the
+    input was split; files of a later batch start above every existing ``ord``
+    (``offset`` = :func:`next_ord`) and so move to the end (Q1).  Gaps between
+    partitions are harmless.
     """
+    rows = rows.repartitionByRange("file", "seq").sortWithinPartitions("file", "seq")
     return rows.withColumn("ord", F.lit(offset).cast("long") + F.monotonically_increasing_id())
 
 

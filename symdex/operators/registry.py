@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symdex.session import ensure_checkpoint_dir
 from symdex.schemas import SYMBOL_KEY
 
 PAYLOAD = ("description", "signature", "exported", "metadata")
@@ -191,8 +192,10 @@ def refresh_registry(
     """G8 + D1: (new symbols, new tracking, summary row).
 
     ``listing``: (path, mtime) of the files on disk matching the scan patterns.
-    ``extract``: ``DataFrame(path, content) -> DataFrame`` of new symbol rows
-    (ord included); ``files`` gives the contents (path, content).  Only stale
+    ``extract``: ``DataFrame(path, content) -> DataFrame`` of new symbol rows, their
+    ord counted from 0; they are computed once (checkpoint) and numbered above all
+    symbols there are, so a file that is registered again moves to the end.
+    ``files`` gives the contents (path, content).  Only stale
     (incremental) or listed (full scan) files are re-extracted, and their rows
     replace the old ones in one set operation.
     """
@@ -206,7 +209,9 @@ def refresh_registry(
     vanished = todo.join(listing.select("path"), "path", "left_anti")
     if files is not None:
         src = files.join(present.select("path"), "path", "left_semi")
-        fresh = extract(src)
+        ensure_checkpoint_dir(src.sparkSession)
+        top = symbols.agg(F.max("ord").alias("m")).first()["m"]
+        fresh = extract(src).withColumn("ord", F.col("ord") + F.lit(0 if top is None else int(top) + 1).cast("long")).checkpoint()
         parsed_ok = fresh.select(F.col("file").alias("path")).distinct()
         # files that parsed but yielded no symbol still replace their old rows
         emptied = src.select("path").join(parsed_ok, "path", "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdex.functions.columns import js_trim, kept, parse_symbol_type_col
+from symdex.functions.columns import js_trim, kept, parse_symbol_type_col, type_priority
 from symdex.operators import registry as G
 from symdex.operators.search import rank_within_request
 from symdex.schemas import AUTOCOMPLETE_LIMIT, SEARCH_LIMIT
@@ -110,7 +110,7 @@ def _ranked_answers(ok: DataFrame, symbols: DataFrame) -> DataFrame:
     ranked = rank_within_request(req, symbols)
     agg = ranked.groupBy("request_id").agg(
         F.count(F.lit(1)).cast("int").alias("result_count"),
-        F.min_by("symbol", F.coalesce(F.col("rank"), F.lit(0))).alias("first_symbol"))
+        F.min_by("symbol", F.struct(F.coalesce(F.col("symbol") != F.col("term"), F.lit(True)), ~F.coalesce("exported", F.lit(False)), type_priority(F.col("type")), "ord")).alias("first_symbol"))
     return reqs.join(agg, "request_id", "left").select(
         "request_id", "tool", "symbol", F.coalesce(F.col("result_count"), F.lit(0)).alias("result_count"),
         "first_symbol")

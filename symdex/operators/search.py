@@ -170,14 +170,12 @@ def rank_within_request(
     default_limit: int = SEARCH_LIMIT,
     salt_buckets: int = 64,
     grams: DataFrame | None = None,
-    broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """Top-k symbols per request.
 
     ``requests``: request_id, term, type, file, exact_match, include_private, limit.
     Exact requests join on the name; substring requests join on the n-gram
-    index.  The request side is broadcast only when its row count is under
-    ``broadcast_rows`` (counted, not guessed); otherwise the join shuffles.
+    index; how the sides are joined is left to the planner and its measured sizes.
     Per-request top-k runs in two windows: first per (request, salt) so one
     request that matches a third of all symbols is spread over
     ``salt_buckets`` tasks, then per request over at most salt_buckets * k rows.
@@ -190,22 +188,20 @@ def rank_within_request(
         .withColumn("k", F.coalesce(F.col("limit"), F.lit(default_limit)))
         .withColumn("exact_match", F.coalesce(F.col("exact_match"), F.lit(False)))
         .withColumn("include_private", F.coalesce(F.col("include_private"), F.lit(False)))
-        .withColumn("gram_len", F.least(F.length("term"), F.lit(3)))
+        .withColumn("gram_len", F.least(F.length(F.lower("term")), F.lit(3)))
         .withColumn("gram", F.substring(F.lower("term"), 1, 3))
     )
     # Many requests repeat the same search: rank each distinct specification once,
     # then hand the ranked rows back to every request that asked for it.
     spec_cols = ["term", "type_filter", "file_filter", "exact_match", "include_private", "k"]
     specs = req.select(*spec_cols, "kind", "gram_len", "gram").distinct()
-    small = specs.count() <= broadcast_rows
-    side = F.broadcast(specs) if small else specs
     spec_all = spec_cols + ["kind"]
 
     flat = flatten(symbols)
-    exact = flat.join(side.where("exact_match"), flat.symbol == side.term, "inner")
+    exact = flat.join(specs.where("exact_match"), flat.symbol == specs.term, "inner")
     if grams is None:
         grams = gram_index(symbols)
-    cand = grams.join(side.where(~F.col("exact_match")), ["gram_len", "gram"], "inner").select("ord", *spec_all)
+    cand = grams.join(specs.where(~F.col("exact_match")), ["gram_len", "gram"], "inner").select("ord", *spec_all)
     sub = cand.join(flat, "ord", "inner").where(F.lower(F.col("symbol")).contains(F.lower(F.col("term"))))
     cols = flat.columns + spec_all
     both = exact.select(*cols).unionByName(sub.select(*cols))

@@ -104,14 +104,15 @@ def usage_scan(files: DataFrame, name: str) -> DataFrame:
     pattern = RX.whole_word(name)
     hits = matching_lines(files, pattern, name)
     gaps = F.split(F.col("text"), pattern, -1)
-    occ = hits.select(
-        *[c for c in hits.columns if c != "text"],
+    # a line is known by its row: a path may be listed several times
+    occ = hits.withColumn("_row", F.monotonically_increasing_id()).select(
+        *[c for c in hits.columns if c != "text"], "_row",
         F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"),
     )
-    w = Window.partitionBy("path", "line").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("_row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return occ.withColumn(
         "column", (F.sum(F.length("gap")).over(w) + F.col("k") * len(name) + 1).cast("int")
-    ).drop("gap", "k")
+    ).drop("gap", "k", "_row")
 
 
 def locate_definition(def_files: DataFrame, name: str) -> DataFrame:
@@ -244,7 +245,7 @@ def _boundary(name: Column) -> Column:
     """Per-row ASCII word-boundary pattern of a name column (Q23, Q24)."""
     return F.concat(
         F.when(name.rlike(r"^[A-Za-z0-9_]"), F.lit(r"(?<![A-Za-z0-9_])")).otherwise(F.lit(r"(?<=[A-Za-z0-9_])")),
-        F.lit(r"\Q"), name, F.lit(r"\E"),
+        F.regexp_replace(name, r"[\\^$.|?*+()\[\]{}]", r"\\$0"),
         F.when(name.rlike(r"[A-Za-z0-9_]$"), F.lit(r"(?![A-Za-z0-9_])")).otherwise(F.lit(r"(?=[A-Za-z0-9_])")),
     )
 
@@ -253,12 +254,12 @@ def _positions(hits: DataFrame, keep: list[str]) -> DataFrame:
     """(keep..., name, line, text, snippet) -> one row per occurrence with its column."""
     pat = _boundary(F.col("name"))
     gaps = F.split(F.col("text"), pat, -1)
-    occ = hits.select(*keep, "name", "line", "snippet", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"))
-    w = Window.partitionBy(*[c for c in ("path",) if c in keep], "line", "name").orderBy("k") \
+    occ = hits.withColumn("_row", F.monotonically_increasing_id()).select(*keep, "name", "line", "snippet", "_row", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"))
+    w = Window.partitionBy("_row").orderBy("k") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return occ.withColumn(
         "column", (F.sum(F.length("gap")).over(w) + F.col("k") * F.length("name") + 1).cast("int")
-    ).drop("gap", "k")
+    ).drop("gap", "k", "_row")
 
 
 def usage_scan_batch(files: DataFrame, names: DataFrame, inline_names: int = 2_000) -> DataFrame:

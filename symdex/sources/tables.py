@@ -7,6 +7,7 @@ bucket folder (dynamic partition overwrite), never the whole table.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,16 @@ def empty_tracking(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FILE_TRACKING)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table, empty where the path does not exist; any other failure is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def persist_registry(symbols: DataFrame, tracking: DataFrame, path: str) -> None:
     """Write both tables (one write per batch, not per symbol)."""
     (symbols.withColumn("bucket", file_bucket(F.col("file")))
@@ -54,16 +65,9 @@ def persist_registry(symbols: DataFrame, tracking: DataFrame, path: str) -> None
 
 
 def load_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A5: read both tables; a missing or unreadable store yields empty tables."""
-    try:
-        symbols = spark.read.schema(SYMBOLS).parquet(f"{path}/symbols").select(*SYMBOLS.fieldNames())
-    except Exception:  # missing folder -> empty registry, as the reference does
-        symbols = empty_symbols(spark)
-    try:
-        tracking = spark.read.schema(FILE_TRACKING).parquet(f"{path}/file_tracking")
-    except Exception:
-        tracking = empty_tracking(spark)
-    return symbols, tracking
+    """A5: read both tables; a store that does not exist yields empty tables, any other failure is raised."""
+    symbols = read_or_empty(spark, f"{path}/symbols", SYMBOLS).select(*SYMBOLS.fieldNames())
+    return symbols, read_or_empty(spark, f"{path}/file_tracking", FILE_TRACKING)
 
 
 def load_registry_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -22,13 +22,10 @@ from pyspark.sql import types as T
 
 from symdex.functions.columns import release
 from symdex.operators import registry as G
-from symdex.operators.file_docs import extract_symbols
+from symdex.operators.file_docs import extract_symbols, next_ord
 from symdex.operators.requests import dispatch_requests, emit_responses
 from symdex.schemas import FILE_TRACKING, SYMBOLS
-from symdex.sources.tables import FILE_BUCKETS, file_bucket
-
-# Streamed symbols take ord = (batch_id + 1) << 40 + row id: later batches sort after earlier ones.
-ORD_BATCH_SHIFT = 40
+from symdex.sources.tables import FILE_BUCKETS, file_bucket, read_or_empty
 
 CHANGE_SCHEMA = "path string, mtime timestamp, seq long, content string, deleted boolean"
 
@@ -40,19 +37,12 @@ def _with_bucket(schema: T.StructType) -> T.StructType:
 def read_state(spark: SparkSession, state: str) -> tuple[DataFrame, DataFrame]:
     """The committed (symbols, tracking) tables; empty before the first batch."""
     def load(name, schema):
-        try:
-            return spark.read.schema(_with_bucket(schema)).parquet(f"{state}/{name}").drop("bucket")
-        except Exception:  # no batch committed yet
-            return spark.createDataFrame([], schema)
+        return read_or_empty(spark, f"{state}/{name}", _with_bucket(schema)).drop("bucket")
     return load("symbols", SYMBOLS), load("tracking", FILE_TRACKING)
 
 
 def _touched(spark: SparkSession, state: str, name: str, schema, buckets: list[int]) -> DataFrame:
-    try:
-        df = spark.read.schema(_with_bucket(schema)).parquet(f"{state}/{name}")
-        return df.where(F.col("bucket").isin(*buckets)).drop("bucket")
-    except Exception:
-        return spark.createDataFrame([], schema)
+    return read_or_empty(spark, f"{state}/{name}", _with_bucket(schema)).where(F.col("bucket").isin(*buckets)).drop("bucket")
 
 
 def apply_changes(batch: DataFrame, batch_id: int, state: str, buckets: int = FILE_BUCKETS) -> None:
@@ -81,9 +71,10 @@ def apply_changes(batch: DataFrame, batch_id: int, state: str, buckets: int = FI
     changed = fresh.where(~F.col("deleted"))
 
     symbols = G.drop_deleted_symbols(symbols, gone.select("path"))
-    # every changed file loses its old rows, then gets its new ones; ord grows with the batch id
+    # every changed file loses its old rows, then gets its new ones, numbered above all that the state holds
+    offset = next_ord(read_state(spark, state)[0])
     symbols = G.drop_deleted_symbols(symbols, changed.select("path"))
-    new_rows = extract_symbols(changed.select("path", "content"), offset=(batch_id + 1) << ORD_BATCH_SHIFT)
+    new_rows = extract_symbols(changed.select("path", "content"), offset=offset)
     symbols = symbols.unionByName(new_rows)
 
     upd = fresh.select("path", F.col("mtime").alias("_m"), F.col("deleted").alias("_d"))
