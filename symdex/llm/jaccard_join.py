@@ -336,3 +336,23 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     stay = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
     named = stay.where("doc_id is not null").dropDuplicates(["doc_id"])
     return named.unionByName(stay.where("doc_id is null"))
+
+
+#: DuckDB SQL of op4_jaccard_join: all shingles joined with all, so for small tables only.
+ORACLE = r"""
+with recursive split as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents),
+shingled as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
+  from split),
+sizes as (select doc_id, len(s)::bigint as n from shingled),
+grams as (select doc_id, unnest(s) as g from shingled),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+steps as (select a, b from links union select b, a from links),
+reached as (select a, b from steps union select r.a, s.b from reached r join steps s on r.b = s.a)
+select doc_id, n as n_shingles, least(doc_id, coalesce((select min(b) from reached where a = doc_id), doc_id)) as component_id from sizes
+"""
