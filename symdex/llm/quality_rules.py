@@ -113,7 +113,7 @@ def cutoffs(featured: DataFrame, labels: DataFrame, limit: float = LIMIT, error:
     rows = featured.select(F.col("doc_id").cast("long").alias("doc_id"), _stratum().alias("stratum"), F.posexplode(shares).alias("_no", "_s"), _base_failed().alias("base_failed"))
     # the base check decides on its own; the rules are judged on what passes it
     rows = rows.where(~F.col("base_failed")).join(known, "doc_id")
-    holdout = F.pmod(F.xxhash64(F.concat(F.lit("half:"), F.col("doc_id").cast("string"))), F.lit(2)) == 1
+    holdout = F.substring(F.md5(F.concat(F.lit("half:"), F.col("doc_id").cast("string"))), 1, 1) >= "8"
     counts = rows.groupBy("stratum", F.col("_s.rule").alias("rule"), F.col("_s.share").alias("share")).agg(
         F.count_if(holdout & F.col("good")).alias("n_good"),
         F.count_if(~holdout & F.col("good")).alias("d_good"),
@@ -168,3 +168,52 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
     return judge(docs, labels).where(F.col("_q_kept") & (F.col("_q_row") >= 0)).select(*docs.columns)
+
+
+#: DuckDB SQL of op8_quality_rules.
+ORACLE = r"""
+with split as (
+  select doc_id, lang, coalesce(text, '') as t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as l
+  from documents),
+grams as (select doc_id, unnest(range(1, len(w) - 3)) as i, w from split where len(w) >= 5),
+windows as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as g from grams),
+again as (select doc_id, i from windows qualify count(*) over (partition by doc_id, g) > 1),
+covered as (select doc_id, least(5, coalesce(lead(i) over (partition by doc_id order by i) - i, 5)) as c from again),
+repeated as (select doc_id, sum(c)::bigint as n_repeat_words from covered group by doc_id),
+features as (
+  select s.doc_id, coalesce('=' || lang, 'null') as stratum, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::bigint as word_chars,
+         len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+         coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(l)::bigint as n_lines,
+         len(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint as n_capitals, len(regexp_replace(t, '[^!]', '', 'g'))::bigint as n_exclamations
+  from split s left join repeated r on r.doc_id = s.doc_id),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from features),
+shares as (
+  select doc_id, stratum, base_failed, unnest([
+    {'no': 1, 'rule': 'symbols', 'part': n_symbols, 'whole': n_words}, {'no': 2, 'rule': 'duplicate_lines', 'part': n_dup_lines, 'whole': n_lines},
+    {'no': 3, 'rule': 'repeated_words', 'part': n_repeat_words, 'whole': n_words}, {'no': 4, 'rule': 'capitals', 'part': n_capitals, 'whole': word_chars},
+    {'no': 5, 'rule': 'exclamations', 'part': n_exclamations, 'whole': n_words}], recursive := true)
+  from judged),
+shared as (select doc_id, stratum, base_failed, no, rule, case when whole > 0 then least(1000, 1000 * part // whole) else 0 end::bigint as share from shares),
+known as (select doc_id, min(quality) > 0 as good from labels where doc_id is not null and quality is not null group by doc_id),
+counts as (
+  select stratum, rule, share, count(*) filter (holdout and good) as n_good, count(*) filter (not holdout and good) as d_good, count(*) filter (not holdout and not good) as d_bad
+  from (select *, substr(md5('half:' || doc_id), 1, 1) >= '8' as holdout from shared join known using (doc_id) where not base_failed) group by all),
+running as (
+  select stratum, rule, share as cutoff, sum(n_good) over a as k, sum(n_good) over g as n,
+         (sum(d_bad) over a)::double / nullif(sum(d_bad) over g, 0) - 5 * ((sum(d_good) over a)::double / nullif(sum(d_good) over g, 0)) as gain
+  from counts window g as (partition by stratum, rule), a as (partition by stratum, rule order by share desc)),
+designed as (select *, first_value(gain) over w as best, first_value(cutoff) over w as least_cutoff from running window w as (partition by stratum, rule order by coalesce(gain, -1e9) desc, cutoff desc)),
+tested as (
+  select *, n > 0 and case when k >= n * 0.004 then 1.0 else list_sum(list_transform(range(0, k::bigint + 1),
+      lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.004) + (n - j) * ln(0.996)))) end
+    <= 0.05 / (5 * (select count(distinct stratum) from counts)) as passes
+  from designed where best > 0 and cutoff >= least_cutoff and cutoff > 0),
+certified as (
+  select stratum, rule, min(cutoff) as cutoff
+  from (select *, max((not passes)::int) over (partition by stratum, rule order by cutoff desc) as failed from tested) where failed = 0 group by all),
+broken as (select doc_id, string_agg(rule, ',' order by no) as rejected_by from shared join certified using (stratum, rule) where share >= cutoff group by doc_id)
+select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by
+from judged j left join broken b on b.doc_id = j.doc_id
+"""

@@ -68,4 +68,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op5_source_mix": source_mix.ORACLE,
+    "op8_quality_rules": quality_rules.ORACLE,
 }
