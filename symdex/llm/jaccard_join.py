@@ -9,8 +9,8 @@ matrix, and the product runs over its columns, the posting lists:
 
 1. a star in each list: every row with the first of its size range, overlaps
    accumulated per pair; the best partner of each row is verified;
-2. the components so far label the rows; ``ROUNDS`` times one row of each component in
-   a list is paired with those of the next ``PARTNERS`` components there, rows and order by
+2. the components so far label the rows; ``ROUNDS`` times a few rows of each component in
+   a list (``SPEAKERS``) are paired with the next ``PARTNERS`` such rows there, rows and order by
    hashes that change, and the components grow by the links that full sets
    confirm: a group of near copies soon is one;
 3. each list then gives all pairs of rows in different components whose sizes fit.
@@ -53,7 +53,7 @@ PART = 1 << 14
 GROUP_BYTES = 2 << 20
 #: From this level on (2**level times the mean count) a list is dealt to blocks.
 HOT_LEVEL, BLOCKS = 5, 8
-ROUNDS, PARTNERS = 3, 6
+ROUNDS, SPEAKERS, PARTNERS = 2, 16, 48
 NULL_ID = -(2**63)
 
 
@@ -195,7 +195,7 @@ def stars(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def crossings(postings: DataFrame, percent: int, partners: int | None = None, seed: int = 0) -> DataFrame:
-    """Pairs of rows of a list that stand in different components, sizes allowing; with ``partners`` only one row of each component with those of so many next ones, in an order by hash."""
+    """Pairs of rows of a list that stand in different components, sizes allowing; with ``partners`` only a few rows of each component with so many next ones, in an order by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, block, _, n, node, root, side in _lists(batches, 2):
@@ -205,7 +205,7 @@ def crossings(postings: DataFrame, percent: int, partners: int | None = None, se
             np.logical_or.at(mixed_list, head, root != root[head])
             keep = mixed_list[head]
             if partners is not None:
-                keep &= _heads([token, block, root]) == np.arange(len(token))
+                keep &= np.arange(len(token)) - _heads([token, block, root]) < SPEAKERS
             token, block, n, node, root, side = (x[keep] for x in (token, block, n, node, root, side))
             if not len(token):
                 continue
@@ -245,6 +245,18 @@ def crossings(postings: DataFrame, percent: int, partners: int | None = None, se
     return found.select(least.alias("a"), most.alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), "overlap")
 
 
+def above_bound(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose summed overlap can still reach the similarity.
+
+    The overlap must be at least ``percent / (100 + percent)`` of both sizes together, and
+    behind the first shingles of a set of ``n`` stand ``ceil(percent n / 100) - 1`` more.
+    """
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-6)
+    behind = F.greatest(*[F.ceil(F.col(c) * percent / 100.0 - 1e-6) - 1 for c in ("na", "nb")])
+    return pairs.where(F.col("overlap") + behind >= need).select("a", "b")
+
+
 def texts_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """node and the compressed text of one of its rows, for every node."""
     wanted = written(nodes.distinct().join(classes.select("node", "rep"), "node"), "jaccard-wanted")
@@ -311,14 +323,10 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     def known() -> DataFrame:
         return postings.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    for seed in range(ROUNDS):
-        tried = crossings(known(), percent, PARTNERS, seed).groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-        tried = written(tried.where("100 * overlap >= 2 * greatest(na, nb)").select("a", "b"), "jaccard-tried")
+    for seed in range(1, ROUNDS + 1):
+        tried = written(above_bound(crossings(known(), percent, PARTNERS, seed), percent), "jaccard-tried")
         links = written(links.unionByName(verified(tried, chosen, words, percent)), "jaccard-links")
-    pairs = crossings(known(), percent).groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    need = F.ceil((F.col("na") + F.col("nb")) * percent / (100.0 + percent) - 1e-6)
-    behind = F.greatest(*[F.ceil(F.col(c) * percent / 100.0 - 1e-6) - 1 for c in ("na", "nb")])
-    pairs = written(pairs.where(F.col("overlap") + behind >= need).select("a", "b"), "jaccard-crossing")
+    pairs = written(above_bound(crossings(known(), percent), percent), "jaccard-crossing")
     more = written(verified(pairs, chosen, words, percent), "jaccard-more")
     labels = components(links.unionByName(more))
     named_rows = rows.select("node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
