@@ -54,13 +54,6 @@ def language_of(path: Column, extensions=None) -> Column:
     return chain
 
 
-def read_source_text(files: DataFrame) -> DataFrame:
-    """A2: ``binaryFile`` bytes -> UTF-8 text, invalid bytes replaced."""
-    if "content" in files.columns and dict(files.dtypes)["content"] == "binary":
-        return files.withColumn("content", F.expr("make_valid_utf8(cast(content as string))"))
-    return files
-
-
 _DOC_EXPR: dict[tuple, Column] = {}
 
 
@@ -82,25 +75,13 @@ def _doc_expression(spark, extensions, extractors) -> Column:
     return _DOC_EXPR[key]
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-file work at least ``defaultParallelism`` input partitions.
-
-    A corpus read with ``binaryFile`` is already split into many partitions and
-    is returned unchanged; a small table of large work items (a few parquet
-    row groups) is spread round-robin so that every core gets files.
-    """
-    want = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() < want:
-        return files.repartition(want)
-    return files
-
-
 def file_docs(files: DataFrame, plugins=()) -> DataFrame:
     """X21 + B2: (path, language, doc, error, details) per file row.
 
-    ``files``: (path, content).  One projection over the rows, no shuffle
-    (beyond :func:`spread` for under-partitioned input); unsupported
-    extensions give an error row and no document (nothing is thrown).
+    ``files``: (path, content).  One projection over the rows, no shuffle: the
+    parallelism is that of the input, which the caller chooses (a corpus scan has
+    many partitions).  Unsupported extensions give an error row and no
+    document (nothing is thrown).
     ``plugins``: extra ``(extensions, language, fn)`` extractors for this call
     only (U1), tried after the registered ones.
     """
@@ -109,7 +90,7 @@ def file_docs(files: DataFrame, plugins=()) -> DataFrame:
     extractors = dict(_EXTRACTORS)
     extractors.update({name: fn for _, name, fn in plugins})
     lang = F.col("language")
-    df = spread(files.select("path", "content")).withColumn("language", language_of(F.col("path"), extensions))
+    df = files.select("path", "content").withColumn("language", language_of(F.col("path"), extensions))
     ext = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1))
     return df.select(
         "path", "language", _doc_expression(files.sparkSession, extensions, extractors).alias("doc"),

@@ -33,6 +33,12 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols_from_view(load_view(spark, sf_dir, "symbols_v"))
 
 
+def source_files(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """Path and content of a code view; the check tables have one row group, so the files are dealt to all cores."""
+    files = load_view(spark, sf_dir, view).select("path", "content")
+    return files.repartition(spark.sparkContext.defaultParallelism)
+
+
 # DuckDB spelling of the ranking keys (F1).
 PRIORITY_SQL = (
     "case type when 'function' then 1 when 'class' then 2 when 'route' then 3 when 'method' then 4 "

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symdex.operators import file_docs as FD
-from symdex.plans.catalog import register
+from symdex.plans.catalog import register, source_files
 from symdex.sources.fixtures import load_view, with_views
 
 SYM_COLS = ("file, seq, symbol, type, description, signature, exported, parent_symbol, is_component, "
@@ -17,7 +17,7 @@ SYM_COLS = ("file, seq, symbol, type, description, signature, exported, parent_s
 
 
 def _symbols(spark, sf, view):
-    return FD.flatten_file_docs(FD.file_docs(load_view(spark, sf, view).select("path", "content")))
+    return FD.flatten_file_docs(FD.file_docs(source_files(spark, sf, view)))
 
 
 def _row(file, seq, symbol, kind, desc="null", sig="null", exported="null", parent="null", comp="null",
@@ -139,7 +139,7 @@ _kind_key("flag_components", JS_EXPECTED, ("class",), "code_js")
     "select path, 'ts' as language, 1 as n_functions, 1 as n_classes, 1 as n_interfaces, 1 as n_type_aliases, "
     "1 as n_routes, cast(null as varchar) as error from code_ts", "code_ts"))
 def get_doc_for_file(spark, sf):
-    docs = FD.file_docs(load_view(spark, sf, "code_ts").select("path", "content"))
+    docs = FD.file_docs(source_files(spark, sf, "code_ts"))
     return docs.select("path", "language", *[F.size(F.col(f"doc.{f}")).alias(f"n_{f}") for f in
                                              ("functions", "classes", "interfaces", "type_aliases", "routes")], "error")
 
@@ -149,7 +149,7 @@ def get_doc_for_file(spark, sf):
     "3 as n_methods from code_py", "code_py"))
 def collect_file_doc(spark, sf):
     # Python keeps empty arrays (D3), so interfaces / aliases count 0 here
-    docs = FD.file_docs(load_view(spark, sf, "code_py").select("path", "content"))
+    docs = FD.file_docs(source_files(spark, sf, "code_py"))
     return docs.select("path", *[F.size(F.col(f"doc.{f}")).alias(f"n_{f}") for f in
                                  ("functions", "classes", "interfaces", "type_aliases", "routes")],
                        F.aggregate(F.col("doc.classes"), F.lit(0), lambda a, c: a + F.size(c["methods"])).alias("n_methods"))
@@ -167,7 +167,7 @@ def classify_language(spark, sf):
     "lower(regexp_extract(path, '(\\.[^./]*)$', 1)) as details from doc_files "
     "where lower(regexp_extract(path, '\\.([^./]+)$', 1)) not in ('ts', 'tsx', 'js', 'jsx', 'py')", "doc_files"))
 def file_error_rows(spark, sf):
-    docs = FD.file_docs(load_view(spark, sf, "doc_files").select("path", "content"))
+    docs = FD.file_docs(source_files(spark, sf, "doc_files"))
     return docs.where(F.col("error").isNotNull()).select("path", "error", "details")
 
 
@@ -227,7 +227,7 @@ def extract_py_params(spark, sf):
     "select '/py/' || replace(p_brand, '#', '') || '/m' || cast(p_partkey as varchar) || '.py', "
     "'get_' || cast(p_partkey as varchar), 'any' from part"))
 def extract_py_return_type(spark, sf):
-    docs = FD.file_docs(load_view(spark, sf, "code_py").select("path", "content"))
+    docs = FD.file_docs(source_files(spark, sf, "code_py"))
     return docs.select("path", F.posexplode_outer("doc.functions").alias("i", "f")).where(F.col("f").isNotNull()).select(
         "path", F.col("f.name").alias("name"), F.col("f.return_type").alias("return_type"))
 

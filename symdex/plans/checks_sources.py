@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from symdex.operators import file_docs as FD
-from symdex.plans.catalog import register
+from symdex.plans.catalog import register, source_files
 from symdex.session import ensure_checkpoint_dir
 from symdex.sources import files as SF
 from symdex.sources.fixtures import load_view, with_views
@@ -61,7 +61,7 @@ def read_source_text(spark, sf):
     "from code_ts", "code_ts"))
 def write_file_docs(spark, sf):
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/docs-{uuid.uuid4().hex}"
-    SF.write_file_docs(FD.file_docs(load_view(spark, sf, "code_ts").select("path", "content")), out)
+    SF.write_file_docs(FD.file_docs(source_files(spark, sf, "code_ts")), out)
     back = spark.read.json(out)
     return back.select("path", *[F.size(F.col(f"doc.{f}")).alias(f"n_{f}") for f in
                                  ("functions", "classes", "interfaces", "type_aliases", "routes")])
