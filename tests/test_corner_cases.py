@@ -108,3 +108,41 @@ def test_only_a_missing_table_is_empty(spark, tmp_path):
     (broken / "part-0.parquet").write_bytes(b"no parquet")
     with pytest.raises(Exception):
         TB.read_or_empty(spark, str(broken), SYMBOLS).count()
+
+
+def test_json_registry(spark, tmp_path):
+    import json
+
+    state = {
+        "symbols": [
+            {"symbol": "f", "type": "function", "file": "/p/a.ts", "exported": True, "metadata": {"visibility": "public"}},
+            {"symbol": "GET /x", "type": "route", "file": "/p/r.ts", "metadata": {"method": "GET", "path": "/x", "handler": "h"}},
+        ],
+        "files": [{"path": "/p/a.ts", "lastParsed": 1704067200000.0, "lastModified": 1704067200000.0, "exists": True}],
+        "lastFullRefresh": 1704067200000.0,
+    }
+    (tmp_path / "state.json").write_text(json.dumps(state, indent=1))
+    symbols, tracking = TB.load_registry_json(spark, str(tmp_path / "state.json"))
+    rows = symbols.orderBy("ord").collect()
+    assert [(r.ord, r.symbol, r.exported) for r in rows] == [(0, "f", True), (1, "GET /x", None)]
+    assert (rows[0].metadata.visibility, rows[1].metadata.route_path, rows[1].metadata.handler) == ("public", "/x", "h")
+    assert tracking.first().last_parsed == dt.datetime(2024, 1, 1)
+    (tmp_path / "broken.json").write_text("{ not json")
+    symbols, tracking = TB.load_registry_json(spark, str(tmp_path / "broken.json"))
+    assert symbols.count() == 0 and tracking.count() == 0
+
+
+def test_streamed_batches_number_symbols_uniquely(spark, tmp_path):
+    from symdex.streaming.changes import CHANGE_SCHEMA, apply_changes, read_state
+
+    def batch(day, **files):
+        rows = [(f"/p/{n}.py", dt.datetime(2024, 1, day), 1, c, False) for n, c in files.items()]
+        return spark.createDataFrame(rows, CHANGE_SCHEMA)
+
+    state, one = str(tmp_path / "state"), "def {0}1():\n    pass\n\ndef {0}2():\n    pass\n"
+    apply_changes(batch(1, a=one.format("a"), b=one.format("b")), 0, state, buckets=2)
+    apply_changes(batch(2, a=one.format("n")), 1, state, buckets=2)
+    apply_changes(batch(2, a=one.format("late")), 2, state, buckets=2)
+    rows = read_state(spark, state)[0].orderBy("ord").collect()
+    assert [r.symbol for r in rows] == ["b1", "b2", "n1", "n2"]
+    assert len({r.ord for r in rows}) == 4
