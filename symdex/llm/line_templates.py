@@ -5,9 +5,8 @@ with a digit is a variable field, ``<*>``, from the start.  Inside a leaf a toke
 the template of its line where at least ``MIN_DOCS`` documents have it at that place,
 else the place becomes ``<*>``.  A template recurs when ``MIN_DOCS`` documents hold a
 line of it, and at least ``SHARE`` percent of its places and ``MIN_TOKENS`` of them are
-fixed.  Lines of recurring templates are dropped, all of them, but for documents that
-would lose more than ``MOST_LOST`` percent of their words: such a document is itself what
-recurs (a copy of another), which is for document dedup to decide, and keeps its text.
+fixed.  Lines of recurring templates are dropped, all of them, in every document: a text
+of little else becomes short or empty.
 
 Counting runs on aggregates: a line is counted once a document, equal lines are
 summed before they are shuffled, and only lines of leaves with enough documents
@@ -37,7 +36,7 @@ from symdex.llm.bits import bit_table
 from symdex.llm.common import shared_folder, ship_package, written
 from symdex.llm.words import sliced
 
-DEPTH, MIN_TOKENS, MIN_DOCS, SHARE, MOST_LOST = 4, 4, 10, 80, 50
+DEPTH, MIN_TOKENS, MIN_DOCS, SHARE = 4, 4, 10, 80
 BITS = 23
 ANY = "<*>"
 _DIGIT = re.compile(r"\d")
@@ -123,7 +122,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     return seen.join(drop, ["leaf", "line"], "left_semi"), templates
 
 
-def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, least: int = MIN_TOKENS, share: int = SHARE, most_lost: int = MOST_LOST, counts: bool = False) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, least: int = MIN_TOKENS, share: int = SHARE, counts: bool = False) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from text; with ``counts`` also ``_n_lines`` and ``_n_dropped``."""
     shared_folder(docs.sparkSession)
     own = _free("_doc", docs.columns), _free("_drops", docs.columns), _free("_new", docs.columns)
@@ -141,9 +140,6 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: in
                 continue
             gone, lines = set(gone), text.split("\n")
             kept = [x for x in lines if (k := line_keys(x, depth, least)) is None or k[1] not in gone]
-            words, left = (sum(len(x.split()) for x in some) for some in (lines, kept))
-            if 100 * (words - left) > most_lost * words:
-                kept = lines
             out.append("\n".join(kept))
             n.append(len(lines) - len(kept))
         return pd.DataFrame({"text": out, "dropped": n})

@@ -72,6 +72,13 @@ def test_line_templates(spark, messy, messy_docs):
     assert {r.doc_id for r in rows.where("text is null").collect()} == {r[0] for r in messy if r[1] is None}
 
 
+def test_recurring_lines_go_however_much_of_a_text_they_are(spark):
+    common = "the same five words here"
+    rows = [(i, f"{common}\nown{i}" if i else common, None, None, None) for i in range(10)]
+    got = {r.doc_id: (r._n_dropped, r.text) for r in line_templates.without_recurring_lines(spark.createDataFrame(rows, SCHEMA), counts=True).collect()}
+    assert got == {i: (1, f"own{i}" if i else "") for i in range(10)}
+
+
 def test_near_classes(spark, messy, messy_docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_classes(messy_docs).collect()}
     assert got == brute.near_classes([(r[0], r[1]) for r in messy])
