@@ -4,8 +4,15 @@ A line goes to a leaf by its number of tokens and its first ``DEPTH`` tokens; a
 with a digit is a variable field, ``<*>``, from the start.  Inside a leaf a token stays in
 the template of its line where at least ``MIN_DOCS`` documents have it at that place,
 else the place becomes ``<*>``.  A template recurs when ``MIN_DOCS`` documents hold a
-line of it, and at least ``SHARE`` percent of its places and ``MIN_TOKENS`` of them are
-fixed.  Lines of recurring templates are dropped, all of them, in every document: a text
+line of it and enough of it is fixed:
+
+* of a template with places that vary without a digit, at least ``MIN_TOKENS`` tokens and
+  ``SHARE`` percent of those that are no digit fields;
+* of one whose lines are equal but for digit fields, whatever its length, all that is no
+  digit field.
+
+Beside digit fields one fixed token has a letter: rows of figures are no template.
+Lines of recurring templates are dropped, all of them, in every document: a text
 of little else becomes short or empty.
 
 Counting runs on aggregates: a line is counted once a document, equal lines are
@@ -14,9 +21,8 @@ come with their text (a bit table of fixed size lets the second scan skip the
 others; the join behind it is exact).  A very common line or leaf is therefore
 never gathered.
 
-Lines are the ``\\n``-split parts of the whole text; lines with fewer than
-``MIN_TOKENS`` tokens stay.  A null text stays null and has no lines; rows of one
-doc_id count as one document, equal rows too;
+Lines are the ``\\n``-split parts of the whole text; blank lines stay.  A null text
+stays null and has no lines; rows of one doc_id count as one document, equal rows too;
 a null doc_id is an id like any other; other columns stay as they are.
 """
 
@@ -54,23 +60,23 @@ def line_tokens(line: str) -> list[str]:
     return tokens
 
 
-def line_keys(line: str, depth: int, least: int) -> tuple[int, int, str] | None:
-    """Leaf, line and its tokens; None for a line that is too short."""
+def line_keys(line: str, depth: int) -> tuple[int, int, str] | None:
+    """Leaf, line and its tokens; None for a blank line."""
     tokens = line_tokens(line)
-    if len(tokens) < least:
+    if not tokens:
         return None
     joined = " ".join(tokens)
     return _signed(f"{len(tokens)} {' '.join(tokens[:depth])}".encode()), _signed(joined.encode()), joined
 
 
-def _doc_lines(batches: Iterator[pa.RecordBatch], depth: int, least: int) -> Iterator[tuple[list, list, list, list]]:
+def _doc_lines(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[list, list, list, list]]:
     """Document, leaf, line and tokens of the lines of each document, equal ones once."""
     docs, leaves, lines, texts = [], [], [], []
     for batch in sliced(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = {}
             for line in (text or "").split("\n"):
-                keys = line_keys(line, depth, least)
+                keys = line_keys(line, depth)
                 if keys:
                     found[keys[1]] = keys
             for leaf, line, joined in found.values():
@@ -92,7 +98,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     ship_package(docs.sparkSession)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, leaf, line, _ in _doc_lines(batches, depth, least):
+        for d, leaf, line, _ in _doc_lines(batches, depth):
             yield pa.RecordBatch.from_pydict({"doc": pa.array(d, pa.int64()), "leaf": pa.array(leaf, pa.int64()), "line": pa.array(line, pa.int64())})
 
     seen = written(docs.mapInArrow(names, "doc long, leaf long, line long"), "line-names")
@@ -102,7 +108,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
-        for _, leaf, line, joined in _doc_lines(batches, depth, least):
+        for _, leaf, line, joined in _doc_lines(batches, depth):
             keep = np.flatnonzero(table[np.array(leaf, np.int64) & ((1 << BITS) - 1)]) if leaf else []
             yield pa.RecordBatch.from_pydict({"leaf": pa.array([leaf[i] for i in keep], pa.int64()), "line": pa.array([line[i] for i in keep], pa.int64()), "tokens": pa.array([joined[i] for i in keep], pa.string())})
 
@@ -112,8 +118,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     common = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != ANY))
     marked = places.join(common.withColumn("fixed", F.lit(True)), ["leaf", "place", "token"], "left")
     entry = F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise(ANY).alias("token"))
-    shaped = marked.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(entry))["token"].alias("shape"), F.count_if("fixed").alias("n_fixed"))
-    enough = (F.col("n_fixed") >= least) & (100 * F.col("n_fixed") >= share * F.size("shape"))
+    shaped = marked.groupBy("leaf", "line").agg(F.sort_array(F.collect_list(entry))["token"].alias("shape"), F.count_if("fixed").alias("n_fixed"), F.count_if(F.col("token") != ANY).alias("n_words"), F.max(F.col("fixed") & F.col("token").rlike(r"\p{L}")).alias("letters"), F.first("docs").alias("docs"))
+    varied = (F.col("n_fixed") >= least) & (100 * F.col("n_fixed") >= share * F.col("n_words"))
+    equal = F.col("docs") >= min_docs
+    enough = (varied | equal) & (F.coalesce("letters", F.lit(False)) | (F.col("n_words") == F.size("shape")))
     shaped = written(shaped.where(enough).select("leaf", "line", F.array_join("shape", " ").alias("template")), "line-shapes")
     hits = seen.join(shaped, ["leaf", "line"])
     templates = hits.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
@@ -139,7 +147,7 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: in
                 n.append(0)
                 continue
             gone, lines = set(gone), text.split("\n")
-            kept = [x for x in lines if (k := line_keys(x, depth, least)) is None or k[1] not in gone]
+            kept = [x for x in lines if (k := line_keys(x, depth)) is None or k[1] not in gone]
             out.append("\n".join(kept))
             n.append(len(lines) - len(kept))
         return pd.DataFrame({"text": out, "dropped": n})

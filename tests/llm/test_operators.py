@@ -79,6 +79,18 @@ def test_recurring_lines_go_however_much_of_a_text_they_are(spark):
     assert got == {i: (1, f"own{i}" if i else "") for i in range(10)}
 
 
+def test_recurring_lines_of_few_tokens_and_many_fields(spark):
+    def text(i):
+        gone = ["And so.", "Of.", f"Page {i} of {i + 9} pages", f"Published on 2020-01-{i + 10} at 10:{i + 10}", f"Posted {i} May 2020 at 10:33 by user{'abcdefghij'[i]}", "-----"]
+        return "\n".join([*gone, f"| {i} | {i + 1} |", f"| {i} | {i} | {i} | {i} |", f"{i}", f"own{'abcdefghij'[i]}", ""])
+
+    rows = [(i, text(i), None, None, None) for i in range(10)]
+    kept = {r.doc_id: r.text for r in line_templates.without_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {i: f"| {i} | {i + 1} |\n| {i} | {i} | {i} | {i} |\n{i}\nown{'abcdefghij'[i]}\n" for i in range(10)}
+    fewer = line_templates.without_recurring_lines(spark.createDataFrame(rows[1:], SCHEMA)).collect()
+    assert {r.doc_id: r.text for r in fewer} == {i: t for i, t, *_ in rows[1:]}
+
+
 def test_near_classes(spark, messy, messy_docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_classes(messy_docs).collect()}
     assert got == brute.near_classes([(r[0], r[1]) for r in messy])
