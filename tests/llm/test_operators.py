@@ -233,6 +233,26 @@ def test_quality_cutoffs(spark):
     assert lost == 0 and judged.where("quality = 0 and not _q_kept and lang = 'en'").count() == sum(r[-1] == 0 and r[1] == "en" for r in rows)
 
 
+def test_quality_cutoffs_in_order(spark):
+    """Some 250 good holdout rows a language certify the rule with the best gain; too few certify nothing; the rules' losses count together."""
+    rows = []
+    for i in range(2300):
+        lang, bad = ("en", "de", "fr", "es")[i % 4] if i < 2200 else "it", i % 11 == 0
+        # a good row in fifty repeats itself, as some bad ones do
+        rows.append((i, lang, 100, 500, 80 if bad else i % 7, 0, 15 if i % 50 < 1 or i % 22 == 0 else 0, 10, 0, 0, 0 if bad else 1))
+    names = ["doc_id", "lang", "_q_n_words", "_q_word_chars", "_q_n_symbols", "_q_n_dup_lines", "_q_n_repeat_words", "_q_n_lines", "_q_n_capitals", "_q_n_exclamations", "quality"]
+    df = spark.createDataFrame(rows, names)
+    labels = df.select("doc_id", "quality")
+    assert quality_rules.cutoffs(df, labels).count() == 0
+    cuts = {(r.stratum, r.rule): r.cutoff for r in quality_rules.cutoffs_in_order(df, labels).collect()}
+    halves = Counter(r.lang for r in df.where(quality_rules._holdout() & (F.col("quality") == 1)).select("lang").collect())
+    enough = {lang for lang, n in halves.items() if 0.98**n <= 0.05 / 5}
+    assert enough and "it" not in enough
+    assert cuts == {(f"={lang}", "symbols"): 800 for lang in enough}
+    kept = quality_rules.judge(df, labels, featured=df, certify=quality_rules.cutoffs_in_order).where("_q_kept")
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows if r[-1] or r[1] not in enough}
+
+
 def test_binomial_tail(spark):
     cases = [(0, 10, 0.1), (3, 100, 0.05), (7, 2000, 0.01), (40, 9000, 0.004), (36, 9000, 0.004), (0, 1, 0.5)]
     df = spark.createDataFrame(cases, "k long, n long, p double")
