@@ -7,7 +7,8 @@ into one.  A block is compressed once alone and once with each template as zstan
 raw dictionary; templates are ranked by the bytes saved, as a share of what the
 template itself saves.  The ``BEST`` first are compared word by word with the block
 (lower case, without punctuation).  A wording is confirmed if its differences are at
-most ``DIFFERENCES`` percent of its words; of several the one with the most words in common,
+most ``DIFFERENCES`` percent of its words and the words that tell licenses apart
+(``kind_of``: versions, Lesser, ShareAlike and the like) are the same; of several the one with the most words in common,
 less those missing and added, wins.  The missing and added words are part of the result.
 
 One row a confirmed finding; a text without one has no row.  Null and empty texts
@@ -51,6 +52,25 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.0-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
 #: One of these stands in every template.
 CUES = ["licens", "licenc", "copyright", "warrant", "redistribut", "permission", "public domain"]
@@ -67,12 +87,29 @@ def bare(words: list[str]) -> list[str]:
     return [b for w in words if (b := _BARE.sub("", w.lower()))]
 
 
+_TELLING = re.compile("lesser|affero|sharealike|noncommercial|noderiv|^later$")
+_VERSION = re.compile(r"v?(\d+)$")
+
+
+def kind_of(low: list[str]) -> list[str]:
+    """Of bare words those that tell licenses apart, in order: names of variants, and numbers that are versions (3 for 3.0)."""
+    out = []
+    for before, w, after in zip(["", *low], low, [*low[1:], ""]):
+        if _TELLING.search(w) or w == "library" and after == "general":
+            out.append(w)
+        elif (m := _VERSION.match(w)) and (w[0] == "v" or before in ("version", "v", "license", "licence", "cc0") or before.startswith(("by", "attribution"))):
+            n = m[1]
+            out.append(n[0] if len(n) == 2 and n[1] == "0" else n)
+    return out
+
+
 class Scanner:
     """Compressors and word lists of the templates."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         self.templates = templates
         self.words = [bare(t.split()) for _, t in templates]
+        self.kinds = [kind_of(words) for words in self.words]
         self.vocabulary = {w for words in self.words for w in words if len(w) >= 5 or any(c.isdigit() for c in w)}
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.given = []
@@ -116,7 +153,7 @@ class Scanner:
             if share < LEAST_SHARE:
                 continue
             missing, added, first, last = self.differences(words, i)
-            if 100 * (len(missing) + len(added)) <= DIFFERENCES * len(self.words[i]):
+            if 100 * (len(missing) + len(added)) <= DIFFERENCES * len(self.words[i]) and kind_of(bare(words[first:last])) == self.kinds[i]:
                 # of confirmed wordings the one that explains the most words
                 row = (2 * len(missing) + len(added) - len(self.words[i]), len(missing) + len(added), -share, i, first, last, alone, saved, share, missing, added)
                 best = row if best is None or row[:4] < best[:4] else best

@@ -34,6 +34,25 @@ def test_license_differences_are_exact():
         assert scan.findings(text)[0][:2] == (0, len(text.split()))
 
 
+def test_license_variants_are_told_apart():
+    scan = license_scan.Scanner(license_scan.TEMPLATES)
+
+    def found(text):
+        return [scan.templates[r[2]][0] for r in scan.findings(text)]
+
+    assert all(len(words) <= license_scan.WINDOW // 2 for words in scan.words)
+    gpl = license_scan.TEMPLATES[10][1]
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = {
+        gpl: ["GPL-3.0-or-later"], gpl.replace("version 3", "version 2"): ["GPL-2.0-or-later"], gpl.replace("version 3", "version 3.0"): ["GPL-3.0-or-later"],
+        gpl.replace("General", "Lesser General").replace("version 3", "version 2.1"): ["LGPL-2.1-or-later"], gpl.replace("General", "Affero General"): ["AGPL-3.0-or-later"],
+        gpl.replace("program", "library").replace("General", "Library General").replace("version 3", "version 2"): ["LGPL-2.0-or-later"], gpl.replace("version 3", "version 7"): [],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"], "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+        cc.format("-ShareAlike"): ["CC-BY-SA-4.0"], cc.format("-NoDerivatives"): ["CC-BY-ND-4.0"], cc.format("-NonCommercial-ShareAlike"): ["CC-BY-NC-SA-4.0"], cc.format(" ShareAlike"): [], cc.format("").replace("4.0", "3.0"): [],
+    }
+    assert {t: found(t) for t in texts} == texts
+
+
 @pytest.mark.parametrize("most_rows", [repeats.MOST_ROWS, 2])
 def test_repeats(spark, messy, messy_docs, most_rows):
     rows = repeats.without_repeats(messy_docs, 200, 64, most_rows)
