@@ -5,8 +5,8 @@ templates that stand close together form candidate blocks; a block of more than
 ``WINDOW`` words is looked at in overlapping windows, so each template fits whole
 into one.  A block is compressed once alone and once with each template as zstandard
 raw dictionary; templates are ranked by the bytes saved, as a share of what the
-template itself saves.  The ``BEST`` first are compared word by word with the block
-(lower case, without punctuation).  A wording is confirmed if its differences are at
+template itself saves.  All above ``LEAST_SHARE`` that could still be confirmed by the
+block's words are compared word by word with it (lower case, without punctuation).  A wording is confirmed if its differences are at
 most ``DIFFERENCES`` percent of its words and the words that tell licenses apart
 (``kind_of``: versions, Lesser, ShareAlike and the like) are the same; of several the one with the most words in common,
 less those missing and added, wins.  The missing and added words are part of the result.
@@ -19,6 +19,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -75,7 +76,7 @@ TEMPLATES = [
 #: One of these stands in every template.
 CUES = ["licens", "licenc", "copyright", "warrant", "redistribut", "permission", "public domain"]
 
-WINDOW, NEAR, EDGE, BEST, DIFFERENCES, LEAST_SHARE = 400, 12, 4, 4, 10, 0.1
+WINDOW, NEAR, EDGE, DIFFERENCES, LEAST_SHARE = 400, 12, 4, 10, 0.1
 LEVEL = 9
 _WORD = re.compile(r"\S+")
 _BARE = re.compile(r"[^\w]+")
@@ -109,6 +110,7 @@ class Scanner:
     def __init__(self, templates: list[tuple[str, str]]):
         self.templates = templates
         self.words = [bare(t.split()) for _, t in templates]
+        self.counts = [Counter(words) for words in self.words]
         self.kinds = [kind_of(words) for words in self.words]
         self.vocabulary = {w for words in self.words for w in words if len(w) >= 5 or any(c.isdigit() for c in w)}
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
@@ -147,11 +149,14 @@ class Scanner:
             return self.known[block]
         data = block.encode()
         ranked = sorted(((self.saved(data, i), i) for i in range(len(self.templates))), key=lambda x: (-x[0][1] / self.own[x[1]], x[1]))
-        best = None
-        for (alone, saved), i in ranked[:BEST]:
+        best, have = None, Counter(bare(words))
+        for (alone, saved), i in ranked:
             share = saved / self.own[i]
             if share < LEAST_SHARE:
                 continue
+            # words that the block has nowhere are missing in any case
+            if 100 * (self.counts[i] - have).total() > DIFFERENCES * len(self.words[i]):
+                continue
             missing, added, first, last = self.differences(words, i)
             if 100 * (len(missing) + len(added)) <= DIFFERENCES * len(self.words[i]) and kind_of(bare(words[first:last])) == self.kinds[i]:
                 # of confirmed wordings the one that explains the most words

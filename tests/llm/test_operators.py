@@ -53,6 +53,13 @@ def test_license_variants_are_told_apart():
     assert {t: found(t) for t in texts} == texts
 
 
+def test_license_notice_behind_many_reworded_ones():
+    scan = license_scan.Scanner(license_scan.TEMPLATES)
+    other = license_scan.TEMPLATES[10][1].replace("version 3", "version 7")
+    found = scan.findings(other + " " + license_scan.TEMPLATES[1][1])
+    assert [(r[0], r[1], r[2]) for r in found] == [(len(other.split()), len(other.split()) + 5, 1)]
+
+
 @pytest.mark.parametrize("most_rows", [repeats.MOST_ROWS, 2])
 def test_repeats(spark, messy, messy_docs, most_rows):
     rows = repeats.without_repeats(messy_docs, 200, 64, most_rows)
