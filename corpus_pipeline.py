@@ -6,7 +6,7 @@ stages but the last return the columns of ``documents``.
 
 * ``quality_rules`` drops the documents that the base check or a certified cutoff rejects.
 * ``line_dedup`` drops the lines of recurring templates; every document stays.
-* ``near_copies`` keeps the document of each group that has the least doc_id.
+* ``near_copies`` keeps the document of each group (five-word shingles, 80 percent) that has the least doc_id.
 * ``source_mix`` repeats or leaves out documents so that sources reach their targets.
 * ``encoding`` returns doc_id, ids and what they decode to, a row for each copy in the mix.
 """
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, words=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
