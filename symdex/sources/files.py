@@ -17,6 +17,10 @@ from symdex.operators.registry import union_listings
 from symdex.schemas import DEFAULT_PATTERNS
 
 
+#: Scheme and authority of a URI, before its path.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
+
+
 def _ext_filter(patterns) -> str | None:
     """A ``pathGlobFilter`` covering every pattern when they only differ in the file name."""
     names = {p.split("/")[-1] for p in patterns}
@@ -33,7 +37,9 @@ def read_source_text(files: DataFrame) -> DataFrame:
 def scan_source_files(spark: SparkSession, base_dir: str, patterns=DEFAULT_PATTERNS, with_content: bool = True) -> DataFrame:
     """A1 + G1: one listing per pattern (relative to ``base_dir``), concatenated, duplicates kept.
 
-    Output: pattern_idx, path (absolute, scheme stripped), mtime, length[, content].
+    Output: pattern_idx, path (absolute, scheme and authority stripped), mtime, length[, content].
+    A root that its own files do not lie below as written (relative, or with wildcards) is an error.
+    Spark leaves out names that start with ``_`` or ``.``, and so does this scan.
     The file-name part of the patterns is pushed into the listing
     (``pathGlobFilter``), so files of other types are never opened.
     """
@@ -42,14 +48,16 @@ def scan_source_files(spark: SparkSession, base_dir: str, patterns=DEFAULT_PATTE
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.load(base_dir)
-    cols = [F.regexp_replace(F.col("path"), r"^file:", "").alias("path"),
+    root = re.sub("/+", "/", re.sub(_SCHEME, "", base_dir)).rstrip("/") + "/"
+    path = F.regexp_replace(F.col("path"), _SCHEME, "")
+    outside = F.raise_error(F.concat(F.lit(f"listed for {base_dir} but not below it: "), F.col("path")))
+    cols = [F.when(path.startswith(root), path).otherwise(outside).alias("path"),
             F.col("modificationTime").alias("mtime"), F.col("length")]
     if with_content:
         cols.append(F.col("content"))
     files = raw.select(*cols)
     if with_content:
         files = read_source_text(files)
-    root = re.sub(r"^file:", "", base_dir)
     return union_listings(files, patterns, base_dir=root)
 
 
