@@ -1,4 +1,4 @@
-"""The registered queries of the text operators, over the whole ``documents`` table."""
+"""The registered queries of the text operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm import byte_pairs, fingerprints, jaccard_join, katz_lm, license_scan, line_templates, quality_rules, repeats, source_mix, token_files
+from symdex.llm import byte_pairs, fingerprints, html_text, jaccard_join, katz_lm, lexical_search, license_scan, line_templates, quality_rules, repeats, source_mix, token_files, vector_codes
 from symdex.llm.common import documents, table
 
 
@@ -52,6 +52,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(documents(spark, sf_dir), "byte_bpe_50k.json", end_id=2)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_repeats": op2_repeats,
@@ -63,10 +75,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_katz_lm": op9_katz_lm,
     "op10_token_files": op10_token_files,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_html_text": op12_html_text,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op5_source_mix": source_mix.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
