@@ -80,8 +80,8 @@ def file_docs(files: DataFrame, plugins=()) -> DataFrame:
 
     ``files``: (path, content).  One projection over the rows, no shuffle: the
     parallelism is that of the input, which the caller chooses (a corpus scan has
-    many partitions).  Unsupported extensions give an error row and no
-    document (nothing is thrown).
+    many partitions).  Unsupported extensions and files without readable content (null)
+    give an error row and no document (nothing is thrown).
     ``plugins``: extra ``(extensions, language, fn)`` extractors for this call
     only (U1), tried after the registered ones.
     """
@@ -93,12 +93,31 @@ def file_docs(files: DataFrame, plugins=()) -> DataFrame:
     df = files.select("path", "content").withColumn("language", language_of(F.col("path"), extensions))
     ext = F.lower(F.regexp_extract(F.col("path"), r"(\.[^./]*)$", 1))
     return df.select(
-        "path", "language", _doc_expression(files.sparkSession, extensions, extractors).alias("doc"),
-        F.when(lang.isNull(), F.lit("Unsupported file type")).alias("error"),
-        F.when(lang.isNull(), F.concat(F.lit("No parser available for file type: "), ext)).alias("details"),
+        "path", "language", F.when(F.col("content").isNotNull(), _doc_expression(files.sparkSession, extensions, extractors)).alias("doc"),
+        F.when(lang.isNull(), F.lit("Unsupported file type")).when(F.col("content").isNull(), F.lit("Parsing error")).alias("error"),
+        F.when(lang.isNull(), F.concat(F.lit("No parser available for file type: "), ext))
+        .when(F.col("content").isNull(), F.concat(F.lit("File cannot be read: "), F.col("path"))).alias("details"),
     )
 
 
+def requested_file_docs(wanted: DataFrame, files: DataFrame, plugins=()) -> DataFrame:
+    """B2 + X21 for the paths asked for: (path, language, doc, error, details), one row a different path of ``wanted``.
+
+    An empty path, a path that is not in ``files``, an extension without a parser and a file without readable content
+    (null) give error rows.  Only the files asked for are parsed, each once.
+    """
+    asked = wanted.select(F.col("path").alias("_p")).distinct()
+    have = files.select("path", "content").join(asked, F.col("path") == F.col("_p"), "left_semi").dropDuplicates(["path"])
+    rows = asked.join(file_docs(have, plugins), F.col("_p") == F.col("path"), "left")
+    path = F.col("_p")
+    empty, missing = F.coalesce(path, F.lit("")) == "", F.col("path").isNull()
+    return rows.select(
+        path.alias("path"), "language", "doc",
+        F.when(empty, F.lit("Invalid input")).when(missing, F.lit("File not found")).otherwise(F.col("error")).alias("error"),
+        F.when(empty, F.lit('Missing or invalid "file" field')).when(missing, F.concat(F.lit("File not found at path: "), path))
+        .otherwise(F.col("details")).alias("details"))
+
+
 def conform_doc(doc: Column, keep_empty: bool) -> Column:
     """Cast an extractor's struct (all five fields) to DOC_T; empty arrays -> null unless kept (D3)."""
     def body(d):
@@ -176,21 +195,33 @@ def flatten_file_docs(docs: DataFrame) -> DataFrame:
         "file", "seq", *[F.col(f"s.{f}").alias(f) for f in SYMBOL_FIELDS])
 
 
+def doc_symbol_counts(files: DataFrame) -> DataFrame:
+    """(path, n_symbols): how many symbols each file that can be parsed has, keys counted once."""
+    docs = file_docs(files.select("path", "content")).where(F.col("error").isNull())
+    keys = let(F.col("doc"), lambda d: F.size(F.array_distinct(F.transform(doc_symbols(d), lambda s: F.struct(s["symbol"], s["type"], s["parent_symbol"])))))
+    return docs.select("path", keys.alias("n_symbols"))
+
+
 def next_ord(symbols: DataFrame) -> int:
     """First free insertion number of a symbol table (one scalar aggregate)."""
     top = symbols.agg(F.max("ord").alias("m")).first()["m"]
     return 0 if top is None else int(top) + 1
 
 
+def in_file_order(files: DataFrame) -> DataFrame:
+    """Files in ranges of their paths.  Rows that each file is then turned into, in place, stay in order of path and place."""
+    return files.repartitionByRange("path").sortWithinPartitions("path")
+
+
 def insertion_order(rows: DataFrame, offset: int = 0) -> DataFrame:
     """Unique ``ord``, increasing by path and place in the file: ``offset`` + ``monotonically_increasing_id``.
 
-    Rows are put in order by ranges of paths, so the order does not depend on how the
-    input was split; files of a later batch start above every existing ``ord``
+    ``rows`` are the symbols of files that were put in order before they were parsed (:func:`in_file_order`), so
+    the order does not depend on how the input was split and the range shuffle samples paths, not parsed
+    files; files of a later batch start above every existing ``ord``
     (``offset`` = :func:`next_ord`) and so move to the end (Q1).  Gaps between
     partitions are harmless.
     """
-    rows = rows.repartitionByRange("file", "seq").sortWithinPartitions("file", "seq")
     return rows.withColumn("ord", F.lit(offset).cast("long") + F.monotonically_increasing_id())
 
 
@@ -205,4 +236,4 @@ def to_symbol_table(rows: DataFrame, offset: int = 0) -> DataFrame:
 
 def extract_symbols(files: DataFrame, offset: int = 0) -> DataFrame:
     """Files -> symbol table rows (the ``extract`` step of a refresh)."""
-    return to_symbol_table(flatten_file_docs(file_docs(files)), offset)
+    return to_symbol_table(flatten_file_docs(file_docs(in_file_order(files.select("path", "content")))), offset)

@@ -133,20 +133,35 @@ def symbol_count(symbols: DataFrame) -> DataFrame:
 # --- listing -----------------------------------------------------------------------
 
 def glob_to_regex(pattern: str) -> str:
-    """Translate a ``**``/``*``/``?``/``{a,b}`` glob into an anchored Java regex."""
+    """Translate a ``**``/``*``/``?``/``{a,b}`` glob into an anchored Java regex.
+
+    Wildcards do not match the dot that a name starts with: files and folders whose names start with ``.`` are
+    only matched by patterns that spell the dot.
+    """
+    return "^" + "(?!\\.)" * (pattern[:1] in ("*", "?") and not pattern.startswith("**/")) + _glob_body(pattern) + "$"
+
+
+#: A folder, any number of them, and the rest of a name, for wildcards.
+_FOLDERS, _ANY, _NAME, _NO_DOT = "(?:(?!\\.)[^/]+/)*", "(?:(?!\\.)[^/]+/)*(?!\\.)[^/]*", "[^/]*", "(?!\\.)"
+
+
+def _glob_body(pattern: str) -> str:
     out, i = [], 0
     while i < len(pattern):
         c = pattern[i]
-        if pattern.startswith("**/", i):
-            out.append("(?:.*/)?")
+        first = i == 0 or pattern[i - 1] == "/"  # of a name
+        if pattern.startswith("**/", i) and first:
+            out.append(_FOLDERS + (_NO_DOT if pattern[i + 3:i + 4] in ("*", "?") and not pattern.startswith("**/", i + 3) else ""))
             i += 3
             continue
         if pattern.startswith("**", i):
-            out.append(".*")
+            out.append(_ANY if first else _NAME)
             i += 2
             continue
-        if c == "*":
-            out.append("[^/]*")
+        if c == "/":
+            out.append("/" + (_NO_DOT if pattern[i + 1:i + 2] in ("*", "?") and not pattern.startswith("**", i + 1) else ""))
+        elif c == "*":
+            out.append(_NAME)
         elif c == "?":
             out.append("[^/]")
         elif c == "{":
@@ -157,7 +172,23 @@ def glob_to_regex(pattern: str) -> str:
         else:
             out.append(_escape_glob(c))
         i += 1
-    return "^" + "".join(out) + "$"
+    return "".join(out)
+
+
+def glob_to_regex_col(pattern: F.Column) -> F.Column:
+    """:func:`glob_to_regex` of a column of patterns."""
+    marks = {"**/": "\ue000", "**": "\ue001", "*": "\ue002", "?": "\ue003"}
+    x = F.regexp_replace(pattern, r"([.+()|^$\[\]\\])", r"\\$1")
+    x = F.regexp_replace(F.regexp_replace(x, r",(?=[^{}]*\})", "|"), r"\{", "(")
+    x = F.replace(x, F.lit("}"), F.lit(")"))
+    for glob, mark in marks.items():
+        x = F.replace(x, F.lit(glob), F.lit(mark))
+    at_start = "(^|[/\ue000])"  # of a name
+    x = F.regexp_replace(x, f"{at_start}(?=[\ue002\ue003])", "$1" + _NO_DOT.replace("\\", "\\\\"))
+    x = F.regexp_replace(x, f"{at_start}\ue001", "$1" + _ANY.replace("\\", "\\\\"))
+    for mark, regex in (("\ue000", _FOLDERS), ("\ue001", _NAME), ("\ue002", _NAME), ("\ue003", "[^/]")):
+        x = F.replace(x, F.lit(mark), F.lit(regex))
+    return F.concat(F.lit("^"), x, F.lit("$"))
 
 
 def _escape_glob(s: str) -> str:
@@ -231,3 +262,33 @@ def refresh_summary(todo: DataFrame, vanished: DataFrame, symbols: DataFrame) ->
     c = symbols.agg(F.count(F.lit(1)).cast("int").alias("symbols")).withColumn("_one", F.lit(1))
     return (F.broadcast(a).join(F.broadcast(b), "_one").join(F.broadcast(c), "_one")
             .select(F.lit(True).alias("refreshed"), "files_processed", "files_removed", "symbols"))
+
+
+def scan_summaries(scans: DataFrame, symbols: DataFrame, listing: DataFrame, files: DataFrame) -> DataFrame:
+    """What full scans would report: (scan, files_processed, symbols) for each of ``scans`` (scan, base_dir, patterns).
+
+    files_processed counts the listed files once for every pattern they match; the symbols are those of the
+    files that the scan parses anew and the present ones of all others.  ``symbols`` are already free of deleted files.  Only files that
+    some scan lists are parsed, each once, so without a scan nothing is.
+    """
+    from symdex.operators.file_docs import doc_symbol_counts
+
+    base = F.concat(F.rtrim(F.col("base_dir"), F.lit("/")), F.lit("/"))
+    wanted = scans.select("scan", base.alias("_base"), F.transform("patterns", glob_to_regex_col).alias("_globs"))
+    # every folder a file lies below, so that scans meet their files by an equal key
+    names = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda n: F.concat(F.array_join(F.slice(names, 1, n), "/"), F.lit("/")))
+    inside = listing.select("path", F.explode(F.when(F.size(names) > 1, folders)).alias("_base")).join(wanted, "_base")
+    times = F.size(F.filter("_globs", lambda g: F.regexp_like(F.substr(F.col("path"), F.length("_base") + 1), g)))
+    hits = inside.select("scan", "path", times.alias("times")).where("times > 0")
+    parsed = doc_symbol_counts(files.join(hits.select("path").distinct(), "path", "left_semi"))
+    new = hits.join(parsed, "path", "left").groupBy("scan").agg(
+        F.sum("times").cast("int").alias("files_processed"), F.coalesce(F.sum("n_symbols"), F.lit(0)).alias("fresh"))
+    have = symbols.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    # the present symbols of files that the scan parses are replaced
+    gone = hits.join(parsed, "path").join(have.withColumnRenamed("file", "path"), "path").groupBy("scan").agg(F.sum("n").alias("gone"))
+    total = F.broadcast(symbols.agg(F.count(F.lit(1)).alias("n_all")).withColumn("_one", F.lit(1)))  # one row
+    rows = scans.select("scan", F.lit(1).alias("_one")).join(new, "scan", "left").join(gone, "scan", "left").join(total, "_one")
+    zero = F.lit(0)
+    return rows.select("scan", F.coalesce("files_processed", zero).alias("files_processed"),
+                       (F.col("n_all") + F.coalesce("fresh", zero) - F.coalesce("gone", zero)).cast("int").alias("symbols"))

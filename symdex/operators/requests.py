@@ -1,9 +1,9 @@
-"""Request lines in, answers out.
+"""Request lines in, answers out.
 
-Many requests are answered at once: the request DataFrame is split by tool,
-each tool is one join plan against the tables (symbols, files, tracking), and
-the per-tool answers are unioned back by ``request_id``.  Errors are rows,
-never exceptions.
+Many requests are answered at once, from a registry that the caller has brought up to date once, as the
+tools do before they answer: the requests are split by tool, each tool is one plan over the tables (symbols,
+files, listing), and the answers are unioned by ``request_id``.  A tool that no
+request asks for has an empty side in all its joins.  Errors are rows, never exceptions.
 """
 
 from __future__ import annotations
@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symdex.functions.columns import js_trim, kept, parse_symbol_type_col, type_priority
+from symdex.functions.columns import extension, js_trim, parse_symbol_type_col
+from symdex.operators import answers as A
+from symdex.operators import file_docs as FD
 from symdex.operators import registry as G
-from symdex.operators.search import rank_within_request
-from symdex.schemas import AUTOCOMPLETE_LIMIT, SEARCH_LIMIT
+from symdex.operators.usages import with_listing_order
+from symdex.schemas import AUTOCOMPLETE_LIMIT, DEFAULT_PATTERNS, SEARCH_LIMIT
+from symdex.session import ensure_checkpoint_dir
 
 TOOLS = ("get_doc_for_file", "search_project_symbols", "autocomplete_symbol", "get_doc_for_symbol",
          "find_usages", "refresh_registry")
@@ -49,7 +52,7 @@ def parse_requests(requests: DataFrame) -> DataFrame:
 
 
 def request_fields(parsed: DataFrame) -> DataFrame:
-    """Typed input fields of every tool (missing -> null; non-strings treated as missing)."""
+    """Typed input fields of every tool (missing -> null; values of another type treated as missing)."""
     inp = F.try_parse_json(F.col("input"))
 
     def s(name):
@@ -62,166 +65,194 @@ def request_fields(parsed: DataFrame) -> DataFrame:
         return F.when(_json_type(inp, f"$.{name}").rlike("^(INT|BIGINT|DECIMAL|DOUBLE|FLOAT|SMALLINT|TINYINT)"),
                       F.variant_get(inp, f"$.{name}", "double").cast("int"))
 
+    def strings(name):
+        return F.when(_json_type(inp, f"$.{name}") == "ARRAY<STRING>", F.variant_get(inp, f"$.{name}", "array<string>"))
+
     return parsed.select(
         "request_id", "tool", "error", "details",
         s("query").alias("query"), s("prefix").alias("prefix"), s("symbol").alias("symbol"), s("file").alias("file"),
         s("type").alias("type"), b("exactMatch").alias("exact_match"), b("includePrivate").alias("include_private"),
-        b("includeDefinition").alias("include_definition"), b("fullScan").alias("full_scan"),
-        n("limit").alias("limit"), n("maxResults").alias("max_results"),
+        b("includeDefinition").alias("include_definition"), b("includeRelated").alias("include_related"), b("fullScan").alias("full_scan"),
+        n("limit").alias("limit"), n("maxResults").alias("max_results"), s("baseDir").alias("base_dir"), strings("patterns").alias("patterns"),
     )
 
 
-def _answers(df: DataFrame, error=None, details=None, count=None, first=None) -> DataFrame:
-    def lit(v, t):
-        return v.cast(t) if isinstance(v, F.Column) else F.lit(v).cast(t)
-    return df.select(
-        "request_id", "tool", lit(error, "string").alias("error"), lit(details, "string").alias("details"),
-        lit(count, "int").alias("result_count"), lit(first, "string").alias("first_symbol"))
-
-
-_SEARCH_LIKE = {
-    # tool: (term field, default limit, exact lookup)
-    "search_project_symbols": ("query", SEARCH_LIMIT, False),
-    "autocomplete_symbol": ("prefix", AUTOCOMPLETE_LIMIT, False),
-    "get_doc_for_symbol": ("symbol", 1, True),
-    "find_usages": ("symbol", 1, True),
+#: What each tool answers, as the JSON fields of its response.
+METADATA_T = "struct<isComponent:boolean,visibility:string,method:string,path:string,handler:string>"
+RECORD_T = ("struct<symbol:string,type:string,file:string,description:string,signature:string,exported:boolean,parentSymbol:string,"
+            f"metadata:{METADATA_T}>")
+COMPLETION_T = "struct<symbol:string,type:string,signature:string,description:string,filePath:string>"
+SYMBOL_DOC_T = ("struct<name:string,type:string,file:string,description:string,signature:string,exported:boolean,visibility:string,"
+                f"metadata:{METADATA_T},relatedSymbols:array<{A.RELATED}>>")
+USAGES_T = f"struct<symbol:string,type:string,usages:array<{A.USAGE}>,totalFound:int,limitReached:boolean>"
+METHOD_T = "struct<name:string,params:array<string>,returnType:string,description:string,visibility:string>"
+PROPERTY_T = "struct<name:string,type:string,description:string,visibility:string>"
+FILE_DOC_T = ("struct<filePath:string,functions:array<struct<name:string,params:array<string>,returnType:string,description:string,exported:boolean>>,"
+              f"classes:array<struct<name:string,description:string,exported:boolean,methods:array<{METHOD_T}>,properties:array<{PROPERTY_T}>,isComponent:boolean>>,"
+              f"interfaces:array<struct<name:string,description:string,exported:boolean,properties:array<{PROPERTY_T}>,methods:array<{METHOD_T}>>>,"
+              "typeAliases:array<struct<name:string,type:string,description:string,exported:boolean>>,"
+              "routes:array<struct<method:string,path:string,handler:string,description:string>>>")
+REFRESH_T = "struct<refreshed:boolean,filesProcessed:int,filesRemoved:int,symbols:int>"
+PAYLOADS = {
+    "results": f"array<{RECORD_T}>", "completions": f"array<{COMPLETION_T}>", "symbol_doc": SYMBOL_DOC_T, "usages": USAGES_T,
+    "file_doc": FILE_DOC_T, "refresh": REFRESH_T,
 }
 
 
-def _ranked_answers(ok: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Every search-like request in one top-k plan (E4): (request_id, tool, result_count, first_symbol)."""
-    tool = F.col("tool")
-    term = exact = limit = None
-    for name, (field, default, is_exact) in _SEARCH_LIKE.items():
-        t = F.col(field)
-        lim = F.lit(1) if is_exact else (
-            F.when(F.coalesce(F.col("limit"), F.lit(0)) == 0, F.lit(default)).otherwise(F.col("limit"))
-            if name == "autocomplete_symbol" else F.coalesce(F.col("limit"), F.lit(default)))
-        term = F.when(tool == name, t) if term is None else term.when(tool == name, t)
-        exact = F.when(tool == name, F.lit(is_exact)) if exact is None else exact.when(tool == name, F.lit(is_exact))
-        limit = F.when(tool == name, lim) if limit is None else limit.when(tool == name, lim)
-    reqs = ok.where(tool.isin(*_SEARCH_LIKE))
-    req = reqs.select(
-        "request_id", term.alias("term"), F.col("type").alias("type"),
-        F.when(tool == "search_project_symbols", F.col("file")).alias("file"),
-        F.when(exact, F.lit(True)).otherwise(F.coalesce(F.col("exact_match"), F.lit(False))).alias("exact_match"),
-        F.when(exact, F.lit(True)).otherwise(F.coalesce(F.col("include_private"), F.lit(False))).alias("include_private"),
-        limit.alias("limit"))
-    ranked = rank_within_request(req, symbols)
-    agg = ranked.groupBy("request_id").agg(
-        F.count(F.lit(1)).cast("int").alias("result_count"),
-        F.min_by("symbol", F.struct(F.coalesce(F.col("symbol") != F.col("term"), F.lit(True)), ~F.coalesce("exported", F.lit(False)), type_priority(F.col("type")), "ord")).alias("first_symbol"))
-    return reqs.join(agg, "request_id", "left").select(
-        "request_id", "tool", "symbol", F.coalesce(F.col("result_count"), F.lit(0)).alias("result_count"),
-        "first_symbol")
+def _answers(df: DataFrame, error=None, details=None, part=None, **payload) -> DataFrame:
+    """Answer rows: request_id, part, tool, error, details and the payload columns, null but for the tool's own."""
+    none = F.lit(None)
+    return df.select(
+        "request_id", (F.lit(0) if part is None else part).cast("int").alias("part"), "tool",
+        (none if error is None else error).cast("string").alias("error"), (none if details is None else details).cast("string").alias("details"),
+        *[payload.get(name, none).cast(t).alias(name) for name, t in PAYLOADS.items()])
 
 
 def dispatch_requests(requests: DataFrame, symbols: DataFrame, files: DataFrame | None = None,
-                      tracking: DataFrame | None = None, listing: DataFrame | None = None) -> DataFrame:
+                      listing: DataFrame | None = None, summary: DataFrame | None = None,
+                      base_dir: str = "/", grams=None, gram_counts=None, tokens=None, token_counts=None) -> DataFrame:
     """Answer every request row; one plan per tool, results unioned by request.
 
-    Output: request_id, tool, error, details, result_count, first_symbol.
+    Output: request_id, part, tool, error, details and one payload column a tool (``PAYLOADS``): results, completions,
+    symbol_doc, usages, file_doc, refresh.  A list without a limit comes in parts, numbered from 0.
+
+    ``files``: path, content of the files on disk; ``listing``: their path and mtime.  The tools bring the registry up to date before they
+    answer: the caller does so once for the batch (``sources.store.refresh_store``) and hands its ``summary`` over, which is what
+    a plain refresh request is told; a request for a full scan is told what that scan would give.  ``grams``, ``tokens`` and
+    their counts are stored indexes; without them they are derived from the tables.
     """
-    fields = request_fields(parse_requests(requests)).cache()
-    bad = _answers(fields.where(F.col("error").isNotNull()), F.col("error"), F.col("details"), 0, None)
+    spark = symbols.sparkSession
+    if files is None:
+        files = spark.createDataFrame([], "path string, content string")
+    # parsed once: every tool reads the fields many times, and each would parse the line again
+    ensure_checkpoint_dir(spark)
+    fields = request_fields(parse_requests(requests)).checkpoint()
     ok = fields.where(F.col("error").isNull())
-    unknown = ok.where(~F.col("tool").isin(*TOOLS))
-    out = [bad, _answers(unknown, "Unknown tool", F.concat(F.lit('Tool "'), F.col("tool"), F.lit('" not supported')), 0, None)]
-
-    # search-like tools share one ranked plan; empty terms give no rows
-    ranked = _ranked_answers(ok, symbols).cache()
-    for name in ("search_project_symbols", "autocomplete_symbol"):
-        out.append(_answers(ranked.where(F.col("tool") == name), None, None, F.col("result_count"), F.col("first_symbol")))
-    out.append(_doc_answers(ranked.where(F.col("tool") == "get_doc_for_symbol")))
-    out.append(_usage_answers(ranked.where(F.col("tool") == "find_usages"), files))
-
-    # refresh_registry: one summary for the batch (built only when the batch asks for it)
-    refresh = ok.where(F.col("tool") == "refresh_registry")
-    if tracking is not None and listing is not None and _has(refresh):
-        summary = G.refresh_registry(symbols, tracking, listing, None, F.current_timestamp())[2]
-        out.append(refresh.withColumn("_one", F.lit(1)).join(
-            F.broadcast(summary.withColumn("_one", F.lit(1))), "_one").select(
-            "request_id", "tool", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("details"),
-            F.col("files_processed").alias("result_count"), F.lit(None).cast("string").alias("first_symbol")))
-    else:
-        out.append(_answers(refresh, None, None, 0, None))
-
-    # get_doc_for_file: invalid input / not found / unsupported / parsed
-    gdf = ok.where(F.col("tool") == "get_doc_for_file")
-    out.append(_file_answers(gdf, files if _has(gdf) else None))
-
+    tool = F.col("tool")
+    unknown = _answers(ok.where(~tool.isin(*TOOLS)), F.lit("Unknown tool"), F.concat(F.lit('Tool "'), tool, F.lit('" not supported')))
+    out = [_answers(fields.where(F.col("error").isNotNull()), F.col("error"), F.col("details")), unknown]
+
+    listed = with_listing_order(files, keep_others=True)
+    out.append(_search_answers(ok.where(tool == "search_project_symbols"), symbols, grams, gram_counts))
+    out.append(_completion_answers(ok.where(tool == "autocomplete_symbol"), symbols, grams, gram_counts))
+    out.append(_symbol_answers(ok.where(tool == "get_doc_for_symbol"), symbols))
+    out.append(_usage_answers(ok.where(tool == "find_usages"), symbols, listed, tokens, token_counts))
+    out.append(_file_answers(ok.where(tool == "get_doc_for_file"), files))
+    out.append(_refresh_answers(ok.where(tool == "refresh_registry"), symbols, listing, files, summary, base_dir))
     result = out[0]
     for o in out[1:]:
         result = result.unionByName(o)
-    # the parsed requests and the shared ranking are read by several branches;
-    # ``release(result)`` drops them once the answers are written
-    return kept(result, fields, ranked)
-
-
-def _doc_answers(found: DataFrame) -> DataFrame:
-    return found.select(
-        "request_id", "tool",
-        F.when(F.coalesce(F.col("symbol"), F.lit("")) == "", F.lit("Missing or invalid symbol name"))
-        .when(F.col("result_count") == 0, F.concat(F.lit("Symbol '"), F.col("symbol"), F.lit("' not found"))).alias("error"),
-        F.lit(None).cast("string").alias("details"), "result_count", "first_symbol")
-
-
-def _has(df: DataFrame) -> bool:
-    """Whether a (cached, small) request subset has any row: one tiny job instead of a whole plan."""
-    return df.limit(1).count() > 0
-
-
-def _usage_answers(found: DataFrame, files: DataFrame | None) -> DataFrame:
-    none = F.lit(None).cast("string")
-    if files is None or not _has(found.where(F.col("result_count") > 0)):
-        return found.select("request_id", "tool", none.alias("error"), none.alias("details"),
-                            F.lit(0).alias("result_count"), "first_symbol")
-    from symdex.operators.usages import usage_scan_batch, with_listing_order
-
-    names = found.where(F.col("result_count") > 0).select(F.col("first_symbol").alias("name")).distinct()
-    counts = usage_scan_batch(with_listing_order(files), names).groupBy("name").agg(
-        F.count(F.lit(1)).cast("int").alias("n"))
-    j = found.join(counts, found.first_symbol == counts.name, "left")
-    return j.select("request_id", "tool", none.alias("error"), none.alias("details"),
-                    F.when(F.col("result_count") > 0, F.coalesce(F.col("n"), F.lit(0))).otherwise(F.lit(0))
-                    .alias("result_count"), "first_symbol")
-
-
-def _file_answers(gdf: DataFrame, files: DataFrame | None) -> DataFrame:
-    from symdex.operators.file_docs import file_docs
-
-    path = F.col("file")
-    listed = files.select(F.col("path").alias("_p")).withColumn("_hit", F.lit(True)) if files is not None else None
-    j = gdf if listed is None else gdf.join(listed, gdf.file == listed._p, "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False)) if listed is not None else F.lit(False)
-    ext = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
-    lang_ok = ext.isin(".ts", ".tsx", ".js", ".jsx", ".py")
-    err = (F.when(F.coalesce(path, F.lit("")) == "", F.lit("Invalid input"))
-           .when(~hit, F.lit("File not found"))
-           .when(~lang_ok, F.lit("Unsupported file type")))
-    det = (F.when(F.coalesce(path, F.lit("")) == "", F.lit('Missing or invalid "file" field'))
-           .when(~hit, F.concat(F.lit("File not found at path: "), path))
-           .when(~lang_ok, F.concat(F.lit("No parser available for file type: "), ext)))
-    base = j.select("request_id", "tool", "file", err.alias("error"), det.alias("details"))
-    if files is None:
-        return base.select("request_id", "tool", "error", "details", F.lit(0).alias("result_count"),
-                           F.lit(None).cast("string").alias("first_symbol"))
-    wanted = files.join(base.where(F.col("error").isNull()).select(F.col("file").alias("path")).distinct(), "path", "left_semi")
-    from symdex.operators.file_docs import flatten_file_docs
-
-    n = flatten_file_docs(file_docs(wanted)).groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return base.join(n, "file", "left").select(
-        "request_id", "tool", "error", "details",
-        F.when(F.col("error").isNull(), F.coalesce(F.col("n"), F.lit(0))).otherwise(F.lit(0)).alias("result_count"),
-        F.lit(None).cast("string").alias("first_symbol"))
+    return result
+
+
+def _term(df: DataFrame, field: str, limit) -> DataFrame:
+    private, exact = F.coalesce("include_private", F.lit(False)), F.coalesce("exact_match", F.lit(False))
+    auto = field == "prefix"
+    return df.select("request_id", F.col(field).alias("term"), "type", (F.lit(None).cast("string") if auto else F.col("file")).alias("file"),
+                     (F.lit(False) if auto else exact).alias("exact_match"), private.alias("include_private"), limit.alias("limit"))
+
+
+def _search_answers(asked: DataFrame, symbols: DataFrame, grams, counts) -> DataFrame:
+    found = A.searched(_term(asked, "query", F.coalesce("limit", F.lit(SEARCH_LIMIT))), symbols, grams, counts)
+    none = F.array().cast(PAYLOADS["results"])  # an empty query has no results (B11)
+    return _answers(asked.join(found, "request_id", "left"), part=F.coalesce("part", F.lit(0)), results=F.coalesce(F.col("records").cast(PAYLOADS["results"]), none))
+
+
+def _completion_answers(asked: DataFrame, symbols: DataFrame, grams, counts) -> DataFrame:
+    limit = F.when(F.coalesce("limit", F.lit(0)) == 0, F.lit(AUTOCOMPLETE_LIMIT)).otherwise(F.col("limit"))
+    found = A.searched(_term(asked, "prefix", limit), symbols, grams, counts)
+    none = F.array().cast(PAYLOADS["completions"])
+    own = F.transform("records", A.as_completion).cast(PAYLOADS["completions"])
+    return _answers(asked.join(found, "request_id", "left"), part=F.coalesce("part", F.lit(0)), completions=F.coalesce(own, none))
+
+
+def _symbol_answers(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    found = A.symbol_docs(asked.select("request_id", "symbol", "type", "file", "include_related"), symbols)
+    error = (F.when(F.coalesce(F.col("symbol"), F.lit("")) == "", F.lit("Missing or invalid symbol name"))
+             .when(F.col("doc").isNull(), F.concat(F.lit("Symbol '"), F.col("symbol"), F.lit("' not found"))))
+    return _answers(asked.join(found, "request_id", "left"), error, part=F.coalesce("part", F.lit(0)), symbol_doc=F.col("doc"))
+
+
+def _usage_answers(asked: DataFrame, symbols: DataFrame, listed: DataFrame, tokens, counts) -> DataFrame:
+    found = A.usages(asked.select("request_id", "symbol", "type", "file", "include_definition", "max_results"), symbols, listed, tokens, counts)
+    found = found.select("request_id", F.struct("symbol", "type", "usages", "totalFound", "limitReached").cast(USAGES_T).alias("u"))
+    no_name = F.coalesce(F.col("symbol"), F.lit("")) == ""
+    unknown = F.when(F.coalesce(F.col("type"), F.lit("")) == "", F.lit("unknown")).otherwise(F.col("type"))
+    none = F.struct(F.coalesce(F.col("symbol"), F.lit("")).alias("symbol"), F.when(no_name, F.lit("")).otherwise(unknown).alias("type"),
+                    F.array().cast(f"array<{A.USAGE}>").alias("usages"), F.lit(0).alias("totalFound"), F.lit(False).alias("limitReached")).cast(USAGES_T)
+    return _answers(asked.join(found, "request_id", "left"), usages=F.coalesce("u", none))
+
+
+def _file_answers(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """get_doc_for_file: invalid input, not found, unsupported, unreadable or the file's documentation (B2)."""
+    wanted = asked.select(F.col("file").alias("path"))
+    docs = FD.requested_file_docs(wanted, files)
+    own = asked.join(docs.withColumnRenamed("error", "_error").withColumnRenamed("details", "_details"), F.col("file").eqNullSafe(F.col("path")), "left")
+    return _answers(own, F.col("_error"), F.col("_details"),
+                    file_doc=F.when(F.col("doc").isNotNull(), A.file_doc_record(F.col("path"), F.col("doc"))))
+
+
+def _refresh_answers(asked: DataFrame, symbols: DataFrame, listing: DataFrame | None, files: DataFrame, summary: DataFrame | None, base_dir: str) -> DataFrame:
+    """refresh_registry: the summary of the batch's own refresh, or of the full scan that the request describes."""
+    full = F.coalesce(F.col("full_scan"), F.lit(False))
+    if summary is None:
+        summary = G.symbol_count(symbols).select(F.lit(True).alias("refreshed"), F.lit(0).alias("files_processed"), F.lit(0).alias("files_removed"), "symbols")
+    one = F.struct(F.col("refreshed"), F.col("files_processed").alias("filesProcessed"), F.col("files_removed").alias("filesRemoved"),
+                   F.col("symbols").cast("int").alias("symbols")).cast(REFRESH_T)
+    told = F.broadcast(summary.select(one.alias("r"), F.lit(1).alias("_one")))  # one row
+    keyed = asked.withColumn("_one", F.lit(1))
+    if listing is None:
+        return _answers(keyed.join(told, "_one"), refresh=F.col("r"))
+    plain = _answers(keyed.where(~full).join(told, "_one"), refresh=F.col("r"))
+    patterns = F.array(*[F.lit(p) for p in DEFAULT_PATTERNS])
+    scans = asked.where(full).select(
+        "request_id", "tool", F.when(F.col("base_dir") != "", F.col("base_dir")).otherwise(F.lit(base_dir)).alias("base_dir"),
+        F.coalesce("patterns", patterns).alias("patterns")).withColumn("scan", F.to_json(F.struct("base_dir", "patterns")))
+    told = G.scan_summaries(scans.select("scan", "base_dir", "patterns").distinct(), symbols, listing, files)
+    return plain.unionByName(_answers(scans.join(told, "scan"), refresh=F.struct(
+        F.lit(True).alias("refreshed"), "files_processed", F.lit(0).alias("files_removed"), "symbols").cast(REFRESH_T)))
+
+
+def summarised(answers: DataFrame) -> DataFrame:
+    """One row a request: request_id, tool, error, details, result_count, first_symbol."""
+    count = (F.when(F.col("results").isNotNull(), F.size("results")).when(F.col("completions").isNotNull(), F.size("completions"))
+             .when(F.col("symbol_doc").isNotNull(), F.lit(1)).when(F.col("usages").isNotNull(), F.col("usages.totalFound"))
+             .when(F.col("refresh").isNotNull(), F.col("refresh.filesProcessed"))
+             .when(F.col("file_doc").isNotNull(), _sizes("functions", "classes", "interfaces", "typeAliases", "routes")))
+    first = (F.when(F.col("results").isNotNull(), F.try_element_at("results", F.lit(1))["symbol"])
+             .when(F.col("completions").isNotNull(), F.try_element_at("completions", F.lit(1))["symbol"])
+             .when(F.col("symbol_doc").isNotNull(), F.col("symbol_doc.name")))
+    rows = answers.select("request_id", "part", "tool", "error", "details", F.coalesce(count, F.lit(0)).alias("n"), first.alias("first"))
+    total = rows.groupBy("request_id").agg(F.max("tool").alias("tool"), F.max("error").alias("error"), F.max("details").alias("details"), F.sum(
+        F.when((F.col("part") == 0) | F.col("tool").isin("search_project_symbols", "autocomplete_symbol"), F.col("n"))).cast("int").alias("result_count"),
+        F.min_by("first", "part").alias("first_symbol"))
+    return total
+
+
+def _sizes(*fields: str):
+    total = F.lit(0)
+    for f in fields:
+        total = total + F.coalesce(F.size(F.col(f"file_doc.{f}")), F.lit(0))
+    return total
 
 
 def emit_responses(answers: DataFrame) -> DataFrame:
-    """One JSON line per request; undefined (null) fields are omitted."""
-    return answers.select("request_id", F.to_json(
-        F.struct(F.col("error"), F.col("details"), F.col("result_count").alias("resultCount"),
-                 F.col("first_symbol").alias("firstSymbol")),
-        {"ignoreNullFields": "true"}).alias("json"))
+    """(request_id, part, json), one JSON line an answer row; undefined (null) fields are omitted."""
+    options = {"ignoreNullFields": "true"}
+
+    def own(*fields):
+        return F.to_json(F.struct(*fields), options)
+
+    tool, error = F.col("tool"), F.col("error")
+    json = (F.when(F.col("symbol_doc").isNotNull(), own(F.lit(True).alias("found"), F.col("symbol_doc").alias("symbol")))
+            .when(F.coalesce(tool, F.lit("")).eqNullSafe("get_doc_for_symbol") & F.col("details").isNull(), own(F.lit(False).alias("found"), "error"))
+            .when(error.isNotNull(), own("error", "details"))
+            .when(F.col("results").isNotNull(), own("results"))
+            .when(F.col("completions").isNotNull(), own("completions"))
+            .when(F.col("usages").isNotNull(), F.to_json("usages", options))
+            .when(F.col("file_doc").isNotNull(), F.to_json("file_doc", options))
+            .otherwise(F.to_json("refresh", options)))
+    return answers.select("request_id", "part", json.alias("json"))
 
 
 def parse_symbol_type(requests: DataFrame) -> DataFrame:

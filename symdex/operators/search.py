@@ -140,28 +140,100 @@ def lookup_symbol(symbols: DataFrame, symbol: str, type: str | None = None, file
 
 # --- many requests at once (E4) ----------------------------------------------
 
+#: Rows of one gram are dealt to so many groups; the searches are repeated in each.
+GRAM_SALTS = 32
+#: What the filters and the ranking of a search read; the index carries it, so candidates need no other table.
+RANK_COLUMNS = ("ord", "symbol", "type", "file", "exported", "visibility")
+
+
 def gram_index(symbols: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
-    """Distinct lower-case n-grams of every symbol name: (gram_len, gram, ord).
+    """Distinct lower-case n-grams of every symbol name: (gram, salt, ord, symbol, type, file, exported, visibility).
 
-    A name containing a term contains the term's first ``min(3, len)``
-    characters as one of its grams, so an equi-join on the gram followed by the
-    ``contains`` test is exact.  Build once per symbol table and reuse it for
-    every request batch.
+    A name that contains a term contains every gram of the term, so an equi-join on one
+    of them followed by the ``contains`` test is exact.  The rows carry all that
+    filters and ranking read.  Build once per symbol table (``sources.indexes`` stores it and
+    replaces the rows of changed files) and use it for every request batch.
     """
     low = F.lower(F.col("symbol"))
-    parts = []
-    for g in sizes:
-        grams = F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - g + 1, F.lit(1))), lambda i: F.substring(low, i, g))
-        )
-        parts.append(
-            symbols.where(F.length(low) >= g)
-            .select(F.lit(g).alias("gram_len"), F.explode(grams).alias("gram"), "ord")
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def of_size(g: int) -> Column:
+        return F.when(F.length(low) >= g, F.transform(F.sequence(F.lit(1), F.length(low) - (g - 1)), lambda i: F.substring(low, i, g)))
+
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*[of_size(g) for g in sizes]))))
+    rows = flatten(symbols).select(*RANK_COLUMNS, F.explode_outer(every).alias("gram")).where(F.col("gram").isNotNull())
+    return rows.select("gram", F.pmod(F.xxhash64("ord"), F.lit(GRAM_SALTS)).cast("int").alias("salt"), *RANK_COLUMNS)
+
+
+def gram_counts(grams: DataFrame) -> DataFrame:
+    """(gram, n): how many symbols hold each gram."""
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rarest_gram(specs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``specs`` (spec, term, ...) with ``gram``: the one of the term's grams that the fewest symbols hold.
+
+    A term with a gram that no symbol holds is in no name and is left out.
+    """
+    low = F.lower(F.col("term"))
+    size = F.least(F.length(low), F.lit(3))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, size)))
+    pairs = specs.select("spec", F.explode(own).alias("gram"))
+    known = pairs.join(counts, "gram", "left").groupBy("spec").agg(
+        F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.min(F.col("n").isNotNull()).alias("_all"))
+    return specs.join(known.where("_all").drop("_all"), "spec")
+
+
+SPEC_FIELDS = ("term", "kind", "file_filter", "exact_match", "include_private", "k")
+
+
+def with_spec(requests: DataFrame, default_limit: int = SEARCH_LIMIT) -> DataFrame:
+    """Requests (term, type, file, exact_match, include_private, limit) with a ``term``, their search spelled out as ``spec`` and its fields."""
+    fields = {
+        "term": F.col("term"), "kind": parse_symbol_type_col(F.col("type")), "file_filter": F.when(F.col("file") != "", F.col("file")),
+        "exact_match": F.coalesce(F.col("exact_match"), F.lit(False)), "include_private": F.coalesce(F.col("include_private"), F.lit(False)),
+        "k": F.greatest(F.coalesce(F.col("limit"), F.lit(default_limit)), F.lit(0)).cast("int"),
+    }
+    asked = requests.where(F.col("term").isNotNull() & (F.col("term") != ""))
+    asked = asked.withColumn("_fields", F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return asked.select("*", F.to_json("_fields").alias("spec"))
+
+
+def matches(asked: DataFrame, symbols: DataFrame, grams: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """(spec, term, k, RANK_COLUMNS): every symbol that a search of ``asked`` (see :func:`with_spec`) matches.
+
+    A batch repeats the same search many times; each is done once.  Exact searches join
+    on the name; the others join the gram index on their rarest gram.
+    """
+    specs = asked.select("spec", "_fields.*").distinct()
+    if grams is None:
+        grams = gram_index(symbols)
+    if counts is None:
+        counts = gram_counts(grams)
+    flat = flatten(symbols).select(*RANK_COLUMNS)
+    exact = flat.join(specs.where("exact_match"), flat.symbol == specs.term)
+    loose = rarest_gram(specs.where(~F.col("exact_match")), counts).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))))
+    sub = grams.join(loose, ["gram", "salt"]).where(F.lower(F.col("symbol")).contains(F.lower(F.col("term"))))
+    cols = [*RANK_COLUMNS, "spec", *SPEC_FIELDS]
+    return exact.select(*cols).unionByName(sub.select(*cols)).where(
+        (F.col("kind").isNull() | (F.col("type") == F.col("kind")))
+        & (F.col("file_filter").isNull() | F.col("file").contains(F.col("file_filter")))
+        & (F.col("include_private") | ~is_private(F.col("symbol"), F.col("visibility")))
+    ).select("spec", "term", "k", *RANK_COLUMNS)
+
+
+def ranked_matches(found: DataFrame, salt_buckets: int = 64) -> DataFrame:
+    """The best ``k`` matches of every spec with their ``rank``; ``k`` 0 keeps all, without a rank.
+
+    Top-k runs in two windows: first per (spec, salt) so one search that matches a third of all
+    symbols is spread over ``salt_buckets`` tasks, then per spec over at most salt_buckets * k rows.
+    """
+    keys = rank_keys(F.col("term"))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("ord"), F.lit(salt_buckets)))
+    w1, w2 = Window.partitionBy("spec", "_salt").orderBy(*keys), Window.partitionBy("spec").orderBy(*keys)
+    first = salted.where(F.col("k") > 0).withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= F.col("k")).drop("_r", "_salt")
+    ranked = first.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= F.col("k"))
+    return ranked.unionByName(found.where(F.col("k") == 0).withColumn("rank", F.lit(None).cast("int")))
 
 
 def rank_within_request(
@@ -170,56 +242,13 @@ def rank_within_request(
     default_limit: int = SEARCH_LIMIT,
     salt_buckets: int = 64,
     grams: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Top-k symbols per request.
+    """Top-k symbols per request: (request_id, term, limit, RANK_COLUMNS, rank).
 
     ``requests``: request_id, term, type, file, exact_match, include_private, limit.
-    Exact requests join on the name; substring requests join on the n-gram
-    index; how the sides are joined is left to the planner and its measured sizes.
-    Per-request top-k runs in two windows: first per (request, salt) so one
-    request that matches a third of all symbols is spread over
-    ``salt_buckets`` tasks, then per request over at most salt_buckets * k rows.
+    How the sides of the joins are brought together is left to the planner and its measured sizes.
     """
-    req = (
-        requests.where(F.col("term").isNotNull() & (F.col("term") != ""))
-        .withColumnRenamed("type", "type_filter")
-        .withColumnRenamed("file", "file_filter")
-        .withColumn("kind", parse_symbol_type_col(F.col("type_filter")))
-        .withColumn("k", F.coalesce(F.col("limit"), F.lit(default_limit)))
-        .withColumn("exact_match", F.coalesce(F.col("exact_match"), F.lit(False)))
-        .withColumn("include_private", F.coalesce(F.col("include_private"), F.lit(False)))
-        .withColumn("gram_len", F.least(F.length(F.lower("term")), F.lit(3)))
-        .withColumn("gram", F.substring(F.lower("term"), 1, 3))
-    )
-    # Many requests repeat the same search: rank each distinct specification once,
-    # then hand the ranked rows back to every request that asked for it.
-    spec_cols = ["term", "type_filter", "file_filter", "exact_match", "include_private", "k"]
-    specs = req.select(*spec_cols, "kind", "gram_len", "gram").distinct()
-    spec_all = spec_cols + ["kind"]
-
-    flat = flatten(symbols)
-    exact = flat.join(specs.where("exact_match"), flat.symbol == specs.term, "inner")
-    if grams is None:
-        grams = gram_index(symbols)
-    cand = grams.join(specs.where(~F.col("exact_match")), ["gram_len", "gram"], "inner").select("ord", *spec_all)
-    sub = cand.join(flat, "ord", "inner").where(F.lower(F.col("symbol")).contains(F.lower(F.col("term"))))
-    cols = flat.columns + spec_all
-    both = exact.select(*cols).unionByName(sub.select(*cols))
-
-    both = both.where(
-        (F.col("kind").isNull() | (F.col("type") == F.col("kind")))
-        & (F.col("file_filter").isNull() | (F.col("file_filter") == "") | F.col("file").contains(F.col("file_filter")))
-        & (F.col("include_private") | ~is_private(F.col("symbol"), F.col("visibility")))
-    )
-    keys = rank_keys(F.col("term"))
-    salt = F.pmod(F.xxhash64("ord"), F.lit(salt_buckets))
-    w1 = Window.partitionBy(*spec_cols, salt).orderBy(*keys)
-    w2 = Window.partitionBy(*spec_cols).orderBy(*keys)
-    limited = both.where(F.col("k") > 0)
-    stage1 = limited.withColumn("_r1", F.row_number().over(w1)).where(F.col("_r1") <= F.col("k")).drop("_r1")
-    ranked = stage1.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= F.col("k"))
-    unlimited = both.where(F.col("k") <= 0).withColumn("rank", F.lit(None).cast("int"))
-    per_spec = ranked.unionByName(unlimited)
-    asked = req.select("request_id", "limit", *[F.col(c).alias(f"_q_{c}") for c in spec_cols])
-    back = asked.join(per_spec, [asked[f"_q_{c}"].eqNullSafe(per_spec[c]) for c in spec_cols], "inner")
-    return back.drop(*[f"_q_{c}" for c in spec_cols])
+    asked = with_spec(requests, default_limit)
+    ranked = ranked_matches(matches(asked, symbols, grams, counts), salt_buckets)
+    return asked.select("request_id", "limit", "spec").join(ranked, "spec").drop("spec", "k")

@@ -32,11 +32,12 @@ from symdex.schemas import SNIPPET_SEPARATOR, USAGE_LIMIT
 USAGE_EXTENSIONS = ("ts", "tsx", "js", "jsx")  # listing order of the four default patterns
 
 
-def with_listing_order(files: DataFrame, extensions=USAGE_EXTENSIONS) -> DataFrame:
-    """Keep files whose (case-sensitive) extension is listed; ``pattern_idx`` = its position."""
+def with_listing_order(files: DataFrame, extensions=USAGE_EXTENSIONS, keep_others: bool = False) -> DataFrame:
+    """Keep files whose (case-sensitive) extension is listed; ``pattern_idx`` = its position (0 for the others, if kept)."""
     ext = F.regexp_extract(F.col("path"), r"\.([^./]+)$", 1)
     idx = F.array_position(F.array(*[F.lit(e) for e in extensions]), ext)
-    return files.withColumn("pattern_idx", idx.cast("int")).where(F.col("pattern_idx") > 0)
+    numbered = files.withColumn("pattern_idx", idx.cast("int"))
+    return numbered.withColumn("pattern_idx", F.coalesce("pattern_idx", F.lit(0))) if keep_others else numbered.where(F.col("pattern_idx") > 0)
 
 
 def split_lines(files: DataFrame) -> DataFrame:

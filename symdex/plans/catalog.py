@@ -67,5 +67,5 @@ def load_all() -> None:
     """Import every check module so that its keys are registered."""
     import importlib
 
-    for mod in ("checks_search", "checks_related", "checks_usages", "checks_registry", "checks_extract", "checks_requests", "checks_stream", "checks_sources", "checks_retired"):
+    for mod in ("checks_search", "checks_related", "checks_usages", "checks_registry", "checks_extract", "checks_requests", "checks_stream", "checks_sources", "checks_retired", "checks_answers"):
         importlib.import_module(f"symdex.plans.{mod}")

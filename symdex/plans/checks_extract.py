@@ -174,10 +174,11 @@ def file_error_rows(spark, sf):
 @register("insertion_order", with_views(
     f"select file, seq, symbol, type from ({PY_EXPECTED}) t"))
 def insertion_order(spark, sf):
-    # ord follows (partition, row) order: within a file it must follow seq
-    rows = FD.insertion_order(_symbols(spark, sf, "code_py"))
+    # ord follows the files in path order; within a file it must follow seq
     from pyspark.sql import Window
 
+    files = FD.in_file_order(load_view(spark, sf, "code_py").select("path", "content"))
+    rows = FD.insertion_order(FD.flatten_file_docs(FD.file_docs(files)))
     w = Window.partitionBy("file").orderBy("ord")
     ranked = rows.withColumn("rn", F.row_number().over(w) - 1)
     return ranked.where(F.col("rn") == F.col("seq")).select("file", "seq", "symbol", "type")

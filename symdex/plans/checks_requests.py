@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from symdex.operators import registry as G
 from symdex.operators import requests as RQ
 from symdex.operators.search import rank_within_request
 from symdex.operators.usages import usage_scan_batch, with_listing_order
@@ -11,6 +14,8 @@ from symdex.plans.catalog import PRIORITY_SQL, private_sql, register, symbols
 from symdex.sources.fixtures import load_view, with_views
 from symdex.sources.tables import tracking_from_view
 
+NOW = dt.datetime(2024, 6, 1)
+
 # DuckDB: parsed request fields
 _PARSED = (
     "select request_id, jl as line, ok_json, case when ok_json then json_type(jl, '$.tool') end as tool_t, "
@@ -72,8 +77,11 @@ DISPATCH_SQL = with_views(
     "union all select request_id, tool, case when coalesce(symbol, '') = '' then 'Missing or invalid symbol name' "
     "when result_count = 0 then 'Symbol ''' || symbol || ''' not found' end, null, result_count, first_symbol from "
     f"({_answer_sql('get_doc_for_symbol', 'symbol', 1, True).replace('select f.request_id, f.tool,', 'select f.request_id, f.tool, f.symbol,')}) d "
-    "union all select request_id, tool, null, null, 0, first_symbol from "
-    f"({_answer_sql('find_usages', 'symbol', 1, True)}) u "
+    "union all select u.request_id, u.tool, null, null, cast(least(coalesce(n.n, 0), 51) as integer), null from "
+    f"({_answer_sql('find_usages', 'symbol', 1, True)}) u left join (select name, sum(len(string_split_regex(text, '\\b' || name || '\\b')) - 1) as n from "
+    "(select distinct symbol as name from symbols_v where symbol in (select symbol from fields)) s join "
+    "(select unnest(string_split(content, chr(10))) as text from doc_files where regexp_matches(path, '\\.(ts|tsx|js|jsx)$')) l on regexp_matches(l.text, '\\b' || s.name || '\\b') "
+    "group by name) n on n.name = u.first_symbol "
     f"union all select request_id, tool, null, null, cast({_STALE} as integer), null from fields "
     "where error is null and tool = 'refresh_registry' "
     "union all select f.request_id, f.tool, case when coalesce(f.file, '') = '' then 'Invalid input' "
@@ -84,16 +92,17 @@ DISPATCH_SQL = with_views(
 )
 
 
-def _dispatch(spark, sf):
-    return RQ.dispatch_requests(
-        load_view(spark, sf, "requests_v"), symbols(spark, sf),
-        files=load_view(spark, sf, "doc_files").select("path", "content"),
-        tracking=tracking_from_view(load_view(spark, sf, "tracking_v")), listing=load_view(spark, sf, "listing_v"))
+def dispatch_inputs(spark, sf):
+    """(symbols, files, listing, summary) of the check views; the tracked files hold no symbols and have no content, so a refresh only counts them."""
+    syms, listing = symbols(spark, sf), load_view(spark, sf, "listing_v")
+    summary = G.refresh_registry(syms, tracking_from_view(load_view(spark, sf, "tracking_v")), listing, None, NOW)[2]
+    return syms, load_view(spark, sf, "doc_files").select("path", "content"), listing, summary
 
 
 @register("dispatch_requests", DISPATCH_SQL)
 def dispatch_requests(spark, sf):
-    return _dispatch(spark, sf)
+    syms, files, listing, summary = dispatch_inputs(spark, sf)
+    return RQ.summarised(RQ.dispatch_requests(load_view(spark, sf, "requests_v"), syms, files=files, listing=listing, summary=summary))
 
 
 @register("parse_requests", with_views(
@@ -127,11 +136,10 @@ def reject_empty_input(spark, sf):
 
 
 @register("emit_responses", with_views(
-    f"with fields as ({_FIELDS}) select request_id, json_object('error', error, 'details', details, "
-    "'resultCount', 0) as json from fields where error is not null", "requests_v"))
+    f"with fields as ({_FIELDS}) select request_id, json_object('error', error, 'details', details) as json from fields where error is not null", "requests_v"))
 def emit_responses(spark, sf):
-    answers = _dispatch(spark, sf).where(F.col("error").isin("Invalid JSON", "Invalid request"))
-    return RQ.emit_responses(answers)
+    answers = RQ.dispatch_requests(load_view(spark, sf, "requests_v"), symbols(spark, sf))
+    return RQ.emit_responses(answers.where(F.col("error").isin("Invalid JSON", "Invalid request"))).select("request_id", "json")
 
 
 @register("rank_within_request", with_views(

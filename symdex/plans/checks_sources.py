@@ -19,41 +19,61 @@ from symdex.sources.fixtures import load_view, with_views
 
 
 def _materialize(spark, sf) -> str:
-    """Write code_ts, code_js and code_py rows as real files (test tooling; needs a POSIX-mounted folder)."""
+    """Write the rendered views as real files into the shared folder, through the file system that the scan reads."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    root = root.replace("file:", "")
-    views = [load_view(spark, sf, v).select("path", "content") for v in ("code_ts", "code_js", "code_py")]
-    rows = views[0].unionByName(views[1]).unionByName(views[2])
-
-    def write_part(it, root=root):
-        for r in it:
-            full = root + r["path"]
-            os.makedirs(os.path.dirname(full), exist_ok=True)
-            with open(full, "w", encoding="utf-8") as fh:
-                fh.write(r["content"])
-
-    rows.foreachPartition(write_part)
+    views = [load_view(spark, sf, v).select("path", "content") for v in ("code_ts", "code_js", "code_py", "code_hidden")]
+    rows = views[0]
+    for v in views[1:]:
+        rows = rows.unionByName(v)
+
+    def write_part(batches):
+        system, top = SF.file_system(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system.create_dir(os.path.dirname(top + path), recursive=True)
+                with system.open_output_stream(top + path) as f:
+                    f.write(content.encode())
+            yield batch.slice(0, 0)
+
+    rows.mapInArrow(write_part, rows.schema).count()
     return root
 
 
+def _inside(root: str) -> F.Column:
+    return F.expr(f"substring(path, {len(SF.file_system(root)[1]) + 1})")
+
+
+_HIDDEN_SQL = ("select path, case when ends_with(path, '.ts') then 1 else 2 end, cast(strlen(content) as bigint) from code_hidden "
+               "where not contains(path, '/.') and not ends_with(path, '.py')")
 _LISTING_SQL = with_views(
     "select path, 1 as pattern_idx, cast(strlen(content) as bigint) as length from code_ts "
     "union all select path, case when ends_with(path, '.jsx') then 4 else 3 end, cast(strlen(content) as bigint) "
-    "from code_js", "code_ts", "code_js")
+    f"from code_js union all {_HIDDEN_SQL}", "code_ts", "code_js", "code_hidden")
 
 
 @register("scan_source_files", _LISTING_SQL)
 def scan_source_files(spark, sf):
     root = _materialize(spark, sf)
     listed = SF.scan_source_files(spark, root, with_content=False)
-    return listed.select(F.expr(f"substring(path, {len(root) + 1})").alias("path"), "pattern_idx", "length")
+    return listed.select(_inside(root).alias("path"), "pattern_idx", "length")
+
+
+@register("scan_python_files", with_views(
+    "select path, content from code_py union all select path, content from code_hidden where ends_with(path, '.py')", "code_py", "code_hidden"))
+def scan_python_files(spark, sf):
+    """The package files ``__init__.py`` with the others, by a root with a scheme."""
+    root = _materialize(spark, sf)
+    uri = root if ":" in root else f"file://{root}"
+    return SF.scan_source_files(spark, uri, patterns=["**/*.py"]).select(_inside(root).alias("path"), "content")
 
 
-@register("read_source_text", with_views("select path, content from code_ts", "code_ts"))
+@register("read_source_text", with_views(
+    "select path, content from code_ts union all select path, content from code_hidden where ends_with(path, '.ts') and not contains(path, '/.')",
+    "code_ts", "code_hidden"))
 def read_source_text(spark, sf):
     root = _materialize(spark, sf)
     listed = SF.scan_source_files(spark, root, patterns=["**/*.ts"])
-    return listed.select(F.expr(f"substring(path, {len(root) + 1})").alias("path"), "content")
+    return listed.select(_inside(root).alias("path"), "content")
 
 
 @register("write_file_docs", with_views(

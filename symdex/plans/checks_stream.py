@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from symdex.plans.catalog import register, symbols
-from symdex.plans.checks_requests import DISPATCH_SQL
+from symdex.plans.catalog import register
+from symdex.operators import requests as RQ
+from symdex.plans.checks_requests import DISPATCH_SQL, dispatch_inputs
 from symdex.session import ensure_checkpoint_dir
 from symdex.sources.fixtures import load_view, with_views
-from symdex.sources.tables import tracking_from_view
 from symdex.streaming import changes as S
 
 SOURCE_FILES = 4  # the events are replayed as four files, one per micro-batch
@@ -37,19 +37,17 @@ def stream_file_changes(spark, sf):
     )
     # files arrive out of time order, so later batches carry older versions (late data)
     changes.repartition(SOURCE_FILES, F.pmod(F.col("seq"), F.lit(SOURCE_FILES))).write.parquet(f"{root}/in")
-    S.stream_file_changes(spark, f"{root}/in", f"{root}/state", f"{root}/ckpt", buckets=8)
+    S.stream_file_changes(spark, f"{root}/in", f"{root}/state", f"{root}/ckpt", files_per_batch=1, max_rows=20)
     syms, _ = S.read_state(spark, f"{root}/state")
     return syms.select("file", "symbol", "type", "exported")
 
 
 @register("stream_requests", DISPATCH_SQL)
 def stream_requests(spark, sf):
+    """The dispatcher's answers over two micro-batches."""
     root = _scratch(spark, "s2")
     reqs = load_view(spark, sf, "requests_v")
     reqs.repartition(2).write.json(f"{root}/in")
-    S.stream_requests(
-        spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", symbols(spark, sf),
-        files=load_view(spark, sf, "doc_files").select("path", "content"),
-        tracking=tracking_from_view(load_view(spark, sf, "tracking_v")), listing=load_view(spark, sf, "listing_v"))
-    out = spark.read.parquet(f"{root}/out")
-    return out.select("request_id", "tool", "error", "details", "result_count", "first_symbol")
+    syms, files, listing, summary = dispatch_inputs(spark, sf)
+    S.stream_requests(spark, f"{root}/in", f"{root}/out", f"{root}/ckpt", syms, files=files, listing=listing, summary=summary, files_per_batch=1)
+    return RQ.summarised(S.read_answers(spark, f"{root}/out"))

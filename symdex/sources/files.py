@@ -1,32 +1,32 @@
 """Source-file scans and sinks.
 
-A corpus is read with the ``binaryFile`` source: one row per file, listed
-and read by executors, split into many partitions.  Only the columns a query
-needs are read (``content`` is skipped by a pure listing).
+A corpus is listed folder by folder in parallel and, where contents are asked for, read
+by tasks of about equal numbers of files.  Spark's own file sources leave out every
+name that starts with ``_``, which a corpus is full of (``__init__.py``, ``__tests__``), so files are listed and
+read through Arrow's file systems (local, HDFS, S3, GCS, Azure).  A root of another scheme is read with
+``binaryFile``, without those names.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symdex.operators.registry import union_listings
 from symdex.schemas import DEFAULT_PATTERNS
 
-
 #: Scheme and authority of a URI, before its path.
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
-
-
-def _ext_filter(patterns) -> str | None:
-    """A ``pathGlobFilter`` covering every pattern when they only differ in the file name."""
-    names = {p.split("/")[-1] for p in patterns}
-    if all(p.startswith("**/") and "/" not in p[3:] for p in patterns):
-        return "{" + ",".join(sorted(names)) + "}" if len(names) > 1 else next(iter(names))
-    return None
+#: The driver lists folders level by level until there are so many to deal out.
+FOLDERS = 256
+#: Files that one task reads, about.
+FILES_PER_TASK = 2_000
 
 
 def read_source_text(files: DataFrame) -> DataFrame:
@@ -34,31 +34,106 @@ def read_source_text(files: DataFrame) -> DataFrame:
     return files.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str] | None:
+    """Arrow's file system for a URI or a local path, and the path in it; None for a scheme it does not know."""
+    if not re.match(_SCHEME, uri):
+        return pafs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), re.sub(_SCHEME, "", uri)
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:
+        return None
+
+
+def _listing(spark: SparkSession, base_dir: str) -> DataFrame | None:
+    """(path, mtime, length) of all files below a folder, hidden names too; None where Arrow has no file system.
+
+    The driver lists the first levels only; the folders it finds are listed, with all below them, by tasks.
+    """
+    known = file_system(base_dir)
+    if known is None:
+        return None
+    system, root = known
+    root = re.sub("/+", "/", root).rstrip("/") or "/"
+    if system.get_file_info(root).type != pafs.FileType.Directory:
+        raise ValueError(f"files listed for {base_dir} are not below it: no such folder")
+    schema = "path string, mtime timestamp, length long"
+
+    def entries(infos: list[pafs.FileInfo]) -> pa.RecordBatch:
+        files = [i for i in infos if i.type == pafs.FileType.File]
+        at = pa.array([i.mtime_ns // 1000 for i in files], pa.int64()).cast(pa.timestamp("us", "UTC"))
+        return pa.RecordBatch.from_arrays([pa.array([i.path for i in files], pa.string()), at, pa.array([i.size for i in files], pa.int64())], names=["path", "mtime", "length"])
+
+    whole, single = [root], []
+    while whole and len(whole) + len(single) < FOLDERS:
+        level = [i.path for f in whole for i in system.get_file_info(pafs.FileSelector(f)) if i.type == pafs.FileType.Directory]
+        single += whole
+        whole = level
+    folders = [(f, True) for f in whole] + [(f, False) for f in single]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = file_system(base_dir)
+        for batch in batches:
+            for folder, below in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                waiting = [folder]
+                while waiting:
+                    infos = own.get_file_info(pafs.FileSelector(waiting.pop()))
+                    yield entries(infos)
+                    waiting += [i.path for i in infos if below and i.type == pafs.FileType.Directory]
+
+    tasks = min(len(folders), FOLDERS)
+    dealt = spark.createDataFrame(folders, "folder string, below boolean").repartition(tasks)
+    return dealt.mapInArrow(listed, schema)
+
+
+def _contents(listing: DataFrame, base_dir: str, n_tasks: int) -> DataFrame:
+    """The listing with each file's bytes; null where a file has gone since."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, _ = file_system(base_dir)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                try:
+                    with own.open_input_stream(one.column(1)[0].as_py()) as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([content], pa.large_binary())], schema=one.schema.append(pa.field("content", pa.large_binary())))
+
+    order = ["pattern_idx", "path", "mtime", "length"]
+    return listing.select(*order).repartition(n_tasks, "path").mapInArrow(read, "pattern_idx int, path string, mtime timestamp, length long, content binary")
+
+
 def scan_source_files(spark: SparkSession, base_dir: str, patterns=DEFAULT_PATTERNS, with_content: bool = True) -> DataFrame:
     """A1 + G1: one listing per pattern (relative to ``base_dir``), concatenated, duplicates kept.
 
     Output: pattern_idx, path (absolute, scheme and authority stripped), mtime, length[, content].
-    A root that its own files do not lie below as written (relative, or with wildcards) is an error.
-    Spark leaves out names that start with ``_`` or ``.``, and so does this scan.
-    The file-name part of the patterns is pushed into the listing
-    (``pathGlobFilter``), so files of other types are never opened.
+    Wildcards do not match the dot a name starts with (``.git``); names that start with ``_`` are as any other.
+    The root is a folder, with or without a scheme; one that does not exist is an error.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    glob = _ext_filter(patterns)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(base_dir)
     root = re.sub("/+", "/", re.sub(_SCHEME, "", base_dir)).rstrip("/") + "/"
+    listing = _listing(spark, base_dir)
+    if listing is None:
+        return _scan_by_spark(spark, base_dir, root, patterns, with_content)
+    found = union_listings(listing, patterns, base_dir=root)
+    if not with_content:
+        return found
+    # the number of files only decides how many tasks read them
+    n = found.count()
+    return read_source_text(_contents(found, base_dir, max(spark.sparkContext.defaultParallelism, n // FILES_PER_TASK)))
+
+
+def _scan_by_spark(spark: SparkSession, base_dir: str, root: str, patterns, with_content: bool) -> DataFrame:
+    """The scan by ``binaryFile``, for schemes that only Spark knows: names that start with ``_`` are left out."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base_dir)
     path = F.regexp_replace(F.col("path"), _SCHEME, "")
     outside = F.raise_error(F.concat(F.lit(f"listed for {base_dir} but not below it: "), F.col("path")))
     cols = [F.when(path.startswith(root), path).otherwise(outside).alias("path"),
             F.col("modificationTime").alias("mtime"), F.col("length")]
-    if with_content:
-        cols.append(F.col("content"))
-    files = raw.select(*cols)
-    if with_content:
-        files = read_source_text(files)
-    return union_listings(files, patterns, base_dir=root)
+    files = raw.select(*cols, *(["content"] if with_content else []))
+    return union_listings(read_source_text(files) if with_content else files, patterns, base_dir=root)
 
 
 def scope_filter(files: DataFrame, config: dict, base_dir: str = "/") -> DataFrame:

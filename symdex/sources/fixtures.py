@@ -68,6 +68,13 @@ select c_custkey as id, case when c_custkey % 10 = 0 then '/web/pages/api/c' els
  'app.' || case c_nationkey % 4 when 0 then 'get' when 1 then 'post' when 2 then 'head' else 'delete' end ||
  '(' || chr(39) || '/c/' || cast(c_custkey as varchar(20)) || chr(39) || ', (req, res) => { res.end(); });' || chr(10) as content
 from customer""",
+    "code_hidden": """
+select s_suppkey as id, case s_suppkey % 4 when 0 then '/ts/__tests__/_t' || cast(s_suppkey as varchar(20)) || '.ts'
+  when 1 then '/web/pages/_app' || cast(s_suppkey as varchar(20)) || '.tsx'
+  when 2 then '/py/_pkg' || cast(s_suppkey as varchar(20)) || '/__init__.py'
+  else '/ts/.cache/h' || cast(s_suppkey as varchar(20)) || '.ts' end as path,
+ '/* ' || s_name || ' */' || chr(10) as content
+from supplier""",
     "symbols_v": """
 select p_partkey as ord,
  case when p_size % 7 = 0 then '_' else '' end || case when p_partkey % 8 = 6 then 'GET /' else '' end || replace(p_name, ' ', '_') as symbol,
@@ -104,7 +111,79 @@ select cast(conv_id as varchar(20)) || '-' || cast(turn as varchar(20)) as reque
            case conv_id % 6 when 0 then 'rod' when 1 then 'ring' when 2 then 'Widget' when 3 then 'old_rod' when 4 then 'plate' else '' end ||
            '","type":"' || case turn % 4 when 0 then 'Function' when 1 then 'class' when 2 then 'bogus' else 'route' end || '"}}' end as line
 from (select distinct conv_id, turn, role from conversations) c""",
+    "project_files": """
+select '/p' || path as path, content, timestamp '2024-01-01 00:00:00' as mtime from ({code_ts}) t
+union all
+select '/p' || path, content, timestamp '2024-01-01 00:00:00' from ({code_py}) p
+union all
+select '/p/web/c' || cast(c_custkey as varchar(20)) || '.js' as path,
+ 'import { load' || cast(c_custkey % 97 + 1 as varchar(20)) || ' } from ' || chr(39) || '../ts' || chr(39) || ';' || chr(10) ||
+ 'export function use' || cast(c_custkey as varchar(20)) || '(n) {' || chr(10) ||
+ '  return load' || cast(c_custkey % 97 + 1 as varchar(20)) || '(n) + load' || cast(c_custkey % 97 + 1 as varchar(20)) || '(n + 1); // load' ||
+ cast(c_custkey % 97 + 1 as varchar(20)) || 'x a$b GET /s/' || cast(c_nationkey as varchar(20)) || chr(10) || '}' || chr(10) ||
+ 'const svc = new Svc' || cast(c_custkey % 97 + 1 as varchar(20)) || '();' || chr(10) as content,
+ timestamp '2024-01-01 00:00:00' as mtime
+from customer""",
+    "project_tracking": """
+select '/p' || path as path, case when id % 3 = 0 then timestamp '2023-01-01 00:00:00' else timestamp '2025-01-01 00:00:00' end as last_parsed,
+ timestamp '2023-01-01 00:00:00' as last_modified, id % 11 <> 0 as {Q}exists{Q}
+from ({code_ts}) t where id % 4 <> 1
+union all
+select '/p/web/c' || cast(c_custkey as varchar(20)) || '.js', timestamp '2025-01-01 00:00:00', timestamp '2024-01-01 00:00:00', true from customer
+union all
+select '/p/ts/gone' || cast(n_nationkey as varchar(20)) || '.ts', timestamp '2025-01-01 00:00:00', timestamp '2023-01-01 00:00:00', true from nation""",
+    "project_symbols": """
+select s_suppkey * 100 + i as ord,
+ case i when 0 then 'load' || k when 1 then 'Svc' || k when 2 then 'run' when 3 then 'count' when 4 then 'I' || k else 'name' end as symbol,
+ case i when 0 then 'function' when 1 then 'class' when 2 then 'method' when 4 then 'interface' else 'property' end as type,
+ '/p/ts/n' || cast(s_nationkey as varchar(20)) || '/s' || k || '.ts' as file,
+ case when i < 3 then 'old ' || s_name end as description,
+ case i when 0 then '(id): string' when 2 then '(a): void' when 3 then ': number' when 5 then ': string' end as signature,
+ case when i = 0 then s_suppkey % 2 = 0 else true end as exported,
+ case i when 2 then 'Svc' || k when 3 then 'Svc' || k when 5 then 'I' || k end as parent_symbol,
+ case when i = 1 then false end as is_component,
+ case i when 2 then case s_nationkey % 3 when 0 then 'private' when 1 then 'protected' else 'public' end when 3 then 'private' end as visibility,
+ cast(null as varchar(10)) as route_method, cast(null as varchar(10)) as route_path, cast(null as varchar(10)) as handler
+from (select s_suppkey, s_nationkey, s_name, cast(s_suppkey as varchar(20)) as k from supplier where s_suppkey % 4 <> 1) s
+cross join (select 0 as i union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) n
+union all
+select 1000000000 + c_custkey, 'use' || cast(c_custkey as varchar(20)), 'function', '/p/web/c' || cast(c_custkey as varchar(20)) || '.js',
+ c_mktsegment || ' user', '(n)', true, null, cast(null as boolean), null, null, null, null from customer
+union all
+select 2000000000 + n_nationkey, case when n_nationkey % 2 = 0 then 'load' || cast(n_nationkey as varchar(20)) else 'Gone' || cast(n_nationkey as varchar(20)) end,
+ 'function', '/p/ts/gone' || cast(n_nationkey as varchar(20)) || '.ts', n_name || ' is gone', '()', true, null, cast(null as boolean), null, null, null, null
+from nation""",
+    "project_requests": """
+select 'r' || cast(s_suppkey as varchar(20)) as request_id,
+ case s_suppkey % 23
+  when 0 then '{"tool":"search_project_symbols","input":{"query":"load' || cast(s_nationkey % 10 as varchar(20)) || '","limit":3}}'
+  when 1 then '{"tool":"search_project_symbols","input":{"query":"svc","type":"Class","file":"/n1"}}'
+  when 2 then '{"tool":"search_project_symbols","input":{"query":"A","type":"property","limit":0,"includePrivate":true}}'
+  when 3 then '{"tool":"search_project_symbols","input":{"query":"run","exactMatch":true,"limit":-1}}'
+  when 4 then '{"tool":"autocomplete_symbol","input":{"prefix":"lo","limit":0}}'
+  when 5 then '{"tool":"autocomplete_symbol","input":{"prefix":"count","includePrivate":true,"limit":-1,"type":"bogus"}}'
+  when 6 then '{"tool":"get_doc_for_symbol","input":{"symbol":"Svc' || cast(s_suppkey as varchar(20)) || '"}}'
+  when 7 then '{"tool":"get_doc_for_symbol","input":{"symbol":"run","file":"/n' || cast(s_nationkey as varchar(20)) || '/"}}'
+  when 8 then '{"tool":"get_doc_for_symbol","input":{"symbol":"I' || cast(s_suppkey as varchar(20)) || '","includeRelated":false}}'
+  when 9 then '{"tool":"find_usages","input":{"symbol":"load' || cast(s_suppkey % 97 + 1 as varchar(20)) || '"}}'
+  when 10 then '{"tool":"find_usages","input":{"symbol":"load' || cast(s_nationkey + 1 as varchar(20)) || '","includeDefinition":false,"maxResults":5}}'
+  when 11 then '{"tool":"find_usages","input":{"symbol":"GET /s/' || cast(s_nationkey as varchar(20)) || '","type":"route"}}'
+  when 12 then '{"tool":"get_doc_for_file","input":{"file":"/p/ts/n' || cast(s_nationkey as varchar(20)) || '/s' || cast(s_suppkey as varchar(20)) || '.ts"}}'
+  when 13 then '{"tool":"get_doc_for_file","input":{"file":"/p/ts/missing' || cast(s_suppkey as varchar(20)) || '.ts"}}'
+  when 14 then '{"tool":"refresh_registry","input":{}}'
+  when 15 then '{"tool":"refresh_registry","input":{"fullScan":true}}'
+  when 16 then '{"tool":"refresh_registry","input":{"fullScan":true,"baseDir":"/p/ts/n1","patterns":["*.ts","**/s*1.ts"]}}'
+  when 17 then '{"tool":"find_usages","input":{"symbol":"Svc' || cast(s_nationkey + 1 as varchar(20)) || '","maxResults":1,"type":"class"}}'
+  when 18 then '{"tool":"find_usages","input":{"symbol":"nothing' || cast(s_suppkey as varchar(20)) || '"}}'
+  when 19 then '{"tool":"get_doc_for_symbol","input":{"symbol":"Gone' || cast(s_nationkey as varchar(20)) || '"}}'
+  when 20 then '{"tool":"get_doc_for_file","input":{"file":""}}'
+  when 21 then '{"tool":"autocomplete_symbol","input":{"prefix":""}}'
+  else '{"tool":"find_usages","input":{"symbol":"count","maxResults":2}}' end as line
+from supplier""",
 }
+for _name, _sql in _VIEWS.items():
+    for _other in ("code_ts", "code_py"):
+        _VIEWS[_name] = _VIEWS[_name].replace("{" + _other + "}", _VIEWS[_other])
 
 # Which base tables each view reads (used to build DuckDB CTE prefixes).
 VIEW_NAMES = tuple(_VIEWS)
@@ -138,10 +217,15 @@ def load_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         "code_py": ["part"],
         "code_ts": ["supplier"],
         "code_js": ["customer"],
+        "code_hidden": ["supplier"],
         "symbols_v": ["part"],
         "tracking_v": ["events"],
         "listing_v": ["events"],
         "requests_v": ["conversations"],
+        "project_files": ["supplier", "customer", "part"],
+        "project_tracking": ["supplier", "customer", "nation"],
+        "project_symbols": ["supplier", "customer", "nation"],
+        "project_requests": ["supplier"],
     }[name]
     register_base_tables(spark, sf_dir, needed)
     return spark.sql(view_sql(name, "spark"))

@@ -1,20 +1,12 @@
-"""Symbol-table and tracking-table storage (A5, A6, G9) and view adapters.
-
-The registry is two Parquet tables.  ``symbols`` is written partitioned by a
-bucket of its file path so that replacing one file's symbols rewrites one
-bucket folder (dynamic partition overwrite), never the whole table.
-"""
+"""Loading and persisting the registry (A5, A6, G9) and view adapters; ``store`` holds the storage itself."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symdex.schemas import FILE_TRACKING, SYMBOLS
-
-FILE_BUCKETS = 64
-
+from symdex.sources.store import RegistryStore
 
 def symbols_from_view(view: DataFrame) -> DataFrame:
     """Adapt the flat ``symbols_v`` check view to the symbol-table schema."""
@@ -35,10 +27,6 @@ def tracking_from_view(view: DataFrame) -> DataFrame:
     return view.select("path", "last_parsed", "last_modified", F.col("exists").alias("exists"))
 
 
-def file_bucket(file_col, buckets: int = FILE_BUCKETS) -> F.Column:
-    return F.pmod(F.xxhash64(file_col), F.lit(buckets)).cast("int")
-
-
 def empty_symbols(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SYMBOLS)
 
@@ -47,27 +35,14 @@ def empty_tracking(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], FILE_TRACKING)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A Parquet table, empty where the path does not exist; any other failure is raised."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def persist_registry(symbols: DataFrame, tracking: DataFrame, path: str) -> None:
-    """Write both tables (one write per batch, not per symbol)."""
-    (symbols.withColumn("bucket", file_bucket(F.col("file")))
-        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/symbols"))
-    tracking.write.mode("overwrite").parquet(f"{path}/file_tracking")
+    """Both tables as one new version of the store at ``path`` (one write per batch, not per symbol)."""
+    RegistryStore(symbols.sparkSession, path).replace_all(symbols, tracking)
 
 
 def load_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A5: read both tables; a store that does not exist yields empty tables, any other failure is raised."""
-    symbols = read_or_empty(spark, f"{path}/symbols", SYMBOLS).select(*SYMBOLS.fieldNames())
-    return symbols, read_or_empty(spark, f"{path}/file_tracking", FILE_TRACKING)
+    """A5: both tables of the newest version; a store that does not exist yields empty tables, any other failure is raised."""
+    return RegistryStore(spark, path).load()
 
 
 def load_registry_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -4,150 +4,90 @@ S1 ``stream_file_changes``: file versions arrive as rows (path, mtime,
 content, deleted).  Each micro-batch keeps the newest version per path
 (``max_by``), drops versions not newer than the tracked one (the late-data
 rule), removes the symbols of deleted files and replaces the symbols of
-changed files.  State lives in two Parquet tables partitioned by a hash
-bucket of the path; a batch reads and rewrites only the buckets its files
-fall into (staged, then swapped in by dynamic partition overwrite), and the
-late-data rule makes a re-run batch a no-op for versions already applied.
+changed files, in one commit to the registry store (``sources.store``).  A batch reads and rewrites only the
+buckets its files fall into, and the late-data rule makes a re-run batch a no-op for
+versions already applied.
 
 S2 ``stream_requests``: request rows (request_id, line) arrive as JSON
-files; every micro-batch is answered by the batch dispatcher against the
-static tables and appended to the response folder under its batch id.
+files; every micro-batch is answered by the batch dispatcher from the store's newest version (or given tables)
+and appended to the response folder under its batch id.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from symdex.functions.columns import release
-from symdex.operators import registry as G
-from symdex.operators.file_docs import extract_symbols, next_ord
+from symdex.operators.file_docs import extract_symbols
+from symdex.operators.registry import dedupe_symbols
 from symdex.operators.requests import dispatch_requests, emit_responses
-from symdex.schemas import FILE_TRACKING, SYMBOLS
-from symdex.sources.tables import FILE_BUCKETS, file_bucket, read_or_empty
+from symdex.session import ensure_checkpoint_dir
+from symdex.sources.store import MAX_ROWS, RegistryStore
 
 CHANGE_SCHEMA = "path string, mtime timestamp, seq long, content string, deleted boolean"
 
 
-def _with_bucket(schema: T.StructType) -> T.StructType:
-    return T.StructType(list(schema.fields) + [T.StructField("bucket", T.IntegerType())])
-
-
 def read_state(spark: SparkSession, state: str) -> tuple[DataFrame, DataFrame]:
     """The committed (symbols, tracking) tables; empty before the first batch."""
-    def load(name, schema):
-        return read_or_empty(spark, f"{state}/{name}", _with_bucket(schema)).drop("bucket")
-    return load("symbols", SYMBOLS), load("tracking", FILE_TRACKING)
-
-
-def _touched(spark: SparkSession, state: str, name: str, schema, buckets: list[int]) -> DataFrame:
-    return read_or_empty(spark, f"{state}/{name}", _with_bucket(schema)).where(F.col("bucket").isin(*buckets)).drop("bucket")
-
+    return RegistryStore(spark, state).load()
 
-def apply_changes(batch: DataFrame, batch_id: int, state: str, buckets: int = FILE_BUCKETS) -> None:
-    """One S1 micro-batch: newest version per path, late versions dropped, symbols replaced.
 
-    Only the file-hash buckets touched by the batch are read and rewritten
-    (staged under ``<state>/staging/v=<batch_id>``, then swapped in with a
-    dynamic partition overwrite), so the cost of a batch follows the batch,
-    not the size of the table.  A re-run batch recomputes the same buckets.
-    """
+def apply_changes(batch: DataFrame, state: str, max_rows: int = MAX_ROWS) -> None:
+    """One S1 micro-batch: newest version per path, late versions dropped, symbols replaced, in one commit."""
     spark = batch.sparkSession
+    ensure_checkpoint_dir(spark)
+    store = RegistryStore(spark, state, max_rows)
+    manifest = store.manifest()
     newest = batch.groupBy("path").agg(
         F.max_by(F.struct("mtime", "seq", "content", "deleted"), F.struct("mtime", "seq")).alias("v")
-    ).select("path", F.col("v.mtime").alias("mtime"), F.col("v.content").alias("content"),
-             F.col("v.deleted").alias("deleted"), file_bucket(F.col("path"), buckets).alias("bucket")).persist()
-    touched = [r["bucket"] for r in newest.select("bucket").distinct().collect()]  # at most ``buckets`` values
-    if not touched:
-        newest.unpersist()
-        return
-    symbols = _touched(spark, state, "symbols", SYMBOLS, touched)
-    tracking = _touched(spark, state, "tracking", FILE_TRACKING, touched)
+    ).select("path", F.col("v.mtime").alias("mtime"), F.col("v.content").alias("content"), F.col("v.deleted").alias("deleted")).checkpoint()
+    tracking = store.read("tracking", manifest, store.touched(newest, manifest))
     # late data: keep a version only when it is newer than the tracked one
     fresh = newest.join(tracking.select("path", "last_modified"), "path", "left").where(
         F.col("last_modified").isNull() | (F.col("mtime") > F.col("last_modified"))).drop("last_modified")
-    gone = fresh.where(F.col("deleted"))
-    changed = fresh.where(~F.col("deleted"))
-
-    symbols = G.drop_deleted_symbols(symbols, gone.select("path"))
-    # every changed file loses its old rows, then gets its new ones, numbered above all that the state holds
-    offset = next_ord(read_state(spark, state)[0])
-    symbols = G.drop_deleted_symbols(symbols, changed.select("path"))
-    new_rows = extract_symbols(changed.select("path", "content"), offset=offset)
-    symbols = symbols.unionByName(new_rows)
-
-    upd = fresh.select("path", F.col("mtime").alias("_m"), F.col("deleted").alias("_d"))
-    j = tracking.join(upd, "path", "full")
-    tracking = j.select(
-        "path",
-        F.when(F.col("_m").isNotNull(), F.col("_m")).otherwise(F.col("last_parsed")).alias("last_parsed"),
-        F.when(F.col("_m").isNotNull(), F.col("_m")).otherwise(F.col("last_modified")).alias("last_modified"),
-        F.when(F.col("_m").isNotNull(), ~F.col("_d")).otherwise(F.col("exists")).alias("exists"),
-    )
-    stage = f"{state}/staging/v={batch_id}"
-    for name, df, key in (("symbols", symbols, "file"), ("tracking", tracking, "path")):
-        df.withColumn("bucket", file_bucket(F.col(key), buckets)).write.mode("overwrite") \
-            .partitionBy("bucket").parquet(f"{stage}/{name}")
-    with _dynamic_overwrite(spark):
-        for name, schema in (("symbols", SYMBOLS), ("tracking", FILE_TRACKING)):
-            staged = spark.read.schema(_with_bucket(schema)).parquet(f"{stage}/{name}")
-            # a touched bucket that became empty still has to be cleared
-            staged.write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/{name}")
-            _clear_empty(spark, f"{state}/{name}", f"{stage}/{name}", touched)
-    newest.unpersist()
-
-
-class _dynamic_overwrite:
-    def __init__(self, spark):
-        self.spark, self.old = spark, None
-
-    def __enter__(self):
-        self.old = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-
-    def __exit__(self, *exc):
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", self.old)
-
-
-def _clear_empty(spark: SparkSession, table: str, staged: str, touched: list[int]) -> None:
-    """Delete table buckets that were touched but have no staged rows (all their files went away)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for b in touched:
-        src = jvm.org.apache.hadoop.fs.Path(f"{staged}/bucket={b}")
-        dst = jvm.org.apache.hadoop.fs.Path(f"{table}/bucket={b}")
-        fs = dst.getFileSystem(conf)
-        if not fs.exists(src) and fs.exists(dst):
-            fs.delete(dst, True)
+    changed = fresh.where(~F.col("deleted")).select("path", "content")
+    stamped = fresh.select("path", F.col("mtime").alias("last_parsed"), F.col("mtime").alias("last_modified"), (~F.col("deleted")).alias("exists"))
+    store.commit(fresh.select("path"), dedupe_symbols(extract_symbols(changed, offset=manifest.next_ord)), stamped, manifest)
 
 
 def stream_file_changes(spark: SparkSession, source_dir: str, state: str, checkpoint: str,
-                        files_per_batch: int = 1, buckets: int = FILE_BUCKETS):
-    """Run the change stream over ``source_dir`` (parquet rows of CHANGE_SCHEMA) until drained."""
-    stream = (spark.readStream.schema(CHANGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-              .parquet(source_dir))
-    q = (stream.writeStream.foreachBatch(lambda df, bid: apply_changes(df, bid, state, buckets))
+                        files_per_batch: int | None = None, max_rows: int = MAX_ROWS):
+    """Run the change stream over ``source_dir`` (parquet rows of CHANGE_SCHEMA) until drained.
+
+    ``files_per_batch`` bounds a micro-batch; by default one takes all that is there.
+    """
+    reader = spark.readStream.schema(CHANGE_SCHEMA)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(lambda df, bid: apply_changes(df, state, max_rows))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
 def answer_batch(batch: DataFrame, batch_id: int, out_dir: str, symbols: DataFrame, files=None,
-                 tracking=None, listing=None) -> None:
-    """One S2 micro-batch: answer the requests and write their responses under the batch id."""
-    answers = dispatch_requests(batch, symbols, files=files, tracking=tracking, listing=listing)
-    answers.join(emit_responses(answers), "request_id").write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-    release(answers)
+                 listing=None, summary=None) -> None:
+    """One S2 micro-batch: answer the requests and write their answers and responses under the batch id."""
+    folder = f"{out_dir}/batch={batch_id}"
+    # one pass over the plan: the records first, the JSON lines from what was written
+    dispatch_requests(batch, symbols, files=files, listing=listing, summary=summary).write.mode("overwrite").parquet(f"{folder}/answers")
+    emit_responses(batch.sparkSession.read.parquet(f"{folder}/answers")).write.mode("overwrite").json(f"{folder}/responses")
 
 
 def stream_requests(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str, symbols: DataFrame,
-                    files=None, tracking=None, listing=None, files_per_batch: int = 1):
+                    files=None, listing=None, summary=None, files_per_batch: int | None = None):
     """JSON request rows (request_id, line) -> answers + JSON responses, until drained."""
-    stream = (spark.readStream.schema("request_id string, line string").option("maxFilesPerTrigger", files_per_batch)
-              .json(source_dir))
-    q = (stream.writeStream.foreachBatch(
-        lambda df, bid: answer_batch(df, bid, out_dir, symbols, files, tracking, listing))
+    reader = spark.readStream.schema("request_id string, line string")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    q = (reader.json(source_dir).writeStream.foreachBatch(
+        lambda df, bid: answer_batch(df, bid, out_dir, symbols, files, listing, summary))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def read_answers(spark: SparkSession, out_dir: str, what: str = "answers") -> DataFrame:
+    """The ``answers`` or ``responses`` of all micro-batches."""
+    folders = f"{out_dir}/batch=*/{what}"
+    return spark.read.parquet(folders) if what == "answers" else spark.read.json(folders)
