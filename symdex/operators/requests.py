@@ -186,7 +186,8 @@ def _usage_answers(asked: DataFrame, symbols: DataFrame, listed: DataFrame, toke
 def _file_answers(asked: DataFrame, files: DataFrame) -> DataFrame:
     """get_doc_for_file: invalid input, not found, unsupported, unreadable or the file's documentation (B2)."""
     wanted = asked.select(F.col("file").alias("path"))
-    docs = FD.requested_file_docs(wanted, files)
+    # parsing is by far the largest expression there is: a job of its own keeps it out of the plan of all tools
+    docs = FD.requested_file_docs(wanted, files).checkpoint()
     own = asked.join(docs.withColumnRenamed("error", "_error").withColumnRenamed("details", "_details"), F.col("file").eqNullSafe(F.col("path")), "left")
     return _answers(own, F.col("_error"), F.col("_details"),
                     file_doc=F.when(F.col("doc").isNotNull(), A.file_doc_record(F.col("path"), F.col("doc"))))
@@ -208,7 +209,7 @@ def _refresh_answers(asked: DataFrame, symbols: DataFrame, listing: DataFrame |
     scans = asked.where(full).select(
         "request_id", "tool", F.when(F.col("base_dir") != "", F.col("base_dir")).otherwise(F.lit(base_dir)).alias("base_dir"),
         F.coalesce("patterns", patterns).alias("patterns")).withColumn("scan", F.to_json(F.struct("base_dir", "patterns")))
-    told = G.scan_summaries(scans.select("scan", "base_dir", "patterns").distinct(), symbols, listing, files)
+    told = G.scan_summaries(scans.select("scan", "base_dir", "patterns").distinct(), symbols, listing, files).checkpoint()
     return plain.unionByName(_answers(scans.join(told, "scan"), refresh=F.struct(
         F.lit(True).alias("refreshed"), "files_processed", F.lit(0).alias("files_removed"), "symbols").cast(REFRESH_T)))
 

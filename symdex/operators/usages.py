@@ -14,8 +14,7 @@ Plan shape for one symbol (:func:`find_usages`):
 The definition file is looked up through a one-row DataFrame (``limit 1``,
 a proven size bound) that is broadcast into the scan.
 
-Many symbols at once (:func:`usage_scan_batch`) go through distinct word
-tokens per line and an equi-join on the token.
+Many symbols at once (:func:`usage_scan_batch`) go through the inverted index of ``token_index``.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symdex.functions import regex as RX
+from symdex.operators import token_index as TI
 from symdex.functions.columns import kept, let
 from symdex.operators.search import lookup_symbol
 from symdex.schemas import SNIPPET_SEPARATOR, USAGE_LIMIT
@@ -78,6 +78,15 @@ def matching_lines(files: DataFrame, pattern: str, literal: str | None = None) -
     )
 
 
+def matching_keys(files: DataFrame, pattern: str, literal: str) -> DataFrame:
+    """(path, pattern_idx, line, n_occ) of every line that matches; no text leaves the scan."""
+    lines = F.split(F.col("content"), "\n", -1)
+    counted = F.transform(lines, lambda t, i: F.struct((i + 1).alias("line"), _occurrence_count(t, pattern).alias("n_occ")))
+    hits = F.filter(counted, lambda x: x["n_occ"] > 0)
+    rows = files.where(F.col("content").contains(literal)).select("path", "pattern_idx", F.explode_outer(hits).alias("h"))
+    return rows.where(F.col("h").isNotNull()).select("path", "pattern_idx", "h.line", "h.n_occ")
+
+
 def _occurrence_count(text: Column, pattern: str) -> Column:
     return F.size(F.split(text, pattern, -1)) - 1
 
@@ -99,21 +108,13 @@ def occurrences_in_line(text: Column, pattern: str, name_len: int, first_n: int)
 def usage_scan(files: DataFrame, name: str) -> DataFrame:
     """Every whole-word occurrence of ``name`` (path, line, column, snippet).
 
-    Columns come from a running sum of gap lengths over the matches of each
-    line; only matching lines are shuffled (by path and line), never content.
+    Columns are a running sum over the gaps between the matches of a line, worked out in the row: one
+    scan stage, no shuffle.
     """
     pattern = RX.whole_word(name)
     hits = matching_lines(files, pattern, name)
-    gaps = F.split(F.col("text"), pattern, -1)
-    # a line is known by its row: a path may be listed several times
-    occ = hits.withColumn("_row", F.monotonically_increasing_id()).select(
-        *[c for c in hits.columns if c != "text"], "_row",
-        F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"),
-    )
-    w = Window.partitionBy("_row").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return occ.withColumn(
-        "column", (F.sum(F.length("gap")).over(w) + F.col("k") * len(name) + 1).cast("int")
-    ).drop("gap", "k", "_row")
+    at = TI.occurrence_columns(F.col("text"), F.lit(pattern), F.lit(name))
+    return hits.select(*[c for c in hits.columns if c != "text"], F.explode(at).alias("column"))
 
 
 def locate_definition(def_files: DataFrame, name: str) -> DataFrame:
@@ -197,10 +198,9 @@ def find_usages(
     listed = with_listing_order(content, extensions)
     if include_definition:  # C11: the whole definition file is skipped (Q7)
         listed = listed.join(F.broadcast(found), listed.path == found.def_file, "left_anti")
-    # matching lines are read by the exact count and by the top-k: computed once, kept
-    # (memory and disk; recomputed from the source if an executor is lost)
-    lines = matching_lines(listed, pattern, symbol).withColumn(
-        "n_occ", _occurrence_count(F.col("text"), pattern)).persist(StorageLevel.MEMORY_AND_DISK)
+    # matching lines as keys and counts, read by the exact count and by the top-k; texts and snippets are cut
+    # only for the lines that are answered
+    lines = matching_keys(listed, pattern, symbol)
 
     # Exact counts, combined map-side
     n_other = lines.agg(F.coalesce(F.sum("n_occ"), F.lit(0)).cast("long").alias("n_other"))
@@ -211,9 +211,10 @@ def find_usages(
     # max(M, 2) matching lines hold every occurrence that can be returned.
     take = max(M, 2)
     top_lines = lines.orderBy("pattern_idx", "path", "line").limit(take)
-    occ = top_lines.select(
-        "path", "pattern_idx", "line", "snippet",
-        F.explode(occurrences_in_line(F.col("text"), pattern, len(symbol), take)).alias("column"))
+    wanted = F.broadcast(top_lines.groupBy("path", "pattern_idx").agg(F.collect_list("line").alias("wanted")))  # ``take`` lines at most
+    cut = listed.join(wanted, ["path", "pattern_idx"]).select("path", "pattern_idx", F.explode(let(F.split("content", "\n", -1), lambda all_lines: F.transform(
+        "wanted", lambda n: F.struct(n.alias("line"), F.try_element_at(all_lines, n).alias("text"), snippet(all_lines, n).alias("snippet"))))).alias("w"))
+    occ = cut.select("path", "pattern_idx", "w.line", "w.snippet", F.explode(occurrences_in_line(F.col("w.text"), pattern, len(symbol), take)).alias("column"))
     others = occ.select("path", "line", "column", "snippet", F.lit(False).alias("is_definition"), "pattern_idx")
     keys = [F.col("is_definition").desc(), "pattern_idx", "path", "line", "column"]
     ranked = defs.unionByName(others).orderBy(*keys).limit(take + 2)
@@ -236,103 +237,16 @@ def find_usages(
                                     "symbol string, type string, total_found int, limit_reached boolean, true_total long")
     both = answer.withColumn("_hit", F.lit(1)).unionByName(missing.withColumn("_hit", F.lit(0)))
     totals = both.agg(F.max_by(F.struct(*answer.columns), F.col("_hit")).alias("r")).select("r.*")
-    return kept(rows, found, lines), kept(totals, found, lines)
-
-
-WORD_TOKEN = r"[A-Za-z0-9_]+"
-
-
-def _boundary(name: Column) -> Column:
-    """Per-row ASCII word-boundary pattern of a name column (Q23, Q24)."""
-    return F.concat(
-        F.when(name.rlike(r"^[A-Za-z0-9_]"), F.lit(r"(?<![A-Za-z0-9_])")).otherwise(F.lit(r"(?<=[A-Za-z0-9_])")),
-        F.regexp_replace(name, r"[\\^$.|?*+()\[\]{}]", r"\\$0"),
-        F.when(name.rlike(r"[A-Za-z0-9_]$"), F.lit(r"(?![A-Za-z0-9_])")).otherwise(F.lit(r"(?=[A-Za-z0-9_])")),
-    )
+    return kept(rows, found), kept(totals, found)
 
 
-def _positions(hits: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep..., name, line, text, snippet) -> one row per occurrence with its column."""
-    pat = _boundary(F.col("name"))
-    gaps = F.split(F.col("text"), pat, -1)
-    occ = hits.withColumn("_row", F.monotonically_increasing_id()).select(*keep, "name", "line", "snippet", "_row", F.posexplode(F.slice(gaps, 1, F.size(gaps) - 1)).alias("k", "gap"))
-    w = Window.partitionBy("_row").orderBy("k") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return occ.withColumn(
-        "column", (F.sum(F.length("gap")).over(w) + F.col("k") * F.length("name") + 1).cast("int")
-    ).drop("gap", "k", "_row")
-
-
-def usage_scan_batch(files: DataFrame, names: DataFrame, inline_names: int = 2_000) -> DataFrame:
+def usage_scan_batch(files: DataFrame, names: DataFrame, index: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Every whole-word occurrence of every name in ``names(name)``.
 
-    An ASCII-word-bounded occurrence of a name made of word characters is a
-    maximal ``[A-Za-z0-9_]+`` token equal to it, so lines are matched on
-    their distinct tokens (exact); other names are verified with their own
-    boundary regex.
+    Lines are found by the inverted index (``token_index``; built from ``files`` when no stored one is given), then the
+    files that hold one are read for columns and snippets.  One plan, whatever the number of names.
 
-    * Up to ``inline_names`` names (counted first): the names travel inside
-      the plan and every line intersects its tokens with them in place — one
-      scan, no per-token rows, no shuffle before the occurrence window.
-    * More names: a narrow (path, line, token) explode is equi-joined with the
-      names (Spark/AQE choose broadcast or shuffle from the sizes), and only
-      the files with a match are read again for text and snippets.
-
-    Output: name, path, pattern_idx (if present), line, column, snippet.
+    Output: name, path, pattern_idx, line, column, snippet.
     """
-    keep = [c for c in files.columns if c != "content"]
-    nm = names.select("name").where(F.col("name").isNotNull() & (F.col("name") != "")).distinct()
-    if nm.count() <= inline_names:
-        found = [r["name"] for r in nm.collect()]  # bounded by the count above
-        return _positions(_inline_hits(files, keep, found), keep)
-    return _positions(_joined_hits(files, keep, nm), keep)
-
-
-def _inline_hits(files: DataFrame, keep: list[str], found: list[str]) -> DataFrame:
-    word = [n for n in found if RX.is_word_name(n)]
-    other = [n for n in found if not RX.is_word_name(n)]
-    lines = F.split(F.col("content"), "\n", -1)
-
-    def hits_of(text):
-        # ``isin`` over a literal list becomes a hash set built once per task (InSet)
-        tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD_TOKEN), 0))
-        by_token = F.filter(tokens, lambda t: t.isin(*word)) if word else F.array().cast("array<string>")
-        if not other:
-            return by_token
-        by_regex = F.filter(F.array(*[F.lit(n) for n in other]), lambda n: F.regexp_like(text, _boundary(n)))
-        return F.concat(by_token, by_regex)
-
-    matched = F.filter(F.transform(lines, lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"),
-                                                                hits_of(t).alias("names"))),
-                       lambda x: F.size(x["names"]) > 0)
-    per_line = files.select(*keep, lines.alias("_lines"), F.explode_outer(matched).alias("h")).where(F.col("h").isNotNull())
-    per_line = per_line.select(*keep, F.col("h.line").alias("line"), F.col("h.text").alias("text"),
-                               snippet(F.col("_lines"), F.col("h.line")).alias("snippet"), F.col("h.names").alias("names"))
-    return per_line.select(*keep, "line", "text", "snippet", F.explode_outer("names").alias("name")).where(
-        F.col("name").isNotNull())
-
-
-def _joined_hits(files: DataFrame, keep: list[str], nm: DataFrame) -> DataFrame:
-    lines = F.split(F.col("content"), "\n", -1)
-    tokens = files.select("path", F.posexplode(lines).alias("_i", "text")).select(
-        "path", (F.col("_i") + 1).alias("line"),
-        F.explode_outer(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(WORD_TOKEN), 0))).alias("token"),
-    ).where(F.col("token").isNotNull())
-    keyed = nm.withColumn("token", F.regexp_extract(F.col("name"), WORD_TOKEN, 0)).where(F.col("token") != "")
-    matched = tokens.join(keyed, "token").select("path", "line", "name").distinct()
-    per_file = matched.groupBy("path").agg(F.collect_list(F.struct("line", "name")).alias("m"))
-    j = files.join(per_file, "path")
-    rows = j.select(*keep, lines.alias("_lines"), F.explode("m").alias("h")).select(
-        *keep, F.col("h.line").alias("line"), F.col("h.name").alias("name"),
-        F.try_element_at(F.col("_lines"), F.col("h.line")).alias("text"),
-        snippet(F.col("_lines"), F.col("h.line")).alias("snippet"))
-    # Names without any word character (extraction never yields one) cannot be keyed
-    # by a token; the few there are (counted) are tested against every line.
-    symbolic = nm.where(F.regexp_extract(F.col("name"), WORD_TOKEN, 0) == "")
-    if symbolic.count() > 0:
-        loop = files.select(*keep, lines.alias("_lines"), F.posexplode(lines).alias("_i", "text")).join(
-            F.broadcast(symbolic), F.col("text").contains(F.col("name"))).select(
-            *keep, (F.col("_i") + 1).alias("line"), "name", "text",
-            snippet(F.col("_lines"), F.col("_i") + 1).alias("snippet"))
-        rows = rows.unionByName(loop)
-    return rows.where(F.regexp_like(F.col("text"), _boundary(F.col("name"))))
+    wanted = TI.name_lines(files, names, index, counts).select("name", "path", "pattern_idx", "line").distinct()
+    return TI.occurrences(files, wanted)

@@ -45,8 +45,18 @@ def project(spark, sf) -> dict:
     }
 
 
+_REFRESHED: dict[tuple[str, str], tuple] = {}
+
+
 def refreshed(spark, sf):
-    """(store, files, listing, summary) after the refresh that all tools start with, in a store of its own."""
+    """(store, files, listing, summary) after the refresh that all tools start with; built once a session, its version never changes."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _REFRESHED:
+        _REFRESHED[key] = _refreshed(spark, sf)
+    return _REFRESHED[key]
+
+
+def _refreshed(spark, sf):
     p = project(spark, sf)
     files = p["files"].checkpoint()  # the rendered files are read by several tools
     store = RegistryStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/project-{uuid.uuid4().hex}", max_rows=500)
@@ -163,7 +173,7 @@ from req r left join use u using (request_id) left join (select request_id, max(
 def _sym_json(kind: str) -> str:
     """Aggregated JSON lists of a file's own symbols, from the expected rows of the rendered files."""
     base = f"select '/p' || file as path, * from ({TS_EXPECTED}) x"
-    params = "case when signature = '()' then '[]' else '[\"' || replace(regexp_extract(signature, '^\\((.*)\\)', 1), ', ', '\",\"') || '\"]' end"
+    params = "case when starts_with(signature, '()') then '[]' else '[\"' || replace(regexp_extract(signature, '^\\((.*)\\)', 1), ', ', '\",\"') || '\"]' end"
     returned = "nullif(regexp_extract(signature, '\\): (.*)$', 1), '')"
     of_type = "nullif(substr(signature, 3), '')"
     method = _json(("name", "symbol"), ("params", params), ("returnType", returned), ("description", "description"), ("visibility", "visibility"), raw=("params",))

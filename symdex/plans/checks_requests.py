@@ -11,7 +11,7 @@ from symdex.operators import requests as RQ
 from symdex.operators.search import rank_within_request
 from symdex.operators.usages import usage_scan_batch, with_listing_order
 from symdex.plans.catalog import PRIORITY_SQL, private_sql, register, symbols
-from symdex.sources.fixtures import load_view, with_views
+from symdex.sources.fixtures import load_view, register_base_tables, with_views
 from symdex.sources.tables import tracking_from_view
 
 NOW = dt.datetime(2024, 6, 1)
@@ -153,21 +153,25 @@ def rank_within_request_q(spark, sf):
     return rank_within_request(req, symbols(spark, sf)).select("request_id", "symbol", "rank")
 
 
-_NAMES_SQL = ("select distinct regexp_extract(content, '[A-Za-z]+', 0) as name from doc_files "
-              "where ends_with(path, '.ts') and regexp_extract(content, '[A-Za-z]+', 0) <> ''")
+_NAMES_SQL = (
+    "select 'load' || cast(s_suppkey as varchar) as name from supplier union select 'Svc' || cast(s_suppkey as varchar) from supplier "
+    "union select 'GET /s/' || cast(s_suppkey as varchar) from supplier union select 'POST /s/' || cast(s_suppkey as varchar) from supplier "
+    "union select 'a$b' union select '$' union select '+' union select 'n + 1' union select 'nowhere'")
 
 
 @register("usage_scan_batch", with_views(
-    f"with n as ({_NAMES_SQL}), "
-    "l as (select path, unnest(generate_series(1, len(arr))) as line, unnest(arr) as text from "
-    "(select path, string_split(content, chr(10)) as arr from doc_files where regexp_matches(path, '\\.(ts|tsx|js|jsx)$')) f) "
-    "select n.name, l.path, l.line, count(*) as occurrences from l join n on regexp_matches(l.text, '\\b' || n.name || '\\b'), "
-    "unnest(range(1, len(string_split_regex(l.text, '\\b' || n.name || '\\b')))) as t(k) group by n.name, l.path, l.line",
-    "doc_files"))
+    f"with n as (select name, regexp_escape(name) as esc, regexp_matches(name, '^\\w') as w1, regexp_matches(name, '\\w$') as w2 from ({_NAMES_SQL}) q), "
+    "f as (select path, content, 1 as pattern_idx from project_files where ends_with(path, '.ts') union all select path, content, 3 from project_files where ends_with(path, '.js') "
+    "union all select path, content, 1 from project_files where ends_with(path, '5.ts')), "
+    "l as (select path, pattern_idx, arr, unnest(generate_series(1, len(arr))) as line, unnest(arr) as text from (select *, string_split(content, chr(10)) as arr from f) x), "
+    "h as (select n.name, l.*, string_split_regex(l.text, '\\b' || esc || '\\b') as g from l join n on contains(l.text, n.name) and regexp_matches(l.text, '\\b' || esc || '\\b')) "
+    "select name, path, pattern_idx, line, cast(1 + list_sum(list_transform(g[1:k], lambda x: length(x))) + (k - 1) * length(name) as integer) as \"column\", "
+    "array_to_string(arr[greatest(line - 1, 1):least(line + 1, len(arr))], '\\n') as snippet from h, unnest(range(1, len(g))) as t(k)",
+    "project_files"))
 def usage_scan_batch_q(spark, sf):
-    docs = load_view(spark, sf, "doc_files").select("path", "content")
-    # the names searched are derived from the corpus: first word of every .ts document
-    names = docs.where(F.col("path").endswith(".ts")).select(
-        F.regexp_extract("content", "[A-Za-z]+", 0).alias("name")).where(F.col("name") != "").distinct()
-    occ = usage_scan_batch(with_listing_order(docs), names)
-    return occ.groupBy("name", "path", "line").agg(F.count(F.lit(1)).alias("occurrences"))
+    """Words, routes of one verb, names with signs, and files that are listed twice."""
+    docs = load_view(spark, sf, "project_files").select("path", "content")
+    files = with_listing_order(docs.unionByName(docs.where(F.col("path").endswith("5.ts"))))
+    register_base_tables(spark, sf, ["supplier"])
+    names = spark.sql(_NAMES_SQL.replace("as varchar)", "as string)"))
+    return usage_scan_batch(files.where(F.col("pattern_idx") > 0), names)
