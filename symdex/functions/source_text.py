@@ -128,14 +128,72 @@ def split_top_level(text: Column) -> Column:
     return F.aggregate(tokens, state, step, lambda s: F.concat(s["parts"], F.array(s["part"])))
 
 
-def nested(opening: str, closing: str, atom: str, depth: int = 16) -> str:
-    """Regex of text whose brackets balance, down to ``depth`` levels (a regex cannot count further)."""
+#: Levels that the patterns match by themselves; ``shallow`` brings any text down to them.
+LEVELS = 8
+
+
+def nested(opening: str, closing: str, atom: str) -> str:
+    """Regex of text whose brackets balance, for texts of ``LEVELS`` levels at most (see :func:`shallow`)."""
     inner = f"(?:{atom})*+"
-    for _ in range(depth):
+    for _ in range(LEVELS):
         inner = f"(?:(?:{atom})++|{opening}{inner}{closing})*+"
     return inner
 
 
+#: Brackets of a text are counted in runs of so many, so that no intermediate string grows with the text.
+_RUN = 256
+ROUND, CURLY, ANGLE = ("(", ")", r"(?=[()])"), ("{", "}", r"(?=[{}])"), ("<", ">", r"(?=<|(?<!=)>)")
+
+
+def _shallow_kind(text: Column, opening: str, closing: str, cut: str) -> Column:
+    """Brackets of one kind below ``LEVELS // 2`` levels as their folded stand-ins: a running depth over the bracket tokens."""
+    hidden = {c: FOLD_TO[FOLD_FROM.index(c)] for c in (opening, closing)}
+
+    def change(token: Column) -> Column:
+        return F.when(token.startswith(opening), F.lit(1)).when(token.startswith(closing), F.lit(-1)).otherwise(F.lit(0))
+
+    def run(tokens: Column, depth: Column) -> Column:
+        def step(s, t):
+            d = change(t)
+            # an opening bracket stands at the depth it leads to, a closing one at the depth it leaves
+            own = s["depth"] + F.greatest(d, F.lit(0))
+            bracket = F.when((d != 0) & (own > LEVELS // 2), F.translate(F.substring(t, 1, 1), opening + closing, hidden[opening] + hidden[closing])).otherwise(F.substring(t, 1, 1))
+            return F.struct((s["depth"] + d).alias("depth"), F.concat(s["out"], bracket, F.substring(t, 2, 1 << 30)).alias("out"))
+        return F.aggregate(tokens, F.struct(depth.alias("depth"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+    def with_runs(runs):
+        nets = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, t: a + change(t)))
+        # the depth each run starts at
+        starts = F.aggregate(nets, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.try_element_at(a, F.lit(-1)) + n)))
+        return F.array_join(F.zip_with(runs, F.slice(starts, 1, F.size(runs)), run), "")
+
+    tokens = F.split(text, cut, -1)
+    return let(tokens, lambda ts: let(F.transform(F.sequence(F.lit(0), F.ceil(F.size(ts) / _RUN).cast("int") - 1), lambda i: F.slice(ts, i * _RUN + 1, _RUN)), with_runs))
+
+
+def shallow(text: Column, *kinds) -> Column:
+    """Folded text with at most ``LEVELS`` levels of brackets: those further in become stand-ins, which ``unfold`` maps back.
+
+    Brackets are matched by depth over the token stream, however deep they nest; what lies inside hidden
+    ones still lies inside the ones that stay, so lists split and headers end at the same places.
+    """
+    for opening, closing, cut in kinds or (ROUND, CURLY, ANGLE):
+        text = _shallow_once(text, opening, closing, cut)
+    return text
+
+
+def _shallow_once(text: Column, opening: str, closing: str, cut: str) -> Column:
+    # as many levels need as many brackets
+    def body(t):
+        return F.when(F.length(t) - F.length(F.replace(t, F.lit(opening), F.lit(""))) > LEVELS, _shallow_kind(t, opening, closing, cut)).otherwise(t)
+    return let(text, body)
+
+
+def matching(text: Column, fits, *kinds) -> Column:
+    """``text`` where the pattern test ``fits`` holds for it as it is, else its :func:`shallow` form."""
+    return let(text, lambda t: F.when(fits(t), t).otherwise(shallow(t, *kinds)))
+
+
 BLANK = ""
 
 

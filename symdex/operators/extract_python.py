@@ -11,7 +11,7 @@ Grammar subset (what is read, stated plainly):
   undecorated module-level ``class`` statements are classes (Q10); anything
   under ``if`` / ``try`` is ignored;
 * every ``def`` at any depth inside a class statement is a method (Q9);
-* parameter lists may span lines and nest brackets two levels deep;
+* parameter lists may span lines and nest brackets at any depth;
 * a docstring is a string literal that is the first statement of the body
   (blank and comment lines before it are skipped).
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from symdex.functions.columns import js_trim, let
 from symdex.schemas import ALIAS_T, IFACE_T, PROP_T
 from symdex.functions.source_text import (
-    PY_NAME, PY_TOKEN, clean_docstring, fold, nested, split_top_level, unfold,
+    PY_NAME, PY_TOKEN, ROUND, clean_docstring, fold, matching, nested, split_top_level, unfold,
 )
 
 STR_F = r"""[rRbBuUfF]{0,2}(?:\"\"\"[^\"]*\"\"\"|'''[^']*'''|\"[^\"\n]*\"|'[^'\n]*')"""
@@ -38,7 +38,7 @@ _HEAD = (r"(?:async[ \t]+)?def[ \t]+(" + PY_NAME + r")[ \t]*\(" + PARAMS +
          r"\)[ \t]*(?:->[ \t]*([^:\n]+?)[ \t]*)?:")
 FUNC_RE = "^" + _HEAD + _DOC                       # groups: name, params, return, doc
 METHOD_RE = r"(?m)^([ \t]+)" + _HEAD + _DOC         # groups: indent, name, params, return, doc
-CLASS_RE = (r"^class[ \t]+(" + PY_NAME + r")[ \t]*(?:\((?:[^()]++|\([^()]*+\))*+\))?[ \t]*:" + _DOC)
+CLASS_RE = (r"^class[ \t]+(" + PY_NAME + r")[ \t]*(?:\(" + nested(r"\(", r"\)", "[^()]") + r"\))?[ \t]*:" + _DOC)
 MODULE_DOC_RE = "^(" + STR_F + ")" + _END_STMT
 DECORATOR_RE = (r"(?m)^@[ \t]*(" + PY_NAME + r"(?:[ \t]*\.[ \t]*" + PY_NAME + r")*)[ \t]*\(" + PARAMS + r"\)")
 TOP_LEVEL_SPLIT = r"\n(?=[^\s)\]}@])"
@@ -79,8 +79,17 @@ def _visibility(name: Column) -> Column:
             .otherwise(F.lit("public")))
 
 
+def _all_decorators(text: Column) -> Column:
+    """Whether the pattern reads every decorator with arguments in the text."""
+    return F.size(F.regexp_extract_all(text, F.lit(DECORATOR_RE), 0)) == F.size(F.regexp_extract_all(text, F.lit(r"(?m)^@[^(\n]*\("), 0))
+
+
 def _routes_of(decorators: Column, fn_name: Column, fn_desc: Column) -> Column:
     """Route records of one decorated module-level function."""
+    return let(matching(decorators, _all_decorators, ROUND), lambda text: _read_routes(text, fn_name, fn_desc))
+
+
+def _read_routes(decorators: Column, fn_name: Column, fn_desc: Column) -> Column:
     names = F.regexp_extract_all(decorators, F.lit(DECORATOR_RE), 1)
     args = F.regexp_extract_all(decorators, F.lit(DECORATOR_RE), 2)
 
@@ -114,6 +123,14 @@ def python_file_doc(content: Column) -> Column:
     return let(F.split(F.concat(F.lit("\n"), fold(content, PY_TOKEN)), TOP_LEVEL_SPLIT, -1), _doc_from_chunks)
 
 
+def _headers_fit(c: Column) -> Column:
+    """Whether the patterns read the headers of a chunk, a class's methods included, as they stand."""
+    heads = F.size(F.regexp_extract_all(c, F.lit(r"(?m)^[ \t]+(?:async[ \t]+)?def[ \t]+" + PY_NAME + r"[ \t]*\("), 0))
+    methods = F.size(F.regexp_extract_all(c, F.lit(METHOD_RE), 0))
+    return (F.when(c.rlike(r"^(?:async[ \t]+)?def[ \t]"), c.rlike(FUNC_RE))
+            .when(c.rlike(r"^class[ \t]"), c.rlike(CLASS_RE) & (heads == methods)).otherwise(F.lit(True)))
+
+
 def _doc_from_chunks(chunks: Column) -> Column:
     first = F.try_element_at(chunks, F.lit(1))
     module_lit = F.when(js_trim(first) == "", F.regexp_extract(F.try_element_at(chunks, F.lit(2)), MODULE_DOC_RE, 1))
@@ -122,7 +139,7 @@ def _doc_from_chunks(chunks: Column) -> Column:
     def info(c, i):
         prev = F.when(i > 0, F.try_element_at(chunks, i)).otherwise(F.lit(""))  # 1-based: the previous chunk
         return F.struct(
-            c.alias("c"),
+            matching(c, _headers_fit, ROUND).alias("c"),
             F.when(c.rlike(r"^(?:async[ \t]+)?def[ \t]"), F.lit("def"))
             .when(c.rlike(r"^class[ \t]"), F.lit("class")).otherwise(F.lit("other")).alias("kind"),
             F.regexp_extract(prev, r"\n(@[\s\S]*)$", 1).alias("decorators"),

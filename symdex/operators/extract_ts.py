@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from symdex.functions.columns import js_trim, let
 from symdex.functions.source_text import (
-    FOLD_TO, NAME, TS_TOKEN, fold, jsdoc_description, jsdoc_return_type, nested, split_top_level, unfold,
+    FOLD_TO, NAME, TS_TOKEN, fold, jsdoc_description, jsdoc_return_type, matching, nested, split_top_level, unfold,
 )
 from symdex.schemas import ALIAS_T, IFACE_T
 
@@ -76,6 +76,18 @@ def _lead_jsdoc(lead: Column) -> Column:
                lambda block: F.when(block.isNotNull(), unfold(block)))
 
 
+#: A declaration whose header holds brackets, and the patterns that read it.
+_DECLARES = r"^(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+|abstract[ \t]+)?(?:function|class|interface|type|const|let|var)(?![\p{L}\p{N}_$])"
+
+
+def _header_fits(decl: Column) -> Column:
+    """No declaration, or one that a pattern reads as it stands."""
+    fits = ~decl.rlike(_DECLARES)
+    for pattern in (FUNC_DECL, CLASS_DECL, IFACE_DECL, ALIAS_DECL, VAR_FUNC_DECL):
+        fits = fits | decl.rlike(pattern)
+    return fits
+
+
 def _strip_lead(text: Column) -> Column:
     return F.regexp_replace(text, LEAD, "")
 
@@ -145,7 +157,7 @@ def script_file_doc(content: Column, language: Column, path: Column) -> Column:
         s1 = F.struct(
             folded.alias("folded"),
             F.transform(chunks, lambda c: F.struct(
-                F.regexp_extract(c, LEAD, 1).alias("lead"), _strip_lead(c).alias("decl"))).alias("items"),
+                F.regexp_extract(c, LEAD, 1).alias("lead"), matching(_strip_lead(c), _header_fits).alias("decl"))).alias("items"),
             _exported_names(folded).alias("exp"),
         )
         return let(s1, lambda v: _script_doc(v, language, path))
@@ -179,11 +191,14 @@ def _script_doc(s1: Column, language: Column, path: Column) -> Column:
         (F.regexp_extract(x["decl"], FUNC_DECL, 5) == "{") | x["decl"].rlike(r"^(?:export[ \t]+)?declare[ \t]"))
 
     def with_members(x, header):
+        def member_fits(t):
+            return t.rlike(METHOD_MEMBER if header is CLASS_DECL else SIG_METHOD)
+
         members = _members(_body(x["decl"], header))
         return F.struct(
             x["lead"].alias("lead"), x["decl"].alias("decl"),
             F.transform(members, lambda m: F.struct(
-                F.regexp_extract(m, LEAD, 1).alias("lead"), _strip_lead(m).alias("t"))).alias("members"))
+                F.regexp_extract(m, LEAD, 1).alias("lead"), matching(_strip_lead(m), member_fits).alias("t"))).alias("members"))
 
     api_path = F.regexp_replace(F.regexp_replace(F.regexp_replace(
         path, r"^.*/pages/api/", "/"), r"\.[jt]sx?$", ""), r"/index$", "/")
