@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from symdex.functions.regex import WORD
 from symdex.schemas import SNIPPET_SEPARATOR
+from symdex.session import ensure_checkpoint_dir
 
 WORD_TOKEN = f"[{WORD}]+"
 #: Word tokens, and runs without white space between two of them.
@@ -30,13 +31,19 @@ TOKEN = rf"[{WORD}]+|(?<=[{WORD}])[^{WORD}\s]+(?=[{WORD}])"
 TOKEN_SALTS = 32
 
 
-def token_lines(files: DataFrame) -> DataFrame:
-    """The index of ``files`` (path, pattern_idx, content): one row a token and line; a path listed twice counts twice."""
+def token_lines(files: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The index of ``files`` (path, pattern_idx, content): one row a token and line; a path listed twice counts twice.
+
+    ``only`` (token) keeps the index of one batch of names to their tokens, before anything is shuffled.
+    """
     lines = files.select("path", "pattern_idx", F.posexplode(F.split(F.col("content"), "\n", -1)).alias("i", "text"))
     tokens = lines.select("path", "pattern_idx", (F.col("i") + 1).alias("line"),
                           F.explode_outer(F.regexp_extract_all(F.col("text"), F.lit(TOKEN), 0)).alias("token"))
     salt = F.pmod(F.xxhash64("path", "line"), F.lit(TOKEN_SALTS)).cast("int")
-    return tokens.where(F.col("token").isNotNull()).groupBy("token", "path", "pattern_idx", "line").agg(
+    tokens = tokens.where(F.col("token").isNotNull())
+    if only is not None:
+        tokens = tokens.join(only, "token", "left_semi")
+    return tokens.groupBy("token", "path", "pattern_idx", "line").agg(
         F.count(F.lit(1)).cast("int").alias("n")).select("token", salt.alias("salt"), "path", "pattern_idx", "line", "n")
 
 
@@ -73,16 +80,20 @@ def snippet_of(lines: Column, line: Column) -> Column:
     return F.array_join(F.slice(lines, start, F.least(line + 1, F.size(lines)) - start + 1), SNIPPET_SEPARATOR)
 
 
+def name_tokens(names: DataFrame) -> DataFrame:
+    """(name, token): the word tokens of every name, or the name itself where it has none."""
+    words = F.array_distinct(F.regexp_extract_all(F.col("name"), F.lit(WORD_TOKEN), 0))
+    nm = names.select("name").where(F.trim("name") != "").distinct()
+    return nm.select("name", F.explode(F.when(F.size(words) == 0, F.array("name")).otherwise(words)).alias("token"))
+
+
 def keyed_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(name, token, direct): the token each name is looked up by, and whether the index alone answers it.
 
     Names that hold a token that no line holds stand nowhere and are left out, and so do
     empty names and names of white space only.
     """
-    nm = names.select("name").where(F.trim("name") != "").distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.col("name"), F.lit(WORD_TOKEN), 0))
-    tokens = nm.select("name", F.explode(F.when(F.size(words) == 0, F.array("name")).otherwise(words)).alias("token"))
-    best = tokens.join(counts, "token", "left").groupBy("name").agg(
+    best = name_tokens(names).join(counts, "token", "left").groupBy("name").agg(
         F.min_by("token", F.struct("n_lines", "token")).alias("token"), F.min(F.col("n_lines").isNotNull()).alias("_all"))
     return best.where("_all").select("name", "token", (F.col("token") == F.col("name")).alias("direct"))
 
@@ -90,7 +101,9 @@ def keyed_names(names: DataFrame, counts: DataFrame) -> DataFrame:
 def name_lines(files: DataFrame, names: DataFrame, index: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(name, path, pattern_idx, line, n): how often each name stands in each line."""
     if index is None:
-        index = token_lines(files)
+        # the names' own tokens only; read for the counts and for every kind of name, so the corpus is scanned once
+        ensure_checkpoint_dir(files.sparkSession)
+        index = token_lines(files, name_tokens(names).select("token").distinct()).checkpoint()
     if counts is None:
         counts = token_counts(index)
     keyed = keyed_names(names, counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))))
