@@ -246,7 +246,9 @@ def usage_scan_batch(files: DataFrame, names: DataFrame, index: DataFrame | None
     Lines are found by the inverted index (``token_index``; built from ``files`` when no stored one is given), then the
     files that hold one are read for columns and snippets.  One plan, whatever the number of names.
 
-    Output: name, path, pattern_idx, line, column, snippet.
+    Output: name, path, pattern_idx (0 where ``files`` has none), line, column, snippet.
     """
+    if "pattern_idx" not in files.columns:
+        files = files.withColumn("pattern_idx", F.lit(0))
     wanted = TI.name_lines(files, names, index, counts).select("name", "path", "pattern_idx", "line").distinct()
     return TI.occurrences(files, wanted)

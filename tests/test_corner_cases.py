@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from symdex.functions.source_text import split_top_level
 from symdex.operators import file_docs as FD
 from symdex.operators import registry as G
-from symdex.operators.requests import dispatch_requests
+from symdex.operators.requests import dispatch_requests, summarised
 from symdex.operators.search import rank_within_request
 from symdex.operators.usages import usage_scan, usage_scan_batch
 from symdex.schemas import SYMBOLS
@@ -57,11 +57,10 @@ def test_columns_of_a_path_listed_twice(spark):
     assert sorted(r.column for r in usage_scan_batch(files, names).collect()) == [1, 1, 5, 5]
 
 
-@pytest.mark.parametrize("inline", [0, 100])
-def test_names_with_pattern_characters(spark, inline):
+def test_names_with_pattern_characters(spark):
     files = spark.createDataFrame([("/p/a.ts", "x a\\E.b y\nGET /a(b)? z\n")], "path string, content string")
     names = spark.createDataFrame([("a\\E.b",), ("GET /a(b)?",), ("a.E.b",)], "name string")
-    got = {(r.name, r.line) for r in usage_scan_batch(files, names, inline_names=inline).collect()}
+    got = {(r.name, r.line) for r in usage_scan_batch(files, names).collect()}
     assert ("a\\E.b", 1) in got and not any(n == "a.E.b" for n, _ in got)
 
 
@@ -77,7 +76,7 @@ def test_search_of_a_term_whose_lower_case_is_longer(spark):
 
 def test_first_symbol_without_a_limit_is_the_best(spark):
     requests = spark.createDataFrame([("r", '{"tool": "search_project_symbols", "input": {"query": "add", "limit": 0}}')], "request_id string, line string")
-    rows = dispatch_requests(requests, _symbols(spark, ["badd", "xadd9", "add"])).collect()
+    rows = summarised(dispatch_requests(requests, _symbols(spark, ["badd", "xadd9", "add"]))).collect()
     assert [(r.first_symbol, r.result_count) for r in rows] == [("add", 3)]
 
 
@@ -101,13 +100,16 @@ def test_order_of_registration_does_not_depend_on_partitions(spark):
     assert orders[0] == orders[1] == [f"{w}{i}" for i in range(40) for w in ("one", "two")]
 
 
-def test_only_a_missing_table_is_empty(spark, tmp_path):
-    assert TB.read_or_empty(spark, str(tmp_path / "none"), SYMBOLS).count() == 0
+def test_only_a_missing_registry_is_empty(spark, tmp_path):
+    assert [t.count() for t in TB.load_registry(spark, str(tmp_path / "none"))] == [0, 0]
     broken = tmp_path / "t"
-    broken.mkdir()
-    (broken / "part-0.parquet").write_bytes(b"no parquet")
+    TB.persist_registry(_symbols(spark, ["a"]), spark.createDataFrame([], TB.FILE_TRACKING), str(broken))
+    assert [t.count() for t in TB.load_registry(spark, str(broken))] == [1, 0]
+    for part in (broken / "data").rglob("*.parquet"):
+        part.with_name(f".{part.name}.crc").unlink(missing_ok=True)
+        part.write_bytes(b"no parquet")
     with pytest.raises(Exception):
-        TB.read_or_empty(spark, str(broken), SYMBOLS).count()
+        TB.load_registry(spark, str(broken))[0].collect()
 
 
 def test_json_registry(spark, tmp_path):
@@ -140,9 +142,9 @@ def test_streamed_batches_number_symbols_uniquely(spark, tmp_path):
         return spark.createDataFrame(rows, CHANGE_SCHEMA)
 
     state, one = str(tmp_path / "state"), "def {0}1():\n    pass\n\ndef {0}2():\n    pass\n"
-    apply_changes(batch(1, a=one.format("a"), b=one.format("b")), 0, state, buckets=2)
-    apply_changes(batch(2, a=one.format("n")), 1, state, buckets=2)
-    apply_changes(batch(2, a=one.format("late")), 2, state, buckets=2)
+    apply_changes(batch(1, a=one.format("a"), b=one.format("b")), state, max_rows=3)
+    apply_changes(batch(2, a=one.format("n")), state, max_rows=3)
+    apply_changes(batch(2, a=one.format("late")), state, max_rows=3)
     rows = read_state(spark, state)[0].orderBy("ord").collect()
     assert [r.symbol for r in rows] == ["b1", "b2", "n1", "n2"]
     assert len({r.ord for r in rows}) == 4
