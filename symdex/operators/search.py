@@ -151,8 +151,7 @@ def gram_index(symbols: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
 
     A name that contains a term contains every gram of the term, so an equi-join on one
     of them followed by the ``contains`` test is exact.  The rows carry all that
-    filters and ranking read.  Build once per symbol table (``sources.indexes`` stores it and
-    replaces the rows of changed files) and use it for every request batch.
+    filters and ranking read.  Build once per symbol table and use it for every request batch.
     """
     low = F.lower(F.col("symbol"))
 

@@ -12,7 +12,8 @@ name has a key, the runs of other characters without white space that stand betw
 
 Frequent tokens are dealt to ``TOKEN_SALTS`` groups.  The plan is the same at every
 size; how the sides of a join are brought together is left to the planner and its measured sizes.
-``sources.indexes`` stores the index clustered by token and replaces the rows of changed files.
+A caller that keeps the index of its corpus as a table hands it over; otherwise the tokens of a batch's
+own names are indexed for the batch.
 """
 
 from __future__ import annotations
