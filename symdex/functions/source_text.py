@@ -12,6 +12,8 @@ over the file row: linear, in place, no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,14 +34,21 @@ PY_TOKEN = (
 )
 # TS/JS tokens.  A comment that starts its line takes the whitespace after it
 # along (folded), so a JSDoc block lands on the line of the declaration below
-# it; a comment after code keeps its newline.  Then string/template literals.
+# it; a comment after code keeps its newline.  Then string/template literals,
+# and regex literals: a slash where an expression starts, that is after an
+# operator, an opening bracket, an arrow or one of a few keywords (after a name,
+# a number or a closing bracket it divides; after < or > it may close a tag).
+_BEFORE_REGEX = (
+    r"(?<=[(,=:\[!&|?{;+*%~^-]|=>|(?<![\p{L}\p{N}_$.])(?:return|typeof|case|in|of|delete|void|throw|instanceof|yield|await|do|else))"
+)
 TS_TOKEN = (
     r"(?m)^[ \t]*/\*[\s\S]*?\*/[ \t\r\n]*|^[ \t]*//[^\n]*+[ \t\r\n]*"
     r"|/\*[\s\S]*?\*/|//[^\n]*+"
     r"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
     r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+    r"|" + _BEFORE_REGEX + r"[ \t\r\n]*+/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*+\])++/[\p{L}\p{N}_$]*+"
 )
-_PREFIX = r"^([ \t]*(?:/\*\*?|//)|[rRbBuUfF]{0,2}(?:\"\"\"|'''|\"|')|`|#)"
+_PREFIX = r"^([ \t]*(?:/\*\*?|//)|[rRbBuUfF]{0,2}(?:\"\"\"|'''|\"|')|`|#|[ \t\r\n]*/)"
 
 
 def _fold_token(m: Column) -> Column:
@@ -49,7 +58,7 @@ def _fold_token(m: Column) -> Column:
     is_line = m.rlike(r"^[ \t]*//")
     is_hash = m.startswith("#")
     ws = F.regexp_extract(m, r"([ \t\r\n]*)$", 1)
-    closing = F.regexp_extract(m, r"(\"\"\"|'''|\"|'|`)$", 1)
+    closing = F.regexp_extract(m, r"(\"\"\"|'''|\"|'|`|/[\p{L}\p{N}_$]*)$", 1)
     raw_tail = (F.when(is_block, F.concat(F.lit("*/"), ws)).when(is_line, ws)
                 .when(is_hash, F.lit("")).otherwise(closing))
     inner = F.substring(m, F.length(prefix) + 1, F.length(m) - F.length(prefix) - F.length(raw_tail))
@@ -202,13 +211,28 @@ def mask(content: Column, token_re: str) -> Column:
 
     Same length and same line breaks as the input, so line and column
     positions carry over; no identifier can be found inside a string or a
-    comment of the masked text.
+    comment of the masked text.  The code of a template's ``${...}`` stays,
+    its own literals blanked (not where it holds braces in braces or a template).
     """
-    def body(c):
-        gaps = F.split(c, token_re, -1)
-        blank = lambda t: F.regexp_replace(t, r"\S", BLANK)
-        return let(F.regexp_extract_all(c, F.lit(token_re), 0), lambda toks: F.concat(
-            F.array_join(F.zip_with(F.slice(gaps, 1, F.size(toks)), F.transform(toks, blank),
-                                    lambda g, t: F.concat(g, t)), ""),
-            F.try_element_at(gaps, F.lit(-1))))
-    return let(content, body)
+    def blank(t):
+        return F.regexp_replace(t, r"\S", BLANK)
+
+    def blank_template(t):
+        text, code = F.split(t, _TEMPLATE_CODE, -1), F.regexp_extract_all(t, F.lit(_TEMPLATE_CODE), 0)
+        return _rejoined(F.transform(text, blank), F.transform(code, lambda c: _tokens_replaced(c, _QUOTED, blank)))
+
+    return _tokens_replaced(content, token_re, lambda t: F.when(t.startswith("`") & t.contains("${"), blank_template(t)).otherwise(blank(t)))
+
+
+_QUOTED = r"\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+_TEMPLATE_CODE = r"(?<!\\)\$\{[^{}`]*+(?:\{[^{}`]*+\}[^{}`]*+)*+\}"
+
+
+def _rejoined(gaps: Column, tokens: Column) -> Column:
+    """The gaps around some tokens and these, in turn."""
+    return let(tokens, lambda toks: let(gaps, lambda g: F.concat(
+        F.array_join(F.zip_with(F.slice(g, 1, F.size(toks)), toks, lambda a, b: F.concat(a, b)), ""), F.try_element_at(g, F.lit(-1)))))
+
+
+def _tokens_replaced(content: Column, token_re: str, replace: Callable[[Column], Column]) -> Column:
+    return let(content, lambda c: _rejoined(F.split(c, token_re, -1), F.transform(F.regexp_extract_all(c, F.lit(token_re), 0), replace)))

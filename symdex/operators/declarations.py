@@ -3,9 +3,9 @@
 Every line of every file is read in place: comments and literals are blanked
 first (same length, same line breaks), then declaration patterns are tried at
 the start of each line and identifier occurrences are found with the usage
-machinery.  Grammar subset: declarations start their line (after
-indentation); a property declaration is recognised when it carries a
-modifier or an initializer; a declaration's extent for the snippet is found
+machinery.  Grammar subset: a member starts its line (after indentation), any
+other declaration its statement, the first of its name on the line; a property
+declaration is recognised when it carries a modifier or an initializer; a declaration's extent for the snippet is found
 by bracket balance over its first lines.
 """
 
@@ -19,6 +19,8 @@ from symdex.functions.source_text import TS_TOKEN, mask
 
 ID = r"[\p{L}\p{N}_$]"
 SNIPPET_LINES = 5
+#: Where a statement can start on its line: first, or behind the end of one or a brace.
+START = r"^((?:[^\n]*?[;{}])?[ \t]*)"
 
 
 def _patterns(name: str) -> list[tuple[str, str]]:
@@ -26,11 +28,11 @@ def _patterns(name: str) -> list[tuple[str, str]]:
     n = escape(name) + f"(?!{ID})"
     mods = r"(?:(?:public|private|protected|static|async|readonly|abstract|override|declare)[ \t]+)*"
     return [
-        ("function", r"^([ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*" + n),
-        ("class", r"^([ \t]*)(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?class[ \t]+" + n),
-        ("interface", r"^([ \t]*)(?:export[ \t]+)?(?:declare[ \t]+)?interface[ \t]+" + n),
-        ("type", r"^([ \t]*)(?:export[ \t]+)?(?:declare[ \t]+)?type[ \t]+" + n + r"[ \t]*(?:<[^>]*>)?[ \t]*="),
-        ("variable", r"^([ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?(?:const|let|var)[ \t]+)" + n),
+        ("function", START + r"(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*" + n),
+        ("class", START + r"(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:abstract[ \t]+)?class[ \t]+" + n),
+        ("interface", START + r"(?:export[ \t]+)?(?:declare[ \t]+)?interface[ \t]+" + n),
+        ("type", START + r"(?:export[ \t]+)?(?:declare[ \t]+)?type[ \t]+" + n + r"[ \t]*(?:<[^>]*>)?[ \t]*="),
+        ("variable", r"^((?:[^\n]*?[;{}(])?[ \t]*(?:export[ \t]+)?(?:declare[ \t]+)?(?:const|let|var)[ \t]+)" + n),
         ("method", r"^([ \t]*)" + mods + r"(?:\*[ \t]*)?" + n + r"[ \t]*\??[ \t]*(?:<[^>]*>)?[ \t]*\([^;]*\)[ \t]*(?::[^{;]*)?\{"),
         ("property", r"^([ \t]*)(?:(?:(?:public|private|protected|static|readonly|declare|override|abstract)[ \t]+)+#?" + n
          + r"[ \t]*[?!]?[ \t]*(?::[^=;]*)?(?:=[^;]*)?;?|#?" + n + r"[ \t]*[?!]?[ \t]*(?::[^=;]*)?=[^;>]*;)[ \t]*$"),
@@ -50,7 +52,6 @@ def find_declarations(files: DataFrame, name: str) -> DataFrame:
     """Every declaration of ``name`` at any depth: (file, line, column, kind, snippet)."""
     pats = _patterns(name)
     df = _masked_lines(files).where(F.col("mlines").isNotNull())
-    n = escape(name) + f"(?!{ID})"
 
     def classify(m):
         kind, col = None, None
@@ -58,7 +59,7 @@ def find_declarations(files: DataFrame, name: str) -> DataFrame:
             hit = m.rlike(p)
             pre = F.length(F.regexp_extract(m, p, 1))
             if k == "variable":
-                after = F.regexp_replace(m, r"^[\s\S]*?" + n, "")
+                after = F.substring(m, pre + 1 + len(name), 1 << 30)
                 kind_v = F.when(after.rlike(FUNC_INIT), F.lit("function")).otherwise(F.lit("variable"))
                 kind = F.when(hit, kind_v) if kind is None else kind.when(hit, kind_v)
             else:

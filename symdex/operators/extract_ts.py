@@ -55,7 +55,7 @@ SIG_METHOD = (r"^(?:readonly[ \t]+)?(" + NAME + r")[ \t]*\??[ \t]*" + TP + r"?[
 SIG_PROP = r"^(?:readonly[ \t]+)?(" + NAME + r")[ \t]*\??[ \t]*:[ \t]*([\s\S]+?)[ \t]*[;,]?[ \t]*$"
 STR_LIT = r"""(?:'[^'\n]*'|"[^"\n]*")"""
 ROUTE_RE = (r"(?m)(?:\.[ \t\n]*(get|post|put|delete|patch)[ \t\n]*\([ \t\n]*(" + STR_LIT + r")[ \t\n]*,[ \t\n]*(?=([^\n]*))"
-            r"|(?:^|(?<=" + FOLD_TO[0] + r"))export[ \t]+(?:default[ \t]+)?(?:async[ \t]+)?function[ \t]+(handler)[ \t]*\()")
+            r"|(?:^|(?<=" + FOLD_TO[0] + r"))(?:(export)[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?function[ \t]+(handler)[ \t]*\()")
 TOP_LEVEL_SPLIT = r"\n(?=[^\s)\]}@])"
 JSDOC_IN = r"(/\*\*(?!/)[^\n]*?\*/)"
 
@@ -218,11 +218,14 @@ def _script_doc(s1: Column, language: Column, path: Column) -> Column:
                           F.concat(F.lit("API route for "), api_path).alias("description"))
         return F.when(r["h"] != "", nextjs).otherwise(express)
 
-    routes = F.transform(F.arrays_zip(
+    routes = F.arrays_zip(
         F.regexp_extract_all(folded, F.lit(ROUTE_RE), 1).alias("v"),
         F.regexp_extract_all(folded, F.lit(ROUTE_RE), 2).alias("p"),
         F.regexp_extract_all(folded, F.lit(ROUTE_RE), 3).alias("a"),
-        F.regexp_extract_all(folded, F.lit(ROUTE_RE), 4).alias("h")), route)
+        F.regexp_extract_all(folded, F.lit(ROUTE_RE), 4).alias("e"),
+        F.regexp_extract_all(folded, F.lit(ROUTE_RE), 5).alias("h"))
+    # a handler is a route where it is exported, at its declaration or by its name
+    routes = F.transform(F.filter(routes, lambda r: (r["h"] == "") | is_exported(r["e"], r["h"])), route)
 
     aliases = F.transform(F.filter(items, lambda x: x["decl"].rlike(ALIAS_DECL)), lambda x: F.struct(
         F.regexp_extract(x["decl"], ALIAS_DECL, 2).alias("name"),

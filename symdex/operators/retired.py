@@ -183,9 +183,14 @@ def prop_types(files: DataFrame) -> DataFrame:
 
 
 def default_handler_routes(files: DataFrame) -> DataFrame:
-    """The ``ANY`` route of an ``export default function handler`` (the stated intent)."""
+    """The ``ANY`` route of a ``function handler`` that is the default export, there or by its name (the stated intent)."""
     it = _items(files)
-    is_h = lambda x: x["decl"].rlike(r"^export[ \t]+default[ \t]+(?:async[ \t]+)?function[ \t]+handler[ \t]*\(")
+    named = F.col("folded").rlike(r"(?m)^export[ \t]+(?:default[ \t]+handler[ \t]*;?[ \t]*$|\{(?:[^}]*,)?\s*handler\s+as\s+default\s*[,}])")
+
+    def is_h(x):
+        declares = r"(?:async[ \t]+)?function[ \t]+handler[ \t]*\("
+        return x["decl"].rlike(r"^export[ \t]+default[ \t]+" + declares) | (named & x["decl"].rlike("^" + declares))
+
     rows = _explode(it, F.filter(F.col("items"), is_h), "path")
     api = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("path"), r"^.*/pages/api/", "/"),
                                             r"\.[jt]sx?$", ""), r"/index$", "/")

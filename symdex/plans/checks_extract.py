@@ -132,6 +132,25 @@ _kind_key("extract_ts_interfaces", TS_EXPECTED, ("interface",), "code_ts")
 _kind_key("extract_ts_type_aliases", TS_EXPECTED, ("type",), "code_ts")
 _kind_key("extract_express_routes", TS_EXPECTED, ("route",), "code_ts")
 _kind_key("extract_api_handler_routes", JS_EXPECTED, ("route",), "code_js")
+
+
+@register("extract_handlers_exported_by_name", with_views(f"select {SYM_COLS} from ({JS_EXPECTED}) t"))
+def extract_handlers_exported_by_name(spark, sf):
+    # the same files, the handlers exported below their declaration
+    files = source_files(spark, sf, "code_js")
+    tail = F.when(F.col("path").endswith("0.js"), F.lit("export default handler;\n")).otherwise(F.lit("export { handler };\n"))
+    below = F.concat(F.replace("content", F.lit("export function handler("), F.lit("function handler(")), tail)
+    return FD.flatten_file_docs(FD.file_docs(files.withColumn("content", F.when(F.col("content").contains("function handler("), below).otherwise(F.col("content")))))
+
+
+@register("extract_after_regex_literals", with_views(f"select {SYM_COLS} from ({JS_EXPECTED}) t"))
+def extract_after_regex_literals(spark, sf):
+    # quotes, comment marks and brackets in regex literals, divisions beside them; nothing else changes
+    files = source_files(spark, sf, "code_js")
+    head = "const quote = /[\"'`/]/g, half = (size + 1) / 2 / n;\nlines.map(l => /^\\s*\\/\\*|['{(]/.test(l) || half / 2);\n"
+    return FD.flatten_file_docs(FD.file_docs(files.withColumn("content", F.concat(F.lit(head), F.col("content")))))
+
+
 _kind_key("flag_components", JS_EXPECTED, ("class",), "code_js")
 
 

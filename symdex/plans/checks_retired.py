@@ -89,9 +89,12 @@ def extract_prop_types(spark, sf):
 
 @register("extract_default_handler_routes", with_views(
     "select f as file, 'ANY' as method, '/c' || k as route_path, 'handler' as handler, 'API route for /c' || k as "
-    f"description from {_JS} where false"))
+    f"description from {_JS} where c_custkey % 10 = 0"))
 def extract_default_handler_routes(spark, sf):
-    return Y.default_handler_routes(_js(spark, sf))
+    # the rendered handlers are named exports; here half are default exports, half are exported below by name
+    here = F.replace("content", F.lit("export function handler("), F.lit("export default function handler("))
+    below = F.concat(F.replace("content", F.lit("export function handler("), F.lit("function handler(")), F.lit("export default handler;\n"))
+    return Y.default_handler_routes(_js(spark, sf).withColumn("content", F.when(F.col("path").endswith("0.js") & F.col("path").contains("5"), here).otherwise(below)))
 
 
 # --- Y1-Y3 on code_ts ---------------------------------------------------------------
