@@ -7,35 +7,29 @@ cutoff of its stratum (language).  Cutoffs come from the labelled rows:
 * one half of them (by a hash of the id) designs: per stratum and rule the cutoff with
   the best balance of rejected bad rows against ``GOOD_COST`` times the rejected
   good rows;
-* the other half, the holdout, certifies: from the loosest cutoff down to the designed
-  one, a cutoff passes while the exact binomial tail
-  ``P(Bin(n, limit / rules) <= rejected good rows)`` stays at or under
-  ``error / (strata * rules)``.  The first failure ends the run; the last pass is used.
+* the other half, the holdout, certifies: the rules with a gain on the design half are tested
+  one after the other, the best first and each from its loosest cutoff down to the designed
+  one, on the good rows rejected by any rule so far.  A cutoff passes while the exact binomial
+  tail ``P(Bin(n, limit) <= rejected good rows)`` stays at or under ``error / strata``.  The
+  first failure ends a stratum; the last pass of each rule is used.
 
-So with probability ``1 - error`` no stratum loses more than ``limit`` of its good
-rows (Bonferroni over strata and rules, fixed-sequence testing over cutoffs).  A
-stratum with too few labels certifies nothing and loses nothing by these rules.
-
-That even split needs about 1 500 good holdout rows in one of four strata.  ``verdicts`` is
-bound to it by ``ORACLE``; ``kept_documents`` takes ``cutoffs_in_order``, where about 220 do:
-the rules with a gain on the design half are tested one after the other, the best first and
-each from its loosest cutoff down to the designed one, on the good rows rejected by any rule
-so far, with the whole ``limit`` and ``error / strata``.  The first failure ends a stratum.
+So with probability ``1 - error`` no stratum loses more than ``limit`` of its good rows
+(Bonferroni over strata, fixed-sequence testing over rules and cutoffs).  One of four strata
+needs about 220 good holdout rows; a stratum with too few labels certifies nothing and loses
+nothing by these rules.
 
 ``base_failed`` is the fixed base check.  Null or empty text has no words and
 fails it; a null language is a stratum of its own; null labels are ignored and
 several labels of one id count as their lowest; an empty table gives an empty
-result.  Columns of the input that share a name with a result are replaced.
+result.  Columns of the input may have any names: those that do not decide are carried in one struct.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symdex.llm.common import SPACE_CHARS, shared_folder, words_of
+from symdex.llm.common import SPACE_CHARS, shared_folder, words_of, written
 
 #: Rule: (numerator, denominator) of the share that it limits.
 RULES = {
@@ -129,32 +123,6 @@ def _holdout() -> Column:
 
 def cutoffs(featured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
     """Certified cutoffs: stratum, rule, cutoff.  ``featured``: doc_id, lang and the features."""
-    rows, holdout = _labelled(featured, labels).withColumn("_s", F.explode("shares")), _holdout()
-    counts = rows.groupBy("stratum", F.col("_s.rule").alias("rule"), F.col("_s.share").alias("share")).agg(
-        F.count_if(holdout & F.col("good")).alias("n_good"),
-        F.count_if(~holdout & F.col("good")).alias("d_good"),
-        F.count_if(~holdout & ~F.col("good")).alias("d_bad"),
-    ).checkpoint()  # a row for each stratum, rule and share in thousandths
-    tests = max(1, counts.select("stratum").distinct().count()) * len(RULES)
-    group = Window.partitionBy("stratum", "rule")
-    above = group.orderBy(F.col("share").desc())
-    table = counts.select(
-        "stratum", "rule", F.col("share").alias("cutoff"),
-        F.sum("n_good").over(above).alias("k"), F.sum("n_good").over(group).alias("n"),
-        F.sum("d_good").over(above).alias("dk_good"), F.sum("d_good").over(group).alias("d_good"),
-        F.sum("d_bad").over(above).alias("dk_bad"), F.sum("d_bad").over(group).alias("d_bad"),
-    )
-    gain = F.try_divide("dk_bad", "d_bad") - GOOD_COST * F.try_divide("dk_good", "d_good")
-    table = table.withColumn("gain", gain).withColumn("designed", F.max_by(F.struct("gain", "cutoff"), F.struct(F.coalesce("gain", F.lit(-1e9)), "cutoff")).over(group))
-    table = table.where((F.col("designed.gain") > 0) & (F.col("cutoff") >= F.col("designed.cutoff")) & (F.col("cutoff") > 0))
-    passes = _tail(F.col("k"), F.col("n"), F.lit(limit / len(RULES))) <= F.lit(error / tests)
-    table = table.withColumn("passes", passes & (F.col("n") > 0))
-    failed_above = F.max((~F.col("passes")).cast("int")).over(group.orderBy(F.col("cutoff").desc()))
-    return table.withColumn("failed", failed_above).where("failed = 0").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-
-
-def cutoffs_in_order(featured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
-    """Like ``cutoffs``, but the rules of a stratum are certified together, one after the other by their gain."""
     rows = _labelled(featured, labels).withColumn("holdout", _holdout()).checkpoint()
     strata = max(1, rows.select("stratum").distinct().count())
     counts = rows.where("not holdout").select("stratum", "good", F.inline("shares")).groupBy("stratum", "rule", "share").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
@@ -165,6 +133,8 @@ def cutoffs_in_order(featured: DataFrame, labels: DataFrame, limit: float = LIMI
     best = table.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("b")).select("stratum", "rule", "b.*")
     order = F.row_number().over(Window.partitionBy("stratum").orderBy(F.col("gain").desc(), "rule"))
     designed = best.select("stratum", F.struct(order.alias("no"), "rule", "cutoff").alias("d")).groupBy("stratum").agg(F.sort_array(F.collect_list("d")).alias("designs"))
+    # a row a stratum; as a table its size is known, so that the planner broadcasts it only where it is small
+    designed = written(designed, "quality-designs")
     # a good row is lost at the first step that rejects it: of the first rule that does, the cutoff that is its share
     share_of = F.map_from_entries("shares")
     steps = F.transform("designs", lambda d: F.when(share_of[d["rule"]] >= d["cutoff"], F.struct(d["no"].alias("no"), (-share_of[d["rule"]]).alias("down"))))
@@ -182,17 +152,11 @@ def cutoffs_in_order(featured: DataFrame, labels: DataFrame, limit: float = LIMI
     return tested.join(rules, ["stratum", "no"]).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR, featured: DataFrame | None = None, certify: Callable[..., DataFrame] = cutoffs) -> DataFrame:
-    """``docs`` with ``_q_<feature>``, ``_q_base_failed``, ``_q_rejected_by`` (rules) and ``_q_kept``."""
-    shared_folder(docs.sparkSession)
-    # counts of every text, once and without the texts
-    narrow = featured if featured is not None else with_features(docs.select("doc_id", "lang", "text")).drop("text").checkpoint()
-    limits = certify(narrow, labels, limit, error).groupBy(F.col("stratum").alias("_q_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_q_cutoffs"))
-    limits = limits.checkpoint()
-    # a condition on the counts must not be pushed below them, where their expressions would be written out for
-    # every mention; it stays above a column that is not deterministic, as long as it uses it
-    rows = (narrow if featured is not None else with_features(docs)).withColumn("_q_row", F.monotonically_increasing_id())
-    rows = rows.withColumn("_q_stratum", _stratum()).join(limits, "_q_stratum", "left")
+def judge(featured: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float = ERROR) -> DataFrame:
+    """``featured`` (doc_id, lang, the features and any other columns) with ``_q_base_failed``, ``_q_rejected_by`` (rules) and ``_q_kept``."""
+    shared_folder(featured.sparkSession)
+    limits = cutoffs(featured, labels, limit, error).groupBy(F.col("stratum").alias("_q_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_q_cutoffs"))
+    rows = featured.withColumn("_q_stratum", _stratum()).join(written(limits, "quality-limits"), "_q_stratum", "left")
     broken = F.filter(F.array(*[F.when(_share(r) >= F.col("_q_cutoffs")[r], F.lit(r)) for r in RULES]), lambda r: r.isNotNull())
     rows = rows.withColumns({"_q_base_failed": _base_failed(), "_q_rejected_by": broken})
     return rows.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.size("_q_rejected_by") == 0)).drop("_q_stratum", "_q_cutoffs")
@@ -201,8 +165,7 @@ def judge(docs: DataFrame, labels: DataFrame, limit: float = LIMIT, error: float
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document with its counts and the verdict; the texts are read once."""
     shared_folder(docs.sparkSession)
-    narrow = with_features(docs.select("doc_id", "lang", "text")).drop("text").checkpoint()
-    rows = judge(narrow, labels, featured=narrow)
+    rows = judge(with_features(docs.select("doc_id", "lang", "text")).drop("text").checkpoint(), labels)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"), *[F.col(f"_q_{c}").cast("long").alias(c) for c in names],
@@ -211,8 +174,12 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns."""
-    return judge(docs, labels, certify=cutoffs_in_order).where(F.col("_q_kept") & (F.col("_q_row") >= 0)).select(*docs.columns)
+    """The rows of ``docs`` that are kept, with its columns; the counts are written beside the texts, once."""
+    main = ["doc_id", "lang", "text"]
+    others = [c for c in docs.columns if c not in main]
+    packed = docs.select(*main, *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")] if others else []))
+    rows = judge(written(with_features(packed), "quality-counts"), labels).where("_q_kept")
+    return rows.select(*[F.col(c) if c in main else F.col("others").getField(c) for c in docs.columns]).toDF(*docs.columns)
 
 
 #: DuckDB SQL of op8_quality_rules.
@@ -242,22 +209,31 @@ shares as (
   from judged),
 shared as (select doc_id, stratum, base_failed, no, rule, case when whole > 0 then least(1000, 1000 * part // whole) else 0 end::bigint as share from shares),
 known as (select doc_id, min(quality) > 0 as good from labels where doc_id is not null and quality is not null group by doc_id),
-counts as (
-  select stratum, rule, share, count(*) filter (holdout and good) as n_good, count(*) filter (not holdout and good) as d_good, count(*) filter (not holdout and not good) as d_bad
-  from (select *, substr(md5('half:' || doc_id), 1, 1) >= '8' as holdout from shared join known using (doc_id) where not base_failed) group by all),
+labelled as (select *, substr(md5('half:' || doc_id), 1, 1) >= '8' as holdout from shared join known using (doc_id) where not base_failed),
+counts as (select stratum, rule, share, count(*) filter (good) as good, count(*) filter (not good) as bad from labelled where not holdout group by all),
 running as (
-  select stratum, rule, share as cutoff, sum(n_good) over a as k, sum(n_good) over g as n,
-         (sum(d_bad) over a)::double / nullif(sum(d_bad) over g, 0) - 5 * ((sum(d_good) over a)::double / nullif(sum(d_good) over g, 0)) as gain
+  select stratum, rule, share as cutoff,
+         (sum(bad) over a)::double / nullif(sum(bad) over g, 0) - 5 * coalesce((sum(good) over a)::double / nullif(sum(good) over g, 0), 0) as gain
   from counts window g as (partition by stratum, rule), a as (partition by stratum, rule order by share desc)),
-designed as (select *, first_value(gain) over w as best, first_value(cutoff) over w as least_cutoff from running window w as (partition by stratum, rule order by coalesce(gain, -1e9) desc, cutoff desc)),
+best as (select * from running where gain > 0 and cutoff > 0 qualify row_number() over (partition by stratum, rule order by gain desc, cutoff desc) = 1),
+designed as (select stratum, rule, cutoff, row_number() over (partition by stratum order by gain desc, rule) as turn from best),
+good_rows as (select l.doc_id, stratum, turn, case when share >= cutoff then -share end as down from labelled l join designed using (stratum, rule) where holdout and good),
+lost as (
+  select stratum, step.turn as turn, step.down as down, count(*) as n
+  from (select doc_id, stratum, min({'turn': turn, 'down': down}) filter (down is not null) as step from good_rows group by all) group by all),
+total as (select stratum, sum(n) as total from lost group by all),
+steps as (
+  select stratum, turn, down, sum(n) as n
+  from (select * from lost where turn is not null union all select stratum, turn, -cutoff, 0 from designed) group by all),
+along as (select *, sum(n) over (partition by stratum order by turn, down) as k from steps join total using (stratum)),
 tested as (
-  select *, n > 0 and case when k >= n * 0.004 then 1.0 else list_sum(list_transform(range(0, k::bigint + 1),
-      lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.004) + (n - j) * ln(0.996)))) end
-    <= 0.05 / (5 * (select count(distinct stratum) from counts)) as passes
-  from designed where best > 0 and cutoff >= least_cutoff and cutoff > 0),
+  select *, case when k >= total * 0.02 then 1.0 else list_sum(list_transform(range(0, k::bigint + 1),
+      lambda j: exp(lgamma(total + 1) - lgamma(j + 1) - lgamma(total - j + 1) + j * ln(0.02) + (total - j) * ln(0.98)))) end
+    <= 0.05 / (select count(distinct stratum) from labelled) as passes
+  from along),
 certified as (
-  select stratum, rule, min(cutoff) as cutoff
-  from (select *, max((not passes)::int) over (partition by stratum, rule order by cutoff desc) as failed from tested) where failed = 0 group by all),
+  select stratum, rule, min(-down) as cutoff
+  from (select *, max((not passes)::int) over (partition by stratum order by turn, down) as failed from tested) t join designed d using (stratum, turn) where failed = 0 group by all),
 broken as (select doc_id, string_agg(rule, ',' order by no) as rejected_by from shared join certified using (stratum, rule) where share >= cutoff group by doc_id)
 select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rejected_by is null as kept, coalesce(rejected_by, '') as rejected_by
 from judged j left join broken b on b.doc_id = j.doc_id

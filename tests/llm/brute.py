@@ -65,39 +65,37 @@ def line_tokens(line):
     return tuple("<*>" if re.search(r"\d", w) else w for w in line.split())
 
 
-def line_dedup(rows, min_docs, depth=4, least=4, share=80, most_lost=50):
-    """rows (id, text) to {id: (n_lines, n_dropped, kept text)}."""
+def line_dedup(rows, min_docs, depth=4, least=4, share=80):
+    """rows (id, text) to {id: (n_lines, n_dropped, kept text)}; equal texts count as one document."""
     leaves, where = defaultdict(Counter), defaultdict(set)
+    first = {}
     for i, text in rows:
+        first[text] = min(i, first.get(text, i))
+    for text, i in first.items():
         for k in {line_tokens(x) for x in (text or "").split("\n")}:
-            if len(k) >= least:
+            if k:
                 leaves[len(k), k[:depth]][k] += 1
                 where[k].add(i)
     docs, members = defaultdict(set), defaultdict(list)
-    for leaf, lines in leaves.items():
-        if sum(lines.values()) < min_docs:
-            continue
+    for lines in leaves.values():
         at = Counter()
         for k, n in lines.items():
             for place, w in enumerate(k):
                 at[place, w] += n
-        for k in lines:
+        for k, n in lines.items():
             shape = tuple(w if w != "<*>" and at[place, w] >= min_docs else "<*>" for place, w in enumerate(k))
-            fixed = sum(w != "<*>" for w in shape)
-            if fixed >= least and 100 * fixed >= share * len(shape):
+            fixed = [w for w in shape if w != "<*>"]
+            plain = [w for w in k if w != "<*>"]
+            varied = len(fixed) >= least and 100 * len(fixed) >= share * len(plain)
+            lettered = any(c.isalpha() for w in fixed for c in w) or len(plain) == len(k)
+            if lettered and (varied or n >= min_docs):
                 docs[shape] |= where[k]
                 members[shape].append(k)
     gone = {k for shape, ids in docs.items() if len(ids) >= min_docs for k in members[shape]}
     out = {}
     for i, text in rows:
-        if text is None:
-            out[i] = (0, 0, "")
-            continue
-        lines = text.split("\n")
+        lines = [] if text is None else text.split("\n")
         kept = [x for x in lines if line_tokens(x) not in gone]
-        n, left = (sum(len(x.split()) for x in some) for some in (lines, kept))
-        if 100 * (n - left) > most_lost * n:
-            kept = lines
         out[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
 

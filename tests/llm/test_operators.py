@@ -117,6 +117,18 @@ def test_recurring_lines_of_few_tokens_and_many_fields(spark):
     assert {r.doc_id: r.text for r in fewer} == {i: t for i, t, *_ in rows[1:]}
 
 
+def test_copies_of_a_text_count_once(spark):
+    """Ten copies keep their lines; lines that recur in other texts go in every copy."""
+    footer = "All rights reserved."
+    texts = ["a line of its own here\nand a second line of it"] * 30 + [f"own {'abcdefghijkl'[i]}\n{footer}" for i in range(12)] + [f"kept here\n{footer}"] * 15
+    texts += [f"only nine texts have this line\nnumber{'abcdefghi'[i % 9]}" for i in range(27)]
+    rows = [(i if i != 3 else 2, t, None, None, None) for i, t in enumerate(texts)]
+    got = line_templates.without_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((i, t.replace("\n" + footer, "")) for i, t, *_ in rows)
+    plain = brute.line_dedup([(i, r[1]) for i, r in enumerate(rows)], 10)
+    assert [plain[i][2] for i in range(len(rows))] == [t.replace("\n" + footer, "") for t in texts]
+
+
 def test_near_classes(spark, messy, messy_docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_classes(messy_docs).collect()}
     assert got == brute.near_classes([(r[0], r[1]) for r in messy])
@@ -245,21 +257,6 @@ def test_quality_counts(spark, messy, messy_docs):
 
 
 def test_quality_cutoffs(spark):
-    """Certified cutoffs are those of the definition, keep the guarantee on the labelled rows and catch what the rule is for."""
-    rows = []
-    for i in range(9000):
-        bad = i % 10 == 0
-        rows.append((i, "en" if i % 3 else "fr", 100, 500, 80 if bad else i % 7, 0, 0, 10, 0, 0, 0 if bad else 1))
-    names = ["doc_id", "lang", "_q_n_words", "_q_word_chars", "_q_n_symbols", "_q_n_dup_lines", "_q_n_repeat_words", "_q_n_lines", "_q_n_capitals", "_q_n_exclamations", "quality"]
-    df = spark.createDataFrame(rows, names)
-    cuts = {(r.stratum, r.rule): r.cutoff for r in quality_rules.cutoffs(df, df.select("doc_id", "quality")).collect()}
-    assert cuts == {("=en", "symbols"): 800, ("=fr", "symbols"): 800} or set(cuts) == {("=en", "symbols")}
-    judged = quality_rules.judge(df, df.select("doc_id", "quality"), featured=df)
-    lost = judged.where("quality = 1 and not _q_kept").count()
-    assert lost == 0 and judged.where("quality = 0 and not _q_kept and lang = 'en'").count() == sum(r[-1] == 0 and r[1] == "en" for r in rows)
-
-
-def test_quality_cutoffs_in_order(spark):
     """Some 250 good holdout rows a language certify the rule with the best gain; too few certify nothing; the rules' losses count together."""
     rows = []
     for i in range(2300):
@@ -269,16 +266,57 @@ def test_quality_cutoffs_in_order(spark):
     names = ["doc_id", "lang", "_q_n_words", "_q_word_chars", "_q_n_symbols", "_q_n_dup_lines", "_q_n_repeat_words", "_q_n_lines", "_q_n_capitals", "_q_n_exclamations", "quality"]
     df = spark.createDataFrame(rows, names)
     labels = df.select("doc_id", "quality")
-    assert quality_rules.cutoffs(df, labels).count() == 0
-    cuts = {(r.stratum, r.rule): r.cutoff for r in quality_rules.cutoffs_in_order(df, labels).collect()}
+    cuts = {(r.stratum, r.rule): r.cutoff for r in quality_rules.cutoffs(df, labels).collect()}
     halves = Counter(r.lang for r in df.where(quality_rules._holdout() & (F.col("quality") == 1)).select("lang").collect())
     enough = {lang for lang, n in halves.items() if 0.98**n <= 0.05 / 5}
     assert enough and "it" not in enough
     assert cuts == {(f"={lang}", "symbols"): 800 for lang in enough}
-    kept = quality_rules.judge(df, labels, featured=df, certify=quality_rules.cutoffs_in_order).where("_q_kept")
+    kept = quality_rules.judge(df, labels).where("_q_kept")
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows if r[-1] or r[1] not in enough}
 
 
+def test_quality_columns_of_any_name(spark):
+    text = "ten words that are all of them different from another " * 1 + "and more"
+    names = ["doc_id", "text", "lang", "_q_words", "_q_n_words", "_q_kept", "others", "a.b", "stratum"]
+    docs = spark.createDataFrame([(1, text, "en", "x", 7, True, "o", "d", "s"), (2, "few", "en", "x", 7, True, "o", "d", "s")], names)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality_rules.kept_documents(docs, labels)
+    assert kept.columns == names and [tuple(r) for r in kept.collect()] == [(1, text, "en", "x", 7, True, "o", "d", "s")]
+    plain = quality_rules.kept_documents(docs.select("text", "doc_id", "lang"), labels)
+    assert [tuple(r) for r in plain.collect()] == [(text, 1, "en")]
+
+
+def test_mix_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_mix_size", "_mix_copy", "others", "source", "a.b"]
+    rows = [(i, "some words here", f"x{i}", i, "o", "web", "d") for i in range(4)]
+    mixed = source_mix.mixed_documents(spark.createDataFrame(rows, names))
+    assert mixed.columns == names and {tuple(r) for r in mixed.collect()} <= set(rows) and mixed.count() > 0
+    assert source_mix.mix(spark.createDataFrame(rows, names)).columns == [*names, "size", "source_size", "target", "copies"]
+
+
+def test_one_of_each_takes_the_first_text_of_an_id(spark):
+    rows = [(1, t, None, None, i) for i, t in enumerate(["b two", "a one", "a one", "c three"])] + [(2, None, None, None, 1), (None, "x", None, None, 1), (None, "x", None, None, 1)]
+    got = jaccard_join.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in got) == Counter([(1, "a one", 1), (2, None, 1), (None, "x", 1), (None, "x", 1)])
+
+
+def test_ids_past_16_bits_are_refused():
+    with pytest.raises(ValueError, match="16 bits"):
+        token_files.encode_blocks(np.array([70_000, 5]))
+
+
+def test_license_ranking_decides():
+    """Of two wordings that a block holds, the one that saves more bytes wins; with sizes that tell nothing, the first by number."""
+    short = "This work is licensed under the public licence of somewhere."
+    long = short + " " + " ".join(f"clause{i} grants permission number{i} and disclaims warranty{i}" for i in range(6))
+    scan = license_scan.Scanner([("short", short), ("long", long)])
+    assert [scan.templates[r[2]][0] for r in scan.findings(long)] == ["long"]
+    flat = license_scan.Scanner([("short", short), ("long", long)])
+    flat.saved = lambda block, i: (1000, 500)
+    flat.own = [500, 500]
+    assert [flat.templates[r[2]][0] for r in flat.findings(long)] == ["short"]
+
+
 def test_binomial_tail(spark):
     cases = [(0, 10, 0.1), (3, 100, 0.05), (7, 2000, 0.01), (40, 9000, 0.004), (36, 9000, 0.004), (0, 1, 0.5)]
     df = spark.createDataFrame(cases, "k long, n long, p double")

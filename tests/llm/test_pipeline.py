@@ -56,7 +56,7 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": pa.array([1, 4], pa.int64()), "quality": pa.array([1, 0], pa.int32()), "toxic": pa.array([0, 0], pa.int32())}), tmp_path / "labels.parquet")
 
     kept = [r for r in rows if not brute.quality_base(r[1])[-1]]  # two labels certify nothing
-    lines = brute.line_dedup([r[:2] for r in kept], 10, most_lost=100)
+    lines = brute.line_dedup([r[:2] for r in kept], 10)
     assert sum(n for _, n, _ in lines.values()) == 12
     texts = {i: t for i, (_, _, t) in lines.items()}
     stay = near_copies(list(texts.items()), 5, 80)
