@@ -4,7 +4,8 @@ A line goes to a leaf by its number of tokens and its first ``DEPTH`` tokens; a
 with a digit is a variable field, ``<*>``, from the start.  Inside a leaf a token stays in
 the template of its line where at least ``MIN_DOCS`` documents have it at that place,
 else the place becomes ``<*>``.  A template recurs when ``MIN_DOCS`` documents hold a
-line of it and enough of it is fixed:
+line of it and enough of it is fixed (documents of equal texts count as one, so that a
+text does not recur by its own copies):
 
 * of a template with places that vary without a digit, at least ``MIN_TOKENS`` tokens and
   ``SHARE`` percent of those that are no digit fields;
@@ -15,11 +16,12 @@ Beside digit fields one fixed token has a letter: rows of figures are no templat
 Lines of recurring templates are dropped, all of them, in every document: a text
 of little else becomes short or empty.
 
-Counting runs on aggregates: a line is counted once a document, equal lines are
+Counting runs on aggregates: a line is counted once a text, equal lines are
 summed before they are shuffled, and only lines of leaves with enough documents
 come with their text (a bit table of fixed size lets the second scan skip the
-others; the join behind it is exact).  A very common line or leaf is therefore
-never gathered.
+others; the join behind it is exact; another such table tells which texts may have
+copies, and only lines of these are joined with the first of each).  A very common
+line or leaf is therefore never gathered.
 
 Lines are the ``\\n``-split parts of the whole text; blank lines stay.  A null text
 stays null and has no lines; rows of one doc_id count as one document, equal rows too;
@@ -70,10 +72,11 @@ def line_keys(line: str, depth: int) -> tuple[int, int, str] | None:
 
 
 def _doc_lines(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[list, list, list, list]]:
-    """Document, leaf, line and tokens of the lines of each document, equal ones once."""
+    """Document (and text digest), leaf, line and tokens of the lines of each document, equal ones once."""
     docs, leaves, lines, texts = [], [], [], []
     for batch in sliced(batches):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        names = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        for doc, text in zip(names, batch.column(1).to_pylist(), strict=True):
             found = {}
             for line in (text or "").split("\n"):
                 keys = line_keys(line, depth)
@@ -96,23 +99,40 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     ``docs`` has columns doc (any long that names a row) and text.
     """
     ship_package(docs.sparkSession)
+    docs = docs.select("doc", "text", F.xxhash64("text").alias("same"))
+    # a text stands for its copies: the first of each, where the table says that there may be some
+    firsts = written(docs.groupBy("same").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("rows")), "line-firsts")
+    copied = docs.sparkSession.sparkContext.broadcast(bit_table(firsts.where("rows > 1"), "same", BITS))
+
+    def may_have_copies(names: list) -> np.ndarray:
+        return copied.value[np.array([same for _, same in names], np.int64) & ((1 << BITS) - 1)].astype(bool)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, leaf, line, _ in _doc_lines(batches, depth):
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(d, pa.int64()), "leaf": pa.array(leaf, pa.int64()), "line": pa.array(line, pa.int64())})
-
-    seen = written(docs.mapInArrow(names, "doc long, leaf long, line long"), "line-names")
-    leaves = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_docs).select("leaf")
+            yield pa.RecordBatch.from_pydict({
+                "doc": pa.array([doc for doc, _ in d], pa.int64()), "same": pa.array([same for _, same in d], pa.int64()), "copied": pa.array(may_have_copies(d), pa.bool_()),
+                "leaf": pa.array(leaf, pa.int64()), "line": pa.array(line, pa.int64()),
+            })
+
+    seen = written(docs.mapInArrow(names, "doc long, same long, copied boolean, leaf long, line long"), "line-names")
+    # the rows of a repeated id with equal texts are one too
+    some = seen.where("copied").join(firsts.select("same", "doc"), ["same", "doc"], "left_semi").select("doc", "leaf", "line").distinct()
+    some = written(some, "line-firsts-names")
+    once = seen.where("not copied").select("doc", "leaf", "line").unionByName(some)
+    leaves = once.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_docs).select("leaf")
     leaves = written(leaves, "line-leaves")
     wanted = docs.sparkSession.sparkContext.broadcast(bit_table(leaves, "leaf", BITS))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
-        for _, leaf, line, joined in _doc_lines(batches, depth):
+        for d, leaf, line, joined in _doc_lines(batches, depth):
+            alone = (~may_have_copies(d)).astype(np.int64)
             keep = np.flatnonzero(table[np.array(leaf, np.int64) & ((1 << BITS) - 1)]) if leaf else []
-            yield pa.RecordBatch.from_pydict({"leaf": pa.array([leaf[i] for i in keep], pa.int64()), "line": pa.array([line[i] for i in keep], pa.int64()), "tokens": pa.array([joined[i] for i in keep], pa.string())})
+            yield pa.RecordBatch.from_pydict({"leaf": pa.array([leaf[i] for i in keep], pa.int64()), "line": pa.array([line[i] for i in keep], pa.int64()), "tokens": pa.array([joined[i] for i in keep], pa.string()), "n": pa.array([int(alone[i]) for i in keep], pa.int64())})
 
-    lines = docs.mapInArrow(texts, "leaf long, line long, tokens string").groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("tokens").alias("tokens"))
+    lines = docs.mapInArrow(texts, "leaf long, line long, tokens string, n long")
+    lines = lines.unionByName(some.select("leaf", "line", F.lit(None).cast("string").alias("tokens"), F.lit(1).cast("long").alias("n")))
+    lines = lines.groupBy("leaf", "line").agg(F.sum("n").alias("docs"), F.min("tokens").alias("tokens"))
     lines = written(lines.join(leaves, "leaf", "left_semi"), "line-texts")
     places = lines.select("leaf", "line", "docs", F.posexplode(F.split("tokens", " ", -1)).alias("place", "token"))
     common = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != ANY))
@@ -123,11 +143,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     equal = F.col("docs") >= min_docs
     enough = (varied | equal) & (F.coalesce("letters", F.lit(False)) | (F.col("n_words") == F.size("shape")))
     shaped = written(shaped.where(enough).select("leaf", "line", F.array_join("shape", " ").alias("template")), "line-shapes")
-    hits = seen.join(shaped, ["leaf", "line"])
+    hits = once.join(shaped, ["leaf", "line"])
     templates = hits.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     templates = written(templates, "line-templates")
     drop = shaped.join(templates.select("template"), "template", "left_semi").select("leaf", "line")
-    return seen.join(drop, ["leaf", "line"], "left_semi"), templates
+    return seen.select("doc", "leaf", "line").join(drop, ["leaf", "line"], "left_semi"), templates
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, least: int = MIN_TOKENS, share: int = SHARE, counts: bool = False) -> DataFrame:
