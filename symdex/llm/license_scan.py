@@ -143,12 +143,12 @@ class Scanner:
                         yield s, words[s : min(b, s + WINDOW)]
 
     def confirmed(self, words: list[str]) -> tuple | None:
-        """The template that the block words, with figures; None where none is confirmed."""
+        """The first template by bytes saved that the block words, with figures; None where none is confirmed."""
         block = " ".join(words)
         if block in self.known:
             return self.known[block]
         data = block.encode()
-        ranked = sorted(((self.saved(data, i), i) for i in range(len(self.templates))), key=lambda x: (-x[0][1] / self.own[x[1]], x[1]))
+        ranked = sorted(((self.saved(data, i), i) for i in range(len(self.templates))), key=lambda x: (-x[0][1], x[1]))
         best, have = None, Counter(bare(words))
         for (alone, saved), i in ranked:
             share = saved / self.own[i]
@@ -159,9 +159,8 @@ class Scanner:
                 continue
             missing, added, first, last = self.differences(words, i)
             if 100 * (len(missing) + len(added)) <= DIFFERENCES * len(self.words[i]) and kind_of(bare(words[first:last])) == self.kinds[i]:
-                # of confirmed wordings the one that explains the most words
-                row = (2 * len(missing) + len(added) - len(self.words[i]), len(missing) + len(added), -share, i, first, last, alone, saved, share, missing, added)
-                best = row if best is None or row[:4] < best[:4] else best
+                best = (i, first, last, alone, saved, share, missing, added)
+                break
         if len(self.known) > 20_000:
             self.known.clear()
         self.known[block] = best
@@ -201,7 +200,7 @@ class Scanner:
                 best = self.confirmed(own)
                 if best is None:
                     continue
-                n, _, _, i, first, last, alone, saved, share, missing, added = best
+                i, first, last, alone, saved, share, missing, added = best
                 if not any(r[0] < at + last and at + first < r[1] for r in out):
                     out.append((at + first, at + last, i, alone, saved, share, missing, added))
                 if first > 0:
