@@ -123,7 +123,9 @@ def _order0(blocks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(ids, crc32, coded bytes) of each block of ``ids``, which are under 65536."""
+    """(ids, crc32, coded bytes) of each block of ``ids``; ids of 65536 and more are refused."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 16:
+        raise ValueError(f"ids from {ids.min()} to {ids.max()}: the coder takes 16 bits")
     n_blocks = -(-len(ids) // BLOCK)
     out = []
     for a in range(0, n_blocks, MOST_LANES):
