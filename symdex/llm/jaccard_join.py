@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from symdex.llm.bits import bit_table
@@ -338,12 +338,21 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, one row an id; rows without an id stay."""
+    """The rows of ``docs`` whose doc_id names its component, of an id the first by text and the other columns; rows without an id stay."""
     found = near_classes(docs, words, percent)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     stay = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    named = stay.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(stay.where("doc_id is null"))
+    order = [F.col(f"`{f.name}`") for f in sorted(docs.schema.fields, key=lambda f: f.name != "text") if not f.dataType.simpleString().count("map<")]
+    turn = _own_name("_turn", docs.columns)
+    # filtered by its rank, a window keeps one row an id before the shuffle too
+    named = stay.where("doc_id is not null").withColumn(turn, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col(turn) == 1)
+    return named.drop(turn).unionByName(stay.where("doc_id is null"))
+
+
+def _own_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 #: DuckDB SQL of op4_jaccard_join: all shingles joined with all, so for small tables only.
