@@ -88,6 +88,10 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     return plan.join(last, "key", "left").drop("left")
 
 
+#: What the mix reads.
+MAIN = ["doc_id", "text", "source"]
+
+
 def _rank(prefix: str = "") -> Column:
     """Random odds over inclusion odds."""
     u, p = F.col(f"{prefix}u"), F.col(f"{prefix}p")
@@ -95,7 +99,9 @@ def _rank(prefix: str = "") -> Column:
 
 
 def _with_copies(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the mix's own columns, all prefixed so that no column of ``docs`` can clash."""
+    """doc_id, text, source and the other columns of ``docs`` in one struct, so that no name can clash with the mix's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in MAIN]
+    docs = docs.select(*MAIN, *([F.struct(*others).alias("others")] if others else []))
     plan = mix_plan(docs, **how)
     rows = docs.withColumns({"_mix_key": _key(), "_mix_size": _size(), "_mix_u": _uniform(how.get("seed", "mix:"))})
     rows = rows.withColumn("_mix_grade", F.length(F.bin("_mix_size")).cast("long"))
@@ -104,17 +110,21 @@ def _with_copies(docs: DataFrame, **how) -> DataFrame:
     return rows.withColumn("_mix_copies", F.col("_mix_whole") + F.coalesce(drawn, F.lit(False)).cast("long"))
 
 
+def _column(name: str) -> Column:
+    return F.col(name) if name in MAIN else F.col("others").getField(name).alias(name)
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with size, source_size, target and copies (0 to ``cap``); they replace columns of the same names."""
     own = {"size": "_mix_size", "source_size": "_mix_source_size", "target": "_mix_target", "copies": "_mix_copies"}
     rows = _with_copies(docs, **how)
-    return rows.select(*[F.col(c) for c in docs.columns if c not in own], *[F.col(c).alias(n) for n, c in own.items()])
+    return rows.select(*[_column(c) for c in docs.columns if c not in own], *[F.col(c).alias(n) for n, c in own.items()])
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of ``docs``."""
     rows = _with_copies(docs, **how).where("_mix_copies > 0")
-    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    return rows.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[_column(c) for c in docs.columns])
 
 
 #: DuckDB SQL of op5_source_mix.
