@@ -1,11 +1,14 @@
 """Line dedup by a log-template tree of fixed depth.
 
-A line goes to a leaf by its number of tokens and its first ``DEPTH`` tokens; a token
-with a digit is a variable field, ``<*>``, from the start.  Inside a leaf a token stays in
-the template of its line where at least ``MIN_DOCS`` documents have it at that place,
-else the place becomes ``<*>``.  A template recurs when ``MIN_DOCS`` documents hold a
-line of it and enough of it is fixed (documents of equal texts count as one, so that a
-text does not recur by its own copies):
+A line goes to a leaf by its number of tokens and its first ``DEPTH`` tokens.  A token with a
+digit is a variable field, ``<*>``, from the start; a leading token that fewer than ``MIN_DOCS``
+documents have at that place, in lines of as many tokens, takes the ``<*>`` child too, so that
+"Posted by Alice ..." and "Posted by Bob ..." meet in one leaf.  A line with more such
+rare tokens than a template may have varying places is in no leaf: no template can hold it.
+Inside a leaf a token stays in the template of its line where at least ``MIN_DOCS`` documents
+have it at that place, else the place becomes ``<*>``.  A template recurs when ``MIN_DOCS``
+documents hold a line of it and enough of it is fixed (documents of equal texts count as one, so
+that a text does not recur by its own copies):
 
 * of a template with places that vary without a digit, at least ``MIN_TOKENS`` tokens and
   ``SHARE`` percent of those that are no digit fields;
@@ -17,11 +20,11 @@ Lines of recurring templates are dropped, all of them, in every document: a text
 of little else becomes short or empty.
 
 Counting runs on aggregates: a line is counted once a text, equal lines are
-summed before they are shuffled, and only lines of leaves with enough documents
-come with their text (a bit table of fixed size lets the second scan skip the
-others; the join behind it is exact; another such table tells which texts may have
-copies, and only lines of these are joined with the first of each).  A very common
-line or leaf is therefore never gathered.
+summed before they are shuffled, leading tokens are counted over distinct lines, and only lines
+of leaves with enough documents come with their text (a bit table of fixed size lets the second
+scan skip the others; the join behind it is exact, so a full table costs a shuffle of more texts and
+no result; another such table tells which texts may have copies, and only lines of these are joined with
+the first of each).  A very common line or leaf is therefore never gathered.
 
 Lines are the ``\\n``-split parts of the whole text; blank lines stay.  A null text
 stays null and has no lines; rows of one doc_id count as one document, equal rows too;
@@ -62,39 +65,54 @@ def line_tokens(line: str) -> list[str]:
     return tokens
 
 
-def line_keys(line: str, depth: int) -> tuple[int, int, str] | None:
-    """Leaf, line and its tokens; None for a blank line."""
+def line_key(line: str) -> tuple[int, list[str]] | None:
+    """Name of a line and its tokens; None for a blank line."""
     tokens = line_tokens(line)
-    if not tokens:
-        return None
-    joined = " ".join(tokens)
-    return _signed(f"{len(tokens)} {' '.join(tokens[:depth])}".encode()), _signed(joined.encode()), joined
+    return (_signed(" ".join(tokens).encode()), tokens) if tokens else None
 
 
-def _doc_lines(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[list, list, list, list]]:
-    """Document (and text digest), leaf, line and tokens of the lines of each document, equal ones once."""
-    docs, leaves, lines, texts = [], [], [], []
+def leading(tokens: list[str], depth: int) -> list[int]:
+    """Names of the first tokens by their place and the number of tokens; 0 for a digit field."""
+    return [0 if t == ANY else _signed(f"{len(tokens)} {place} {t}".encode()) or 1 for place, t in enumerate(tokens[:depth])]
+
+
+def _doc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """Document (and text digest), line and tokens of the lines of each document, equal ones once."""
+    docs, lines, tokens = [], [], []
     for batch in sliced(batches):
         names = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
         for doc, text in zip(names, batch.column(1).to_pylist(), strict=True):
             found = {}
             for line in (text or "").split("\n"):
-                keys = line_keys(line, depth)
-                if keys:
-                    found[keys[1]] = keys
-            for leaf, line, joined in found.values():
-                docs.append(doc)
-                leaves.append(leaf)
-                lines.append(line)
-                texts.append(joined)
+                key = line_key(line)
+                if key:
+                    found[key[0]] = key[1]
+            docs += [doc] * len(found)
+            lines += found.keys()
+            tokens += found.values()
             if len(docs) >= 20_000:
-                yield docs, leaves, lines, texts
-                docs, leaves, lines, texts = [], [], [], []
-    yield docs, leaves, lines, texts
+                yield docs, lines, tokens
+                docs, lines, tokens = [], [], []
+    yield docs, lines, tokens
+
+
+def leaves_of(lines: DataFrame, min_docs: int, least: int, share: int) -> DataFrame:
+    """(line, leaf) of ``lines`` (line, docs, size, words, lead) in leaves of enough documents."""
+    leads = lines.select("line", "docs", F.posexplode("lead").alias("place", "token"))
+    frequent = leads.where("token != 0").groupBy("token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("token", F.lit(True).alias("frequent"))
+    met = leads.join(frequent, "token", "left")
+    child = F.struct("place", F.when(F.col("frequent"), F.col("token")).otherwise(0).alias("token"))
+    paths = met.groupBy("line").agg(F.sort_array(F.collect_list(child))["token"].alias("path"), F.count_if(F.col("frequent").isNull() & (F.col("token") != 0)).alias("rare"))
+    rows = lines.join(paths, "line")
+    stays = F.col("words") - F.col("rare")
+    rows = rows.where((F.col("rare") == 0) | ((stays >= least) & (100 * stays >= share * F.col("words"))))
+    rows = written(rows.select("line", "docs", F.xxhash64("size", "path").alias("leaf")), "line-paths")
+    leaves = rows.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    return rows.join(leaves, "leaf", "left_semi").select("line", "leaf")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, least: int = MIN_TOKENS, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc, leaf, line) of the lines to drop, and their templates with document counts.
+    """Occurrences (doc, line) of the lines to drop, and their templates with document counts.
 
     ``docs`` has columns doc (any long that names a row) and text.
     """
@@ -108,32 +126,34 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
         return copied.value[np.array([same for _, same in names], np.int64) & ((1 << BITS) - 1)].astype(bool)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, leaf, line, _ in _doc_lines(batches, depth):
+        for d, line, tokens in _doc_lines(batches):
             yield pa.RecordBatch.from_pydict({
                 "doc": pa.array([doc for doc, _ in d], pa.int64()), "same": pa.array([same for _, same in d], pa.int64()), "copied": pa.array(may_have_copies(d), pa.bool_()),
-                "leaf": pa.array(leaf, pa.int64()), "line": pa.array(line, pa.int64()),
+                "line": pa.array(line, pa.int64()), "size": pa.array([len(t) for t in tokens], pa.int32()), "words": pa.array([len(t) - t.count(ANY) for t in tokens], pa.int32()),
+                "lead": pa.array([leading(t, depth) for t in tokens], pa.list_(pa.int64())),
             })
 
-    seen = written(docs.mapInArrow(names, "doc long, same long, copied boolean, leaf long, line long"), "line-names")
+    seen = written(docs.mapInArrow(names, "doc long, same long, copied boolean, line long, size int, words int, lead array<long>"), "line-names")
+    own = ["doc", "line", "size", "words", "lead"]
     # the rows of a repeated id with equal texts are one too
-    some = seen.where("copied").join(firsts.select("same", "doc"), ["same", "doc"], "left_semi").select("doc", "leaf", "line").distinct()
+    some = seen.where("copied").join(firsts.select("same", "doc"), ["same", "doc"], "left_semi").select(*own).dropDuplicates(["doc", "line"])
     some = written(some, "line-firsts-names")
-    once = seen.where("not copied").select("doc", "leaf", "line").unionByName(some)
-    leaves = once.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= min_docs).select("leaf")
-    leaves = written(leaves, "line-leaves")
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(leaves, "leaf", BITS))
+    once = seen.where("not copied").select(*own).unionByName(some)
+    distinct = once.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), *[F.min(c).alias(c) for c in own[2:]])
+    leaves = written(leaves_of(written(distinct, "line-distinct"), min_docs, least, share), "line-leaves")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(leaves, "line", BITS))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
-        for d, leaf, line, joined in _doc_lines(batches, depth):
+        for d, line, tokens in _doc_lines(batches):
             alone = (~may_have_copies(d)).astype(np.int64)
-            keep = np.flatnonzero(table[np.array(leaf, np.int64) & ((1 << BITS) - 1)]) if leaf else []
-            yield pa.RecordBatch.from_pydict({"leaf": pa.array([leaf[i] for i in keep], pa.int64()), "line": pa.array([line[i] for i in keep], pa.int64()), "tokens": pa.array([joined[i] for i in keep], pa.string()), "n": pa.array([int(alone[i]) for i in keep], pa.int64())})
+            keep = np.flatnonzero(table[np.array(line, np.int64) & ((1 << BITS) - 1)]) if line else []
+            yield pa.RecordBatch.from_pydict({"line": pa.array([line[i] for i in keep], pa.int64()), "tokens": pa.array([" ".join(tokens[i]) for i in keep], pa.string()), "n": pa.array([int(alone[i]) for i in keep], pa.int64())})
 
-    lines = docs.mapInArrow(texts, "leaf long, line long, tokens string, n long")
-    lines = lines.unionByName(some.select("leaf", "line", F.lit(None).cast("string").alias("tokens"), F.lit(1).cast("long").alias("n")))
-    lines = lines.groupBy("leaf", "line").agg(F.sum("n").alias("docs"), F.min("tokens").alias("tokens"))
-    lines = written(lines.join(leaves, "leaf", "left_semi"), "line-texts")
+    lines = docs.mapInArrow(texts, "line long, tokens string, n long")
+    lines = lines.unionByName(some.select("line", F.lit(None).cast("string").alias("tokens"), F.lit(1).cast("long").alias("n")))
+    lines = lines.groupBy("line").agg(F.sum("n").alias("docs"), F.min("tokens").alias("tokens"))
+    lines = written(lines.join(leaves, "line"), "line-texts")
     places = lines.select("leaf", "line", "docs", F.posexplode(F.split("tokens", " ", -1)).alias("place", "token"))
     common = places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != ANY))
     marked = places.join(common.withColumn("fixed", F.lit(True)), ["leaf", "place", "token"], "left")
@@ -142,12 +162,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
     varied = (F.col("n_fixed") >= least) & (100 * F.col("n_fixed") >= share * F.col("n_words"))
     equal = F.col("docs") >= min_docs
     enough = (varied | equal) & (F.coalesce("letters", F.lit(False)) | (F.col("n_words") == F.size("shape")))
-    shaped = written(shaped.where(enough).select("leaf", "line", F.array_join("shape", " ").alias("template")), "line-shapes")
-    hits = once.join(shaped, ["leaf", "line"])
+    shaped = written(shaped.where(enough).select("line", F.array_join("shape", " ").alias("template")), "line-shapes")
+    hits = once.select("doc", "line").join(shaped, "line")
     templates = hits.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
     templates = written(templates, "line-templates")
-    drop = shaped.join(templates.select("template"), "template", "left_semi").select("leaf", "line")
-    return seen.select("doc", "leaf", "line").join(drop, ["leaf", "line"], "left_semi"), templates
+    drop = shaped.join(templates.select("template"), "template", "left_semi").select("line")
+    return seen.select("doc", "line").join(drop, "line", "left_semi"), templates
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, least: int = MIN_TOKENS, share: int = SHARE, counts: bool = False) -> DataFrame:
@@ -167,7 +187,7 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: in
                 n.append(0)
                 continue
             gone, lines = set(gone), text.split("\n")
-            kept = [x for x in lines if (k := line_keys(x, depth)) is None or k[1] not in gone]
+            kept = [x for x in lines if (k := line_key(x)) is None or k[0] not in gone]
             out.append("\n".join(kept))
             n.append(len(lines) - len(kept))
         return pd.DataFrame({"text": out, "dropped": n})

@@ -67,15 +67,26 @@ def line_tokens(line):
 
 def line_dedup(rows, min_docs, depth=4, least=4, share=80):
     """rows (id, text) to {id: (n_lines, n_dropped, kept text)}; equal texts count as one document."""
-    leaves, where = defaultdict(Counter), defaultdict(set)
+    n_docs, where = Counter(), defaultdict(set)
     first = {}
     for i, text in rows:
         first[text] = min(i, first.get(text, i))
     for text, i in first.items():
         for k in {line_tokens(x) for x in (text or "").split("\n")}:
             if k:
-                leaves[len(k), k[:depth]][k] += 1
+                n_docs[k] += 1
                 where[k].add(i)
+    at_lead = Counter()
+    for k, n in n_docs.items():
+        for place, w in enumerate(k[:depth]):
+            at_lead[len(k), place, w] += n
+    leaves = defaultdict(dict)
+    for k, n in n_docs.items():
+        rare = [w != "<*>" and at_lead[len(k), place, w] < min_docs for place, w in enumerate(k[:depth])]
+        plain = sum(w != "<*>" for w in k)
+        stays = plain - sum(rare)
+        if not any(rare) or (stays >= least and 100 * stays >= share * plain):
+            leaves[len(k), tuple("<*>" if r else w for r, w in zip(rare, k))][k] = n
     docs, members = defaultdict(set), defaultdict(list)
     for lines in leaves.values():
         at = Counter()

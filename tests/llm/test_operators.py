@@ -1,5 +1,6 @@
 """Every operator on a messy table against a plain version: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -117,6 +118,23 @@ def test_recurring_lines_of_few_tokens_and_many_fields(spark):
     assert {r.doc_id: r.text for r in fewer} == {i: t for i, t, *_ in rows[1:]}
 
 
+def test_rare_leading_tokens_share_a_child(spark):
+    """A name among the first tokens is a field; frequent leading tokens keep leaves of their own; lines of rare words stay."""
+    names = ["".join(p) for p in itertools.product("bdfg", "ae", "lmn", "iou")]
+
+    def text(i):
+        lead = f"Posted by {names[i].title()} in the evening news section" if i < 20 else f"Read more about {names[i].title()} on the pages of today"
+        few = f"{names[i]} by {names[i + 1]} in short"
+        return "\n".join([lead, few, f"{names[i]} {names[i + 1]} says that all of it is true", f"own {names[i]}"])
+
+    rows = [(i, text(i), None, None, None) for i in range(40)]
+    kept = {r.doc_id: r.text for r in line_templates.without_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {i: t.split("\n", 1)[1] for i, t, *_ in rows}
+    assert kept == want == {i: v[2] for i, v in brute.line_dedup([(r[0], r[1]) for r in rows], 10).items()}
+    nine = [r for r in rows if r[0] < 9]
+    assert {r.doc_id: r.text for r in line_templates.without_recurring_lines(spark.createDataFrame(nine, SCHEMA)).collect()} == {r[0]: r[1] for r in nine}
+
+
 def test_copies_of_a_text_count_once(spark):
     """Ten copies keep their lines; lines that recur in other texts go in every copy."""
     footer = "All rights reserved."
