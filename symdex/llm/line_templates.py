@@ -3,8 +3,9 @@
 A line goes to a leaf by its number of tokens and its first ``DEPTH`` tokens.  A token with a
 digit is a variable field, ``<*>``, from the start; a leading token that fewer than ``MIN_DOCS``
 documents have at that place, in lines of as many tokens, takes the ``<*>`` child too, so that
-"Posted by Alice ..." and "Posted by Bob ..." meet in one leaf.  A line with more such
-rare tokens than a template may have varying places is in no leaf: no template can hold it.
+"Posted by Alice ..." and "Posted by Bob ..." meet in one leaf.  A path has at most
+``WILD`` such children; a line with more rare leading tokens, or with more than a template may have
+varying places, is in no leaf: prose would else meet in leaves without a frequent word.
 Inside a leaf a token stays in the template of its line where at least ``MIN_DOCS`` documents
 have it at that place, else the place becomes ``<*>``.  A template recurs when ``MIN_DOCS``
 documents hold a line of it and enough of it is fixed (documents of equal texts count as one, so
@@ -47,7 +48,7 @@ from symdex.llm.bits import bit_table
 from symdex.llm.common import shared_folder, ship_package, written
 from symdex.llm.words import sliced
 
-DEPTH, MIN_TOKENS, MIN_DOCS, SHARE = 4, 4, 10, 80
+DEPTH, WILD, MIN_TOKENS, MIN_DOCS, SHARE = 4, 1, 4, 10, 80
 BITS = 23
 ANY = "<*>"
 _DIGIT = re.compile(r"\d")
@@ -105,7 +106,7 @@ def leaves_of(lines: DataFrame, min_docs: int, least: int, share: int) -> DataFr
     paths = met.groupBy("line").agg(F.sort_array(F.collect_list(child))["token"].alias("path"), F.count_if(F.col("frequent").isNull() & (F.col("token") != 0)).alias("rare"))
     rows = lines.join(paths, "line")
     stays = F.col("words") - F.col("rare")
-    rows = rows.where((F.col("rare") == 0) | ((stays >= least) & (100 * stays >= share * F.col("words"))))
+    rows = rows.where((F.col("rare") == 0) | ((F.col("rare") <= WILD) & (stays >= least) & (100 * stays >= share * F.col("words"))))
     rows = written(rows.select("line", "docs", F.xxhash64("size", "path").alias("leaf")), "line-paths")
     leaves = rows.groupBy("leaf").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     return rows.join(leaves, "leaf", "left_semi").select("line", "leaf")

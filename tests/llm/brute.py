@@ -65,7 +65,7 @@ def line_tokens(line):
     return tuple("<*>" if re.search(r"\d", w) else w for w in line.split())
 
 
-def line_dedup(rows, min_docs, depth=4, least=4, share=80):
+def line_dedup(rows, min_docs, depth=4, wild=1, least=4, share=80):
     """rows (id, text) to {id: (n_lines, n_dropped, kept text)}; equal texts count as one document."""
     n_docs, where = Counter(), defaultdict(set)
     first = {}
@@ -85,7 +85,7 @@ def line_dedup(rows, min_docs, depth=4, least=4, share=80):
         rare = [w != "<*>" and at_lead[len(k), place, w] < min_docs for place, w in enumerate(k[:depth])]
         plain = sum(w != "<*>" for w in k)
         stays = plain - sum(rare)
-        if not any(rare) or (stays >= least and 100 * stays >= share * plain):
+        if not any(rare) or (sum(rare) <= wild and stays >= least and 100 * stays >= share * plain):
             leaves[len(k), tuple("<*>" if r else w for r, w in zip(rare, k))][k] = n
     docs, members = defaultdict(set), defaultdict(list)
     for lines in leaves.values():

@@ -125,7 +125,7 @@ def test_rare_leading_tokens_share_a_child(spark):
     def text(i):
         lead = f"Posted by {names[i].title()} in the evening news section" if i < 20 else f"Read more about {names[i].title()} on the pages of today"
         few = f"{names[i]} by {names[i + 1]} in short"
-        return "\n".join([lead, few, f"{names[i]} {names[i + 1]} says that all of it is true", f"own {names[i]}"])
+        return "\n".join([lead, few, f"{names[i]} {names[i + 1]} says that all of it is true, and so it was", f"own {names[i]}"])
 
     rows = [(i, text(i), None, None, None) for i in range(40)]
     kept = {r.doc_id: r.text for r in line_templates.without_recurring_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
