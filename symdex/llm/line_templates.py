@@ -99,12 +99,13 @@ def _doc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list,
 
 def leaves_of(lines: DataFrame, min_docs: int, least: int, share: int) -> DataFrame:
     """(line, leaf) of ``lines`` (line, docs, size, words, lead) in leaves of enough documents."""
-    leads = lines.select("line", "docs", F.posexplode("lead").alias("place", "token"))
+    leads = lines.select("line", "docs", "size", "words", F.explode("lead").alias("token"))
     frequent = leads.where("token != 0").groupBy("token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("token", F.lit(True).alias("frequent"))
     met = leads.join(frequent, "token", "left")
-    child = F.struct("place", F.when(F.col("frequent"), F.col("token")).otherwise(0).alias("token"))
-    paths = met.groupBy("line").agg(F.sort_array(F.collect_list(child))["token"].alias("path"), F.count_if(F.col("frequent").isNull() & (F.col("token") != 0)).alias("rare"))
-    rows = lines.join(paths, "line")
+    # a token's name holds its place, so the frequent ones make the path in any order
+    path = F.bit_xor(F.when(F.col("frequent"), F.col("token")).otherwise(0))
+    rare = F.count_if(F.col("frequent").isNull() & (F.col("token") != 0))
+    rows = met.groupBy("line").agg(*[F.min(c).alias(c) for c in ("docs", "size", "words")], path.alias("path"), rare.alias("rare"))
     stays = F.col("words") - F.col("rare")
     rows = rows.where((F.col("rare") == 0) | ((F.col("rare") <= WILD) & (stays >= least) & (100 * stays >= share * F.col("words"))))
     rows = written(rows.select("line", "docs", F.xxhash64("size", "path").alias("leaf")), "line-paths")
