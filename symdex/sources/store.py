@@ -10,6 +10,10 @@ buckets of both tables; moving the manifest to its numbered name is the commit.
 
 Buckets grow by extendible hashing: one whose symbols have outgrown ``max_rows`` is split by the next
 bits of the hash when a commit rewrites it.  The manifest also keeps the next free ``ord``.
+
+A store with ``index=True`` keeps, beside the symbols of a bucket, their gram table (:func:`gram_index`) sorted by gram
+and how many symbols hold each gram.  A commit derives both anew for the buckets it touches, so searches
+(``search_index``) see the symbols, the grams and their counts of one commit, and nothing is indexed on a search.
 One writer at a time; a second one fails at the move.
 """
 
@@ -22,22 +26,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symdex.operators.search import gram_index
 from symdex.schemas import FILE_TRACKING, SYMBOLS
 
 MAX_ROWS = 500_000
 KEYS = {"symbols": "file", "tracking": "path"}
-SCHEMAS = {"symbols": SYMBOLS, "tracking": FILE_TRACKING}
+SCHEMAS = {"symbols": SYMBOLS, "tracking": FILE_TRACKING,
+           "grams": "gram string, salt int, ord long, symbol string, type string, file string, exported boolean, visibility string",
+           "gram_counts": "gram string, n long"}
 
 
 @dataclass
 class Bucket:
-    """Paths whose hash ends in the ``depth`` bits of ``value``: a folder a table (none when empty) and its number of symbols."""
+    """Paths whose hash ends in the ``depth`` bits of ``value``: a folder a table (none when empty) and its number of symbols.
+
+    ``indexed``: whether the gram tables are those of the symbols.
+    """
 
     value: int
     depth: int
     symbols: str | None = None
     tracking: str | None = None
     rows: int = 0
+    grams: str | None = None
+    gram_counts: str | None = None
+    indexed: bool = False
 
 
 @dataclass
@@ -67,8 +80,8 @@ def bucket_number(path: Column, buckets: list[Bucket]) -> Column:
 
 
 class RegistryStore:
-    def __init__(self, spark: SparkSession, root: str, max_rows: int = MAX_ROWS):
-        self.spark, self.root, self.max_rows = spark, root.rstrip("/"), max_rows
+    def __init__(self, spark: SparkSession, root: str, max_rows: int = MAX_ROWS, index: bool = False):
+        self.spark, self.root, self.max_rows, self.index = spark, root.rstrip("/"), max_rows, index
 
     # --- files of the store, through Hadoop's file systems ---------------------------
 
@@ -117,6 +130,15 @@ class RegistryStore:
         manifest = self.manifest()
         return self.read("symbols", manifest), self.read("tracking", manifest)
 
+    def search_index(self, manifest: Manifest | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(symbols, grams, counts) of one commit, for ``rank_within_request`` and the dispatcher."""
+        manifest = manifest or self.manifest()
+        bare = sum(b.rows > 0 and not b.indexed for b in manifest.buckets)
+        if bare:
+            raise ValueError(f"{bare} buckets were written without an index; replace_all of a store with index=True builds it")
+        counts = self.read("gram_counts", manifest).groupBy("gram").agg(F.sum("n").alias("n"))
+        return self.read("symbols", manifest), self.read("grams", manifest), counts
+
     def touched(self, paths: DataFrame, manifest: Manifest) -> list[Bucket]:
         """The buckets that hold the paths of ``paths`` (path)."""
         found = paths.select(bucket_number(F.col("path"), manifest.buckets).alias("b")).distinct().collect()  # at most one row a bucket
@@ -165,17 +187,37 @@ class RegistryStore:
             for r in written.collect():  # a row a rewritten bucket
                 buckets[r["bucket"]].rows = r["n"]
                 next_ord = max(next_ord, r["top"] + 1)
+        if self.index:
+            self._write_index(folder, buckets, new)
         done = Manifest(manifest.version + 1, next_ord, buckets)
         self._publish(done)
         return done
 
+    def _write_index(self, folder: str, buckets: list[Bucket], new: list[Bucket]) -> None:
+        """The gram tables of rewritten buckets, off the symbols just written."""
+        if any(b.symbols for b in new):
+            symbols = self.spark.read.schema(SYMBOLS).parquet(*[f"{self.root}/{b.symbols}" for b in new if b.symbols])
+            grams = gram_index(symbols).withColumn("bucket", bucket_number(F.col("file"), buckets))
+            # a bucket's grams are dealt by salt, and sorted, so that a search skips row groups
+            grams.repartition("bucket", "salt").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{self.root}/{folder}/grams")
+            # a folder of no rows at all has no schema to read
+            stored = self.spark.read.schema(f"{SCHEMAS['grams']}, bucket int").parquet(f"{self.root}/{folder}/grams")
+            counts = stored.groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("n"))
+            counts.repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{self.root}/{folder}/gram_counts")
+            for name in ("grams", "gram_counts"):
+                for n in self._names(f"{folder}/{name}"):
+                    if n.startswith("bucket="):
+                        setattr(buckets[int(n.split("=")[1])], name, f"{folder}/{name}/{n}")
+        for b in new:
+            b.indexed = True
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Remove the folders that none of the newest ``keep`` manifests names, left by older versions and commits that were cut off."""
         versions = sorted(n for n in self._names("manifests") if n.startswith("v"))[-keep:]
         named = set()
         for v in versions:
             m = Manifest.from_json(self.spark.read.text(f"{self.root}/manifests/{v}", wholetext=True).first()[0])
-            named |= {f.split("/")[1] for b in m.buckets for f in (b.symbols, b.tracking) if f}
+            named |= {f.split("/")[1] for b in m.buckets for f in (b.symbols, b.tracking, b.grams, b.gram_counts) if f}
         fs, gone = self._fs(), [n for n in self._names("data") if n not in named]
         for n in gone:
             fs.delete(self._path("data", n), True)

@@ -32,11 +32,11 @@ def read_state(spark: SparkSession, state: str) -> tuple[DataFrame, DataFrame]:
     return RegistryStore(spark, state).load()
 
 
-def apply_changes(batch: DataFrame, state: str, max_rows: int = MAX_ROWS) -> None:
+def apply_changes(batch: DataFrame, state: str, max_rows: int = MAX_ROWS, index: bool = False) -> None:
     """One S1 micro-batch: newest version per path, late versions dropped, symbols replaced, in one commit."""
     spark = batch.sparkSession
     ensure_checkpoint_dir(spark)
-    store = RegistryStore(spark, state, max_rows)
+    store = RegistryStore(spark, state, max_rows, index)
     manifest = store.manifest()
     newest = batch.groupBy("path").agg(
         F.max_by(F.struct("mtime", "seq", "content", "deleted"), F.struct("mtime", "seq")).alias("v")
@@ -51,15 +51,16 @@ def apply_changes(batch: DataFrame, state: str, max_rows: int = MAX_ROWS) -> Non
 
 
 def stream_file_changes(spark: SparkSession, source_dir: str, state: str, checkpoint: str,
-                        files_per_batch: int | None = None, max_rows: int = MAX_ROWS):
+                        files_per_batch: int | None = None, max_rows: int = MAX_ROWS, index: bool = False):
     """Run the change stream over ``source_dir`` (parquet rows of CHANGE_SCHEMA) until drained.
 
     ``files_per_batch`` bounds a micro-batch; by default one takes all that is there.
+    ``index`` keeps the gram index of the changed buckets in the same commit.
     """
     reader = spark.readStream.schema(CHANGE_SCHEMA)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    q = (reader.parquet(source_dir).writeStream.foreachBatch(lambda df, bid: apply_changes(df, state, max_rows))
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(lambda df, bid: apply_changes(df, state, max_rows, index))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q

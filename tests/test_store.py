@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from symdex.operators.file_docs import extract_symbols
+from symdex.operators.search import gram_counts, gram_index, rank_within_request
 from symdex.schemas import FILE_TRACKING, SYMBOLS
 from symdex.sources.store import Bucket, RegistryStore, bucket_number, refresh_store
+from symdex.streaming.changes import CHANGE_SCHEMA, apply_changes
 
 OLD, NEW = dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1)
 
@@ -112,3 +114,42 @@ def test_second_writer_of_a_version_fails(spark, tmp_path):
 def test_empty_store(spark, tmp_path):
     store = RegistryStore(spark, f"{tmp_path}/none")
     assert store.load()[0].count() == store.load()[1].count() == 0 and store.vacuum() == []
+
+
+def test_gram_index_follows_the_commits(spark, tmp_path):
+    """The stored index equals one built from the symbols after every kind of commit, and searches by it agree."""
+    store = RegistryStore(spark, str(tmp_path), max_rows=4, index=True)
+    files, symbols, tracking = project(spark, 24)
+    store.replace_all(symbols, tracking)
+    before = store.manifest()
+
+    def agrees():
+        syms, grams, counts = store.search_index()
+        want = gram_index(syms)
+        assert sorted(map(tuple, grams.collect())) == sorted(map(tuple, want.collect()))
+        assert dict(map(tuple, counts.collect())) == dict(map(tuple, gram_counts(want).collect()))
+        asked = spark.createDataFrame([(i, t, None, None, False, True, 5) for i, t in enumerate(["f1", "F", "new", "none", "", "f2"])],
+                                      "request_id int, term string, type string, file string, exact_match boolean, include_private boolean, limit int")
+        got = rank_within_request(asked, syms, grams=grams, counts=counts).select("request_id", "ord", "rank").collect()
+        assert got and sorted(got) == sorted(rank_within_request(asked, syms).select("request_id", "ord", "rank").collect())
+        return {r.symbol for r in syms.collect()}
+
+    assert len(agrees()) == 24
+    rows = [("/p/m3.ts", NEW, 1, "export function newName() {}\nexport function other() {}\n", False), ("/p/m5.ts", NEW, 2, None, True)]
+    apply_changes(spark.createDataFrame(rows, CHANGE_SCHEMA), str(tmp_path), max_rows=4, index=True)
+    after = store.manifest()
+    assert agrees() == {f"f{i}" for i in range(24) if i not in (3, 5)} | {"newName", "other"}
+    kept = {b.grams for b in before.buckets} & {b.grams for b in after.buckets}
+    assert len(kept) >= len(before.buckets) - 2  # the other buckets keep their grams
+    assert not set(store.vacuum(keep=1)) & {f.split("/")[1] for f in kept if f} and len(agrees()) == 24
+    store.commit(files.select("path"), spark.createDataFrame([], SYMBOLS), spark.createDataFrame([], FILE_TRACKING))
+    assert [t.count() for t in store.search_index()] == [0, 0, 0]
+
+
+def test_a_search_refuses_an_index_that_is_not_the_symbols(spark, tmp_path):
+    RegistryStore(spark, str(tmp_path), index=True).replace_all(*project(spark, 6)[1:])
+    plain = RegistryStore(spark, str(tmp_path))
+    _, symbols, tracking = project(spark, 2)
+    plain.commit(tracking.select("path"), symbols, tracking)
+    with pytest.raises(ValueError, match="without an index"):
+        plain.search_index()
