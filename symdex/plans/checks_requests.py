@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,10 @@ from symdex.operators import requests as RQ
 from symdex.operators.search import rank_within_request
 from symdex.operators.usages import usage_scan_batch, with_listing_order
 from symdex.plans.catalog import PRIORITY_SQL, private_sql, register, symbols
+from symdex.schemas import FILE_TRACKING
+from symdex.session import ensure_checkpoint_dir
 from symdex.sources.fixtures import load_view, register_base_tables, with_views
+from symdex.sources.store import RegistryStore
 from symdex.sources.tables import tracking_from_view
 
 NOW = dt.datetime(2024, 6, 1)
@@ -142,15 +146,33 @@ def emit_responses(spark, sf):
     return RQ.emit_responses(answers.where(F.col("error").isin("Invalid JSON", "Invalid request"))).select("request_id", "json")
 
 
-@register("rank_within_request", with_views(
+_RANKED = with_views(
     f"with fields as ({_FIELDS}) select request_id, symbol, cast(rank as integer) as rank from "
-    f"({_ranked_sql('query', 20, False)}) r where rank <= 20", "requests_v", "symbols_v"))
-def rank_within_request_q(spark, sf):
+    f"({_ranked_sql('query', 20, False)}) r where rank <= 20", "requests_v", "symbols_v")
+
+
+def _searches(spark, sf):
     f = RQ.request_fields(RQ.parse_requests(load_view(spark, sf, "requests_v")))
-    req = f.where(F.col("error").isNull() & (F.col("tool") == "search_project_symbols")).select(
+    return f.where(F.col("error").isNull() & (F.col("tool") == "search_project_symbols")).select(
         "request_id", F.col("query").alias("term"), "type", F.lit(None).cast("string").alias("file"),
         F.lit(False).alias("exact_match"), F.lit(False).alias("include_private"), F.lit(20).alias("limit"))
-    return rank_within_request(req, symbols(spark, sf)).select("request_id", "symbol", "rank")
+
+
+@register("rank_within_request", _RANKED)
+def rank_within_request_q(spark, sf):
+    return rank_within_request(_searches(spark, sf), symbols(spark, sf)).select("request_id", "symbol", "rank")
+
+
+@register("rank_by_stored_index", _RANKED)
+def rank_by_stored_index_q(spark, sf):
+    """E4 by the index that two commits left: the files of one half, then those of the other."""
+    store = RegistryStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/indexed-{uuid.uuid4().hex}", max_rows=20_000, index=True)
+    every, none = symbols(spark, sf), spark.createDataFrame([], FILE_TRACKING)
+    late = F.pmod(F.crc32("file"), F.lit(2)) == 1
+    store.replace_all(every.where(~late), none)
+    store.commit(every.where(late).select(F.col("file").alias("path")).distinct().checkpoint(), every.where(late), none)
+    syms, grams, counts = store.search_index()
+    return rank_within_request(_searches(spark, sf), syms, grams=grams, counts=counts).select("request_id", "symbol", "rank")
 
 
 _NAMES_SQL = (
