@@ -35,7 +35,7 @@ a null doc_id is an id like any other; other columns stay as they are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,24 +77,24 @@ def leading(tokens: list[str], depth: int) -> list[int]:
     return [0 if t == ANY else _signed(f"{len(tokens)} {place} {t}".encode()) or 1 for place, t in enumerate(tokens[:depth])]
 
 
-def _doc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
-    """Document (and text digest), line and tokens of the lines of each document, equal ones once."""
-    docs, lines, tokens = [], [], []
+def _doc_lines(batches: Iterator[pa.RecordBatch], kept: Callable[[list[str]], object]) -> Iterator[tuple[list, list, list]]:
+    """Document (and text digest), line and what is ``kept`` of its tokens for the lines of each document, equal ones once."""
+    docs, lines, values = [], [], []
     for batch in sliced(batches):
         names = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
         for doc, text in zip(names, batch.column(1).to_pylist(), strict=True):
             found = {}
             for line in (text or "").split("\n"):
                 key = line_key(line)
-                if key:
-                    found[key[0]] = key[1]
+                if key and key[0] not in found:
+                    found[key[0]] = kept(key[1])
             docs += [doc] * len(found)
             lines += found.keys()
-            tokens += found.values()
+            values += found.values()
             if len(docs) >= 20_000:
-                yield docs, lines, tokens
-                docs, lines, tokens = [], [], []
-    yield docs, lines, tokens
+                yield docs, lines, values
+                docs, lines, values = [], [], []
+    yield docs, lines, values
 
 
 def leaves_of(lines: DataFrame, min_docs: int, least: int, share: int) -> DataFrame:
@@ -128,11 +128,11 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
         return copied.value[np.array([same for _, same in names], np.int64) & ((1 << BITS) - 1)].astype(bool)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, line, tokens in _doc_lines(batches):
+        for d, line, measures in _doc_lines(batches, lambda t: (len(t), len(t) - t.count(ANY), leading(t, depth))):
             yield pa.RecordBatch.from_pydict({
                 "doc": pa.array([doc for doc, _ in d], pa.int64()), "same": pa.array([same for _, same in d], pa.int64()), "copied": pa.array(may_have_copies(d), pa.bool_()),
-                "line": pa.array(line, pa.int64()), "size": pa.array([len(t) for t in tokens], pa.int32()), "words": pa.array([len(t) - t.count(ANY) for t in tokens], pa.int32()),
-                "lead": pa.array([leading(t, depth) for t in tokens], pa.list_(pa.int64())),
+                "line": pa.array(line, pa.int64()), "size": pa.array([m[0] for m in measures], pa.int32()), "words": pa.array([m[1] for m in measures], pa.int32()),
+                "lead": pa.array([m[2] for m in measures], pa.list_(pa.int64())),
             })
 
     seen = written(docs.mapInArrow(names, "doc long, same long, copied boolean, line long, size int, words int, lead array<long>"), "line-names")
@@ -147,10 +147,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPT
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
-        for d, line, tokens in _doc_lines(batches):
+        for d, line, joined in _doc_lines(batches, " ".join):
             alone = (~may_have_copies(d)).astype(np.int64)
             keep = np.flatnonzero(table[np.array(line, np.int64) & ((1 << BITS) - 1)]) if line else []
-            yield pa.RecordBatch.from_pydict({"line": pa.array([line[i] for i in keep], pa.int64()), "tokens": pa.array([" ".join(tokens[i]) for i in keep], pa.string()), "n": pa.array([int(alone[i]) for i in keep], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"line": pa.array([line[i] for i in keep], pa.int64()), "tokens": pa.array([joined[i] for i in keep], pa.string()), "n": pa.array([int(alone[i]) for i in keep], pa.int64())})
 
     lines = docs.mapInArrow(texts, "line long, tokens string, n long")
     lines = lines.unionByName(some.select("line", F.lit(None).cast("string").alias("tokens"), F.lit(1).cast("long").alias("n")))
