@@ -43,7 +43,8 @@ FUNC_INIT = r"^[ \t]*(?::[^=]*)?=[ \t]*(?:async[ \t]*)?(?:function(?![\p{L}\p{N}
 
 
 def _masked_lines(files: DataFrame) -> DataFrame:
-    return files.select(
+    # a test of the masked lines would be pushed below the masking and mask again
+    return files.where(F.col("content").isNotNull()).select(
         "path", F.split(F.col("content"), "\n", -1).alias("olines"),
         F.split(mask(F.col("content"), TS_TOKEN), "\n", -1).alias("mlines"))
 
@@ -51,7 +52,7 @@ def _masked_lines(files: DataFrame) -> DataFrame:
 def find_declarations(files: DataFrame, name: str) -> DataFrame:
     """Every declaration of ``name`` at any depth: (file, line, column, kind, snippet)."""
     pats = _patterns(name)
-    df = _masked_lines(files).where(F.col("mlines").isNotNull())
+    df = _masked_lines(files)
 
     def classify(m):
         kind, col = None, None
@@ -95,7 +96,7 @@ def find_declarations(files: DataFrame, name: str) -> DataFrame:
 def find_references(files: DataFrame, name: str, declarations: DataFrame) -> DataFrame:
     """Y2: identifier occurrences of ``name`` outside comments / literals that are not a declaration start."""
     pat = f"(?<!{ID})" + escape(name) + f"(?!{ID})"
-    df = _masked_lines(files).where(F.col("mlines").isNotNull())
+    df = _masked_lines(files)
     hits = F.filter(F.transform(F.col("mlines"), lambda m, i: F.struct((i + 1).alias("line"), m.alias("m"))),
                     lambda h: h["m"].rlike(pat))
     rows = df.select("path", "olines", F.explode_outer(hits).alias("h")).where(F.col("h").isNotNull())

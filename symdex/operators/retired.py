@@ -142,31 +142,31 @@ def components(files: DataFrame) -> DataFrame:
     Output per component: name, kind, description, hooks (distinct, first-seen
     order), props (PropTypes assignments: name and type).
     """
-    it = _items(files).where(_component_gate(F.col("path"), F.col("folded")))
     is_fn = lambda x: (x["decl"].rlike(FUNC_DECL) | x["decl"].rlike(VAR_FUNC_DECL)) & x["decl"].rlike(r"return[ \t]+<")
-    fns = _explode(it, F.filter(F.col("items"), is_fn), "path")
-    d = F.col("x.decl")
-    name = F.when(d.rlike(FUNC_DECL), F.coalesce(F.when(F.regexp_extract(d, FUNC_DECL, 2) != "",
-                                                        F.regexp_extract(d, FUNC_DECL, 2)), F.lit("<anonymous>"))) \
+    is_class = lambda x: x["decl"].rlike(CLASS_DECL)
+
+    def of_kind(kind, test):
+        return F.transform(F.filter(F.col("items"), test), lambda x, i: F.struct(
+            F.lit(kind).alias("kind"), i.alias("pos"), x["lead"].alias("lead"), x["decl"].alias("decl")))
+
+    # one array for both kinds, empty where the gate is shut: as a filter the gate would be pushed below the folding and fold again
+    both = F.when(_component_gate(F.col("path"), F.col("folded")), F.concat(of_kind("function", is_fn), of_kind("class", is_class)))
+    rows = _items(files).select("path", F.explode_outer(both).alias("x")).where(F.col("x").isNotNull())
+    d, is_class_row = F.col("x.decl"), F.col("x.kind") == "class"
+    fn_name = F.when(d.rlike(FUNC_DECL), F.coalesce(F.when(F.regexp_extract(d, FUNC_DECL, 2) != "",
+                                                           F.regexp_extract(d, FUNC_DECL, 2)), F.lit("<anonymous>"))) \
         .otherwise(F.regexp_extract(d, VAR_FUNC_DECL, 2))
     props = F.transform(F.arrays_zip(F.regexp_extract_all(d, F.lit(PROPTYPE_RE), 2).alias("n"),
                                      F.regexp_extract_all(d, F.lit(PROPTYPE_RE), 3).alias("t")),
                         lambda p: F.struct(p["n"].alias("name"), p["t"].alias("type")))
-    fn_rows = fns.select(F.col("path").alias("file"), "pos", name.alias("name"), F.lit("function").alias("kind"),
-                         _describe(F.col("x.lead")).alias("description"),
-                         F.array_distinct(F.regexp_extract_all(d, F.lit(HOOK_RE), 1)).alias("hooks"),
-                         props.alias("props"))
-    cls = _explode(it, F.filter(F.col("items"), lambda x: x["decl"].rlike(CLASS_DECL)), "path")
-    cd = F.col("x.decl")
-    extends = F.regexp_extract(cd, CLASS_DECL, 3)
-    members = _members(_body(cd, CLASS_DECL))
-    has_render = F.exists(members, lambda m: _strip_lead(m).rlike(r"^render[ \t]*\("))
-    cls_rows = cls.where(extends.contains("Component") | has_render).select(
-        F.col("path").alias("file"), "pos", F.regexp_extract(cd, CLASS_DECL, 2).alias("name"),
-        F.lit("class").alias("kind"), _describe(F.col("x.lead")).alias("description"),
-        F.array().cast("array<string>").alias("hooks"),
-        F.array().cast("array<struct<name:string,type:string>>").alias("props"))
-    return fn_rows.unionByName(cls_rows)
+    extends = F.regexp_extract(d, CLASS_DECL, 3)
+    has_render = F.exists(_members(_body(d, CLASS_DECL)), lambda m: _strip_lead(m).rlike(r"^render[ \t]*\("))
+    return rows.where(~is_class_row | extends.contains("Component") | has_render).select(
+        F.col("path").alias("file"), F.col("x.pos").alias("pos"),
+        F.when(is_class_row, F.regexp_extract(d, CLASS_DECL, 2)).otherwise(fn_name).alias("name"), F.col("x.kind").alias("kind"),
+        _describe(F.col("x.lead")).alias("description"),
+        F.when(is_class_row, F.array().cast("array<string>")).otherwise(F.array_distinct(F.regexp_extract_all(d, F.lit(HOOK_RE), 1))).alias("hooks"),
+        F.when(is_class_row, F.array().cast("array<struct<name:string,type:string>>")).otherwise(props).alias("props"))
 
 
 def hooks(files: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from symdex.operators import retired as Y
-from symdex.plans.catalog import register
-from symdex.sources.fixtures import load_view, with_views
+from symdex.plans.catalog import register, source_files
+from symdex.sources.fixtures import with_views
 
 _JS = ("(select cast(c_custkey as varchar) as k, c_custkey, c_nationkey, c_mktsegment, "
        "case when c_custkey % 10 = 0 then '/web/pages/api/c' else '/web/src/c' end || cast(c_custkey as varchar) || "
@@ -16,11 +16,11 @@ _TS = ("(select cast(s_suppkey as varchar) as k, s_nationkey, "
 
 
 def _js(spark, sf):
-    return load_view(spark, sf, "code_js").select("path", "content")
+    return source_files(spark, sf, "code_js")
 
 
 def _ts(spark, sf):
-    return load_view(spark, sf, "code_ts").select("path", "content")
+    return source_files(spark, sf, "code_ts")
 
 
 @register("extract_function_variables", with_views(
