@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from symdex.operators import file_docs as FD
-from symdex.plans.catalog import register, source_files
+from symdex.plans.catalog import dealt, register, source_files
 from symdex.session import ensure_checkpoint_dir
 from symdex.sources import files as SF
 from symdex.sources.fixtures import load_view, with_views
@@ -28,14 +28,18 @@ def _materialize(spark, sf) -> str:
 
     def write_part(batches):
         system, top = SF.file_system(root)
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system.create_dir(os.path.dirname(top + path), recursive=True)
+                folder = os.path.dirname(top + path)
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with system.open_output_stream(top + path) as f:
                     f.write(content.encode())
             yield batch.slice(0, 0)
 
-    rows.mapInArrow(write_part, rows.schema).count()
+    dealt(rows).mapInArrow(write_part, rows.schema).count()
     return root
 
 

@@ -10,6 +10,7 @@ read through Arrow's file systems (local, HDFS, S3, GCS, Azure).  A root of anot
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
 FOLDERS = 256
 #: Files that one task reads, about.
 FILES_PER_TASK = 2_000
+#: Files of a folder that a listing task holds at a time.
+ENTRIES = 10_000
 
 
 def read_source_text(files: DataFrame) -> DataFrame:
@@ -46,6 +49,25 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str] | None:
         return None
 
 
+def _entries_of(system: pafs.FileSystem, folder: str) -> Iterator[tuple]:
+    """(path, is_file, mtime in ns, size) of the files and folders in a folder; a local one is read entry by entry, however many there are."""
+    if not isinstance(system, pafs.LocalFileSystem):
+        for i in system.get_file_info(pafs.FileSelector(folder)):
+            if i.type in (pafs.FileType.File, pafs.FileType.Directory):
+                yield i.path, i.type == pafs.FileType.File, i.mtime_ns, i.size
+        return
+    with os.scandir(folder) as found:
+        for e in found:
+            try:
+                if e.is_dir():
+                    yield e.path, False, None, None
+                elif e.is_file():
+                    own = e.stat()
+                    yield e.path, True, own.st_mtime_ns, own.st_size
+            except FileNotFoundError:  # gone since
+                continue
+
+
 def _listing(spark: SparkSession, base_dir: str) -> DataFrame | None:
     """(path, mtime, length) of all files below a folder, hidden names too; None where Arrow has no file system.
 
@@ -60,10 +82,10 @@ def _listing(spark: SparkSession, base_dir: str) -> DataFrame | None:
         raise ValueError(f"files listed for {base_dir} are not below it: no such folder")
     schema = "path string, mtime timestamp, length long"
 
-    def entries(infos: list[pafs.FileInfo]) -> pa.RecordBatch:
-        files = [i for i in infos if i.type == pafs.FileType.File]
-        at = pa.array([i.mtime_ns // 1000 for i in files], pa.int64()).cast(pa.timestamp("us", "UTC"))
-        return pa.RecordBatch.from_arrays([pa.array([i.path for i in files], pa.string()), at, pa.array([i.size for i in files], pa.int64())], names=["path", "mtime", "length"])
+    def entries(files: list[tuple]) -> pa.RecordBatch:
+        paths, times, sizes = zip(*files)
+        at = pa.array([t // 1000 for t in times], pa.int64()).cast(pa.timestamp("us", "UTC"))
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), at, pa.array(sizes, pa.int64())], names=["path", "mtime", "length"])
 
     whole, single = [root], []
     while whole and len(whole) + len(single) < FOLDERS:
@@ -78,9 +100,17 @@ def _listing(spark: SparkSession, base_dir: str) -> DataFrame | None:
             for folder, below in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 waiting = [folder]
                 while waiting:
-                    infos = own.get_file_info(pafs.FileSelector(waiting.pop()))
-                    yield entries(infos)
-                    waiting += [i.path for i in infos if below and i.type == pafs.FileType.Directory]
+                    files = []
+                    for path, is_file, mtime, size in _entries_of(own, waiting.pop()):
+                        if is_file:
+                            files.append((path, mtime, size))
+                        elif below:
+                            waiting.append(path)
+                        if len(files) == ENTRIES:
+                            yield entries(files)
+                            files = []
+                    if files:
+                        yield entries(files)
 
     tasks = min(len(folders), FOLDERS)
     dealt = spark.createDataFrame(folders, "folder string, below boolean").repartition(tasks)
