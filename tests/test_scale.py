@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from symdex.operators import answers as A
 from symdex.operators.file_docs import extract_symbols
 from symdex.plans.catalog import source_files
 from symdex.schemas import FILE_TRACKING
@@ -44,3 +45,10 @@ def test_folders_of_one_bucket_each_are_still_read(spark, tmp_path):
     extract_symbols(files).write.parquet(f"{tmp_path}/data/v1-x/symbols/bucket=0")
     store = RegistryStore(spark, str(tmp_path))
     assert [r.symbol for r in store._rows("symbols", ["data/v1-x/symbols/bucket=0"]).collect()] == ["a"]
+
+
+def test_small_sides_of_answers_are_not_broadcast(spark):
+    symbols = extract_symbols(spark.createDataFrame([("/p/a.ts", "export class A {\n  run(): void {}\n}\n")], "path string, content string"))
+    found = A.members(symbols.checkpoint(), spark.createDataFrame([("A",)], "owner string"))
+    assert [r.records[0].symbol for r in found.collect()] == ["run"]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
