@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from symdex.operators import answers as A
 from symdex.operators.file_docs import extract_symbols
+from symdex.operators.search import gram_index, grams_asked, rank_within_request
+from symdex.plans import catalog
 from symdex.plans.catalog import source_files
 from symdex.schemas import FILE_TRACKING
 from symdex.sources.store import RegistryStore
@@ -52,3 +54,23 @@ def test_small_sides_of_answers_are_not_broadcast(spark):
     found = A.members(symbols.checkpoint(), spark.createDataFrame([("A",)], "owner string"))
     assert [r.records[0].symbol for r in found.collect()] == ["run"]
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_the_grams_that_a_batch_asks_for_are_kept(spark):
+    files = spark.createDataFrame([(f"/p/m{i}.ts", f"export function alpha{i}() {{}}\nexport function omega{i}() {{}}\n") for i in range(8)], "path string, content string")
+    symbols = extract_symbols(files).withColumn("ord", F.monotonically_increasing_id()).checkpoint()
+    requests = spark.createDataFrame(
+        [("a", "Alpha", 0), ("b", "ga3", 5), ("c", "nowhere", 5), ("d", "", 5), ("e", None, 5), ("f", "al", 2)], "request_id string, term string, limit long").selectExpr(
+        "request_id", "term", "cast(null as string) as type", "cast(null as string) as file", "false as exact_match", "false as include_private", "limit")
+    kept = {r.gram for r in grams_asked(requests.where("term <> ''"), symbols).select("gram").distinct().collect()}
+    assert kept == {"alp", "lph", "pha", "ga3", "al"}
+    rows = lambda df: sorted((r.request_id, r.symbol, r["rank"] or 0) for r in df.collect())
+    found = rows(rank_within_request(requests, symbols))
+    assert found == rows(rank_within_request(requests, symbols, grams=gram_index(symbols)))
+    assert [r[:2] for r in found if r[0] in "bcde"] == [("b", "omega3")] and len(found) == 8 + 1 + 2
+
+
+def test_names_are_spelled_out_by_the_tasks_they_are_dealt_to(spark):
+    catalog.load_all()
+    plan = catalog.QUERIES["rank_within_request"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
