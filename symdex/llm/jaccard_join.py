@@ -301,12 +301,14 @@ def near_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """doc_id, n_shingles and component_id, the least doc_id that links reach."""
     shared_folder(docs.sparkSession)
     texts = text_or_empty(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    sets = written(document_sets(texts, words, percent, shingle_levels(texts, words)), "jaccard-first", "none")
+    full = document_sets(texts, words, percent, shingle_levels(texts, words))
+    # first shingles are kept once, for one row of each class: reading the texts again is cheaper than the disk for all rows
+    sets = written(full.select("doc_id", "n", "node"), "jaccard-sets")
     # a null id must not name a class that has an id
     named = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
     classes = sets.where("n > 0").groupBy("node").agg(F.coalesce(F.min(named), F.lit(NULL_ID)).alias("rep"))
-    rows = sets.where("n > 0").join(classes, "node").where("doc_id = rep").dropDuplicates(["node"])
-    rows = written(rows.select("node", "rep", "n", "first"), "jaccard-rows", "none")
+    rows = full.where("n > 0").join(classes, "node").where("doc_id = rep").dropDuplicates(["node"])
+    rows = written(rows.select("node", "rep", "n", "first"), "jaccard-rows")
     lists = written(stars(rows.select("node", "n", F.explode("first").alias("token")), percent), "jaccard-lists")
     star = lists.where("pair").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("overlap").alias("overlap"), F.max("n").alias("n"))
     # similar rows share about 7 % of their size at least in these lists; a pair that is passed over here comes up again below

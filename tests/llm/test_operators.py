@@ -173,6 +173,21 @@ def test_near_classes_of_crowded_lists(spark):
     assert got == brute.near_classes([(r[0], r[1]) for r in rows])
 
 
+def test_first_shingles_are_on_disk_once_a_class(spark, tmp_path, monkeypatch):
+    kept = []
+
+    def written(df, name, codec="zstd"):
+        path = f"{tmp_path}/{name}-{len(kept)}"
+        df.write.parquet(path)
+        kept.append(spark.read.schema(df.schema).parquet(path))
+        return kept[-1]
+
+    monkeypatch.setattr(jaccard_join, "written", written)
+    rows = [(i, f"one text of words that {'two' if i % 2 else 'three'} classes of copies hold", None, None, None) for i in range(40)]
+    assert {r.component_id for r in jaccard_join.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()} == {0, 1}
+    assert sum(df.count() for df in kept if "first" in df.columns) == 2
+
+
 def test_one_of_each_keeps_rows_without_id(spark):
     rows = [(1, "a b c d e", None, None, None), (2, "a b c d e", None, None, None), (2, "a b c d e", None, None, None), (None, "p q r s t", None, None, None), (3, None, None, None, None), (4, "", None, None, None)]
     kept = jaccard_join.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
