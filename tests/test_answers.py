@@ -55,6 +55,24 @@ def test_lists_without_a_limit_come_in_ordered_parts(spark, monkeypatch):
     assert [x for p in parts for x in p.records] == want
 
 
+def test_no_shuffle_carries_a_list_for_every_request(spark):
+    """40 requests for one list of 300 symbols, and one without a hit: lists are shuffled in a few copies, never request by request."""
+    symbols = extract_symbols(spark.createDataFrame([("/p/a.ts", "".join(f"export function f{i}() {{}}\n" for i in range(300)))], "path string, content string")).checkpoint()
+    asked = spark.createDataFrame(
+        [(f"r{i}", "search_project_symbols", "f", 0) for i in range(40)] + [("r40", "search_project_symbols", "none", 0), ("r41", "search_project_symbols", None, 0), (None, "search_project_symbols", "f", 0)],
+        "request_id string, tool string, query string, limit int").selectExpr(
+        "*", "cast(null as string) as type", "cast(null as string) as file", "false as exact_match", "false as include_private")
+    answers = RQ._search_answers(asked, symbols, None, None)
+    found = {r.request_id: [x.symbol for x in r.results] for r in answers.collect()}
+    assert len(found) == 43 and all(found[f"r{i}"] == [f"f{n}" for n in range(300)] for i in range(40))
+    assert found["r40"] == found["r41"] == found[None] == []
+    # from the last join on, nothing is exchanged
+    plan = answers._jdf.queryExecution().optimizedPlan()
+    while plan.children().size() == 1:
+        plan = plan.children().head()
+    assert plan.getClass().getSimpleName() == "Join" and "_salt" in plan.condition().get().toString()
+
+
 def test_token_index_against_a_plain_search(spark):
     rng = random.Random(2)
     words = ["load", "x", "a$b", "$", "GET", "/s/1", "/s/12", "GET /s/1", "é", "日本", "a日本b", "foo_bar", "a.b", ".", "+", "n+1", "12", "()"]
