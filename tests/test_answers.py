@@ -62,7 +62,7 @@ def test_no_shuffle_carries_a_list_for_every_request(spark):
         [(f"r{i}", "search_project_symbols", "f", 0) for i in range(40)] + [("r40", "search_project_symbols", "none", 0), ("r41", "search_project_symbols", None, 0), (None, "search_project_symbols", "f", 0)],
         "request_id string, tool string, query string, limit int").selectExpr(
         "*", "cast(null as string) as type", "cast(null as string) as file", "false as exact_match", "false as include_private")
-    answers = RQ._search_answers(asked, symbols, None, None)
+    answers = RQ._search_answers(asked, RQ._lists(RQ._search_terms(asked), symbols, None, None))
     found = {r.request_id: [x.symbol for x in r.results] for r in answers.collect()}
     assert len(found) == 43 and all(found[f"r{i}"] == [f"f{n}" for n in range(300)] for i in range(40))
     assert found["r40"] == found["r41"] == found[None] == []
