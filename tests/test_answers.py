@@ -108,3 +108,24 @@ def test_scan_patterns_of_columns_are_those_of_the_listing(spark):
     for r in df.select("p", "q", F.regexp_like("q", G.glob_to_regex_col(F.col("p"))).alias("m")).collect():
         assert r.m == bool(re.match(G.glob_to_regex(r.p), r.q)), (r.p, r.q)
     assert re.match(G.glob_to_regex("**/*.ts"), "__tests__/_a.ts") and not re.match(G.glob_to_regex("**/*.ts"), "x/.h/a.ts")
+
+
+def test_emit_responses_answers_every_request(spark, tmp_path):
+    """One line for every request of the view, not for the broken ones only."""
+    from symdex.plans import catalog
+
+    catalog.load_all()
+    turns = {4: "results", 5: "completions", 6: "found", 8: "error", 10: "error", 14: "usages", 15: "refreshed", 16: "error"}
+    tables = {
+        "conversations": ([(3, t, "user") for t in turns], "conv_id long, turn int, role string"),
+        "part": ([(1, "old rod", 2, "Brand#1", "SMALL"), (8, "old rod", 2, "Brand#1", "SMALL")], "p_partkey long, p_name string, p_size int, p_brand string, p_type string"),
+        "events": ([], "event_id long, user_id long, event_type string, ts timestamp"),
+        "documents": ([(1, "web", "en", "see old_rod", 11)], "doc_id long, source string, lang string, text string, n_chars int"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = catalog.QUERIES["emit_responses"](spark, str(tmp_path)).collect()
+    got = {int(r.request_id.split("-")[1]): json.loads(r.json) for r in rows}
+    assert len(rows) == len(turns) and all(next(iter(got[t])) == key or key in got[t] for t, key in turns.items())
+    assert [r["type"] for r in got[4]["results"]] == ["function"] and [u["file"] for u in got[14]["usages"]] == ["/corpus/web/1.ts"]
+    assert got[10] == {"error": "Unknown tool", "details": 'Tool "nope" not supported', "resultCount": 0} and got[15]["symbols"] == 2
