@@ -11,6 +11,7 @@ from symdex.operators import registry as G
 from symdex.operators import requests as RQ
 from symdex.operators import token_index as TI
 from symdex.operators.file_docs import extract_symbols
+from symdex.operators.search import matches, with_spec
 from symdex.operators.usages import usage_scan_batch, with_listing_order
 
 SRC = "/** Adds */\nexport function add(a, b) {\n  return a + b;\n}\nclass Box {\n  put() {}\n  take() {}\n}\n"
@@ -129,3 +130,18 @@ def test_emit_responses_answers_every_request(spark, tmp_path):
     assert len(rows) == len(turns) and all(next(iter(got[t])) == key or key in got[t] for t, key in turns.items())
     assert [r["type"] for r in got[4]["results"]] == ["function"] and [u["file"] for u in got[14]["usages"]] == ["/corpus/web/1.ts"]
     assert got[10] == {"error": "Unknown tool", "details": 'Tool "nope" not supported', "resultCount": 0} and got[15]["symbols"] == 2
+
+
+def test_answers_are_made_before_they_are_handed_out(spark):
+    """The plan of all tools ranks nothing itself, and a batch spells out only the grams it asks for, which are not broadcast."""
+    files = spark.createDataFrame([("/p/a.js", SRC)], "path string, content string")
+    symbols = extract_symbols(files).checkpoint()
+    asked = spark.createDataFrame([("a", '{"tool":"get_doc_for_symbol","input":{"symbol":"Box"}}'), ("b", '{"tool":"find_usages","input":{"symbol":"add"}}'),
+                                   ("b", '{"tool":"find_usages","input":{"symbol":"add"}}'), ("c", '{"tool":"autocomplete_symbol","input":{"prefix":"a"}}')], "request_id string, line string")
+    answers = RQ.dispatch_requests(asked, symbols, files=files, listing=files.select("path", F.current_timestamp().alias("mtime")))
+    assert "Window" not in answers._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.request_id for r in answers.collect()) == ["a", "b", "b", "b", "b", "c"]  # an id that is given twice meets both answers
+    terms = with_spec(asked.selectExpr("'ad' as term", "cast(null as string) as type", "cast(null as string) as file", "false as exact_match", "false as include_private", "5 as limit"))
+    found = matches(terms, symbols)
+    assert [r.symbol for r in found.collect()] == ["add"] and "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
