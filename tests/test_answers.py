@@ -145,3 +145,11 @@ def test_answers_are_made_before_they_are_handed_out(spark):
     found = matches(terms, symbols)
     assert [r.symbol for r in found.collect()] == ["add"] and "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
 
+
+def test_long_lists_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(A, "RECORDS_APART", 50)
+    lists = spark.createDataFrame([("s", 0, list(range(19))), ("t", 0, [1])], "spec string, part int, records array<int>").checkpoint()
+    asked = spark.createDataFrame([(f"r{i}", "s") for i in range(40)] + [("q", "t"), ("n", "none"), (None, "s")], "request_id string, spec string")
+    out = A.handed_out(asked, lists).withColumn("task", F.spark_partition_id()).collect()
+    assert len(out) == 43 and all(len(r.records) == 19 for r in out if r.spec == "s") and [r.records for r in out if r.spec != "s"] in ([[1], None], [None, [1]])
+    assert len({r.task for r in out}) > 6 and max(sum(len(r.records or []) for r in out if r.task == t) for t in {r.task for r in out}) < 400
